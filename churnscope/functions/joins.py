@@ -1,0 +1,20 @@
+"""Join helpers: broadcast a side only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side is broadcast only when it has at most this many rows.
+DEFAULT_BROADCAST_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if a count proves it small; otherwise leave the join to the planner.
+
+    The count is one cheap job over a small dimension. Beyond the bound the side
+    is returned unchanged, so Spark plans a shuffle (sort-merge) join and AQE may
+    still switch to a broadcast at runtime from the real shuffle statistics.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
