@@ -2,7 +2,7 @@
 
 Every registered query reads the driver's tables through the customer mart
 (``churnscope.sources.mart``) and runs over all rows. Results are returned
-with doubles rounded to 6 places and list cells joined into strings, so the
+with doubles rounded to 10 significant digits and list cells joined into strings, so the
 Spark and DuckDB sides compare value by value.
 """
 
@@ -23,18 +23,36 @@ from churnscope.operators import archetype as arch  # noqa: E402
 from churnscope.operators import topology as topo  # noqa: E402
 from churnscope.plans import stages  # noqa: E402
 from churnscope.operators import binning  # noqa: E402
+from churnscope.operators import profile as prof  # noqa: E402
+from churnscope.operators import registers as reg  # noqa: E402
 
 ROUND = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def sig10(c):
+    """Keep 10 significant digits with plain IEEE arithmetic (|x| < 1e-9 -> 0).
+
+    floor(x * s + 31/64) / s with s an exact power of ten evaluates identically
+    in Spark and DuckDB, so float noise from a different summation order is
+    removed without decimal-formatting rules (which differ between engines).
+    The cut between two kept values sits at 33/64 of the last digit rather
+    than at one half, so exact decimal ties (averages of cent amounts) never
+    straddle it.
+    """
+    scale = F.pow(F.lit(10.0), F.lit(9.0) - F.floor(F.log10(F.abs(c))))
+    special = F.isnan(c) | (F.abs(c) == float("inf"))
+    return (F.when(special, c).when(F.abs(c) < 1e-9, F.lit(0.0))
+            .otherwise(F.floor(c * scale + 0.484375).cast("double") / scale))
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Round doubles, join arrays of strings, leave everything else as is."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, ROUND)
+            c = sig10(c)
         elif isinstance(f.dataType, T.ArrayType):
             c = F.array_join(c.cast("array<string>"), ",")
         cols.append(c.alias(f.name))
@@ -100,7 +118,92 @@ def q_interaction_matrix(spark, sf_dir):
     return topo.interaction_matrix(_density(spark, sf_dir), pair, ["low", "moderate", "high"])
 
 
+def q_exposure_mean_diff(spark, sf_dir):
+    return prof.exposure_mean_diff(stages.mart(spark, sf_dir))
+
+
+def q_missingness_by_outcome(spark, sf_dir):
+    return prof.missingness_by_outcome(stages.mart(spark, sf_dir))
+
+
+def q_leakage_register(spark, sf_dir):
+    return reg.leakage_register(stages.mart(spark, sf_dir, how="none"))
+
+
+def q_mutual_information(spark, sf_dir):
+    m = stages.mart(spark, sf_dir)
+    return prof.mutual_information(m, reg.epistemic_lookup(m))
+
+
+def q_numeric_profile(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    return prof.numeric_profile(df, prof.numeric_columns(df))
+
+
+def q_corr_profile(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    return prof.corr_profile(df, prof.numeric_columns(df))
+
+
+def q_categorical_profile(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    return prof.categorical_profile(df, prof.categorical_columns(df))
+
+
+def _numeric_brackets(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    cols = prof.numeric_columns(df)
+    strategy = prof.bracket_strategy(prof.numeric_profile(df, cols))
+    return prof.numeric_brackets(df, strategy), strategy
+
+
+def q_brackets_quantile(spark, sf_dir):
+    b, strategy = _numeric_brackets(spark, sf_dir)
+    return prof.bracket_stats(b, [c for c, s in strategy.items() if s == "quantile"])
+
+
+def q_brackets_equal_width(spark, sf_dir):
+    b, strategy = _numeric_brackets(spark, sf_dir)
+    cols = [c for c, s in strategy.items() if s == "width"]
+    if not cols:
+        return spark.createDataFrame([], "feature string, bracket string, count bigint, proportion double, "
+                                         "mean double, variance double, churn_rate double")
+    return prof.bracket_stats(b, cols)
+
+
+def q_brackets_rate_rank(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    cols = prof.categorical_columns(df)
+    return prof.bracket_stats(prof.rate_rank_brackets(df, cols), cols, with_moments=False)
+
+
+def q_bracket_pattern(spark, sf_dir):
+    b, strategy = _numeric_brackets(spark, sf_dir)
+    df = stages.profile_frame(spark, sf_dir)
+    cats = prof.categorical_columns(df)
+    num = prof.bracket_stats(b, list(strategy)).select("feature", "bracket", "churn_rate")
+    cat = prof.bracket_stats(prof.rate_rank_brackets(df, cats), cats, False).select("feature", "bracket",
+                                                                                   "churn_rate")
+    return prof.bracket_pattern(num.unionByName(cat))
+
+
+def q_profile_register(spark, sf_dir):
+    return reg.profile_register(stages.profile_frame(spark, sf_dir, how="none"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "exposure_mean_diff": q_exposure_mean_diff,
+    "missingness_by_outcome": q_missingness_by_outcome,
+    "leakage_register": q_leakage_register,
+    "mutual_information": q_mutual_information,
+    "numeric_profile": q_numeric_profile,
+    "corr_profile": q_corr_profile,
+    "categorical_profile": q_categorical_profile,
+    "brackets_quantile": q_brackets_quantile,
+    "brackets_equal_width": q_brackets_equal_width,
+    "brackets_rate_rank": q_brackets_rate_rank,
+    "bracket_pattern": q_bracket_pattern,
+    "profile_register": q_profile_register,
     "archetype_summary": q_archetype_summary,
     "engineered_features": q_engineered_features,
     "state_thresholds": q_state_thresholds,
@@ -134,6 +237,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "exposure_mean_diff": (O.MART, O.EXPOSURE_MEAN_DIFF),
+    "missingness_by_outcome": (O.MART, O.MISSINGNESS),
+    "leakage_register": (O.MART, O.LEAKAGE_REGISTER),
+    "mutual_information": (O.MI, O.MUTUAL_INFORMATION),
+    "numeric_profile": (O.PROFILE, O.NUMERIC_PROFILE),
+    "corr_profile": (O.PROFILE, O.CORR_PROFILE),
+    "categorical_profile": (O.PROFILE, O.CATEGORICAL_PROFILE),
+    "brackets_quantile": (O.PROFILE, "SELECT feature, bracket, count, proportion, mean, variance, churn_rate "
+                                     "FROM nbs WHERE strategy = 'quantile'"),
+    "brackets_equal_width": (O.PROFILE, "SELECT feature, bracket, count, proportion, mean, variance, churn_rate "
+                                        "FROM nbs WHERE strategy = 'width'"),
+    "brackets_rate_rank": (O.PROFILE, "SELECT feature, bracket, count, proportion, churn_rate FROM cbs"),
+    "bracket_pattern": (O.PROFILE, O.BRACKET_PATTERN),
+    "profile_register": (O.MART, O.PROFILE_REGISTER),
     "archetype_summary": (O.ARCHETYPES, """
         SELECT behavioral_archetype, count(*) AS frequency,
                count(*) * 100.0 / (SELECT count(*) FROM arc) AS prevalence_percentage

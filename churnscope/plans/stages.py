@@ -77,3 +77,11 @@ def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES,
     df = df.withColumn("population", F.concat_ws("_", F.col("membership_category"),
                                                  F.when(F.col("churn") == "yes", "churned").otherwise("retained")))
     return df
+
+
+PROFILE_DROP = ("customer_id", "joining_date")
+
+
+def profile_frame(spark: SparkSession, sf_dir: str, how: str = "checkpoint") -> DataFrame:
+    """Profile-stage input: every customer, identifiers and raw dates left out."""
+    return mart(spark, sf_dir, how).drop(*PROFILE_DROP)

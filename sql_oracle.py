@@ -134,9 +134,9 @@ ar AS (SELECT st.*,
        ELSE 'unclassified' END AS behavioral_archetype
   FROM st),
 arc AS (SELECT ar.*,
-  CASE behavioral_archetype WHEN 'economically_disconnected_user' THEN 1.0 WHEN 'dormant_former_value_user' THEN 2.0
-       WHEN 'active_high_value_churner' THEN 3.0 WHEN 'partial_adoption_staller' THEN 4.0
-       WHEN 'stable_mid_level_drifter' THEN 5.0 END AS archetype_priority,
+  CAST(CASE behavioral_archetype WHEN 'economically_disconnected_user' THEN 1 WHEN 'dormant_former_value_user' THEN 2
+       WHEN 'active_high_value_churner' THEN 3 WHEN 'partial_adoption_staller' THEN 4
+       WHEN 'stable_mid_level_drifter' THEN 5 END AS DOUBLE) AS archetype_priority,
   CASE behavioral_archetype
        WHEN 'economically_disconnected_user' THEN 'transaction_value_and_perceived_value_misalignment'
        WHEN 'dormant_former_value_user' THEN 'high_perceived_value_with_behavioral_collapse'
@@ -215,13 +215,16 @@ def _describe(sql: str) -> list[tuple[str, str]] | None:
                   "benchmark labels conversations").split():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{base}/{t}.parquet')")
         _describe.con = con
-    rows = con.execute(f"DESCRIBE {sql}").fetchall()
+    try:
+        rows = con.execute(f"DESCRIBE {sql}").fetchall()
+    except Exception:  # noqa: BLE001 - an unbindable statement is returned unwrapped
+        return None
     _TYPES_CACHE[sql] = [(r[0], r[1]) for r in rows]
     return _TYPES_CACHE[sql]
 
 
 def finish_sql(sql: str) -> str:
-    """Round DOUBLE columns to 6 places (the Spark side does the same)."""
+    """Keep 10 significant digits of DOUBLE columns, |x| < 1e-9 -> 0 (same arithmetic as the Spark side)."""
     cols = _describe(sql)
     if not cols:
         return sql
@@ -229,7 +232,9 @@ def finish_sql(sql: str) -> str:
     for name, typ in cols:
         q = '"' + name.replace('"', '""') + '"'
         if typ in ("DOUBLE", "FLOAT", "REAL"):
-            sel.append(f"round({q}, 6) AS {q}")
+            sc = f"pow(10.0, 9.0 - floor(log10(abs({q}))))"
+            sel.append(f"CASE WHEN isnan({q}) OR isinf({q}) THEN {q} WHEN abs({q}) < 1e-9 THEN 0.0 "
+                       f"ELSE floor({q} * {sc} + 0.484375) / {sc} END AS {q}")
         elif typ.endswith("[]"):
             sel.append(f"array_to_string({q}, ',') AS {q}")
         else:
@@ -238,3 +243,151 @@ def finish_sql(sql: str) -> str:
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
                "benchmark labels conversations").split()
+
+MART_COLS = ["customer_id", "region_category", "membership_category", "points_in_wallet", "joining_date",
+             "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days", "days_since_last_login",
+             "event_value_avg", "complaint_status", "feedback", "churn"]
+EXPOSURE = ["avg_time_spent", "avg_transaction_value", "avg_frequency_login_days", "points_in_wallet"]
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+EXPOSURE_MEAN_DIFF = _union([
+    f"SELECT '{c}' AS feature, avg({c}) FILTER (WHERE churn = 1) AS churned_mean, "
+    f"avg({c}) FILTER (WHERE churn = 0) AS retained_mean, "
+    f"avg({c}) FILTER (WHERE churn = 1) - avg({c}) FILTER (WHERE churn = 0) AS difference FROM mart"
+    for c in EXPOSURE])
+
+
+def _miss(c: str) -> str:
+    return f"CAST({c} IS NULL AS DOUBLE)"
+
+
+MISSINGNESS = _union([
+    f"SELECT '{c}' AS feature, avg({_miss(c)}) FILTER (WHERE churn = 1) AS churn_missing_rate, "
+    f"avg({_miss(c)}) FILTER (WHERE churn = 0) AS retained_missing_rate, "
+    f"avg({_miss(c)}) FILTER (WHERE churn = 1) - avg({_miss(c)}) FILTER (WHERE churn = 0) AS difference FROM mart"
+    for c in MART_COLS])
+
+_FT = {"region_category": "static", "membership_category": "structural", "avg_time_spent": "behavioral",
+       "avg_transaction_value": "behavioral", "avg_frequency_login_days": "behavioral",
+       "points_in_wallet": "behavioral", "days_since_last_login": "recency_based",
+       "complaint_status": "terminal_or_outcome", "feedback": "terminal_or_outcome", "churn": "terminal_or_outcome"}
+_LR = {"complaint_status": "high_risk_terminal", "feedback": "high_risk_terminal", "churn": "high_risk_terminal",
+       "avg_time_spent": "exposure_sensitive", "avg_transaction_value": "exposure_sensitive",
+       "avg_frequency_login_days": "exposure_sensitive", "points_in_wallet": "exposure_sensitive",
+       "days_since_last_login": "temporal_proximity"}
+_EC = {"region_category": "pre_outcome_observable", "membership_category": "pre_outcome_observable",
+       "avg_time_spent": "exposure_sensitive", "avg_transaction_value": "exposure_sensitive",
+       "avg_frequency_login_days": "exposure_sensitive", "points_in_wallet": "exposure_sensitive",
+       "complaint_status": "lifecycle_terminal", "feedback": "lifecycle_terminal",
+       "days_since_last_login": "retrospective_proxy", "churn": "target"}
+
+LEAKAGE_REGISTER = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{_FT.get(c, 'unknown')}', '{_LR.get(c, 'low_risk')}', '{_EC.get(c, 'administrative_or_unknown')}')"
+    for c in MART_COLS) + ") AS t(feature, feature_type, leakage_risk, epistemic_class) WHERE feature IN " \
+    "(SELECT column_name FROM (DESCRIBE SELECT * FROM mart))"
+
+_ROLE = {"region_category": "STRUCTURAL", "membership_category": "STRUCTURAL", "avg_time_spent": "EXPOSURE_SENSITIVE",
+         "avg_transaction_value": "EXPOSURE_SENSITIVE", "avg_frequency_login_days": "EXPOSURE_SENSITIVE",
+         "points_in_wallet": "EXPOSURE_SENSITIVE", "feedback": "EPISTEMIC", "complaint_status": "EPISTEMIC"}
+_PRIO = {"membership_category": "HIGH", "avg_time_spent": "MEDIUM", "avg_transaction_value": "MEDIUM",
+         "avg_frequency_login_days": "MEDIUM", "points_in_wallet": "MEDIUM", "feedback": "CONTROLLED",
+         "complaint_status": "CONTROLLED"}
+PROFILE_COLS = [c for c in MART_COLS if c not in ("customer_id", "joining_date")]
+_NUMERIC = ["points_in_wallet", "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days",
+            "days_since_last_login", "event_value_avg"]
+_CATEG = ["region_category", "membership_category", "complaint_status", "feedback"]
+PROFILE_REGISTER = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', '{'Numerical' if c in _NUMERIC else 'Categorical'}', '{_ROLE.get(c, 'LOW_SIGNAL')}', "
+    f"'{_PRIO.get(c, 'LOW')}')" for c in PROFILE_COLS if c != "churn") + ") AS t(feature, type, role, priority)"
+
+MI = MART + f""",
+l AS (SELECT * FROM (UNPIVOT (SELECT churn, {', '.join(_CATEG)} FROM mart) ON {', '.join(_CATEG)}
+                           INTO NAME feature VALUE value)),
+card AS (SELECT feature FROM l GROUP BY feature HAVING count(DISTINCT value) <= 50),
+cells AS (SELECT feature, value, count(*) FILTER (WHERE churn = 1) AS n11, count(*) FILTER (WHERE churn = 0) AS n10
+          FROM l WHERE feature IN (SELECT feature FROM card) GROUP BY feature, value),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE churn = 1) AS DOUBLE) AS n1 FROM mart),
+r AS (SELECT cells.*, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
+             n, n1, n - n1 AS n0, n11 + n10 AS nx1, n - (n11 + n10) AS nx0 FROM cells, tot),
+t AS (SELECT feature, value,
+        (CASE WHEN n11 > 0 THEN n11 / n * ln(n11 * n / (nx1 * n1)) ELSE 0 END)
+      + (CASE WHEN n10 > 0 THEN n10 / n * ln(n10 * n / (nx1 * n0)) ELSE 0 END)
+      + (CASE WHEN n1 - n11 > 0 THEN (n1 - n11) / n * ln((n1 - n11) * n / (nx0 * n1)) ELSE 0 END)
+      + (CASE WHEN n0 - n10 > 0 THEN (n0 - n10) / n * ln((n0 - n10) * n / (nx0 * n0)) ELSE 0 END) AS mi
+      FROM r WHERE rn > 1)
+"""
+
+MUTUAL_INFORMATION = """
+SELECT feature || '_' || value AS feature, mi AS mutual_info_score,
+       CASE feature WHEN 'region_category' THEN 'pre_outcome_observable'
+                    WHEN 'membership_category' THEN 'pre_outcome_observable'
+                    WHEN 'complaint_status' THEN 'lifecycle_terminal'
+                    WHEN 'feedback' THEN 'lifecycle_terminal' ELSE 'derived' END AS epistemic_class
+FROM t"""
+
+PROFILE = MART + f""",
+ss AS (SELECT * EXCLUDE (customer_id, joining_date), row_number() OVER () AS rid FROM mart),
+nl AS (UNPIVOT (SELECT rid, churn, {', '.join(_NUMERIC)} FROM ss) ON {', '.join(_NUMERIC)}
+       INTO NAME feature VALUE x),
+nm AS (SELECT feature, avg(x) AS m FROM nl GROUP BY feature),
+np AS (SELECT nl.feature, avg(x) AS mean, quantile_cont(x, 0.5) AS median, stddev_samp(x) AS std,
+              avg(power(x - m, 3)) / power(avg(power(x - m, 2)), 1.5) AS skewness,
+              avg(power(x - m, 4)) / power(avg(power(x - m, 2)), 2) - 3 AS kurtosis
+       FROM nl JOIN nm ON nl.feature = nm.feature GROUP BY nl.feature),
+strat AS (SELECT feature, CASE WHEN feature IN ({', '.join("'" + c + "'" for c in EXPOSURE)})
+                                 OR abs(skewness) > 1 THEN 'quantile' ELSE 'width' END AS strategy FROM np),
+clipq AS (SELECT quantile_cont(x, 0.01) AS p1, quantile_cont(x, 0.99) AS p99 FROM nl
+          WHERE feature = 'avg_transaction_value'),
+nb0 AS (SELECT nl.*, CASE WHEN feature = 'avg_transaction_value' THEN least(greatest(x, p1), p99) ELSE x END AS b
+        FROM nl, clipq),
+edges AS (SELECT feature, quantile_cont(b, [0.0, 1.0/3.0, 2.0/3.0, 1.0]) AS e, min(b) AS mn, max(b) AS mx
+          FROM nb0 GROUP BY feature),
+nb AS (SELECT nb0.*, strategy,
+         CASE WHEN strategy = 'quantile' THEN
+                CASE WHEN e[1] = e[2] OR e[2] = e[3] OR e[3] = e[4] THEN NULL
+                     WHEN b <= e[2] THEN 'LOW' WHEN b <= e[3] THEN 'MEDIUM' WHEN b <= e[4] THEN 'HIGH' END
+              ELSE CASE WHEN mx = mn THEN 'MEDIUM' WHEN b <= mn + (mx - mn) / 3.0 THEN 'LOW'
+                        WHEN b <= mn + 2 * ((mx - mn) / 3.0) THEN 'MEDIUM' ELSE 'HIGH' END END AS bracket
+       FROM nb0 JOIN edges USING (feature) JOIN strat USING (feature)),
+nbs AS (SELECT feature, bracket, any_value(strategy) AS strategy, count(*) AS count,
+               count(*) / (SELECT count(*) FROM ss) AS proportion, avg(x) AS mean, var_samp(x) AS variance,
+               avg(churn) AS churn_rate FROM nb WHERE bracket IS NOT NULL GROUP BY feature, bracket),
+cl AS (UNPIVOT (SELECT churn, {', '.join(_CATEG)} FROM ss) ON {', '.join(_CATEG)} INTO NAME feature VALUE value),
+cr AS (SELECT feature, value, avg(churn) AS rate FROM cl GROUP BY feature, value),
+rk AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY rate, value) - 1 AS i,
+              count(*) OVER (PARTITION BY feature) AS n FROM cr),
+rb AS (SELECT feature, value, CASE WHEN i < n // 3 THEN 'LOW' WHEN i < (2 * n) // 3 THEN 'MEDIUM' ELSE 'HIGH' END
+              AS bracket FROM rk),
+cbs AS (SELECT feature, bracket, count(*) AS count, count(*) / (SELECT count(*) FROM ss) AS proportion,
+               avg(churn) AS churn_rate FROM cl JOIN rb USING (feature, value) GROUP BY feature, bracket)
+"""
+
+NUMERIC_PROFILE = "SELECT feature, mean, median, std, skewness, kurtosis, " \
+                  "CASE WHEN mean <> 0 THEN std / mean END AS cv FROM np"
+
+CORR_PROFILE = _union([
+    f"SELECT '{c}' AS feature, "
+    f"covar_pop({c}, churn) FILTER (WHERE {c} IS NOT NULL) / nullif(stddev_pop({c}) * "
+    f"stddev_pop(churn) FILTER (WHERE {c} IS NOT NULL), 0) AS corr_churn, " +
+    (f"covar_pop({c}, avg_frequency_login_days) FILTER (WHERE {c} IS NOT NULL AND avg_frequency_login_days IS NOT NULL)"
+     f" / nullif(stddev_pop({c}) FILTER (WHERE avg_frequency_login_days IS NOT NULL) * stddev_pop(avg_frequency_login_days)"
+     f" FILTER (WHERE {c} IS NOT NULL), 0)" if c != "avg_frequency_login_days" else "CAST(NULL AS DOUBLE)")
+    + " AS corr_exposure_proxy FROM ss" for c in _NUMERIC])
+
+CATEGORICAL_PROFILE = """
+SELECT feature, value, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS proportion,
+       avg(churn) AS churn_rate FROM cl GROUP BY feature, value"""
+
+BRACKET_PATTERN = """
+SELECT feature, CASE WHEN lo IS NULL OR md IS NULL OR hi IS NULL THEN 'FLAT'
+                     WHEN (lo < md AND md < hi) OR (lo > md AND md > hi) THEN 'MONOTONIC'
+                     WHEN greatest(lo, md, hi) = hi THEN 'THRESHOLD' ELSE 'NON_MONOTONIC' END AS pattern
+FROM (SELECT feature, max(CASE WHEN bracket = 'LOW' THEN churn_rate END) AS lo,
+             max(CASE WHEN bracket = 'MEDIUM' THEN churn_rate END) AS md,
+             max(CASE WHEN bracket = 'HIGH' THEN churn_rate END) AS hi
+      FROM (SELECT feature, bracket, churn_rate FROM nbs UNION ALL SELECT feature, bracket, churn_rate FROM cbs)
+      GROUP BY feature)"""

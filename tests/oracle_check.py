@@ -25,7 +25,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return v
     if hasattr(v, "isoformat"):
         return v.isoformat()[:10] if len(v.isoformat()) >= 10 else v.isoformat()
     return v
