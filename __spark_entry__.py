@@ -25,6 +25,10 @@ from churnscope.plans import stages  # noqa: E402
 from churnscope.operators import binning  # noqa: E402
 from churnscope.operators import profile as prof  # noqa: E402
 from churnscope.operators import registers as reg  # noqa: E402
+from churnscope.operators import target as tgt  # noqa: E402
+from churnscope.operators import triage as tri  # noqa: E402
+from churnscope.operators import validation as val  # noqa: E402
+from churnscope.operators.features import log_parents  # noqa: E402
 
 ROUND = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -191,7 +195,108 @@ def q_profile_register(spark, sf_dir):
     return reg.profile_register(stages.profile_frame(spark, sf_dir, how="none"))
 
 
+def q_overall_churn(spark, sf_dir):
+    return tgt.overall_churn(tgt.standardise_target(stages.engineered(spark, sf_dir)))
+
+
+def _segments(spark, sf_dir):
+    return tgt.segment_churn(stages.engineered(spark, sf_dir))
+
+
+def q_segment_churn(spark, sf_dir):
+    return _segments(spark, sf_dir)
+
+
+def q_imbalance_summary(spark, sf_dir):
+    return tgt.imbalance_summary(_segments(spark, sf_dir))
+
+
+def q_tenure_geometry(spark, sf_dir):
+    return tgt.tenure_geometry(stages.engineered(spark, sf_dir))
+
+
+def q_band_separation(spark, sf_dir):
+    return tgt.band_separation(stages.engineered(spark, sf_dir))
+
+
+def q_baseline_rules(spark, sf_dir):
+    return tgt.baseline_rules(stages.engineered(spark, sf_dir))
+
+
+def q_lifecycle_relevance(spark, sf_dir):
+    return tgt.lifecycle_relevance(tgt.tenure_geometry(stages.engineered(spark, sf_dir)))
+
+
+def q_triage_register(spark, sf_dir):
+    return tri.triage_register(stages.engineered(spark, sf_dir)).drop("position")
+
+
+def q_pathway_lists(spark, sf_dir):
+    return tri.pathway_lists(tri.triage_register(stages.engineered(spark, sf_dir)))
+
+
+def q_tenure_validation(spark, sf_dir):
+    return tri.tenure_validation(stages.engineered(spark, sf_dir))
+
+
+def q_population_split(spark, sf_dir):
+    split = tri.population_split(stages.engineered(spark, sf_dir))
+    return split.groupBy("population").agg(F.count(F.lit(1)).alias("customer_count"))
+
+
+def q_predictive_ready(spark, sf_dir):
+    eng = stages.engineered(spark, sf_dir)
+    return tri.predictive_ready(eng, tri.triage_register(eng))
+
+
+def _validation(spark, sf_dir):
+    eng = stages.engineered(spark, sf_dir)
+    return eng, val.discover(eng, val.detect_target(eng))
+
+
+def q_integrity_audit(spark, sf_dir):
+    eng, d = _validation(spark, sf_dir)
+    return val.integrity_audit(eng, d["log"], d["interaction"])
+
+
+def q_pathology_delta(spark, sf_dir):
+    eng, _ = _validation(spark, sf_dir)
+    return val.pathology_delta(eng, log_parents())
+
+
+def q_signal_table(spark, sf_dir):
+    eng, d = _validation(spark, sf_dir)
+    return val.signal_table(eng, d["numeric"])
+
+
+def q_interaction_eval(spark, sf_dir):
+    eng, d = _validation(spark, sf_dir)
+    return val.interaction_eval(eng, d["interaction"], d["numeric"])
+
+
+def q_segment_separation(spark, sf_dir):
+    eng, d = _validation(spark, sf_dir)
+    return val.segment_separation(eng, d["membership"], d["log"])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "overall_churn": q_overall_churn,
+    "segment_churn": q_segment_churn,
+    "imbalance_summary": q_imbalance_summary,
+    "tenure_geometry": q_tenure_geometry,
+    "band_separation": q_band_separation,
+    "baseline_rules": q_baseline_rules,
+    "lifecycle_relevance": q_lifecycle_relevance,
+    "triage_register": q_triage_register,
+    "pathway_lists": q_pathway_lists,
+    "tenure_validation": q_tenure_validation,
+    "population_split": q_population_split,
+    "predictive_ready": q_predictive_ready,
+    "integrity_audit": q_integrity_audit,
+    "pathology_delta": q_pathology_delta,
+    "signal_table": q_signal_table,
+    "interaction_eval": q_interaction_eval,
+    "segment_separation": q_segment_separation,
     "exposure_mean_diff": q_exposure_mean_diff,
     "missingness_by_outcome": q_missingness_by_outcome,
     "leakage_register": q_leakage_register,
@@ -237,6 +342,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "overall_churn": (O.ENGINEERED, "SELECT count(*) AS total_customers, CAST(sum(churn) AS BIGINT) AS churn_count, "
+                                    "avg(churn) AS churn_rate FROM eng"),
+    "segment_churn": (O.TARGET, "SELECT * FROM segs"),
+    "imbalance_summary": (O.TARGET, O.IMBALANCE),
+    "tenure_geometry": (O.TARGET, "SELECT * FROM tgeo"),
+    "band_separation": (O.TARGET, O.BAND_SEPARATION),
+    "baseline_rules": (O.TARGET, O.BASELINE_RULES),
+    "lifecycle_relevance": (O.TARGET, O.LIFECYCLE),
+    "triage_register": (O.TRIAGE, "SELECT * EXCLUDE (position) FROM reg"),
+    "pathway_lists": (O.TRIAGE, O.PATHWAY_LISTS),
+    "tenure_validation": (O.ENGINEERED, O.TENURE_VALIDATION),
+    "population_split": (O.ENGINEERED, "SELECT CASE WHEN churn = 1 THEN 'churned' ELSE 'non_churned' END AS population, "
+                                       "count(*) AS customer_count FROM eng GROUP BY 1"),
+    "predictive_ready": (O.TRIAGE, O.PREDICTIVE_READY),
+    "integrity_audit": (O.ENGINEERED, O.INTEGRITY),
+    "pathology_delta": (O.ENGINEERED, O.PATHOLOGY),
+    "signal_table": (O.ENGINEERED, O.SIGNAL),
+    "interaction_eval": (O.ENGINEERED, O.INTERACTION_EVAL),
+    "segment_separation": (O.ENGINEERED, O.SEGMENT_SEPARATION),
     "exposure_mean_diff": (O.MART, O.EXPOSURE_MEAN_DIFF),
     "missingness_by_outcome": (O.MART, O.MISSINGNESS),
     "leakage_register": (O.MART, O.LEAKAGE_REGISTER),

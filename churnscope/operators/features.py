@@ -136,3 +136,29 @@ def inferential_features(df: DataFrame, membership_phrase: str = " membership")
     churn = F.col("churn").cast("string")
     churn = F.when(F.trim(churn).isin("1", "1.0"), "yes").when(F.trim(churn).isin("0", "0.0"), "no")
     return out.withColumn("churn", churn).where(F.col("churn").isNotNull())
+
+
+# The transformation log of the rate formula set
+# (original feature, engineered feature, transformation, trigger).
+TRANSFORMATION_LOG = [
+    ("points_in_wallet", "points_per_day", "rate_conversion", "TENURE_CORRELATED"),
+    ("avg_transaction_value + avg_time_spent", "value_density", "ratio_metric", "Behavioral Intensity"),
+    ("points_in_wallet + avg_time_spent", "engagement_efficiency", "ratio_metric", "Behavioral Efficiency"),
+    ("avg_transaction_value", "log_avg_txn", "clip + log1p", "HIGH_SKEW"),
+    ("points_per_day", "log_points", "clip + log1p", "HIGH_SKEW"),
+    ("days_since_last_login", "recency_score", "inverse_decay", "Recency Signal"),
+    ("avg_frequency_login_days", "logins_per_day", "inverse_frequency", "Activity Rate"),
+    ("avg_time_spent", "time_per_day", "rate_conversion", "TENURE_CORRELATED"),
+    ("points_per_day + time_per_day", "points_time_interaction", "interaction", "Signal Amplification"),
+]
+
+
+def log_parents() -> dict[str, str]:
+    """Log feature -> parent column, read from the transformation log (single-source rows only)."""
+    return {eng: orig for orig, eng, _, _ in TRANSFORMATION_LOG if eng.startswith("log_") and "+" not in orig}
+
+
+def transformation_log(spark) -> "DataFrame":
+    """C17: the transformation log as a table."""
+    return spark.createDataFrame(TRANSFORMATION_LOG, "original_feature string, engineered_feature string, "
+                                                     "transformation string, trigger string")

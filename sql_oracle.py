@@ -391,3 +391,249 @@ FROM (SELECT feature, max(CASE WHEN bracket = 'LOW' THEN churn_rate END) AS lo,
              max(CASE WHEN bracket = 'HIGH' THEN churn_rate END) AS hi
       FROM (SELECT feature, bracket, churn_rate FROM nbs UNION ALL SELECT feature, bracket, churn_rate FROM cbs)
       GROUP BY feature)"""
+
+# ------------------------------------------------------------------ engineered table columns (in order)
+_DUMS = [_dummy(r) for r in REGIONS]
+ENG_COLS = [("customer_id", "bigint"), ("membership_category", "string"), ("points_in_wallet", "double"),
+            ("joining_date", "date"), ("avg_transaction_value", "double"), ("avg_time_spent", "double"),
+            ("avg_frequency_login_days", "double"), ("days_since_last_login", "double"),
+            ("event_value_avg", "double"), ("churn", "int"), ("tenure_days", "double"),
+            ("points_per_day", "double"), ("value_density", "double"), ("engagement_efficiency", "double"),
+            ("log_avg_txn", "double"), ("log_points", "double"), ("recency_score", "double"),
+            ("logins_per_day", "double"), ("time_per_day", "double")] + \
+    [(d, "int") for d in _DUMS] + [("points_time_interaction", "double")] + \
+    [(f"{d}_x_value", "double") for d in _DUMS]
+
+
+def _q(c: str) -> str:
+    return '"' + c + '"'
+
+
+def _tercile_cte(name: str, col: str) -> str:
+    return f"{name} AS (SELECT quantile_cont({col}, [0.0, 1.0/3.0, 2.0/3.0, 1.0]) AS e FROM eng WHERE {col} IS NOT NULL)"
+
+
+def _band(col: str, edges: str, labels=("Low", "Mid", "High")) -> str:
+    e = f"(SELECT e FROM {edges})"
+    return (f"CASE WHEN {e}[1] = {e}[2] OR {e}[2] = {e}[3] OR {e}[3] = {e}[4] OR {col} IS NULL THEN NULL "
+            f"WHEN {col} <= {e}[2] THEN '{labels[0]}' WHEN {col} <= {e}[3] THEN '{labels[1]}' "
+            f"WHEN {col} <= {e}[4] THEN '{labels[2]}' END")
+
+
+_BANDED = ["avg_transaction_value", "points_in_wallet", "avg_frequency_login_days", "value_density", "tenure_days"]
+
+TARGET = ENGINEERED + ",\n" + ",\n".join(_tercile_cte(f"ed_{c}", c) for c in _BANDED) + f""",
+bands AS (SELECT churn, membership_category, avg_transaction_value, avg_frequency_login_days,
+                 {_band('avg_transaction_value', 'ed_avg_transaction_value')} AS b_txn,
+                 {_band('points_in_wallet', 'ed_points_in_wallet')} AS b_pts,
+                 {_band('avg_frequency_login_days', 'ed_avg_frequency_login_days')} AS b_freq,
+                 {_band('value_density', 'ed_value_density')} AS b_dens,
+                 {_band('tenure_days', 'ed_tenure_days', ('Early', 'Mid', 'Late'))} AS phase,
+                 {', '.join(_DUMS)} FROM eng),
+seg0 AS (SELECT 'membership_category' AS t, membership_category AS n, churn FROM bands WHERE membership_category IS NOT NULL
+  {''.join(f" UNION ALL SELECT 'region', '{d[len('region_'):]}', churn FROM bands WHERE {d} = 1" for d in _DUMS)}
+  UNION ALL SELECT 'avg_transaction_value', b_txn, churn FROM bands WHERE b_txn IS NOT NULL
+  UNION ALL SELECT 'points_in_wallet', b_pts, churn FROM bands WHERE b_pts IS NOT NULL),
+segs AS (SELECT t AS segment_type, n AS segment_name, count(*) AS customer_count, avg(churn) AS churn_rate
+         FROM seg0 GROUP BY t, n),
+tg0 AS (SELECT phase AS tenure_phase, count(*) AS count, avg(churn) AS churn_rate,
+               avg(avg_transaction_value) AS mean_transaction_value,
+               avg(avg_frequency_login_days) AS mean_login_frequency FROM bands WHERE phase IS NOT NULL GROUP BY phase),
+tgeo AS (SELECT *, 1 - churn_rate AS non_churn_rate,
+                churn_rate / nullif(1 - churn_rate, 0) AS churn_nonchurn_ratio,
+                churn_rate / (SELECT avg(churn) FROM eng) AS concentration_index FROM tg0)
+"""
+
+IMBALANCE = """
+SELECT max(churn_rate) AS max_segment_churn_rate, min(churn_rate) AS min_segment_churn_rate,
+       max(churn_rate) / nullif(min(churn_rate), 0) AS imbalance_ratio, var_samp(churn_rate) AS segment_churn_variance
+FROM segs"""
+
+BAND_SEPARATION = _union([
+    f"""SELECT '{f}' AS feature, avg(churn) FILTER (WHERE {b} = 'Low') AS lo, avg(churn) FILTER (WHERE {b} = 'Mid') AS md,
+               avg(churn) FILTER (WHERE {b} = 'High') AS hi FROM bands"""
+    for f, b in [("avg_transaction_value", "b_txn"), ("points_in_wallet", "b_pts"),
+                 ("avg_frequency_login_days", "b_freq"), ("value_density", "b_dens")]])
+BAND_SEPARATION = f"""
+SELECT feature, lo AS low_band_churn, md AS mid_band_churn, hi AS high_band_churn,
+  CASE WHEN len(v) < 3 THEN 'unstable' WHEN v[1] <= v[2] AND v[2] <= v[3] THEN 'increasing'
+       WHEN v[1] >= v[2] AND v[2] >= v[3] THEN 'decreasing' ELSE 'unstable' END AS monotonicity,
+  greatest(lo, md, hi) - least(lo, md, hi) AS churn_spread
+FROM (SELECT *, list_filter([lo, md, hi], lambda x: x IS NOT NULL) AS v FROM ({BAND_SEPARATION}))"""
+
+
+def _metrics(pred: str) -> str:
+    tp = f"sum(CASE WHEN churn = 1 AND ({pred}) = 1 THEN 1 ELSE 0 END)"
+    fp = f"sum(CASE WHEN churn = 0 AND ({pred}) = 1 THEN 1 ELSE 0 END)"
+    fn = f"sum(CASE WHEN churn = 1 AND ({pred}) = 0 THEN 1 ELSE 0 END)"
+    return (f"avg(CASE WHEN churn = ({pred}) THEN 1.0 ELSE 0.0 END) AS accuracy, "
+            f"CAST(CASE WHEN {tp} + {fp} = 0 THEN 0.0 ELSE {tp} / ({tp} + {fp}) END AS DOUBLE) AS precision, "
+            f"CAST(CASE WHEN {tp} + {fn} = 0 THEN 0.0 ELSE {tp} / ({tp} + {fn}) END AS DOUBLE) AS recall, "
+            f"CAST({fn} / greatest({tp} + {fn}, 1) AS DOUBLE) AS false_negative_rate")
+
+
+_RULES = [("low_transaction_value", "avg_transaction_value"), ("low_points_in_wallet", "points_in_wallet"),
+          ("low_login_frequency", "avg_frequency_login_days")]
+BASELINE_RULES = _union(
+    [f"SELECT 'predict_non_churn' AS rule_name, 'full_dataset' AS scope, {_metrics('0')} FROM eng"] +
+    [f"SELECT '{r}', 'full_dataset', {_metrics(f'CASE WHEN {c} <= (SELECT quantile_cont({c}, 0.33) FROM eng) THEN 1 ELSE 0 END')} FROM eng"
+     for r, c in _RULES] +
+    ["SELECT 'predict_non_churn', membership_category, " + _metrics('0') +
+     " FROM eng WHERE membership_category IS NOT NULL GROUP BY membership_category"])
+
+LIFECYCLE = """
+SELECT tenure_phase AS lifecycle_phase, 'Insufficient stage-local ranking' AS strongest_behavior_signal,
+       'Insufficient stage-local evidence' AS weakest_signal_zone,
+       CASE tenure_phase WHEN 'Early' THEN 'activation / onboarding' WHEN 'Mid' THEN 'engagement / usage'
+            WHEN 'Late' THEN 'fatigue / value decay' ELSE 'review' END AS engineering_priority
+FROM tgeo"""
+
+# ------------------------------------------------------------------ triage
+
+_TIME_KW = ["date", "time", "last_visit", "joining"]
+_RATE_KW = ["per_day", "density", "frequency", "efficiency", "score", "interaction"]
+_AMBIG = {"avg_frequency_login_days", "recency_score", "days_since_last_login", "log_avg_txn",
+          "points_time_interaction", "joining_date", "last_visit_time"}
+_DIAG = {"days_since_last_login", "recency_score", "last_visit_time"}
+_HIGH = {"points_in_wallet", "avg_transaction_value", "value_density"}
+_SECOND = {"membership_category", "avg_frequency_login_days", "tenure_days"} | set(_DUMS)
+_DISCARD = {"log_points"} | {f"{d}_x_value" for d in _DUMS}
+_EXCL = {"log_points", "security_no", "referral_id"} | {f"{d}_x_value" for d in _DUMS}
+_NOTE = {"points_in_wallet": "Strong prior churn separation; validate timing.",
+         "avg_frequency_login_days": "Strong behavior signal; semantic timing unclear.",
+         "log_points": "Previously failed integrity checks.",
+         "tenure_days": "Requires datatype and distribution validation."}
+
+
+def _triage_row(i: int, c: str, t: str) -> str:
+    if any(k in c.lower() for k in _TIME_KW):
+        sc = "'Time-based'"
+    elif any(k in c.lower() for k in _RATE_KW):
+        sc = "'Engineered rate / metric'"
+    elif t in ("int", "bigint", "double"):
+        nu = f"(SELECT count(DISTINCT {_q(c)}) FROM eng)"
+        disc = f"WHEN {nu} <= 20 THEN 'Discrete numeric' " if t in ("int", "bigint") else ""
+        sc = f"CASE WHEN {nu} = 2 THEN 'Binary indicator' {disc}ELSE 'Continuous numeric' END"
+    else:
+        sc = "'Categorical'"
+    adm = ("Outcome-relative (diagnostic-only)" if c in _DIAG else "Ambiguous" if c in _AMBIG
+           else "Pre-decision admissible")
+    pri = ("High-priority" if c in _HIGH else "Secondary" if c in _SECOND else "Discard" if c in _DISCARD
+           else "Secondary")
+    path = ("Exclusion Candidates" if c in _EXCL or pri == "Discard" else
+            "Diagnostic-Only Variables" if adm.startswith("Outcome") else
+            "Conditional Candidates" if adm == "Ambiguous" else "Approved Predictive Candidates")
+    note = _NOTE.get(c) or ("Needs business definition review." if adm == "Ambiguous" else
+                            "Use only for diagnostic exploration." if path.startswith("Diagnostic") else "")
+    return (f"SELECT {i} AS position, '{c}' AS feature, {sc} AS structural_class, '{adm}' AS admissibility_label, "
+            f"'{pri}' AS priority_tier, '{path}' AS final_pathway_assignment, '{note}' AS notes_risks")
+
+
+TRIAGE = ENGINEERED + ",\nreg AS (" + _union(
+    [_triage_row(i, c, t) for i, (c, t) in enumerate([x for x in ENG_COLS if x[0] != "churn"])]) + ")\n"
+
+PATHWAY_LISTS = """
+SELECT p.pathway, coalesce(string_agg(feature, ',' ORDER BY position), '') AS features,
+       CAST(count(feature) AS INTEGER) AS feature_count
+FROM (VALUES ('Approved Predictive Candidates'), ('Conditional Candidates'), ('Diagnostic-Only Variables'),
+             ('Leakage / Post-Outcome Risks'), ('Exclusion Candidates')) p(pathway)
+LEFT JOIN reg ON reg.final_pathway_assignment = p.pathway GROUP BY p.pathway"""
+
+_APPROVED = [c for c, t in ENG_COLS if c != "churn" and c not in _EXCL and c not in _DISCARD
+             and c not in _DIAG and c not in _AMBIG]
+PREDICTIVE_READY = f"SELECT {', '.join(_q(c) for c in _APPROVED)}, churn FROM eng"
+
+TENURE_VALIDATION = """
+SELECT 'tenure_days' AS feature, count(tenure_days) AS non_null_count, count(*) FILTER (WHERE tenure_days IS NULL)
+         AS null_count, count(DISTINCT tenure_days) AS unique_values, min(tenure_days) AS min_value,
+       max(tenure_days) AS max_value, count(*) FILTER (WHERE tenure_days < 0) AS negative_count FROM eng"""
+
+# ------------------------------------------------------------------ validation of engineered features
+
+_LOGS = [c for c, _ in ENG_COLS if c.startswith("log_")]
+_INTER = [c for c, _ in ENG_COLS if any(m in c.lower() for m in ("interaction", "_x_", "*_", "_mul_"))]
+_NUM = [c for c, t in ENG_COLS if t in ("int", "bigint", "double") and c not in ("churn", "customer_id")]
+
+INTEGRITY = _union([
+    f"SELECT '{c}' AS feature_name, CASE WHEN {'neg > 0 OR ' if c in _LOGS else ''}inf > 0 OR nan > 0 THEN 'FAIL' "
+    f"ELSE 'PASS' END AS validity_status, CASE "
+    + (f"WHEN neg > 0 THEN 'distortion' " if c in _LOGS else "") +
+    f"WHEN inf > 0 THEN 'Inf' WHEN nan > 0 THEN 'NaN' ELSE 'none' END AS anomaly_type FROM "
+    f"(SELECT count(*) FILTER (WHERE {_q(c)} IS NULL OR isnan({_q(c)})) AS nan, "
+    f"count(*) FILTER (WHERE isinf({_q(c)})) AS inf, count(*) FILTER (WHERE {_q(c)} < 0) AS neg FROM eng)"
+    for c in sorted(set(_LOGS) | set(_INTER))])
+
+
+def _skew(c: str) -> str:
+    m = f"(SELECT avg({c}) FROM eng)"
+    return f"avg(power({c} - {m}, 3)) / power(avg(power({c} - {m}, 2)), 1.5)"
+
+
+PATHOLOGY = f"""
+SELECT feature_pair, skew_delta, variance_delta,
+       CASE WHEN skew_delta < 0 THEN 'improved' WHEN skew_delta > 0 THEN 'worsened' ELSE 'unchanged' END
+         AS correction_status
+FROM ({_union([f"SELECT '{p} -> {lg}' AS feature_pair, abs({_skew(lg)}) - abs({_skew(p)}) AS skew_delta, "
+               f"stddev_samp({lg}) - stddev_samp({p}) AS variance_delta, count({p}) AS n1, count({lg}) AS n2 FROM eng"
+               for lg, p in [("log_avg_txn", "avg_transaction_value"), ("log_points", "points_per_day")]])})
+WHERE n1 > 3 AND n2 > 3"""
+
+
+def _cohen(c: str, where: str = "") -> str:
+    a = f"FILTER (WHERE churn = 1{where})"
+    b = f"FILTER (WHERE churn = 0{where})"
+    n1, n2 = f"count({c}) {a}", f"count({c}) {b}"
+    pooled = f"sqrt((({n1} - 1) * var_samp({c}) {a} + ({n2} - 1) * var_samp({c}) {b}) / ({n1} + {n2} - 2))"
+    return (f"CASE WHEN {n1} >= 2 AND {n2} >= 2 AND {pooled} <> 0 THEN "
+            f"(avg({c}) {a} - avg({c}) {b}) / {pooled} END")
+
+
+def _scorr(x: str, y: str) -> str:
+    f = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    return (f"CASE WHEN count({x}) {f} >= 3 AND min({x}) {f} <> max({x}) {f} AND min({y}) {f} <> max({y}) {f} "
+            f"THEN covar_pop({x}, {y}) {f} / (stddev_pop({x}) {f} * stddev_pop({y}) {f}) END")
+
+
+SIGNAL = f"""
+SELECT feature, effect_size, churn_correlation,
+       CASE WHEN effect_size IS NOT NULL THEN abs(effect_size) + coalesce(abs(churn_correlation), 0) END
+         AS net_signal_gain
+FROM ({_union([f"SELECT '{c}' AS feature, {_cohen(_q(c))} AS effect_size, {_scorr(_q(c), 'churn')} AS churn_correlation FROM eng"
+               for c in _NUM])})"""
+
+
+def _parents(feature: str) -> list[str]:
+    import re
+    out = set()
+    for tok in re.split(r"_x_|_mul_|interaction", feature.lower()):
+        tok = tok.strip("_ ")
+        if tok:
+            out |= {c for c in _NUM if tok in c.lower() and c != feature}
+    return sorted(out)
+
+
+def _inter_row(c: str) -> str:
+    ps = _parents(c)
+    red = ("CAST(NULL AS DOUBLE)" if not ps else
+           f"(SELECT max(v) FROM (SELECT unnest([{', '.join('abs(' + _scorr(_q(c), _q(p)) + ')' for p in ps)}]) AS v))")
+    best = ("0.0" if not ps else
+            f"coalesce((SELECT max(v) FROM (SELECT unnest([{', '.join('abs(' + _scorr(_q(p), 'churn') + ')' for p in ps)}]) AS v)), 0.0)")
+    return f"SELECT '{c}' AS interaction_feature, {red} AS redundancy_score, abs({_scorr(_q(c), 'churn')}) - {best} AS marginal_gain FROM eng"
+
+
+INTERACTION_EVAL = f"""
+SELECT interaction_feature, redundancy_score, marginal_gain,
+       CASE WHEN marginal_gain IS NULL THEN 'harmful'
+            WHEN marginal_gain > 0.02 AND (redundancy_score IS NULL OR redundancy_score < 0.95) THEN 'useful'
+            WHEN redundancy_score >= 0.95 THEN 'redundant' ELSE 'harmful' END AS classification
+FROM ({_union([_inter_row(c) for c in _INTER])})"""
+
+SEGMENT_SEPARATION = f"""
+SELECT segment, churn_rate, separation_strength,
+       CASE WHEN separation_strength >= 0.5 THEN 'strong structural stratifier'
+            WHEN separation_strength >= 0.2 THEN 'weak/noisy segmentation variable' ELSE 'misleading proxy' END
+         AS structural_role
+FROM (SELECT membership_category AS segment, avg(churn) AS churn_rate,
+             list_avg(list_filter([{', '.join('abs(' + _cohen(c) + ')' for c in _LOGS)}], lambda x: x IS NOT NULL))
+               AS separation_strength
+      FROM eng WHERE membership_category IS NOT NULL GROUP BY membership_category)"""
