@@ -29,6 +29,8 @@ from churnscope.operators import target as tgt  # noqa: E402
 from churnscope.operators import triage as tri  # noqa: E402
 from churnscope.operators import validation as val  # noqa: E402
 from churnscope.operators.features import log_parents  # noqa: E402
+from churnscope.operators import progression as prog  # noqa: E402
+from churnscope.operators import align  # noqa: E402
 
 ROUND = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -279,7 +281,96 @@ def q_segment_separation(spark, sf_dir):
     return val.segment_separation(eng, d["membership"], d["log"])
 
 
+def q_lifecycle_positioning(spark, sf_dir):
+    return prog.lifecycle_positioning(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_decay_signatures(spark, sf_dir):
+    return prog.decay_signatures(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_state_mix(spark, sf_dir):
+    return prog.state_mix(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_instability_profiles(spark, sf_dir):
+    return prog.instability_profiles(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_progression_topology(spark, sf_dir):
+    return prog.progression_topology(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_engineered_features_inf(spark, sf_dir):
+    return stages.inferential(spark, sf_dir)
+
+
+def _profiles(spark, sf_dir):
+    inf = stages.inferential(spark, sf_dir)
+    return inf, align.population_profiles(inf)
+
+
+def q_population_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir)[1].drop("behavioral_vector")
+
+
+def q_reference_statistics(spark, sf_dir):
+    return align.reference_statistics(stages.inferential(spark, sf_dir), stages.REFERENCE_PAIR)
+
+
+def _alignment(spark, sf_dir):
+    inf, prof_ = _profiles(spark, sf_dir)
+    ref = align.reference_vector(inf, stages.REFERENCE_PAIR)
+    return inf, prof_, ref, align.population_alignment(prof_, ref)
+
+
+def q_population_alignment(spark, sf_dir):
+    return _alignment(spark, sf_dir)[3]
+
+
+def q_population_mahalanobis(spark, sf_dir):
+    inf, prof_, ref, _ = _alignment(spark, sf_dir)
+    return align.population_mahalanobis(inf, prof_, ref, stages.REFERENCE_PAIR)
+
+
+def q_topology_summary(spark, sf_dir):
+    return align.topology_summary(align.topology_rows(stages.inferential(spark, sf_dir)))
+
+
+def q_silhouette(spark, sf_dir):
+    return align.silhouette(align.topology_rows(stages.inferential(spark, sf_dir)))
+
+
+def q_structural_classes(spark, sf_dir):
+    _, prof_, _, al = _alignment(spark, sf_dir)
+    return align.structural_classes(prof_, al)
+
+
+def q_final_synthesis(spark, sf_dir):
+    inf, prof_, ref, al = _alignment(spark, sf_dir)
+    mah = align.population_mahalanobis(inf, prof_, ref, stages.REFERENCE_PAIR)
+    cls = align.structural_classes(prof_, al).select("population", "structural_classification")
+    topo_ = align.topology_summary(align.topology_rows(inf))
+    summary = (prof_.drop("behavioral_vector").join(al, "population", "left").join(mah, "population", "left")
+               .join(cls, "population", "left").join(topo_, "population", "left"))
+    return align.final_synthesis(summary)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "lifecycle_positioning": q_lifecycle_positioning,
+    "decay_signatures": q_decay_signatures,
+    "state_mix": q_state_mix,
+    "instability_profiles": q_instability_profiles,
+    "progression_topology": q_progression_topology,
+    "engineered_features_inf": q_engineered_features_inf,
+    "population_profiles": q_population_profiles,
+    "reference_statistics": q_reference_statistics,
+    "population_alignment": q_population_alignment,
+    "population_mahalanobis": q_population_mahalanobis,
+    "topology_summary": q_topology_summary,
+    "silhouette": q_silhouette,
+    "structural_classes": q_structural_classes,
+    "final_synthesis": q_final_synthesis,
     "overall_churn": q_overall_churn,
     "segment_churn": q_segment_churn,
     "imbalance_summary": q_imbalance_summary,
@@ -342,6 +433,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "lifecycle_positioning": (O.PROGRESSION, O.LIFECYCLE_POSITIONING),
+    "decay_signatures": (O.PROGRESSION, "SELECT * FROM decay"),
+    "state_mix": (O.PROGRESSION, O.STATE_MIX),
+    "instability_profiles": (O.PROGRESSION, O.INSTABILITY_PROFILES),
+    "engineered_features_inf": (O.INF, "SELECT * FROM inf"),
+    "population_profiles": (O.INF, O.POPULATION_PROFILES_BODY),
+    "reference_statistics": (O.INF, O.REFERENCE_STATISTICS),
+    "population_alignment": (O.INF, O.POPULATION_ALIGNMENT),
+    "structural_classes": (O.INF, O.STRUCTURAL_CLASSES),
     "overall_churn": (O.ENGINEERED, "SELECT count(*) AS total_customers, CAST(sum(churn) AS BIGINT) AS churn_count, "
                                     "avg(churn) AS churn_rate FROM eng"),
     "segment_churn": (O.TARGET, "SELECT * FROM segs"),

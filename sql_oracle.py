@@ -637,3 +637,194 @@ FROM (SELECT membership_category AS segment, avg(churn) AS churn_rate,
              list_avg(list_filter([{', '.join('abs(' + _cohen(c) + ')' for c in _LOGS)}], lambda x: x IS NOT NULL))
                AS separation_strength
       FROM eng WHERE membership_category IS NOT NULL GROUP BY membership_category)"""
+
+# ------------------------------------------------------------------ progression (archetype level)
+
+def _med(col: str, alias: str) -> str:
+    return f"quantile_cont({col}, 0.5) AS {alias}"
+
+
+PROGRESSION = ARCHETYPES + """,
+life AS (SELECT behavioral_archetype, quantile_cont(tenure_days, 0.5) AS median_tenure_days,
+                avg(tenure_days) AS mean_tenure_days, stddev_samp(tenure_days) AS tenure_std,
+                quantile_cont(points_per_day, 0.5) AS median_points_per_day,
+                quantile_cont(engagement_efficiency, 0.5) AS median_engagement_efficiency,
+                quantile_cont(avg_transaction_value, 0.5) AS median_transaction_value,
+                count(behavioral_archetype) AS archetype_population FROM arc GROUP BY behavioral_archetype),
+decay AS (SELECT behavioral_archetype, quantile_cont(days_since_last_login, 0.5) AS median_days_since_last_login,
+                 quantile_cont(recency_score, 0.5) AS median_recency_score,
+                 quantile_cont(engagement_efficiency, 0.5) AS median_engagement_efficiency,
+                 quantile_cont(time_per_day, 0.5) AS median_time_per_day,
+                 stddev_samp(days_since_last_login) AS inactivity_std FROM arc GROUP BY behavioral_archetype),
+flags AS (SELECT behavioral_archetype,
+   CASE WHEN avg_transaction_value_state = 'high' AND value_density_state = 'low' THEN 1 ELSE 0 END AS high_spend_low_value_flag,
+   CASE WHEN avg_transaction_value_state = 'low' AND value_density_state = 'high' THEN 1 ELSE 0 END AS low_spend_high_value_flag,
+   CASE WHEN avg_frequency_login_days_state = 'inactive' AND value_density_state = 'high' THEN 1 ELSE 0 END AS inactive_high_value_flag,
+   CASE WHEN avg_frequency_login_days_state = 'consistent' AND avg_transaction_value_state = 'low' THEN 1 ELSE 0 END
+     AS high_engagement_low_monetization_flag,
+   CASE WHEN avg_frequency_login_days_state = 'irregular' AND avg_transaction_value_state = 'mid' THEN 1 ELSE 0 END
+     AS irregular_mid_behavior_flag FROM arc),
+inst AS (SELECT behavioral_archetype, avg(high_spend_low_value_flag) * 100 AS high_spend_low_value_flag,
+                avg(low_spend_high_value_flag) * 100 AS low_spend_high_value_flag,
+                avg(inactive_high_value_flag) * 100 AS inactive_high_value_flag,
+                avg(high_engagement_low_monetization_flag) * 100 AS high_engagement_low_monetization_flag,
+                avg(irregular_mid_behavior_flag) * 100 AS irregular_mid_behavior_flag FROM flags GROUP BY 1)
+"""
+
+LIFECYCLE_POSITIONING = """
+SELECT *, CAST(dense_rank() OVER (ORDER BY median_tenure_days) AS DOUBLE) AS lifecycle_maturity_rank FROM life"""
+STATE_MIX = """
+SELECT behavioral_archetype, avg_frequency_login_days_state, count(*) AS frequency,
+       count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY behavioral_archetype) AS state_percentage
+FROM arc GROUP BY 1, 2"""
+INSTABILITY_PROFILES = """
+SELECT *, (high_spend_low_value_flag + low_spend_high_value_flag + inactive_high_value_flag
+           + high_engagement_low_monetization_flag + irregular_mid_behavior_flag) / 5 AS overall_instability_score
+FROM inst"""
+
+# ------------------------------------------------------------------ inferential stage
+
+_INF_FEATS = ["avg_transaction_value", "value_density", "engagement_efficiency", "points_per_day",
+              "wallet_balance", "logins_per_day"]
+_VEC = ["points_per_day", "engagement_efficiency", "avg_transaction_value", "value_density", "recency_score",
+        "time_per_day"]
+_FLAGS = [("high_spend_low_value_flag", "avg_transaction_value_state", "high", "value_density_state", "low"),
+          ("low_spend_high_value_flag", "avg_transaction_value_state", "low", "value_density_state", "high"),
+          ("inactive_high_value_flag", "avg_frequency_login_days_state", "inactive", "value_density_state", "high"),
+          ("high_engagement_low_monetization_flag", "avg_frequency_login_days_state", "consistent",
+           "avg_transaction_value_state", "low"),
+          ("irregular_mid_behavior_flag", "avg_frequency_login_days_state", "irregular",
+           "avg_transaction_value_state", "mid")]
+_STATE6 = [f"{f}_state" for f in _INF_FEATS[:5]] + ["avg_frequency_login_days_state"]
+_STATE6 = ["avg_transaction_value_state", "value_density_state", "engagement_efficiency_state",
+           "points_per_day_state", "wallet_balance_state", "avg_frequency_login_days_state"]
+
+
+def _tq(f: str) -> str:
+    e = f"(SELECT e FROM iq_{f})"
+    return (f"CASE WHEN {e}[1] = {e}[2] OR {e}[2] = {e}[3] OR {e}[3] = {e}[4] THEN 'mid' WHEN {f} IS NULL THEN NULL "
+            f"WHEN {f} <= {e}[2] THEN 'low' WHEN {f} <= {e}[3] THEN 'mid' WHEN {f} <= {e}[4] THEN 'high' END")
+
+
+INF = MART + """,
+inf0 AS (SELECT * REPLACE (trim(replace(lower(trim(membership_category)), ' membership', '')) AS membership_category,
+                           coalesce(points_in_wallet, 0.0) AS points_in_wallet,
+                           coalesce(avg_transaction_value, 0.0) AS avg_transaction_value,
+                           coalesce(avg_time_spent, 0.0) AS avg_time_spent,
+                           coalesce(days_since_last_login, 0.0) AS days_since_last_login,
+                           coalesce(avg_frequency_login_days, 1.0) AS avg_frequency_login_days,
+                           CASE churn WHEN 1 THEN 'yes' WHEN 0 THEN 'no' END AS churn),
+                coalesce(CAST(date_diff('day', joining_date, (SELECT max(joining_date) FROM mart)) AS DOUBLE), 1.0) AS t0
+         FROM mart),
+inf1 AS (SELECT * EXCLUDE (t0), CASE WHEN t0 = 0 THEN 1.0 ELSE t0 END AS tenure_days FROM inf0 WHERE churn IS NOT NULL),
+inf2 AS (SELECT *, points_in_wallet / (tenure_days + 1) AS points_per_day,
+                avg_transaction_value / (avg_time_spent + 1) AS value_density,
+                1.0 / (days_since_last_login + 1) AS recency_score, 1.0 / (avg_frequency_login_days + 1) AS logins_per_day,
+                avg_time_spent / (tenure_days + 1) AS time_per_day, points_in_wallet AS wallet_balance FROM inf1),
+inf3 AS (SELECT *, points_per_day / (avg_time_spent + 1) AS engagement_efficiency FROM inf2),
+""" + ",\n".join(f"iq_{f} AS (SELECT quantile_cont({f}, [0.0, 1.0/3.0, 2.0/3.0, 1.0]) AS e FROM inf3 "
+                 f"WHERE {f} IS NOT NULL AND NOT isnan({f}))" for f in _INF_FEATS) + """,
+inf4 AS (SELECT *, """ + ", ".join(f"{_tq(f)} AS {f}_state" for f in _INF_FEATS) + """,
+                CASE WHEN avg_frequency_login_days IS NULL THEN NULL WHEN avg_frequency_login_days <= 190 THEN 'consistent'
+                     WHEN avg_frequency_login_days <= 250 THEN 'irregular' ELSE 'inactive' END
+                  AS avg_frequency_login_days_state FROM inf3),
+inf AS (SELECT *, """ + ", ".join(
+    f"CASE WHEN {a} = '{av}' AND {b} = '{bv}' THEN 1 ELSE 0 END AS {n}" for n, a, av, b, bv in _FLAGS) + """,
+               membership_category || '_' || CASE WHEN churn = 'yes' THEN 'churned' ELSE 'retained' END AS population
+        FROM inf4),
+clean AS (SELECT * FROM inf WHERE """ + " AND ".join(
+    f"{c} IS NOT NULL AND NOT isnan({c}) AND NOT isinf({c})" for c in _VEC) + """),
+pvec AS (SELECT population, [""" + ", ".join(f"quantile_cont({c}, 0.5)" for c in _VEC) + """] AS v
+         FROM clean GROUP BY population),
+rvec AS (SELECT coalesce((SELECT [""" + ", ".join(f"quantile_cont({c}, 0.5)" for c in _VEC) + """]
+         FROM clean WHERE population IN ('building_churned', 'household_churned') HAVING count(*) > 0),
+         [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]) AS u)
+"""
+
+
+def _state_stats(c: str, domain: list[str], where: str = "") -> str:
+    ns = [f"CAST(count(*) FILTER (WHERE {c} = '{lvl}'{where}) AS DOUBLE)" for lvl in domain]
+    tot = "(" + " + ".join(ns) + ")"
+    ps = [f"{n} / {tot}" for n in ns]
+    ent = "-(" + " + ".join(f"CASE WHEN {p} > 0 THEN {p} * ln({p}) ELSE 0.0 END" for p in ps) + ")"
+    gini = "1 - (" + " + ".join(f"{p} * {p}" for p in ps) + ")"
+    disp = f"list_aggregate([{', '.join(ps)}], 'stddev_samp')"
+    empty = f"{tot} = 0"
+    return (f"CASE WHEN {empty} THEN 0.0 ELSE {ent} END AS {c}_entropy, "
+            f"CASE WHEN {empty} THEN 0.0 ELSE {gini} END AS {c}_gini, "
+            f"CASE WHEN {empty} THEN 0.0 ELSE {disp} END AS {c}_dispersion")
+
+
+def _domain(c: str) -> list[str]:
+    return ["consistent", "irregular", "inactive"] if c.startswith("avg_frequency") else ["low", "mid", "high"]
+
+
+_FLAG_NAMES = [f[0] for f in _FLAGS]
+
+POPULATION_PROFILES_BODY = f"""
+SELECT p.population, population_size, {', '.join(s for s in [f'{c}_entropy, {c}_gini, {c}_dispersion' for c in _STATE6])},
+       {', '.join(f'{n}_prevalence' for n in _FLAG_NAMES)},
+       sqrt({' + '.join(f'coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)' for i in range(6))}) AS behavioral_vector_norm,
+       instability_index
+FROM (SELECT population, count(*) AS population_size, {', '.join(_state_stats(c, _domain(c)) for c in _STATE6)},
+             {', '.join(f'avg({n}) AS {n}_prevalence' for n in _FLAG_NAMES)},
+             avg(({' + '.join(_FLAG_NAMES)}) / 5) AS instability_index
+      FROM inf GROUP BY population HAVING count(*) >= 3) p LEFT JOIN pvec USING (population)"""
+
+POPULATION_PROFILES_BODY = POPULATION_PROFILES_BODY.replace(
+    f"sqrt({' + '.join(f'coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)' for i in range(6))})",
+    "sqrt(0.0 + " + " + ".join(f"coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)" for i in range(6)) + ")")
+
+REFERENCE_STATISTICS = f"""
+SELECT {', '.join(_state_stats(c, _domain(c)) for c in _STATE6)},
+       {', '.join(f'avg({n}) AS {n}_prevalence' for n in _FLAG_NAMES)}
+FROM inf WHERE population IN ('building_churned', 'household_churned')"""
+
+
+def _sum(terms: list[str]) -> str:
+    return "(0.0 + " + " + ".join(terms) + ")"
+
+
+def _js_g(t: str, terms: int = 25) -> str:
+    """(1+t)ln(1+t) + (1-t)ln(1-t): series sum t^(2k)/(k(2k-1)) for |t| < 1/2, closed form otherwise."""
+    acc = repr(1.0 / (terms * (2 * terms - 1)))
+    for k in range(terms - 1, 0, -1):
+        acc = f"({repr(1.0 / (k * (2 * k - 1)))} + {t} * {t} * {acc})"
+    return (f"(CASE WHEN abs({t}) < 0.5 THEN {t} * {t} * {acc} "
+            f"ELSE (1 + {t}) * ln(1 + {t}) + (1 - {t}) * ln(1 - {t}) END)")
+
+
+def _alignment_select() -> str:
+    u = [f"u[{i}]" for i in range(1, 7)]
+    v = [f"coalesce(pv.v, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0])[{i}]" for i in range(1, 7)]
+    dot = _sum([f"{a} * {b}" for a, b in zip(u, v)])
+    nu = f"sqrt({_sum([f'{a} * {a}' for a in u])})"
+    nv = f"sqrt({_sum([f'{b} * {b}' for b in v])})"
+    dn = [f"({a} / {nu} - {b} / {nv})" for a, b in zip(u, v)]
+    cos = f"CASE WHEN {nu} > 0 AND {nv} > 0 THEN {_sum([f'{d} * {d}' for d in dn])} / 2 END"
+    euc = f"sqrt({_sum([f'({a} - {b}) * ({a} - {b})' for a, b in zip(u, v)])})"
+    pu = [f"(abs({a}) + 1e-10)" for a in u]
+    pv = [f"(abs({b}) + 1e-10)" for b in v]
+    su, sv = _sum(pu), _sum(pv)
+    p = [f"({a} / {su})" for a in pu]
+    q = [f"({b} / {sv})" for b in pv]
+    js = f"sqrt({_sum([f'(({a} + {b}) / 2 * {_js_g(f"(({a} - {b}) / ({a} + {b}))")})' for a, b in zip(p, q)])} / 2)"
+    su_s = "list_sort(u)"
+    sv_s = "list_sort(coalesce(pv.v, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]))"
+    ws = _sum([f"abs({su_s}[{i}] - {sv_s}[{i}])" for i in range(1, 7)]) + " / 6"
+    return (f"p.population, {cos} AS cosine_distance, {euc} AS euclidean_distance, "
+            f"{js} AS jensen_shannon_divergence, {ws} AS wasserstein_distance")
+
+
+POPULATION_ALIGNMENT = f"""
+SELECT {_alignment_select()}
+FROM (SELECT population FROM inf GROUP BY population HAVING count(*) >= 3) p
+LEFT JOIN pvec pv USING (population), rvec"""
+
+STRUCTURAL_CLASSES = f"""
+SELECT a.population, pr.instability_index, a.cosine_distance,
+       CASE WHEN a.cosine_distance < 0.10 THEN 'generalized_churn_structure'
+            WHEN a.cosine_distance < 0.25 THEN 'membership_conditioned_structure'
+            WHEN pr.instability_index < 0.05 THEN 'retained_suppression_structure'
+            ELSE 'diagnostic_only_structure' END AS structural_classification
+FROM ({POPULATION_ALIGNMENT}) a LEFT JOIN ({POPULATION_PROFILES_BODY}) pr USING (population)"""
