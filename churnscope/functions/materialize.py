@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataFrame:
     """Write ``df`` once and reuse it.
 
-    ``checkpoint`` writes to the shared folder named by ``spark.checkpoint.dir``
-    (reliable: a lost executor does not force recomputing the upstream joins);
-    ``cache`` keeps it in executor memory/disk (recomputed from lineage on loss).
+    ``table`` (default) writes parquet under the shared folder named by
+    ``spark.checkpoint.dir`` and reads it back: one job, a lost executor does
+    not force recomputing the upstream joins, and later scans get column
+    pruning and filter pushdown. ``checkpoint`` uses Spark's reliable
+    checkpoint (persisted first so the data is computed once); ``cache``
+    keeps it in executor memory/disk (recomputed from lineage on loss).
     """
+    spark = df.sparkSession
+    if how == "table":
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     if how == "checkpoint":
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        ensure_checkpoint_dir(spark)
+        kept = df.persist()
+        out = kept.checkpoint(eager=True)
+        kept.unpersist()
+        return out
     if how == "cache":
         return df.persist()
     return df

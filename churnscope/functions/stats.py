@@ -27,49 +27,74 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
+MAX_GROUPS = 10_000  # quantile groups are features x populations: small by construction
+
+
+def _group_key(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
+
+
 def quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              out: str = "q", accuracy: int = ACCURACY) -> DataFrame:
+              out: str = "q", accuracy: int = ACCURACY, extra: dict | None = None) -> DataFrame:
     """Exact linear quantiles of ``value`` per ``keys`` group.
 
     Returns ``keys + [out]`` where ``out`` is ``array<double>`` aligned with
     ``probs`` (NULL entries when a group has no non-NULL value). NULLs are
     skipped; callers turn NaN into NULL first.
+
+    Jobs: (1) count/min/max per group; (2) only for groups too large to
+    collect whole (n >= 8 * accuracy), a ``percentile_approx`` sketch at
+    p -/+ 4/accuracy; (3) per group and quantile, the rows below the bracket
+    are counted and the values inside it collected and sorted. Bracket
+    bounds reach the last job as literals keyed by group (no join).
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
     eps = 1.0 / accuracy
-    lo_p = [max(p - _MARGIN * eps, 0.0) for p in probs]
-    hi_p = [min(p + _MARGIN * eps, 1.0) for p in probs]
-    v = F.col(value).cast("double")
-    src = long_df.select(*keys, v.alias("_v"))
-
-    sketch = src.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_mn"),
-        F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_ap"),
-    )
-    small = F.col("_n") * F.lit(eps) < F.lit(2 * _MARGIN)
     k = len(probs)
-    bounds = sketch.select(
-        *keys, "_n",
-        *[F.when(small, F.col("_mn")).otherwise(F.col("_ap")[i]).alias(f"_lo{i}") for i in range(k)],
-        *[F.when(small, F.col("_mx")).otherwise(F.col("_ap")[k + i]).alias(f"_hi{i}") for i in range(k)],
-    )
-    joined = src.join(bounds, on=keys, how="inner") if keys else src.join(bounds, how="inner")
-    aggs = [F.first("_n").alias("_n")]
+    v = F.col(value).cast("double")
+    src = long_df.select(*keys, v.alias("_v"), _group_key(keys).alias("_g"))
+
+    stats = src.groupBy("_g").agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"),
+                                  F.max("_v").alias("_mx")).limit(MAX_GROUPS + 1).collect()
+    if len(stats) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} quantile groups")
+    bounds = {r["_g"]: ([r["_mn"]] * k, [r["_mx"]] * k) for r in stats}
+    large = [r["_g"] for r in stats if r["_n"] * eps >= 2 * _MARGIN]
+    if large:
+        lo_p = [max(p - _MARGIN * eps, 0.0) for p in probs]
+        hi_p = [min(p + _MARGIN * eps, 1.0) for p in probs]
+        sk = (src.where(F.col("_g").isin(large)).groupBy("_g")
+              .agg(F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_ap")).collect())
+        for r in sk:
+            bounds[r["_g"]] = (list(r["_ap"][:k]), list(r["_ap"][k:]))
+
+    def lookup(side: int, i: int) -> Column:
+        if not bounds:
+            return F.lit(None).cast("double")
+        if len(bounds) == 1 and not keys:
+            b = next(iter(bounds.values()))
+            return F.lit(b[side][i]).cast("double")
+        m = F.create_map(*[x for g, b in bounds.items() for x in (F.lit(g), F.lit(b[side][i]).cast("double"))])
+        return m[F.col("_g")]
+
+    staged = src.withColumns({**{f"_lo{i}": lookup(0, i) for i in range(k)},
+                              **{f"_hi{i}": lookup(1, i) for i in range(k)}})
+    aggs = [F.count("_v").alias("_n")]
     for i in range(k):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         aggs += [
-            F.first(lo).alias(f"_lo{i}"),
-            F.first(hi).alias(f"_hi{i}"),
+            F.first(lo, ignorenulls=True).alias(f"_lo{i}"),
+            F.first(hi, ignorenulls=True).alias(f"_hi{i}"),
             F.count_if(F.col("_v") < lo).alias(f"_lt{i}"),
             F.count_if(F.col("_v") == lo).alias(f"_eq{i}"),
             F.count_if(F.col("_v") <= hi).alias(f"_le{i}"),
             F.sort_array(F.collect_list(F.when((F.col("_v") > lo) & (F.col("_v") < hi), F.col("_v"))))
             .alias(f"_in{i}"),
         ]
-    refined = joined.groupBy(*keys).agg(*aggs)
+    extra = extra or {}
+    aggs += [fn(F.col("_v")).alias(name) for name, fn in extra.items()]
+    refined = staged.groupBy(*keys).agg(*aggs)
 
     def at(i: int, pos: Column) -> Column:
         lt, eq, le = F.col(f"_lt{i}"), F.col(f"_eq{i}"), F.col(f"_le{i}")
@@ -89,7 +114,7 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
         a, b = at(i, i0), at(i, i1)
         frac = r - i0
         values.append(F.when(F.col("_n") > 0, F.when(i0 == i1, a).otherwise(a + (b - a) * frac)))
-    return refined.select(*keys, F.array(*values).alias(out))
+    return refined.select(*keys, F.array(*values).alias(out), *extra.keys())
 
 
 def wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),

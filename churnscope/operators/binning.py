@@ -45,11 +45,10 @@ def fit_state_thresholds(df: DataFrame, features: Sequence[str] = STATE_FEATURES
     """
     long_df = _long(df, features).where(F.col("value").isNotNull() & ~F.isnan("value"))
     probs = [0.25, 0.5, 0.75, SKEWED_PROBS[0], SKEWED_PROBS[1]]
-    q = quantiles(long_df, ["feature"], "value", probs)
-    moments = long_df.groupBy("feature").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("skewness"))
+    q = quantiles(long_df, ["feature"], "value", probs,
+                  extra={"min": F.min, "max": F.max, "skewness": F.skewness})
     sym = F.coalesce(F.abs("skewness") < SKEW_LIMIT, F.lit(False))
-    return moments.join(q, "feature").select(
+    return q.select(
         "feature", "min", "max",
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
         "skewness",

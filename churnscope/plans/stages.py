@@ -25,8 +25,8 @@ REFERENCE_PAIR = ("building", "household")
 MART_LOGIN_EDGES = (190.0, 250.0)
 
 
-def mart(spark: SparkSession, sf_dir: str, how: str = "checkpoint") -> DataFrame:
-    return materialize(customer_mart(spark, sf_dir), how)
+def mart(spark: SparkSession, sf_dir: str, how: str = "table") -> DataFrame:
+    return materialize(customer_mart(spark, sf_dir), how, "customer_mart")
 
 
 def cohort(df: DataFrame, members: Sequence[str] = REFERENCE_PAIR) -> DataFrame:
@@ -34,8 +34,12 @@ def cohort(df: DataFrame, members: Sequence[str] = REFERENCE_PAIR) -> DataFrame:
     return df.where(text_normalise("membership_category").isin(list(members)))
 
 
-def engineered(spark: SparkSession, sf_dir: str, how: str = "checkpoint") -> DataFrame:
-    """Rate features over the cohort (the engineered table)."""
+def engineered(spark: SparkSession, sf_dir: str, how: str = "none") -> DataFrame:
+    """Rate features over the cohort (the engineered table).
+
+    A projection of the materialised mart with fitted literals, so it is not
+    materialised again by default.
+    """
     return materialize(rate_features(cohort(mart(spark, sf_dir))), how)
 
 
@@ -59,14 +63,13 @@ def state_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.apply_states(base, binning.collect_thresholds(model))
 
 
-def archetype_dataset(spark: SparkSession, sf_dir: str, how: str = "checkpoint") -> DataFrame:
+def archetype_dataset(spark: SparkSession, sf_dir: str, how: str = "none") -> DataFrame:
     return materialize(arch.assign_archetypes(state_dataset(spark, sf_dir)), how)
 
 
-def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES, how: str = "checkpoint"):
+def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES, how: str = "table"):
     """Inferential formula set, tercile states, fixed-edge login state and flags (all customers)."""
-    df = inferential_features(mart(spark, sf_dir, how="none"))
-    df = materialize(df, how)
+    df = inferential_features(mart(spark, sf_dir, how=how))
     feats = ["avg_transaction_value", "value_density", "engagement_efficiency", "points_per_day",
              "wallet_balance", "logins_per_day"]
     edges = binning.collect_edges(binning.fit_terciles(df, feats))
@@ -82,6 +85,6 @@ def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES,
 PROFILE_DROP = ("customer_id", "joining_date")
 
 
-def profile_frame(spark: SparkSession, sf_dir: str, how: str = "checkpoint") -> DataFrame:
+def profile_frame(spark: SparkSession, sf_dir: str, how: str = "table") -> DataFrame:
     """Profile-stage input: every customer, identifiers and raw dates left out."""
     return mart(spark, sf_dir, how).drop(*PROFILE_DROP)

@@ -11,9 +11,20 @@ TABLES = (
 ).split()
 
 
+_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one driver table; selecting ``cols`` here lets the scan prune columns."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one driver table; selecting ``cols`` here lets the scan prune columns.
+
+    The lazy scan is reused within a session (the file listing and footer
+    schema read happen once); the data itself is read by every query.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _READ_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READ_CACHE[key] = spark.read.parquet(path)
     return df.select(*cols) if cols else df
 
 
