@@ -31,6 +31,7 @@ from churnscope.operators import validation as val  # noqa: E402
 from churnscope.operators.features import log_parents  # noqa: E402
 from churnscope.operators import progression as prog  # noqa: E402
 from churnscope.operators import align  # noqa: E402
+from churnscope.operators import plotdata  # noqa: E402
 
 ROUND = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -59,8 +60,11 @@ def finish(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = sig10(c)
-        elif isinstance(f.dataType, T.ArrayType):
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(
+                f.dataType.elementType, (T.StructType, T.MapType, T.ArrayType)):
             c = F.array_join(c.cast("array<string>"), ",")
+        elif isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType)):
+            c = F.to_json(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -356,7 +360,41 @@ def q_final_synthesis(spark, sf_dir):
     return align.final_synthesis(summary)
 
 
+def q_histogram30(spark, sf_dir):
+    return plotdata.histogram(stages.state_dataset(spark, sf_dir), binning.STATE_FEATURES)
+
+
+def q_box_stats(spark, sf_dir):
+    return plotdata.box_stats(stages.archetype_dataset(spark, sf_dir), "behavioral_archetype", "tenure_days")
+
+
+def q_unclassified_count(spark, sf_dir):
+    return arch.unclassified_count(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_state_mapping_logic(spark, sf_dir):
+    return binning.state_mapping_logic(stages.state_model(spark, sf_dir)[1])
+
+
+def q_feature_report(spark, sf_dir):
+    df = stages.profile_frame(spark, sf_dir)
+    nums, cats = prof.numeric_columns(df), prof.categorical_columns(df)
+    strategy = prof.bracket_strategy(prof.numeric_profile(df, nums))
+    b = prof.numeric_brackets(df, strategy)
+    num_b = prof.bracket_stats(b, nums)
+    cat_b = prof.bracket_stats(prof.rate_rank_brackets(df, cats), cats, with_moments=False)
+    brackets = num_b.unionByName(cat_b, allowMissingColumns=True)
+    patterns = prof.bracket_pattern(brackets.select("feature", "bracket", "churn_rate"))
+    return prof.feature_report(reg.profile_register(df), prof.numeric_profile(df, nums), prof.corr_profile(df, nums),
+                               prof.categorical_profile(df, cats), brackets, patterns)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "histogram30": q_histogram30,
+    "box_stats": q_box_stats,
+    "unclassified_count": q_unclassified_count,
+    "state_mapping_logic": q_state_mapping_logic,
+    "feature_report": q_feature_report,
     "lifecycle_positioning": q_lifecycle_positioning,
     "decay_signatures": q_decay_signatures,
     "state_mix": q_state_mix,
@@ -433,6 +471,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "histogram30": (O.STATES, O.HISTOGRAM),
+    "box_stats": (O.ARCHETYPES, O.BOX_STATS),
+    "unclassified_count": (O.ARCHETYPES, "SELECT count(*) FILTER (WHERE behavioral_archetype = 'unclassified') "
+                                         "AS unclassified_count FROM arc"),
     "lifecycle_positioning": (O.PROGRESSION, O.LIFECYCLE_POSITIONING),
     "decay_signatures": (O.PROGRESSION, "SELECT * FROM decay"),
     "state_mix": (O.PROGRESSION, O.STATE_MIX),

@@ -270,3 +270,51 @@ def mutual_information(df: DataFrame, lookup: dict[str, str] | None = None) -> D
     else:
         cls = F.lit("derived")
     return out.select(F.col("name").alias("feature"), "mutual_info_score", cls.alias("epistemic_class"))
+
+
+# ------------------------------------------------------------------ nested feature report
+
+FLAG_RULES = "HIGH_SKEW ACCUMULATIVE_PATTERN POST_OUTCOME_LEAKAGE_RISK STRONG_CHURN_SEPARATION WEAK_CHURN_SIGNAL"
+# Cross-feature engineering actions per role.
+ROLE_ACTIONS = {
+    "STRUCTURAL": ["segmentation anchor"],
+    "EXPOSURE_SENSITIVE": ["rate conversion", "log transform if skewed"],
+    "EPISTEMIC": ["isolate or restrict usage"],
+    "LOW_SIGNAL": ["candidate for elimination"],
+}
+
+
+def feature_report(register: DataFrame, numeric: DataFrame, corr: DataFrame, categorical: DataFrame,
+                   brackets: DataFrame, patterns: DataFrame) -> DataFrame:
+    """F8: one nested row per feature: type, flags, pattern, diagnostics, brackets and actions.
+
+    Inputs are the small per-feature tables of the profile stage, joined on
+    ``feature``; nested values are structs, arrays and maps (write as parquet
+    or JSON).
+    """
+    diag_num = numeric.join(corr, "feature", "left").select(
+        "feature", F.struct("mean", "median", "std", "skewness", "kurtosis", "cv", "corr_churn",
+                            "corr_exposure_proxy").alias("numeric_diagnostics"), "skewness")
+    diag_cat = categorical.groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias("counts"),
+        F.map_from_entries(F.collect_list(F.struct("value", "proportion"))).alias("proportions"),
+        F.map_from_entries(F.collect_list(F.struct("value", "churn_rate"))).alias("churn_rate"))
+    diag_cat = diag_cat.select("feature", F.struct("counts", "proportions", "churn_rate")
+                               .alias("categorical_diagnostics"))
+    br = brackets.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(
+        "bracket", F.struct(*[c for c in brackets.columns if c not in ("feature", "bracket")])))).alias("brackets"))
+    t = (register.join(diag_num, "feature", "left").join(diag_cat, "feature", "left")
+         .join(br, "feature", "left").join(patterns, "feature", "left"))
+    role, prio, typ = F.col("role"), F.col("priority"), F.col("type")
+    flags = F.array_compact(F.array(
+        F.when((typ == "Numerical") & (F.abs("skewness") > 1), F.lit("HIGH_SKEW")),
+        F.when((typ == "Numerical") & (role == "EXPOSURE_SENSITIVE"), F.lit("ACCUMULATIVE_PATTERN")),
+        F.when(role == "EPISTEMIC", F.lit("POST_OUTCOME_LEAKAGE_RISK")),
+        F.when(prio == "HIGH", F.lit("STRONG_CHURN_SEPARATION")).when(prio == "LOW", F.lit("WEAK_CHURN_SIGNAL"))))
+    actions = F.create_map(*[x for k, v in ROLE_ACTIONS.items()
+                             for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    empty = F.array().cast("array<string>")
+    fe = F.create_map(F.lit("LOW"), empty, F.lit("MEDIUM"), empty, F.lit("HIGH"), empty,
+                      F.lit("CROSS"), F.coalesce(actions[role], empty))
+    return t.select("feature", "type", flags.alias("flags"), F.coalesce("pattern", F.lit("FLAT")).alias("pattern"),
+                    "numeric_diagnostics", "categorical_diagnostics", "brackets", fe.alias("feature_engineering"))

@@ -828,3 +828,32 @@ SELECT a.population, pr.instability_index, a.cosine_distance,
             WHEN pr.instability_index < 0.05 THEN 'retained_suppression_structure'
             ELSE 'diagnostic_only_structure' END AS structural_classification
 FROM ({POPULATION_ALIGNMENT}) a LEFT JOIN ({POPULATION_PROFILES_BODY}) pr USING (population)"""
+
+# ------------------------------------------------------------------ plot data
+
+_SF = ["points_in_wallet", "avg_transaction_value", "avg_frequency_login_days", "value_density"]
+HISTOGRAM = f"""
+SELECT g.feature, g.bin, g.lo + g.bin * ((g.hi - g.lo) / 30) AS bin_start,
+       g.lo + (g.bin + 1) * ((g.hi - g.lo) / 30) AS bin_end, coalesce(c.n, 0) AS count
+FROM (SELECT feature, lo, hi, CAST(unnest(range(0, 30)) AS INTEGER) AS bin FROM
+        (SELECT feature, CASE WHEN max(x) = min(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+                CASE WHEN max(x) = min(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+         FROM (UNPIVOT (SELECT {', '.join(_SF)} FROM st) ON {', '.join(_SF)} INTO NAME feature VALUE x) GROUP BY feature)) g
+LEFT JOIN (SELECT feature, CAST(least(floor((x - lo) * 30 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS n
+           FROM (UNPIVOT (SELECT {', '.join(_SF)} FROM st) ON {', '.join(_SF)} INTO NAME feature VALUE x)
+           JOIN (SELECT feature, CASE WHEN max(x) = min(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+                        CASE WHEN max(x) = min(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+                 FROM (UNPIVOT (SELECT {', '.join(_SF)} FROM st) ON {', '.join(_SF)} INTO NAME feature VALUE x)
+                 GROUP BY feature) USING (feature)
+           GROUP BY 1, 2) c ON c.feature = g.feature AND c.bin = g.bin"""
+
+BOX_STATS = """
+SELECT behavioral_archetype, q1, median, q3,
+       min(tenure_days) FILTER (WHERE tenure_days >= lo AND tenure_days <= hi) AS lower_whisker,
+       max(tenure_days) FILTER (WHERE tenure_days >= lo AND tenure_days <= hi) AS upper_whisker,
+       count(*) FILTER (WHERE tenure_days IS NOT NULL AND NOT (tenure_days >= lo AND tenure_days <= hi)) AS outlier_count
+FROM arc JOIN (SELECT behavioral_archetype, q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
+               FROM (SELECT behavioral_archetype, quantile_cont(tenure_days, 0.25) AS q1,
+                            quantile_cont(tenure_days, 0.5) AS median, quantile_cont(tenure_days, 0.75) AS q3
+                     FROM arc GROUP BY 1)) USING (behavioral_archetype)
+GROUP BY behavioral_archetype, q1, median, q3"""
