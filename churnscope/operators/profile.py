@@ -234,9 +234,10 @@ def mutual_information(df: DataFrame, lookup: dict[str, str] | None = None) -> D
     """
     cols = low_cardinality_columns(df)
     types = dict(df.dtypes)
-    str_cols = [c for c in cols if types[c] == "string"]
-    num_cols = [c for c in cols if types[c] != "string"]
-    vals = [F.col(c).alias(c) for c in str_cols] + \
+    num_types = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    num_cols = [c for c in cols if types[c] in num_types or types[c].startswith("decimal")]
+    str_cols = [c for c in cols if c not in num_cols]
+    vals = [F.col(c).cast("string").alias(c) for c in str_cols] + \
         [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).cast("string").alias(c) for c in num_cols]
     long_df = df.select(F.col("churn").cast("int").alias("y"), *vals).unpivot(["y"], cols, "feature", "value")
     cell = long_df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(

@@ -304,30 +304,47 @@ PROFILE_REGISTER = "SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', '{'Numerical' if c in _NUMERIC else 'Categorical'}', '{_ROLE.get(c, 'LOW_SIGNAL')}', "
     f"'{_PRIO.get(c, 'LOW')}')" for c in PROFILE_COLS if c != "churn") + ") AS t(feature, type, role, priority)"
 
+_MI_NUM = ["customer_id", "points_in_wallet", "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days",
+           "days_since_last_login", "event_value_avg"]
+_MI_STR = ["region_category", "membership_category", "joining_date", "complaint_status", "feedback"]
 MI = MART + f""",
-l AS (SELECT * FROM (UNPIVOT (SELECT churn, {', '.join(_CATEG)} FROM mart) ON {', '.join(_CATEG)}
-                           INTO NAME feature VALUE value)),
-card AS (SELECT feature FROM l GROUP BY feature HAVING count(DISTINCT value) <= 50),
+raw AS (UNPIVOT (SELECT {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _MI_NUM + _MI_STR)} FROM mart)
+        ON {', '.join(_MI_NUM + _MI_STR)} INTO NAME feature VALUE value),
+card AS (SELECT feature FROM raw GROUP BY feature HAVING count(DISTINCT value) <= 50),
+l AS (UNPIVOT (SELECT churn, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in _MI_STR)} FROM mart)
+      ON {', '.join(_MI_STR)} INTO NAME feature VALUE value),
+ln_ AS (UNPIVOT (SELECT churn, {', '.join(f'CAST(coalesce(CAST({c} AS DOUBLE), 0.0) AS VARCHAR) AS {c}' for c in _MI_NUM)}
+        FROM mart) ON {', '.join(_MI_NUM)} INTO NAME feature VALUE value),
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE churn = 1) AS DOUBLE) AS n1 FROM mart),
 cells AS (SELECT feature, value, count(*) FILTER (WHERE churn = 1) AS n11, count(*) FILTER (WHERE churn = 0) AS n10
           FROM l WHERE feature IN (SELECT feature FROM card) GROUP BY feature, value),
-tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE churn = 1) AS DOUBLE) AS n1 FROM mart),
 r AS (SELECT cells.*, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
              n, n1, n - n1 AS n0, n11 + n10 AS nx1, n - (n11 + n10) AS nx0 FROM cells, tot),
-t AS (SELECT feature, value,
+t AS (SELECT feature || '_' || value AS name, feature AS src,
         (CASE WHEN n11 > 0 THEN n11 / n * ln(n11 * n / (nx1 * n1)) ELSE 0 END)
       + (CASE WHEN n10 > 0 THEN n10 / n * ln(n10 * n / (nx1 * n0)) ELSE 0 END)
       + (CASE WHEN n1 - n11 > 0 THEN (n1 - n11) / n * ln((n1 - n11) * n / (nx0 * n1)) ELSE 0 END)
       + (CASE WHEN n0 - n10 > 0 THEN (n0 - n10) / n * ln((n0 - n10) * n / (nx0 * n0)) ELSE 0 END) AS mi
-      FROM r WHERE rn > 1)
+      FROM r WHERE rn > 1),
+ncells AS (SELECT feature, value, count(*) FILTER (WHERE churn = 1) AS n11, count(*) FILTER (WHERE churn = 0) AS n10
+           FROM ln_ WHERE feature IN (SELECT feature FROM card) GROUP BY feature, value),
+nt AS (SELECT feature AS name, feature AS src,
+         sum((CASE WHEN n11 > 0 THEN n11 / n * ln(n11 * n / ((n11 + n10) * n1)) ELSE 0 END)
+           + (CASE WHEN n10 > 0 THEN n10 / n * ln(n10 * n / ((n11 + n10) * (n - n1))) ELSE 0 END)) AS mi
+       FROM ncells, tot GROUP BY feature),
+allmi AS (SELECT * FROM t UNION ALL SELECT * FROM nt)
 """
 
 MUTUAL_INFORMATION = """
-SELECT feature || '_' || value AS feature, mi AS mutual_info_score,
-       CASE feature WHEN 'region_category' THEN 'pre_outcome_observable'
-                    WHEN 'membership_category' THEN 'pre_outcome_observable'
-                    WHEN 'complaint_status' THEN 'lifecycle_terminal'
-                    WHEN 'feedback' THEN 'lifecycle_terminal' ELSE 'derived' END AS epistemic_class
-FROM t"""
+SELECT name AS feature, mi AS mutual_info_score,
+       CASE src WHEN 'region_category' THEN 'pre_outcome_observable'
+                WHEN 'membership_category' THEN 'pre_outcome_observable'
+                WHEN 'complaint_status' THEN 'lifecycle_terminal' WHEN 'feedback' THEN 'lifecycle_terminal'
+                WHEN 'avg_time_spent' THEN 'exposure_sensitive' WHEN 'avg_transaction_value' THEN 'exposure_sensitive'
+                WHEN 'avg_frequency_login_days' THEN 'exposure_sensitive' WHEN 'points_in_wallet' THEN 'exposure_sensitive'
+                WHEN 'days_since_last_login' THEN 'retrospective_proxy'
+                ELSE 'administrative_or_unknown' END AS epistemic_class
+FROM allmi"""
 
 PROFILE = MART + f""",
 ss AS (SELECT * EXCLUDE (customer_id, joining_date), row_number() OVER () AS rid FROM mart),
