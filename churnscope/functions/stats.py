@@ -141,3 +141,25 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     both = x.isNotNull() & y.isNotNull()
     xp, yp = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(xp, yp), F.stddev_pop(xp) * F.stddev_pop(yp))
+
+
+def distinct_counts_capped(df: DataFrame, cols: Sequence[str], cap: int, margin: float = 4.0) -> dict:
+    """Exact distinct counts (NULL excluded) for columns with at most ``cap`` values; None above it.
+
+    One HyperLogLog++ pass (no shuffle of values) sets aside columns whose
+    estimate exceeds ``margin * cap`` (with 5% relative error that margin is
+    far beyond any plausible estimation error); exact counts run only for the
+    remaining candidates, whose few distinct values keep the exact
+    aggregate's shuffle small.
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    cand = [c for c in cols if est[c] <= margin * cap + 2]
+    out = {c: None for c in cols}
+    if cand:
+        exact = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
+        for c in cand:
+            out[c] = int(exact[c]) if exact[c] <= cap else None
+    return out

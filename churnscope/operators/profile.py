@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import pearson, quantiles
+from ..functions.stats import distinct_counts_capped, pearson, quantiles
 from . import binning
 
 # Feature roles of the profile stage.
@@ -103,9 +103,11 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long_df = long_df.where(F.col("value").isNotNull())
     g = long_df.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"),
                                                 F.avg(F.col("churn").cast("double")).alias("churn_rate"))
-    w = Window.partitionBy("feature")
-    return g.select("feature", "value", "count", (F.col("count") / F.sum("count").over(w)).alias("proportion"),
-                    "churn_rate")
+    # per-feature totals joined back (a window by feature would put every
+    # category of a feature in one task)
+    totals = long_df.groupBy("feature").agg(F.count(F.lit(1)).alias("_total"))
+    return g.join(totals, "feature").select("feature", "value", "count",
+                                            (F.col("count") / F.col("_total")).alias("proportion"), "churn_rate")
 
 
 # ------------------------------------------------------------------ brackets
@@ -151,12 +153,19 @@ def numeric_brackets(df: DataFrame, strategy: dict[str, str], clip_two_sided: Se
     return staged.withColumns(exprs).drop(*[f"_b_{c}" for c in strategy])
 
 
-def rate_rank_brackets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+MAX_RANKED_CATEGORIES = 100_000
+
+
+def rate_rank_brackets(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_RANKED_CATEGORIES) -> DataFrame:
     """Categories ordered by churn rate (ties by name); first n//3 LOW, up to 2n//3 MEDIUM, rest HIGH.
 
-    The category table (one row per feature and category) is small by
-    construction and joined back per feature.
+    The ranking window runs over one row per category of a feature, so the
+    number of categories is checked first (segment columns have a handful).
     """
+    counts = distinct_counts_capped(df, cols, cap=max_categories)
+    too_many = [c for c in cols if counts[c] is None]
+    if too_many:
+        raise ValueError(f"more than {max_categories} categories to rank in {too_many}")
     long_df = df.select("churn", *cols).unpivot(["churn"], list(cols), "feature", "value")
     rates = long_df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.avg(F.col("churn").cast("double")).alias("rate"))
@@ -211,15 +220,11 @@ MAX_LEVELS = 50
 
 
 def low_cardinality_columns(df: DataFrame, exclude: Sequence[str] = ("churn",), limit: int = MAX_LEVELS) -> list[str]:
-    """Columns with at most ``limit`` distinct non-missing values.
-
-    Exact distinct counts for all columns in one job: Spark plans several
-    distinct aggregates as one Expand + shuffle aggregate, so no task holds a
-    column's whole value set.
-    """
+    """Columns with at most ``limit`` distinct non-missing values (exact; see
+    ``distinct_counts_capped``)."""
     cols = [c for c in df.columns if c not in exclude]
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] <= limit]
+    counts = distinct_counts_capped(df, cols, cap=limit)
+    return [c for c in cols if counts[c] is not None]
 
 
 def mutual_information(df: DataFrame, lookup: dict[str, str] | None = None) -> DataFrame:

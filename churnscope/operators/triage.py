@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .registers import schema_frame
+from ..functions.stats import distinct_counts_capped
 
 # Keyword and name sets of the triage stage.
 TIME_KEYWORDS = ["date", "time", "last_visit", "joining"]
@@ -54,9 +54,11 @@ def triage_register(df: DataFrame, target: str = "churn") -> DataFrame:
     feats = [c for c in df.columns if c != target]
     types = dict(df.dtypes)
     numeric = [c for c in feats if types[c] in NUMERIC_TYPES]
-    # exact distinct counts for all columns in one job (an Expand + shuffle aggregate, no per-task set)
-    nunique = df.agg(*[F.count_distinct(c).alias(c) for c in numeric]).first() if numeric else {}
-    rows = [(i, c, types[c], (int(nunique[c]) if c in numeric else None)) for i, c in enumerate(feats)]
+    # exact counts up to 20 (the largest cut used); larger counts only need to be known as "large"
+    capped = distinct_counts_capped(df, numeric, cap=20)
+    large = 1 << 30
+    rows = [(i, c, types[c], ((capped[c] if capped[c] is not None else large) if c in numeric else None))
+            for i, c in enumerate(feats)]
     s = df.sparkSession.createDataFrame(rows, "position int, feature string, spark_type string, nunique bigint")
     dummies, x_values = region_names(df)
     n = F.col("feature")
