@@ -275,7 +275,8 @@ def mutual_information(df: DataFrame, lookup: dict[str, str] | None = None) -> D
         cls = F.coalesce(m[F.col("_src")], F.lit("derived"))
     else:
         cls = F.lit("derived")
-    return out.select(F.col("name").alias("feature"), "mutual_info_score", cls.alias("epistemic_class"))
+    return out.select(F.col("name").alias("feature"), "mutual_info_score", cls.alias("epistemic_class")).orderBy(
+        F.desc("mutual_info_score"), "feature")
 
 
 # ------------------------------------------------------------------ nested feature report

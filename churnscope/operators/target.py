@@ -123,7 +123,8 @@ def band_separation(df: DataFrame, features: Sequence[str] = SEPARATION_FEATURES
     lo, md, hi = F.col("Low"), F.col("Mid"), F.col("High")
     return out.select("feature", lo.alias("low_band_churn"), md.alias("mid_band_churn"),
                       hi.alias("high_band_churn"), monotonicity(lo, md, hi).alias("monotonicity"),
-                      (F.greatest(lo, md, hi) - F.least(lo, md, hi)).alias("churn_spread"))
+                      (F.greatest(lo, md, hi) - F.least(lo, md, hi)).alias("churn_spread")).orderBy(
+        F.desc_nulls_last("churn_spread"), "feature")
 
 
 def rule_metrics(y: Column, pred: Column) -> list[Column]:

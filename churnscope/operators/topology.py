@@ -36,7 +36,8 @@ def state_prevalence(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     w = (Window.partitionBy("feature").orderBy(F.desc("prevalence_percentage"), F.asc_nulls_last("state"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counts.select("feature", "state", "frequency", pct).withColumn(
-        "cumulative_prevalence_contribution", F.sum("prevalence_percentage").over(w))
+        "cumulative_prevalence_contribution", F.sum("prevalence_percentage").over(w)).orderBy(
+        "feature", F.desc("prevalence_percentage"), F.asc_nulls_last("state"))
 
 
 def concentration_metrics(prevalence: DataFrame) -> DataFrame:

@@ -217,3 +217,14 @@ def test_mutual_information_drops_first_level(spark):
     r = profile.mutual_information(df).collect()
     assert [x.feature for x in r] == ["g_b"]
     assert r[0].mutual_info_score == pytest.approx(math.log(2))
+
+
+def test_customer_csv_source(spark, tmp_path):
+    from churnscope.sources.tables import read_customer_csv
+    p = tmp_path / "customers.csv"
+    p.write_text(",age , points_in_wallet,churn_risk_score\n0,31,12.5,1\n1,NA,nan,0\n2,40,Error,1\n")
+    df = read_customer_csv(spark, str(p))
+    assert df.columns == ["age", "points_in_wallet", "churn"]
+    rows = sorted(df.collect(), key=lambda r: r.churn)
+    assert rows[0].age is None and rows[0].points_in_wallet is None
+    assert [r.points_in_wallet for r in rows[1:]] in (["12.5", "Error"], ["Error", "12.5"])
