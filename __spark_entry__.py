@@ -389,7 +389,15 @@ def q_feature_report(spark, sf_dir):
                                prof.categorical_profile(df, cats), brackets, patterns)
 
 
+def q_state_preview(spark, sf_dir):
+    from churnscope.sources.tables import preview
+    st = stages.state_dataset(spark, sf_dir)
+    cols = ["customer_id"] + [c for c in st.columns if c.endswith("_state")]
+    return preview(st, cols, ["customer_id"])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "state_preview": q_state_preview,
     "histogram30": q_histogram30,
     "box_stats": q_box_stats,
     "unclassified_count": q_unclassified_count,
@@ -471,6 +479,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet_state, avg_transaction_value_state, "
+                                "avg_frequency_login_days_state, value_density_state FROM st "
+                                "ORDER BY customer_id LIMIT 5"),
     "histogram30": (O.STATES, O.HISTOGRAM),
     "box_stats": (O.ARCHETYPES, O.BOX_STATS),
     "unclassified_count": (O.ARCHETYPES, "SELECT count(*) FILTER (WHERE behavioral_archetype = 'unclassified') "

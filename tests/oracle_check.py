@@ -19,6 +19,10 @@ from churnscope.session import get_spark  # noqa: E402
 from sql_oracle import TABLE_NAMES  # noqa: E402
 
 
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                   "boolean": "BOOLEAN"}
+
+
 def norm(v):
     if v is None:
         return None
@@ -65,6 +69,11 @@ def compare(spark, sf_dir, keys=None):
         if sorted(scols) != sorted(dcols):
             results[k] = f"COLUMNS differ: spark-only {set(scols) - set(dcols)} sql-only {set(dcols) - set(scols)}"
             continue
+        stypes = {c: SPARK_TO_DUCKDB.get(t, t) for c, t in df.dtypes}
+        dtypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sqls[k]}").fetchall()}
+        if stypes != dtypes:
+            results[k] = f"TYPES differ: {[(c, stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)]}"
+            continue
         a, b = canon(srows, scols), canon(drows, dcols)
         if len(a) != len(b):
             results[k] = f"ROWCOUNT spark {len(a)} sql {len(b)}"
