@@ -91,7 +91,8 @@ def customer_mart(spark: SparkSession, sf_dir: str, churn_gap_days: int = CHURN_
         .drop("o_custkey")
         .join(per_event, base.c_custkey == per_event.user_id, "left")
     )
-    gap = F.datediff(latest_order, F.col("last_order"))
+    joined = joined.withColumn("_gap", F.datediff(latest_order, F.col("last_order")))
+    gap = F.col("_gap")
     return joined.select(
         F.col("c_custkey").alias("customer_id"),
         "region_category",
