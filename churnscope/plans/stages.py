@@ -73,7 +73,10 @@ def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES,
     feats = ["avg_transaction_value", "value_density", "engagement_efficiency", "points_per_day",
              "wallet_balance", "logins_per_day"]
     edges = binning.collect_edges(binning.fit_terciles(df, feats))
+    # the label domain travels as column metadata (a degenerate column holds the fallback label only)
     df = df.withColumns({f"{f}_state": binning.tercile_label(f, edges[f]) for f in feats})
+    df = df.select(*[F.col(c).alias(c, metadata={"levels": ["mid"] if edges[c[:-6]][4] else ["low", "mid", "high"]})
+                     if c.endswith("_state") and c[:-6] in edges else F.col(c) for c in df.columns])
     df = df.withColumn("avg_frequency_login_days_state",
                        binning.fixed_edge_label("avg_frequency_login_days", login_edges))
     df = arch.instability_flags(df)
