@@ -80,8 +80,9 @@ def customer_mart(spark: SparkSession, sf_dir: str, churn_gap_days: int = CHURN_
 
     per_event = events.groupBy("user_id").agg(F.avg("value").alias("event_value_avg"))
 
-    latest_order = orders.select(F.max(order_date)).scalar()
-    latest_ship = lineitem.select(F.max(F.to_date("l_shipdate"))).scalar()
+    # one-column aggregates (to_date is monotonic, so the date of the max is the max date)
+    latest_order = orders.select(F.to_date(F.max("o_orderdate"))).scalar()
+    latest_ship = lineitem.select(F.to_date(F.max("l_shipdate"))).scalar()
 
     base = customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left")
     joined = (
