@@ -66,10 +66,15 @@ def sort_by_priority(df: DataFrame, tie: str | None = None) -> DataFrame:
 
 
 def archetype_summary(df: DataFrame, col: str = "behavioral_archetype") -> DataFrame:
-    """F30/G8 on archetypes: frequency and percentage of all rows (NULL kept as a value)."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("frequency")).select(
-        col, "frequency", (F.col("frequency") / total * 100).alias("prevalence_percentage"))
+    """F30/G8 on archetypes: frequency and percentage of all rows (NULL kept as a value).
+
+    The total is the sum of the group counts, taken over the small aggregated
+    table (one row per archetype).
+    """
+    from pyspark.sql import Window
+    g = df.groupBy(col).agg(F.count(F.lit(1)).alias("frequency"))
+    total = F.sum("frequency").over(Window.partitionBy())
+    return g.select(col, "frequency", (F.col("frequency") / total * 100).alias("prevalence_percentage"))
 
 
 def unclassified_count(df: DataFrame) -> DataFrame:

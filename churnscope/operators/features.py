@@ -27,23 +27,30 @@ MAX_DUMMY_LEVELS = 1000
 
 @dataclass
 class RateModel:
-    """Fitted values of the rate formula set: p99 caps and region levels."""
+    """Fitted values of the rate formula set: p99 caps, region levels, latest join date."""
     txn_cap: float | None
     points_cap: float | None
     region_levels: list[str] = field(default_factory=list)
+    reference_date: object = None
 
 
-def _tenure(df: DataFrame, date_col: str = "joining_date"):
-    """Days from each join date to the latest join date (a scalar subquery)."""
+def latest_date(df: DataFrame, date_col: str = "joining_date"):
+    """The latest join date (one small aggregate; None without the column)."""
     if date_col not in df.columns:
         return None
-    latest = df.select(F.max(date_col)).scalar()
-    return F.datediff(latest, F.col(date_col)).cast("double")
+    return df.agg(F.max(date_col)).first()[0]
 
 
-def _rate_base(df: DataFrame, eps: float = RATE_EPSILON) -> DataFrame:
+def _tenure(df: DataFrame, reference_date, date_col: str = "joining_date"):
+    """Days from each join date to the latest join date (fitted, inlined as a literal)."""
+    if date_col not in df.columns:
+        return None
+    return F.datediff(F.lit(reference_date).cast("date"), F.col(date_col)).cast("double")
+
+
+def _rate_base(df: DataFrame, eps: float = RATE_EPSILON, reference_date=None) -> DataFrame:
     out = coerce_numeric(df, RATE_NUMERIC, fill=0.0)
-    tenure = _tenure(out)
+    tenure = _tenure(out, reference_date)
     tenure = F.lit(1.0) if tenure is None else F.coalesce(tenure, F.lit(1.0))
     out = out.withColumn("tenure_days", clip_lower(tenure, 1.0))
     return out.withColumns({
@@ -62,17 +69,18 @@ def distinct_levels(df: DataFrame, c: str, max_levels: int = MAX_DUMMY_LEVELS) -
 
 
 def fit_rate_features(df: DataFrame, eps: float = RATE_EPSILON, q: float = RATE_CAP_QUANTILE) -> RateModel:
-    base = _rate_base(df, eps)
+    ref = latest_date(df)
+    base = _rate_base(df, eps, ref)
     long_df = base.select("avg_transaction_value", "points_per_day").unpivot(
         [], ["avg_transaction_value", "points_per_day"], "feature", "v")
     caps = {r["feature"]: r["q"][0] for r in quantiles(long_df, ["feature"], "v", [q]).collect()}
     levels = distinct_levels(df, "region_category") if "region_category" in df.columns else []
-    return RateModel(caps.get("avg_transaction_value"), caps.get("points_per_day"), levels)
+    return RateModel(caps.get("avg_transaction_value"), caps.get("points_per_day"), levels, ref)
 
 
 def apply_rate_features(df: DataFrame, model: RateModel, eps: float = RATE_EPSILON) -> DataFrame:
     """D1-D8, D10-D12 plus B3-B6, B8, B12 (rate formula set)."""
-    out = _rate_base(df, eps)
+    out = _rate_base(df, eps, model.reference_date)
     days = clip_lower("days_since_last_login", 0.0)
     freq = F.col("avg_frequency_login_days")
     freq = F.when(freq.isNull() | (freq == 0), F.lit(1.0)).otherwise(freq)
@@ -117,7 +125,7 @@ def inferential_features(df: DataFrame, membership_phrase: str = " membership")
     out = coerce_numeric(df, ["points_in_wallet", "avg_transaction_value", "avg_time_spent",
                               "days_since_last_login"], fill=0.0)
     out = coerce_numeric(out, ["avg_frequency_login_days"], fill=1.0)
-    tenure = _tenure(out)
+    tenure = _tenure(out, latest_date(out))
     tenure = F.lit(1.0) if tenure is None else F.coalesce(tenure, F.lit(1.0))
     out = out.withColumn("tenure_days", F.when(tenure == 0, F.lit(1.0)).otherwise(tenure))
     out = out.withColumns({

@@ -32,7 +32,9 @@ def state_prevalence(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or state_columns(df)
     long_df = df.select(*cols).unpivot([], cols, "feature", "state")
     counts = long_df.groupBy("feature", "state").agg(F.count(F.lit(1)).alias("frequency"))
-    pct = (F.col("frequency") / _total(df) * 100).alias("prevalence_percentage")
+    # NULL states are kept as a group, so a feature's counts sum to the row count
+    pct = (F.col("frequency") / F.sum("frequency").over(Window.partitionBy("feature")) * 100).alias(
+        "prevalence_percentage")
     w = (Window.partitionBy("feature").orderBy(F.desc("prevalence_percentage"), F.asc_nulls_last("state"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return counts.select("feature", "state", "frequency", pct).withColumn(
