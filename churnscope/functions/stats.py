@@ -117,19 +117,6 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
     return refined.select(*keys, F.array(*values).alias(out), *extra.keys())
 
 
-def wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                   accuracy: int = ACCURACY) -> DataFrame:
-    """Quantiles for several columns: returns ``by + ['feature', 'q']`` (long form)."""
-    long_df = df.unpivot(list(by) or None, list(cols), "feature", "_val") if by else \
-        df.select(*cols).unpivot([], list(cols), "feature", "_val")
-    return quantiles(long_df, list(by) + ["feature"], "_val", probs, "q", accuracy)
-
-
-def skewness_pop(c: Column | str) -> Column:
-    """Population (biased) skewness, the moment form scipy.stats.skew uses."""
-    return F.skewness(c)
-
-
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation over pairs where both sides are present; NULL for a constant side.
 

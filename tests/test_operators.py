@@ -228,3 +228,19 @@ def test_customer_csv_source(spark, tmp_path):
     rows = sorted(df.collect(), key=lambda r: r.churn)
     assert rows[0].age is None and rows[0].points_in_wallet is None
     assert [r.points_in_wallet for r in rows[1:]] in (["12.5", "Error"], ["Error", "12.5"])
+
+
+def test_cv_dates_and_sinks(spark, tmp_path):
+    from churnscope.functions.columns import to_date_coerce
+    from churnscope.operators.features import transformation_log
+    from churnscope.operators.validation import coefficient_variation
+    from churnscope.sources.tables import write_table
+    df = spark.createDataFrame([(0, 1.0, "2020-01-05"), (1, 3.0, "not a date"), (2, None, None)],
+                               "i int, x double, d string")
+    assert df.agg(coefficient_variation(F.col("x"))).first()[0] == pytest.approx(math.sqrt(2) / 2)
+    assert df.agg(coefficient_variation(F.col("x") * 0)).first()[0] is None
+    dates = [r[0] for r in df.orderBy("i").select(to_date_coerce("d")).collect()]
+    assert str(dates[0]) == "2020-01-05" and dates[1] is None and dates[2] is None
+    out = str(tmp_path / "log")
+    write_table(transformation_log(spark), out, fmt="json")
+    assert spark.read.json(out).count() == 9
