@@ -396,7 +396,18 @@ def q_state_preview(spark, sf_dir):
     return preview(st, cols, ["customer_id"])
 
 
+def q_membership_segments(spark, sf_dir):
+    return prof.distinct_values(stages.engineered(spark, sf_dir), "membership_category")
+
+
+def q_recency_engagement_points(spark, sf_dir):
+    return plotdata.scatter_points(stages.archetype_dataset(spark, sf_dir), "recency_score",
+                                   "engagement_efficiency", "behavioral_archetype")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "membership_segments": q_membership_segments,
+    "recency_engagement_points": q_recency_engagement_points,
     "state_preview": q_state_preview,
     "histogram30": q_histogram30,
     "box_stats": q_box_stats,
@@ -479,6 +490,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "membership_segments": (O.ENGINEERED, "SELECT DISTINCT membership_category FROM eng "
+                                          "WHERE membership_category IS NOT NULL"),
+    "recency_engagement_points": (O.ARCHETYPES, "SELECT behavioral_archetype, recency_score, engagement_efficiency "
+                                                "FROM arc"),
     "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet_state, avg_transaction_value_state, "
                                 "avg_frequency_login_days_state, value_density_state FROM st "
                                 "ORDER BY customer_id LIMIT 5"),

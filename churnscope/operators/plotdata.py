@@ -50,3 +50,8 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
         F.min(F.when(inside, x)).alias("lower_whisker"), F.max(F.when(inside, x)).alias("upper_whisker"),
         F.count_if(x.isNotNull() & ~inside).alias("outlier_count"))
     return agg
+
+
+def scatter_points(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
+    """K4: the points of a scatter chart (all rows, two metrics and the colour column)."""
+    return df.select(hue, x, y)

@@ -325,3 +325,8 @@ def feature_report(register: DataFrame, numeric: DataFrame, corr: DataFrame, cat
                       F.lit("CROSS"), F.coalesce(actions[role], empty))
     return t.select("feature", "type", flags.alias("flags"), F.coalesce("pattern", F.lit("FLAT")).alias("pattern"),
                     "numeric_diagnostics", "categorical_diagnostics", "brackets", fe.alias("feature_engineering"))
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """the distinct non-missing values of a segment column."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct()
