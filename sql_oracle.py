@@ -712,7 +712,6 @@ _FLAGS = [("high_spend_low_value_flag", "avg_transaction_value_state", "high", "
            "avg_transaction_value_state", "low"),
           ("irregular_mid_behavior_flag", "avg_frequency_login_days_state", "irregular",
            "avg_transaction_value_state", "mid")]
-_STATE6 = [f"{f}_state" for f in _INF_FEATS[:5]] + ["avg_frequency_login_days_state"]
 _STATE6 = ["avg_transaction_value_state", "value_density_state", "engagement_efficiency_state",
            "points_per_day_state", "wallet_balance_state", "avg_frequency_login_days_state"]
 
@@ -781,17 +780,14 @@ _FLAG_NAMES = [f[0] for f in _FLAGS]
 POPULATION_PROFILES_BODY = f"""
 SELECT p.population, population_size, {', '.join(s for s in [f'{c}_entropy, {c}_gini, {c}_dispersion' for c in _STATE6])},
        {', '.join(f'{n}_prevalence' for n in _FLAG_NAMES)},
-       sqrt({' + '.join(f'coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)' for i in range(6))}) AS behavioral_vector_norm,
+       sqrt(0.0 + {' + '.join(f'coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)' for i in range(6))})
+         AS behavioral_vector_norm,
        instability_index
 FROM (SELECT population, count(*) AS population_size, {', '.join(_state_stats(c, _domain(c)) for c in _STATE6)},
              {', '.join(f'avg({n}) AS {n}_prevalence' for n in _FLAG_NAMES)},
              avg(({' + '.join(_FLAG_NAMES)}) / 5) AS instability_index
       FROM inf GROUP BY population HAVING count(*) >= 3) p LEFT JOIN pvec USING (population)"""
 
-POPULATION_PROFILES_BODY = POPULATION_PROFILES_BODY.replace(
-    f"sqrt({' + '.join(f'coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)' for i in range(6))})",
-    "sqrt(0.0 + " + " + ".join(f"coalesce(v[{i + 1}], 0.0) * coalesce(v[{i + 1}], 0.0)" for i in range(6)) + ")")
-
 REFERENCE_STATISTICS = f"""
 SELECT {', '.join(_state_stats(c, _domain(c)) for c in _STATE6)},
        {', '.join(f'avg({n}) AS {n}_prevalence' for n in _FLAG_NAMES)}
