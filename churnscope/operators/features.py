@@ -68,13 +68,30 @@ def distinct_levels(df: DataFrame, c: str, max_levels: int = MAX_DUMMY_LEVELS) -
     return sorted(str(r[0]) for r in rows)
 
 
+def _levels_and_latest(df: DataFrame, c: str, date_col: str = "joining_date",
+                       max_levels: int = MAX_DUMMY_LEVELS) -> tuple[list[str], object]:
+    """One job for two fitted values: the levels of ``c`` and the latest ``date_col``.
+
+    Grouping by the level gives one row per level with its latest date; the
+    overall latest date is the latest of those (NULL levels included).
+    """
+    if c not in df.columns:
+        return [], latest_date(df, date_col)
+    m = F.max(date_col) if date_col in df.columns else F.lit(None)
+    rows = df.groupBy(c).agg(m.alias("m")).limit(max_levels + 2).collect()
+    levels = sorted(str(r[0]) for r in rows if r[0] is not None)
+    if len(levels) > max_levels:
+        raise ValueError(f"{c} has more than {max_levels} levels; not one-hot encodable")
+    dates = [r["m"] for r in rows if r["m"] is not None]
+    return levels, (max(dates) if dates else None)
+
+
 def fit_rate_features(df: DataFrame, eps: float = RATE_EPSILON, q: float = RATE_CAP_QUANTILE) -> RateModel:
-    ref = latest_date(df)
+    levels, ref = _levels_and_latest(df, "region_category")
     base = _rate_base(df, eps, ref)
     long_df = base.select("avg_transaction_value", "points_per_day").unpivot(
         [], ["avg_transaction_value", "points_per_day"], "feature", "v")
     caps = {r["feature"]: r["q"][0] for r in quantiles(long_df, ["feature"], "v", [q]).collect()}
-    levels = distinct_levels(df, "region_category") if "region_category" in df.columns else []
     return RateModel(caps.get("avg_transaction_value"), caps.get("points_per_day"), levels, ref)
 
 
