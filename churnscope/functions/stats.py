@@ -28,6 +28,7 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 MAX_GROUPS = 10_000  # quantile groups are features x populations: small by construction
+LITERAL_GROUPS = 256  # up to this many groups, bracket bounds are inlined as a literal map
 
 
 def _group_key(keys: list[str]) -> Column:
@@ -78,8 +79,15 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
         m = F.create_map(*[x for g, b in bounds.items() for x in (F.lit(g), F.lit(b[side][i]).cast("double"))])
         return m[F.col("_g")]
 
-    staged = src.withColumns({**{f"_lo{i}": lookup(0, i) for i in range(k)},
-                              **{f"_hi{i}": lookup(1, i) for i in range(k)}})
+    if len(bounds) <= LITERAL_GROUPS:
+        staged = src.withColumns({**{f"_lo{i}": lookup(0, i) for i in range(k)},
+                                  **{f"_hi{i}": lookup(1, i) for i in range(k)}})
+    else:
+        # many groups: the bounds travel as a small table (at most MAX_GROUPS rows) joined on the group key
+        schema = "_g string, " + ", ".join([f"_lo{i} double" for i in range(k)] + [f"_hi{i} double" for i in range(k)])
+        rows = [(g, *[None if x is None else float(x) for x in b[0]], *[None if x is None else float(x) for x in b[1]])
+                for g, b in bounds.items()]
+        staged = src.join(src.sparkSession.createDataFrame(rows, schema), "_g", "left")
     aggs = [F.count("_v").alias("_n")]
     for i in range(k):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")

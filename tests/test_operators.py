@@ -244,3 +244,14 @@ def test_cv_dates_and_sinks(spark, tmp_path):
     out = str(tmp_path / "log")
     write_table(transformation_log(spark), out, fmt="json")
     assert spark.read.json(out).count() == 9
+
+
+def test_quantiles_many_groups_use_join_path(spark):
+    rng = np.random.default_rng(1)
+    g = rng.integers(0, 300, 9000)
+    v = rng.normal(size=9000)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "g int, x double")
+    got = {r.g: r.q for r in quantiles(df, ["g"], "x", [0.25, 0.5]).collect()}
+    assert len(got) == 300
+    for k in range(300):
+        assert got[k] == pytest.approx(list(np.quantile(v[g == k], [0.25, 0.5])))
