@@ -483,8 +483,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["archetype_summary"](spark, SMOKE_DIR)
 
 
+def _training_data():
+    """The query module of the optional training-data subpackage, or None where it is not installed."""
+    import importlib.util
+    if importlib.util.find_spec("churnscope.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
+        return None
+    from churnscope.llm import queries as llm_queries
+    return llm_queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _wrap(v) for k, v in _QUERIES.items()}
+    out = {k: _wrap(v) for k, v in _QUERIES.items()}
+    if (llm := _training_data()) is not None:
+        out |= llm.queries()
+    return out
 
 
 # ------------------------------------------------------------------ oracle SQL
@@ -577,4 +589,7 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: O.finish_sql(O.with_(ctes, body)) for k, (ctes, body) in _SQL.items()}
+    out = {k: O.finish_sql(O.with_(ctes, body)) for k, (ctes, body) in _SQL.items()}
+    if (llm := _training_data()) is not None:
+        out |= llm.oracle_sql()
+    return out
