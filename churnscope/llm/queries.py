@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import decontaminate, line_dedup, near_dup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,74 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP1_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, len, array_to_string(list_slice(w, i, i + len - 1), ' ') AS k FROM (
+    SELECT item_id, w, least(13, len(w)) AS len, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+    FROM iw WHERE len(w) > 0)),
+starts AS (
+  SELECT doc_id, i, s.len, array_to_string(list_slice(w, i, i + s.len - 1), ' ') AS k FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw) d
+  JOIN (SELECT DISTINCT len FROM win) s ON i + s.len - 1 <= len(w)),
+occ AS (SELECT doc_id, i, starts.len, item_id FROM starts JOIN win ON starts.len = win.len AND starts.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+          SELECT DISTINCT doc_id, unnest(range(i, i + len)) AS p FROM occ) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS h FROM (
+          SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM occ) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+numbered AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS p, unnest(l) AS line FROM lines),
+counted AS (
+  SELECT doc_id, p, line, row_number() OVER w AS n,
+         lead(line, 1) OVER w AS line1, lead(line, 2) OVER w AS line2, lead(p, 1) OVER w AS p1, lead(p, 2) OVER w AS p2
+  FROM numbered WHERE regexp_matches(line, '\S') WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+win AS (SELECT doc_id, p, p1, p2, line || chr(10) || line1 || chr(10) || line2 AS k FROM counted
+        WHERE p2 IS NOT NULL),
+later AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p1, p2]) AS p FROM later WHERE nth > 1),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE g.p IS NOT NULL) AS n_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY n.p) FILTER (WHERE g.p IS NULL), '') AS text
+         FROM numbered n LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN lines.text IS NULL THEN NULL ELSE kept.text END AS text,
+       CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM lines LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
+}
 
 
 def queries() -> dict:
