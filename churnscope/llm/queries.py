@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dup
+from . import decontaminate, line_dedup, near_dup, pieces, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +74,20 @@ FROM lines LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.with_scores(docs, model).select(
+        "doc_id", (~quality.training_fold("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality_classifier": op6_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
