@@ -125,3 +125,10 @@ def csr_indices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.cumsum(length) - length
     return np.arange(total, dtype=np.int64) + np.repeat(start - shift, length)
+
+
+def rebuilt(cls, shared):
+    """An object of ``cls`` from a broadcast of its attributes (executors need not know the class by name)."""
+    out = cls.__new__(cls)
+    out.__dict__.update(shared.value)
+    return out

@@ -370,7 +370,7 @@ def decode_bytes(v: Vocabulary, ids: np.ndarray, per_row: np.ndarray):
 
 
 def _vocabulary(spark: SparkSession, model_file: str):
-    return spark.sparkContext.broadcast(Vocabulary.read(model_file))
+    return spark.sparkContext.broadcast(vars(Vocabulary.read(model_file)))
 
 
 def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
@@ -378,7 +378,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     shared = _vocabulary(docs.sparkSession, model_file)
 
     def task(batches):
-        enc = Encoder(shared.value)
+        enc = Encoder(K.rebuilt(Vocabulary, shared))
         for batch in batches:
             for lo, hi, flat, per_row, buf, off in enc.encode(batch.column(1)):
                 out, back = decode_bytes(enc.v, flat, per_row)
@@ -410,7 +410,7 @@ def with_text(tokens: DataFrame, model_file: str = MODEL_FILE, ids: str = "ids",
     def decode(column: pa.Array) -> pa.Array:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         per_row = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
-        out, at = decode_bytes(shared.value, column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), per_row)
+        out, at = decode_bytes(K.rebuilt(Vocabulary, shared), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), per_row)
         raw = out.tobytes()
         texts = [None if not ok else raw[at[r]:at[r + 1]].removeprefix(b" ").decode("utf-8", "replace")
                  for r, ok in enumerate(column.is_valid().to_pylist())]
