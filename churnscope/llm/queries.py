@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, chat, decontaminate, line_dedup, near_dup, pieces, quality, topk
+from . import bloom_lm, chat, decontaminate, html_text, line_dedup, near_dup, pieces, pii, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +132,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_spans(docs, pii.fit(docs), redacted=False).select("doc_id", "pii.*")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.with_main_text(pages).select("page_id", "url", "text",
+                                                  F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op7_pii": op7_pii,
+    "op8_html_extraction": op8_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_exact_topk": op4_exact_topk,
     "op10_lm_scoring": op10_lm_scoring,
