@@ -11,16 +11,18 @@ Method
    below the expected share, ``least_overlap``), so it must share one of the ``k - o + 1`` rarest values of
    either sketch. Values are ranked by the number of sketches that hold them; values held by one sketch only
    produce no list. Frequent passages are never the rarest values of a text that has anything of its own.
-3. Lists generate pairs in rounds instead of all pairs: a round compares up to 16^r centres of a list with its
-   members, links are verified and merged into components, and the next round takes centres only from members
-   outside the component of the list's first centre. The rounds end when every such member has been a centre, so
-   no link between two components is left out, and a family of n near copies costs about n pairs.
+3. Lists generate pairs in rounds instead of all pairs: a round compares up to 64^r centres of a list with its
+   members, links are verified and merged into components, and the next round takes centres only from members outside
+   the component of the list's first centre. The rounds end when every such member has been a centre, so no link
+   between two components is left out, and a family of n near copies costs about n pairs. A pair leaves the join only
+   if its parity maps allow it: the map has 1,024 bits, each the parity of the number of hashes that fall on it, so
+   the bits in which two maps differ never exceed the number of hashes that only one of the sets holds.
 4. The union sketch (k smallest values of both sketches) estimates the similarity and drops pairs 5 standard
    deviations below the threshold; the exact Jaccard similarity of the full sets decides.
 
 Edge cases: null text, empty text or text without words has an empty set (n_shingles 0), is linked with nothing
-and keeps its own id as component. Repeated doc_ids: one row per input row, the same id shares a component only
-by its sets. Null doc_id: the row is returned with its set size and a null component, and links nothing. Extra
+and keeps its own id as component. Repeated doc_ids: one row per input row; rows of one id with
+different texts are one node of the link graph, whose links are verified on the text with the smaller set. Null doc_id: the row is returned with its set size and a null component, and links nothing. Extra
 columns are ignored. An empty table gives an empty result.
 """
 
@@ -39,10 +41,12 @@ from .graph import components
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 64
+PARITY_LONGS = 16
+CENTRES = 64
 LINK_PERCENT = 85
 DEVIATIONS = 5.0
 
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>"
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>, parity array<long>"
 
 
 def text_sets(column: pa.Array, shingle: int = SHINGLE_WORDS):
@@ -68,20 +72,26 @@ def signatures(docs: DataFrame, k: int = SKETCH_SIZE, shingle: int = SHINGLE_WOR
         for batch in batches:
             n, da, db = [], [], []
             flat, size = [], []
-            for _, s in text_sets(batch.column(1), shingle):
+            bits = 64 * PARITY_LONGS
+            maps = np.zeros((batch.num_rows, bits), bool)
+            for r, s in text_sets(batch.column(1), shingle):
                 n.append(len(s))
                 mixed = K.mix64(s + np.uint64(0x51ED27))
                 da.append(int(np.add.reduce(mixed, dtype=np.uint64).view(np.int64)))
                 db.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(s) else 0)
                 flat.append(s[:k])
                 size.append(min(k, len(s)))
+                maps[r] = np.bincount(((s >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             off = np.zeros(len(size) + 1, np.int32)
             np.cumsum(size, out=off[1:])
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
+            parity = np.packbits(maps, axis=1, bitorder="little").view(np.int64).reshape(-1)
+            every = np.arange(len(n) + 1, dtype=np.int32) * PARITY_LONGS
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(da, pa.int64()), pa.array(db, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(values))],
-                names=["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
+                 pa.ListArray.from_arrays(pa.array(off), pa.array(values)),
+                 pa.ListArray.from_arrays(pa.array(every), pa.array(parity))],
+                names=["doc_id", "n_shingles", "digest_a", "digest_b", "sketch", "parity"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, SIGNATURE_SCHEMA)
 
 
@@ -118,18 +128,27 @@ def estimated(pairs: DataFrame, sketches: DataFrame, k: int, percent: int) -> Da
     return p.where(both >= floor).select("a", "b")
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of doc_ids whose full sets are linked. Sets are rebuilt for the documents in pairs only."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("rep")).select("doc_id", "text")
-
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(rep, s): the sorted shingle hashes of the documents named in ``ids`` (column rep)."""
     def sets(batches):
         for batch in batches:
             blobs = [s.tobytes() for _, s in text_sets(batch.column(1), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["rep", "s"])
+
+    texts = docs.join(ids, F.col("doc_id") == F.col("rep")).select("doc_id", "text")
+    # repeated rows of a doc_id with different texts: the smallest set stands for the id
+    return materialize(texts.mapInArrow(sets, "rep long, s binary").groupBy("rep").agg(F.min("s").alias("s")),
+                       name="nd-sets")
 
-    full = materialize(texts.mapInArrow(sets, "doc_id long, s binary"), name="nd-sets")
 
+def least_difference(one: list[str], other: list[str]):
+    """A lower bound of the number of hashes in one set only: bits in which the parity maps differ."""
+    return sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(one[1:], other[1:], strict=True)),
+               F.bit_count(F.col(one[0]).bitwiseXOR(F.col(other[0]))))
+
+
+def exact_links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are linked."""
     def compare(batches):
         for batch in batches:
             keep = []
@@ -153,41 +172,50 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SKETCH_SIZE, shingle: int =
 
     ``docs`` holds one text per representative (doc_id = rep) at least.
     """
-    lists = materialize(inverted_lists(reps, percent), name="nd-lists")
-    first = lists.groupBy("v").agg(F.min("rep").alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+    lists = inverted_lists(reps, percent).join(
+        reps.select("rep", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_LONGS)]), "rep")
+    lists = materialize(lists, name="nd-lists")
+    own = [f"p{i}" for i in range(PARITY_LONGS)]
+    theirs = [f"q{i}" for i in range(PARITY_LONGS)]
+    first = lists.groupBy("v").agg(F.min("rep").alias("c"), F.count("*").alias("m")).where("m > 1").select("v", "c")
     lists = lists.join(first, "v")
-    spark = docs.sparkSession
+    lists = materialize(lists, name="nd-lists")
+    full = full_sets(docs, lists.select("rep").distinct(), shingle)
+    # |A xor B| <= (100 - percent) / (100 + percent) * (|A| + |B|) holds for every link
+    possible = (least_difference(own, theirs) * (100 + percent)
+                <= (F.col("n") + F.col("nx")) * (100 - percent))
     found = tried = comp = None
     r = 0
     while True:
         if r == 0:
-            centre = first.select("v", "c", F.col("c").alias("x"))
-            members = lists.select("v", "rep", "n")
-            centre = centre.join(members.toDF("v", "x", "nx"), ["v", "x"]).select("v", "x", "nx")
+            members = lists
+            rest = lists.where("rep = c").select("v", F.col("rep").alias("x"), F.col("n").alias("nx"),
+                                                 *[F.col(a).alias(b) for a, b in zip(own, theirs, strict=True)])
+            centre, apart = rest, F.lit(True)
         else:
             of = comp.toDF("rep", "k1")
             members = lists.join(of, "rep", "left").withColumn("k1", F.coalesce("k1", "rep"))
             main = comp.toDF("c", "kc")
             rest = (members.join(main, "c", "left").withColumn("kc", F.coalesce("kc", "c")).where("k1 <> kc")
                     .join(tried.select("v", F.col("x").alias("rep")), ["v", "rep"], "left_anti"))
-            rest = materialize(rest.select("v", F.col("rep").alias("x"), F.col("n").alias("nx"),
-                                           F.col("k1").alias("kx")), name="nd-rest")
-            if rest.isEmpty():
-                break
-            bucket = F.pmod(F.xxhash64("x", F.lit(r)), F.lit(16 ** min(r, 10)))
+            rest = rest.select("v", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("k1").alias("kx"),
+                               *[F.col(a).alias(b) for a, b in zip(own, theirs, strict=True)])
+            bucket = F.pmod(F.xxhash64("x", F.lit(r)), F.lit(CENTRES ** min(r, 10)))
             centre = (rest.groupBy("v", bucket.alias("b"))
-                      .agg(F.min(F.struct("x", "nx", "kx")).alias("s")).select("v", "s.x", "s.nx", "s.kx"))
-        centre = materialize(centre, name="nd-centres")
-        met = members.join(centre, "v").where(
-            f"rep <> x and 100 * least(n, nx) >= {percent} * greatest(n, nx)" + (" and k1 <> kx" if r else ""))
-        pairs = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+                      .agg(F.min(F.struct("x", "nx", "kx", *theirs)).alias("z")).select("v", "z.*"))
+            centre = materialize(centre, name="nd-centres")
+            if centre.isEmpty():
+                break
+            apart = F.col("k1") != F.col("kx")
+        near = members.join(centre, "v").where((F.col("rep") != F.col("x")) & possible & apart)
+        pairs = near.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs = materialize(estimated(pairs, reps, k, percent), name="nd-pairs")
-        new = materialize(exact_links(pairs, docs, shingle, percent), name="nd-links")
+        new = materialize(exact_links(pairs, full, percent), name="nd-links")
         found = new if found is None else found.union(new)
         tried = centre.select("v", "x") if tried is None else tried.union(centre.select("v", "x"))
         comp = materialize(components(found.toDF("u", "v")), name="nd-components")
         r += 1
-    return comp if comp is not None else spark.createDataFrame([], "node long, component long")
+    return comp
 
 
 def near_duplicates(docs: DataFrame, k: int = SKETCH_SIZE, shingle: int = SHINGLE_WORDS,
@@ -197,7 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH_SIZE, shingle: int = SHINGL
     sig = materialize(signatures(docs, k, shingle), name="nd-signatures")
     key = ["n_shingles", "digest_a", "digest_b"]
     classes = (sig.where("n_shingles > 0 and doc_id is not null")
-               .groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+               .groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"),
+                                  F.first("parity").alias("parity")))
     classes = materialize(classes, name="nd-classes")
     found = links(classes, docs, k, shingle, percent)
     named = (classes.select(*key, "rep").join(found, F.col("rep") == F.col("node"), "left")
