@@ -29,17 +29,17 @@ _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
 SHINGLE_KEYS = _RNG.integers(1, 2**64 - 1, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+_LOWER_BYTE = _BYTE[LOWER]
+HASH_BYTES = 1 << 17  # bytes hashed at once (a longer word alone)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(m, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    out = []
+    for base in (_BASE, _BASE_INV):
+        p = np.full(n, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -101,10 +101,21 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word after lower-casing A-Z."""
-        up, down = _powers(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[LOWER[self.buf]] * up[:-1], out=total[1:])
-        return mix64((total[self.end] - total[self.start]) * down[self.start])
+        out = np.empty(len(self.start), np.uint64)
+        up, down = _powers(min(len(self.buf), HASH_BYTES) + 1)
+        i = 0
+        while i < len(out):
+            base = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, base + HASH_BYTES, side="right")))
+            size = self.end[j - 1] - base
+            if size >= len(up):
+                up, down = _powers(size + 1)
+            total = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(_LOWER_BYTE[self.buf[base:base + size]] * up[:size], out=total[1:])
+            a, b = self.start[i:j] - base, self.end[i:j] - base
+            out[i:j] = (total[b] - total[a]) * down[a]
+            i = j
+        return mix64(out)
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:
