@@ -21,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import sql_oracle as O  # noqa: E402
 from churnscope.operators import archetype as arch  # noqa: E402
 from churnscope.operators import topology as topo  # noqa: E402
+from churnscope.functions.materialize import materialize  # noqa: E402
 from churnscope.plans import stages  # noqa: E402
 from churnscope.operators import binning  # noqa: E402
 from churnscope.operators import profile as prof  # noqa: E402
@@ -33,12 +34,11 @@ from churnscope.operators import progression as prog  # noqa: E402
 from churnscope.operators import align  # noqa: E402
 from churnscope.operators import plotdata  # noqa: E402
 
-ROUND = 6
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
 def sig10(c):
-    """Keep 10 significant digits with plain IEEE arithmetic (|x| < 1e-9 -> 0).
+    """Keep 10 significant digits with plain IEEE arithmetic.
 
     floor(x * s + 31/64) / s with s an exact power of ten evaluates identically
     in Spark and DuckDB, so float noise from a different summation order is
@@ -49,7 +49,7 @@ def sig10(c):
     """
     scale = F.pow(F.lit(10.0), F.lit(9.0) - F.floor(F.log10(F.abs(c))))
     special = F.isnan(c) | (F.abs(c) == float("inf"))
-    return (F.when(special, c).when(F.abs(c) < 1e-9, F.lit(0.0))
+    return (F.when(special, c).when(c == 0, F.lit(0.0))
             .otherwise(F.floor(c * scale + 0.484375).cast("double") / scale))
 
 
@@ -124,8 +124,8 @@ def q_high_density_zones(spark, sf_dir):
 
 
 def q_interaction_matrix(spark, sf_dir):
-    pair = "avg_transaction_value_state__value_density_state"
-    return topo.interaction_matrix(_density(spark, sf_dir), pair, ["low", "moderate", "high"])
+    labels = sorted({x for f in binning.STATE_FEATURES for x in binning.state_labels(f)})
+    return topo.interaction_matrices(_density(spark, sf_dir), labels)
 
 
 def q_exposure_mean_diff(spark, sf_dir):
@@ -137,7 +137,7 @@ def q_missingness_by_outcome(spark, sf_dir):
 
 
 def q_leakage_register(spark, sf_dir):
-    return reg.leakage_register(stages.mart(spark, sf_dir, how="none"))
+    return reg.leakage_register(prof.missingness_by_outcome(stages.mart(spark, sf_dir)))
 
 
 def q_mutual_information(spark, sf_dir):
@@ -183,22 +183,24 @@ def q_brackets_equal_width(spark, sf_dir):
 
 def q_brackets_rate_rank(spark, sf_dir):
     df = stages.profile_frame(spark, sf_dir)
-    cols = prof.categorical_columns(df)
-    return prof.bracket_stats(prof.rate_rank_brackets(df, cols), cols, with_moments=False)
+    return _category_brackets(df)
+
+
+def _category_brackets(df):
+    total = df.select(F.count(F.lit(1))).scalar()
+    return prof.category_bracket_stats(prof.ranked_categories(df, prof.categorical_columns(df)), total)
 
 
 def q_bracket_pattern(spark, sf_dir):
     b, strategy = _numeric_brackets(spark, sf_dir)
-    df = stages.profile_frame(spark, sf_dir)
-    cats = prof.categorical_columns(df)
     num = prof.bracket_stats(b, list(strategy)).select("feature", "bracket", "churn_rate")
-    cat = prof.bracket_stats(prof.rate_rank_brackets(df, cats), cats, False).select("feature", "bracket",
-                                                                                   "churn_rate")
+    cat = _category_brackets(stages.profile_frame(spark, sf_dir)).select("feature", "bracket", "churn_rate")
     return prof.bracket_pattern(num.unionByName(cat))
 
 
 def q_profile_register(spark, sf_dir):
-    return reg.profile_register(stages.profile_frame(spark, sf_dir, how="none"))
+    df = stages.profile_frame(spark, sf_dir)
+    return reg.profile_register(prof.column_counts(df))
 
 
 def q_overall_churn(spark, sf_dir):
@@ -342,7 +344,7 @@ def q_topology_summary(spark, sf_dir):
 
 
 def q_silhouette(spark, sf_dir):
-    return align.silhouette(align.topology_rows(stages.inferential(spark, sf_dir)))
+    return align.silhouette(align.scaled_rows(stages.inferential(spark, sf_dir)))
 
 
 def q_structural_classes(spark, sf_dir):
@@ -350,14 +352,20 @@ def q_structural_classes(spark, sf_dir):
     return align.structural_classes(prof_, al)
 
 
-def q_final_synthesis(spark, sf_dir):
+def _summary(spark, sf_dir):
     inf, prof_, ref, al = _alignment(spark, sf_dir)
     mah = align.population_mahalanobis(inf, prof_, ref, stages.REFERENCE_PAIR)
     cls = align.structural_classes(prof_, al).select("population", "structural_classification")
     topo_ = align.topology_summary(align.topology_rows(inf))
-    summary = (prof_.drop("behavioral_vector").join(al, "population", "left").join(mah, "population", "left")
-               .join(cls, "population", "left").join(topo_, "population", "left"))
-    return align.final_synthesis(summary)
+    return align.comparison_summary(prof_, al, mah, cls, topo_)
+
+
+def q_comparison_summary(spark, sf_dir):
+    return _summary(spark, sf_dir)
+
+
+def q_final_synthesis(spark, sf_dir):
+    return align.final_synthesis(_summary(spark, sf_dir))
 
 
 def q_histogram30(spark, sf_dir):
@@ -373,26 +381,29 @@ def q_unclassified_count(spark, sf_dir):
 
 
 def q_state_mapping_logic(spark, sf_dir):
-    return binning.state_mapping_logic(stages.state_model(spark, sf_dir)[1])
+    model = stages.state_model(spark, sf_dir)[1]
+    logic = binning.state_mapping_logic(model).select("feature", "state_column", "labels",
+                                                      F.size("logic").alias("rules"))
+    return logic.join(model.select("feature", "low_threshold", "high_threshold"), "feature")
 
 
 def q_feature_report(spark, sf_dir):
     df = stages.profile_frame(spark, sf_dir)
     nums, cats = prof.numeric_columns(df), prof.categorical_columns(df)
-    strategy = prof.bracket_strategy(prof.numeric_profile(df, nums))
-    b = prof.numeric_brackets(df, strategy)
+    numeric = materialize(prof.numeric_profile(df, nums), name="numeric_profile")
+    b = prof.numeric_brackets(df, prof.bracket_strategy(numeric))
     num_b = prof.bracket_stats(b, nums)
-    cat_b = prof.bracket_stats(prof.rate_rank_brackets(df, cats), cats, with_moments=False)
-    brackets = num_b.unionByName(cat_b, allowMissingColumns=True)
+    cat_b = _category_brackets(df)
+    brackets = materialize(num_b.unionByName(cat_b, allowMissingColumns=True), name="brackets")
     patterns = prof.bracket_pattern(brackets.select("feature", "bracket", "churn_rate"))
-    return prof.feature_report(reg.profile_register(df), prof.numeric_profile(df, nums), prof.corr_profile(df, nums),
+    return prof.feature_report(reg.profile_register(prof.column_counts(df)), numeric, prof.corr_profile(df, nums),
                                prof.categorical_profile(df, cats), brackets, patterns)
 
 
 def q_state_preview(spark, sf_dir):
     from churnscope.sources.tables import preview
     st = stages.state_dataset(spark, sf_dir)
-    cols = ["customer_id"] + [c for c in st.columns if c.endswith("_state")]
+    cols = ["customer_id", *binning.STATE_FEATURES] + [c for c in st.columns if c.endswith("_state")]
     return preview(st, cols, ["customer_id"])
 
 
@@ -405,9 +416,16 @@ def q_recency_engagement_points(spark, sf_dir):
                                    "engagement_efficiency", "behavioral_archetype")
 
 
+def q_value_density_points(spark, sf_dir):
+    return plotdata.scatter_points(stages.archetype_dataset(spark, sf_dir), "avg_transaction_value",
+                                   "value_density", "behavioral_archetype")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "membership_segments": q_membership_segments,
     "recency_engagement_points": q_recency_engagement_points,
+    "value_density_points": q_value_density_points,
+    "comparison_summary": q_comparison_summary,
     "state_preview": q_state_preview,
     "histogram30": q_histogram30,
     "box_stats": q_box_stats,
@@ -506,7 +524,12 @@ _SQL = {
                                           "WHERE membership_category IS NOT NULL"),
     "recency_engagement_points": (O.ARCHETYPES, "SELECT behavioral_archetype, recency_score, engagement_efficiency "
                                                 "FROM arc"),
-    "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet_state, avg_transaction_value_state, "
+    "value_density_points": (O.ARCHETYPES, "SELECT behavioral_archetype, avg_transaction_value, value_density "
+                                           "FROM arc"),
+    "state_mapping_logic": (O.STATES, O.STATE_MAPPING),
+    "silhouette": (O.SCALED, O.SILHOUETTE),
+    "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet, avg_transaction_value, "
+                                "avg_frequency_login_days, value_density, points_in_wallet_state, avg_transaction_value_state, "
                                 "avg_frequency_login_days_state, value_density_state FROM st "
                                 "ORDER BY customer_id LIMIT 5"),
     "histogram30": (O.STATES, O.HISTOGRAM),
@@ -554,7 +577,7 @@ _SQL = {
                                         "FROM nbs WHERE strategy = 'width'"),
     "brackets_rate_rank": (O.PROFILE, "SELECT feature, bracket, count, proportion, churn_rate FROM cbs"),
     "bracket_pattern": (O.PROFILE, O.BRACKET_PATTERN),
-    "profile_register": (O.MART, O.PROFILE_REGISTER),
+    "profile_register": (O.PROFILE, O.PROFILE_REGISTER),
     "archetype_summary": (O.ARCHETYPES, """
         SELECT behavioral_archetype, count(*) AS frequency,
                count(*) * 100.0 / (SELECT count(*) FROM arc) AS prevalence_percentage
@@ -579,12 +602,7 @@ _SQL = {
                  AS dominant_compound_states,
                CAST(count(*) AS INTEGER) AS interaction_density_count
         FROM dens WHERE density_classification = 'overrepresented_zone' GROUP BY feature_pair"""),
-    "interaction_matrix": (O.DENSITY, """
-        SELECT state_a,
-               max(CASE WHEN state_b = 'low' THEN joint_prevalence_percentage END) AS low,
-               max(CASE WHEN state_b = 'moderate' THEN joint_prevalence_percentage END) AS moderate,
-               max(CASE WHEN state_b = 'high' THEN joint_prevalence_percentage END) AS high
-        FROM dens WHERE feature_pair = 'avg_transaction_value_state__value_density_state' GROUP BY state_a"""),
+    "interaction_matrix": (O.DENSITY, O.INTERACTION_MATRIX),
 }
 
 

@@ -82,6 +82,17 @@ def dummy_name(prefix: str, level: str) -> str:
     return f"{prefix}_{re.sub(r'[^0-9A-Za-z_]', '_', str(level))}"
 
 
+def dummy_names(prefix: str, levels: Iterable[str]) -> dict[str, str]:
+    """Level -> column name; levels whose names would coincide get _2, _3, ... in their sorted order."""
+    out: dict[str, str] = {}
+    for level in levels:
+        name, n = dummy_name(prefix, level), 2
+        while name.lower() in {x.lower() for x in out.values()}:
+            name, n = f"{dummy_name(prefix, level)}_{n}", n + 1
+        out[level] = name
+    return out
+
+
 def state_from_thresholds(c: Column | str, lo, hi, labels: tuple[str, str, str]) -> Column:
     """<= lo -> label0, <= hi -> label1, else label2 (NULL also gets label2)."""
     c = col(c)

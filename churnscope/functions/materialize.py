@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_WRITTEN: dict[str, set[str]] = {}       # application id -> paths written by ``materialize``
+_SHARED: dict[tuple, DataFrame] = {}     # (application id, key, input state) -> frame of ``materialize_once``
+
 
 def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataFrame:
     """Write ``df`` once and reuse it.
@@ -18,12 +21,14 @@ def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataF
     pruning and filter pushdown. ``checkpoint`` uses Spark's reliable
     checkpoint (persisted first so the data is computed once); ``cache``
     keeps it in executor memory/disk (recomputed from lineage on loss).
+    ``drop_materialized`` removes the written tables.
     """
     spark = df.sparkSession
     if how == "table":
         base = ensure_checkpoint_dir(spark).rstrip("/")
         path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
         return spark.read.parquet(path)
     if how == "checkpoint":
         ensure_checkpoint_dir(spark)
@@ -34,3 +39,40 @@ def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataF
     if how == "cache":
         return df.persist()
     return df
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def input_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Length and modification time of the given files or folders: tells a rewritten input from the one read before."""
+    state = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        summary, status = fs.getContentSummary(p), fs.getFileStatus(p)
+        state.append((path, summary.getLength(), summary.getFileCount(), status.getModificationTime()))
+    return tuple(state)
+
+
+def materialize_once(spark: SparkSession, key: str, inputs: list[str], make, name: str = "stage") -> DataFrame:
+    """``materialize(make())`` once per session, key and state of the input files; written again if it was removed."""
+    at = (spark.sparkContext.applicationId, key, input_state(spark, inputs))
+    df = _SHARED.get(at)
+    if df is None or not all(_exists(spark, f) for f in df.inputFiles()[:1]):
+        df = _SHARED[at] = materialize(make(), name=name)
+    return df
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Remove every table that ``materialize`` wrote in this application; returns their number."""
+    app = spark.sparkContext.applicationId
+    paths = _WRITTEN.pop(app, set())
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for key in [k for k in _SHARED if k[0] == app]:
+        del _SHARED[key]
+    return len(paths)

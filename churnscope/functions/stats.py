@@ -1,21 +1,18 @@
 """Statistical building blocks as Spark aggregates.
 
-``quantiles`` is exact (linear interpolation between order statistics, the
-definition pandas, numpy and DuckDB's ``quantile_cont`` use) but never holds
-a whole group in one task: a first aggregate brackets every requested
-quantile with ``percentile_approx`` (a bounded-memory sketch whose rank error
-is at most n/accuracy), a second aggregate counts the rows below each
-bracket and collects only the values strictly inside it. Groups smaller than
-the sketch's error window are bracketed by their min and max, so they are
-collected whole (at most ``8 * accuracy`` values). A bracket that misses
-its target rank raises instead of returning a wrong number.
+``quantiles`` is exact (linear interpolation between order statistics, the definition pandas, numpy and DuckDB's
+``quantile_cont`` use) and takes the same path for every number of rows and groups. A first aggregate brackets each
+requested quantile with ``percentile_approx`` (a sketch of bounded memory whose rank error is at most n/accuracy). A
+second aggregate counts, per group and quantile, the rows below the bracket, above it, and each distinct value inside
+it (about 8 n/accuracy rows); a running sum over those counts finds the two order statistics. Nothing is collected on
+the driver and no list of values is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 100_000
@@ -27,11 +24,8 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
-MAX_GROUPS = 10_000  # quantile groups are features x populations: small by construction
-LITERAL_GROUPS = 256  # up to this many groups, bracket bounds are inlined as a literal map
-
-
 def _group_key(keys: list[str]) -> Column:
+    """One non-NULL key for the group columns, so that NULL groups join too."""
     return F.to_json(F.struct(*[F.col(k) for k in keys])) if keys else F.lit("")
 
 
@@ -39,90 +33,48 @@ def quantiles(long_df: DataFrame, keys: Sequence[str], value: str, probs: Sequen
               out: str = "q", accuracy: int = ACCURACY, extra: dict | None = None) -> DataFrame:
     """Exact linear quantiles of ``value`` per ``keys`` group.
 
-    Returns ``keys + [out]`` where ``out`` is ``array<double>`` aligned with
-    ``probs`` (NULL entries when a group has no non-NULL value). NULLs are
-    skipped; callers turn NaN into NULL first.
+    Returns ``keys + [out]`` where ``out`` is ``array<double>`` aligned with ``probs`` (NULL entries when a group has
+    no value), then the aggregates of ``extra`` (name -> function of the value column). NULL and NaN are skipped.
 
-    Jobs: (1) count/min/max per group; (2) only for groups too large to
-    collect whole (n >= 8 * accuracy), a ``percentile_approx`` sketch at
-    p -/+ 4/accuracy; (3) per group and quantile, the rows below the bracket
-    are counted and the values inside it collected and sorted. Bracket
-    bounds reach the last job as literals keyed by group (no join).
+    The bracket table (one row per group) meets the rows in a join on the group; its size decides between a broadcast
+    and a shuffle join, whose frequent keys adaptive execution splits.
     """
-    keys = list(keys)
-    probs = [float(p) for p in probs]
-    eps = 1.0 / accuracy
-    k = len(probs)
-    v = F.col(value).cast("double")
-    src = long_df.select(*keys, v.alias("_v"), _group_key(keys).alias("_g"))
-
-    stats = src.groupBy("_g").agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"),
-                                  F.max("_v").alias("_mx")).limit(MAX_GROUPS + 1).collect()
-    if len(stats) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} quantile groups")
-    bounds = {r["_g"]: ([r["_mn"]] * k, [r["_mx"]] * k) for r in stats}
-    large = [r["_g"] for r in stats if r["_n"] * eps >= 2 * _MARGIN]
-    if large:
-        lo_p = [max(p - _MARGIN * eps, 0.0) for p in probs]
-        hi_p = [min(p + _MARGIN * eps, 1.0) for p in probs]
-        sk = (src.where(F.col("_g").isin(large)).groupBy("_g")
-              .agg(F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_ap")).collect())
-        for r in sk:
-            bounds[r["_g"]] = (list(r["_ap"][:k]), list(r["_ap"][k:]))
-
-    def lookup(side: int, i: int) -> Column:
-        if not bounds:
-            return F.lit(None).cast("double")
-        if len(bounds) == 1 and not keys:
-            b = next(iter(bounds.values()))
-            return F.lit(b[side][i]).cast("double")
-        m = F.create_map(*[x for g, b in bounds.items() for x in (F.lit(g), F.lit(b[side][i]).cast("double"))])
-        return m[F.col("_g")]
-
-    if len(bounds) <= LITERAL_GROUPS:
-        staged = src.withColumns({**{f"_lo{i}": lookup(0, i) for i in range(k)},
-                                  **{f"_hi{i}": lookup(1, i) for i in range(k)}})
-    else:
-        # many groups: the bounds travel as a small table (at most MAX_GROUPS rows) joined on the group key
-        schema = "_g string, " + ", ".join([f"_lo{i} double" for i in range(k)] + [f"_hi{i} double" for i in range(k)])
-        rows = [(g, *[None if x is None else float(x) for x in b[0]], *[None if x is None else float(x) for x in b[1]])
-                for g, b in bounds.items()]
-        staged = src.join(src.sparkSession.createDataFrame(rows, schema), "_g", "left")
-    aggs = [F.count("_v").alias("_n")]
-    for i in range(k):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        aggs += [
-            F.first(lo, ignorenulls=True).alias(f"_lo{i}"),
-            F.first(hi, ignorenulls=True).alias(f"_hi{i}"),
-            F.count_if(F.col("_v") < lo).alias(f"_lt{i}"),
-            F.count_if(F.col("_v") == lo).alias(f"_eq{i}"),
-            F.count_if(F.col("_v") <= hi).alias(f"_le{i}"),
-            F.sort_array(F.collect_list(F.when((F.col("_v") > lo) & (F.col("_v") < hi), F.col("_v"))))
-            .alias(f"_in{i}"),
-        ]
-    extra = extra or {}
-    aggs += [fn(F.col("_v")).alias(name) for name, fn in extra.items()]
-    refined = staged.groupBy(*keys).agg(*aggs)
-
-    def at(i: int, pos: Column) -> Column:
-        lt, eq, le = F.col(f"_lt{i}"), F.col(f"_eq{i}"), F.col(f"_le{i}")
-        inner = F.col(f"_in{i}")
-        return (
-            F.when(pos < lt, F.raise_error(F.lit("quantile bracket below target rank")))
-            .when(pos < lt + eq, F.col(f"_lo{i}"))
-            .when(pos < lt + eq + F.size(inner), F.element_at(inner, (pos - lt - eq + 1).cast("int")))
-            .when(pos < le, F.col(f"_hi{i}"))
-            .otherwise(F.raise_error(F.lit("quantile bracket above target rank")))
-        )
-
-    values = []
-    for i, p in enumerate(probs):
-        r = F.lit(p) * (F.col("_n") - 1).cast("double")
-        i0, i1 = F.floor(r), F.ceil(r)
-        a, b = at(i, i0), at(i, i1)
-        frac = r - i0
-        values.append(F.when(F.col("_n") > 0, F.when(i0 == i1, a).otherwise(a + (b - a) * frac)))
-    return refined.select(*keys, F.array(*values).alias(out), *extra.keys())
+    keys, probs, extra = list(keys), [float(p) for p in probs], extra or {}
+    k, eps = len(probs), 1.0 / accuracy
+    src = long_df.select(*keys, nan_to_null(F.col(value).cast("double")).alias("_v"), _group_key(keys).alias("_g"))
+    sides = [max(p - _MARGIN * eps, 0.0) for p in probs] + [min(p + _MARGIN * eps, 1.0) for p in probs]
+    groups = src.groupBy("_g").agg(
+        *[F.first(c).alias(c) for c in keys], F.count("_v").alias("_n"),
+        F.percentile_approx("_v", sides, accuracy).alias("_ap"), *[fn(F.col("_v")).alias(name) for name, fn in extra.items()])
+
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_ap")[i].alias("lo"), F.col("_ap")[k + i].alias("hi"),
+                                  (F.lit(p) * (F.col("_n") - 1).cast("double")).alias("r")) for i, p in enumerate(probs)])
+    rows = (src.where(F.col("_v").isNotNull())
+            .join(groups.select("_g", brackets.alias("_b")), "_g")
+            .select("_g", "_v", F.explode("_b").alias("_b")).select("_g", "_v", "_b.*"))
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") <= F.col("hi"), 0).otherwise(1)
+    counts = (rows.withColumn("side", side)
+              .groupBy("_g", "i", "side", F.when(F.col("side") == 0, F.col("_v")).alias("v"))
+              .agg(F.count(F.lit(1)).alias("n"), F.first("r").alias("r"), F.min("_v").alias("mn"), F.max("_v").alias("mx")))
+    w = Window.partitionBy("_g", "i").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
+
+    def at(rank: Column) -> Column:
+        """The order statistic of ``rank`` if this row holds it (the nearest values beside the bracket are known too)."""
+        value_ = (F.when(F.col("side") == 0, F.col("v"))
+                  .when((F.col("side") < 0) & (rank == F.col("end") - 1), F.col("mx"))
+                  .when((F.col("side") > 0) & (rank == F.col("start")), F.col("mn"))
+                  .otherwise(F.raise_error(F.lit("percentile_approx exceeded its error bound")).cast("double")))
+        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), value_))
+
+    picked = placed.groupBy("_g", "i").agg(F.first("r").alias("r"), at(F.floor("r")).alias("a"), at(F.ceil("r")).alias("b"))
+    frac = F.col("r") - F.floor("r")
+    picked = picked.select("_g", "i", F.when(frac == 0, F.col("a")).otherwise(
+        F.col("a") + (F.col("b") - F.col("a")) * frac).alias("x"))
+    lists = picked.groupBy("_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias(out))
+    none = F.array(*[F.lit(None).cast("double")] * k)
+    return (groups.drop("_ap", "_n").join(lists, "_g", "left")
+            .select(*keys, F.coalesce(F.col(out), none).alias(out), *extra))
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:
@@ -138,23 +90,17 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     return F.try_divide(F.covar_pop(xp, yp), F.stddev_pop(xp) * F.stddev_pop(yp))
 
 
-def distinct_counts_capped(df: DataFrame, cols: Sequence[str], cap: int, margin: float = 4.0) -> dict:
+def distinct_counts_capped(df: DataFrame, cols: Sequence[str], cap: int) -> dict:
     """Exact distinct counts (NULL excluded) for columns with at most ``cap`` values; None above it.
 
-    One HyperLogLog++ pass (no shuffle of values) sets aside columns whose
-    estimate exceeds ``margin * cap`` (with 5% relative error that margin is
-    far beyond any plausible estimation error); exact counts run only for the
-    remaining candidates, whose few distinct values keep the exact
-    aggregate's shuffle small.
+    Distinct (column, value) pairs are counted by two partially aggregated group-bys over all columns at once.
     """
     cols = list(cols)
     if not cols:
         return {}
-    est = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    cand = [c for c in cols if est[c] <= margin * cap + 2]
-    out = {c: None for c in cols}
-    if cand:
-        exact = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()
-        for c in cand:
-            out[c] = int(exact[c]) if exact[c] <= cap else None
-    return out
+    types = dict(df.dtypes)
+    text = [(F.col(c) + F.lit(0.0).cast(types[c]) if types[c] in ("double", "float") else F.col(c)).cast("string").alias(c)
+            for c in cols]
+    pairs = df.select(*text).unpivot([], cols, "feature", "value").where(F.col("value").isNotNull()).distinct()
+    got = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: got.get(c, 0) if got.get(c, 0) <= cap else None for c in cols}

@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (clip_lower, clip_upper, coerce_numeric, dummy_name, log1p_safe,
-                                 safe_div, text_normalise)
+from ..functions.columns import (clip_lower, clip_upper, coerce_numeric, dummy_names, log1p_safe,
+                                 safe_div, text_normalise, to_date_coerce)
 from ..functions.stats import quantiles
 
 # Column names and constants of the rate formula set.
@@ -22,7 +22,6 @@ RATE_NUMERIC = ["points_in_wallet", "avg_transaction_value", "avg_time_spent",
 RATE_EPSILON = 1e-6
 RATE_CAP_QUANTILE = 0.99
 RATE_DROP = ["complaint_status", "region_category", "feedback"]
-MAX_DUMMY_LEVELS = 1000
 
 
 @dataclass
@@ -38,14 +37,14 @@ def latest_date(df: DataFrame, date_col: str = "joining_date"):
     """The latest join date (one small aggregate; None without the column)."""
     if date_col not in df.columns:
         return None
-    return df.agg(F.max(date_col)).first()[0]
+    return df.agg(F.max(to_date_coerce(date_col))).first()[0]
 
 
 def _tenure(df: DataFrame, reference_date, date_col: str = "joining_date"):
     """Days from each join date to the latest join date (fitted, inlined as a literal)."""
     if date_col not in df.columns:
         return None
-    return F.datediff(F.lit(reference_date).cast("date"), F.col(date_col)).cast("double")
+    return F.datediff(F.lit(reference_date).cast("date"), to_date_coerce(date_col)).cast("double")
 
 
 def _rate_base(df: DataFrame, eps: float = RATE_EPSILON, reference_date=None) -> DataFrame:
@@ -60,28 +59,18 @@ def _rate_base(df: DataFrame, eps: float = RATE_EPSILON, reference_date=None) ->
     })
 
 
-def distinct_levels(df: DataFrame, c: str, max_levels: int = MAX_DUMMY_LEVELS) -> list[str]:
-    """Sorted non-NULL levels of a categorical column, refusing unbounded domains."""
-    rows = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; not one-hot encodable")
-    return sorted(str(r[0]) for r in rows)
-
-
-def _levels_and_latest(df: DataFrame, c: str, date_col: str = "joining_date",
-                       max_levels: int = MAX_DUMMY_LEVELS) -> tuple[list[str], object]:
+def _levels_and_latest(df: DataFrame, c: str, date_col: str = "joining_date") -> tuple[list[str], object]:
     """One job for two fitted values: the levels of ``c`` and the latest ``date_col``.
 
     Grouping by the level gives one row per level with its latest date; the
-    overall latest date is the latest of those (NULL levels included).
+    overall latest date is the latest of those (NULL levels included). Every
+    level becomes a column, so the list is as long as the table is to be wide.
     """
     if c not in df.columns:
         return [], latest_date(df, date_col)
-    m = F.max(date_col) if date_col in df.columns else F.lit(None)
-    rows = df.groupBy(c).agg(m.alias("m")).limit(max_levels + 2).collect()
+    m = F.max(to_date_coerce(date_col)) if date_col in df.columns else F.lit(None)
+    rows = df.groupBy(c).agg(m.alias("m")).collect()
     levels = sorted(str(r[0]) for r in rows if r[0] is not None)
-    if len(levels) > max_levels:
-        raise ValueError(f"{c} has more than {max_levels} levels; not one-hot encodable")
     dates = [r["m"] for r in rows if r["m"] is not None]
     return levels, (max(dates) if dates else None)
 
@@ -118,9 +107,8 @@ def apply_rate_features(df: DataFrame, model: RateModel, eps: float = RATE_EPSIL
         out = out.withColumn("membership_category", text_normalise("membership_category"))
     dummies = {}
     if "region_category" in out.columns:
-        for level in model.region_levels:
-            dummies[dummy_name("region", level)] = F.coalesce(
-                (F.col("region_category") == level).cast("int"), F.lit(0))
+        for level, name in dummy_names("region", model.region_levels).items():
+            dummies[name] = F.coalesce((F.col("region_category") == level).cast("int"), F.lit(0))
     out = out.withColumns(dummies).drop(*RATE_DROP)
     out = out.withColumn("points_time_interaction", F.col("points_per_day") * F.col("time_per_day"))
     out = out.withColumns({f"{d}_x_value": F.col(d) * F.col("avg_transaction_value") for d in dummies})

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import quantiles
+from ..functions.stats import nan_to_null, quantiles
 
 BINS = 30
 WHISKER = 1.5
@@ -27,9 +27,10 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataF
     rng = rng.select("feature",
                      F.when(F.col("mx") == F.col("mn"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
                      F.when(F.col("mx") == F.col("mn"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    idx = F.least(F.floor((F.col("x") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counts = long_df.join(rng, "feature").groupBy("feature", idx.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"))
+    # the ranges (one per chart) reach the rows as one scalar map: no join of all rows on a few feature names
+    of = rng.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))).scalar()[F.col("feature")]
+    idx = F.least(F.floor((F.col("x") - of["lo"]) * bins / (of["hi"] - of["lo"])), F.lit(bins - 1))
+    counts = long_df.groupBy("feature", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select("feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, ["feature", "bin"], "left").select(
@@ -39,17 +40,26 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataF
 
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
-    """K2: quartiles, 1.5 IQR whiskers (most extreme values inside the fences) and outlier count."""
-    q = quantiles(df.select(by, value), [by], value, [0.25, 0.5, 0.75])
-    fences = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    fences = fences.withColumn("_lo", F.col("q1") - WHISKER * (F.col("q3") - F.col("q1"))).withColumn(
-        "_hi", F.col("q3") + WHISKER * (F.col("q3") - F.col("q1")))
-    x = F.col(value)
-    inside = (x >= F.col("_lo")) & (x <= F.col("_hi"))
-    agg = df.select(by, value).join(fences, by).groupBy(by, "q1", "median", "q3").agg(
+    """K2: quartiles, 1.5 IQR whiskers (most extreme values inside the fences) and outlier count.
+
+    NaN counts as missing. The fences (one per box) reach the rows as one scalar map, not by a join of all rows on
+    the few box names; a NULL box keeps its own entry.
+    """
+    rows = df.select(by, nan_to_null(F.col(value).cast("double")).alias("_x"),
+                     F.to_json(F.struct(by)).alias("_box"))
+    q = quantiles(rows, [by], "_x", [0.25, 0.5, 0.75])
+    iqr = F.col("q")[2] - F.col("q")[0]
+    fences = q.select(F.to_json(F.struct(by)).alias("_box"), F.struct(
+        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
+        (F.col("q")[0] - WHISKER * iqr).alias("lo"), (F.col("q")[2] + WHISKER * iqr).alias("hi")).alias("f"))
+    f = fences.agg(F.map_from_entries(F.collect_list(F.struct("_box", "f")))).scalar()[F.col("_box")]
+    staged = rows.where(F.col(by).isNotNull()).withColumn("f", f)
+    x = F.col("_x")
+    inside = (x >= F.col("f.lo")) & (x <= F.col("f.hi"))
+    return staged.groupBy(by, "f").agg(
         F.min(F.when(inside, x)).alias("lower_whisker"), F.max(F.when(inside, x)).alias("upper_whisker"),
-        F.count_if(x.isNotNull() & ~inside).alias("outlier_count"))
-    return agg
+        F.count_if(x.isNotNull() & ~inside).alias("outlier_count")).select(
+        by, "f.q1", "f.median", "f.q3", "lower_whisker", "upper_whisker", "outlier_count")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import distinct_counts_capped, pearson, quantiles
+from ..functions.columns import to_numeric
+from ..functions.ranking import group_rank
+from ..functions.stats import distinct_counts_capped, nan_to_null, pearson, quantiles
 from . import binning
 
 # Feature roles of the profile stage.
@@ -30,6 +32,11 @@ def per_feature(df: DataFrame, cols: Sequence[str], stats: dict[str, callable])
     return df.agg(F.array(*items).alias("_a")).select(F.inline("_a"))
 
 
+def numeric(df: DataFrame, c: str) -> Column:
+    """B1: a column as double; unparsable text and NaN are NULL."""
+    return to_numeric(c) if dict(df.dtypes)[c] == "string" else nan_to_null(F.col(c).cast("double"))
+
+
 def _churn_is(v: int) -> Column:
     return F.col("churn") == v
 
@@ -38,8 +45,8 @@ def exposure_mean_diff(df: DataFrame, cols: Sequence[str] = EXPOSURE_FEATURES) -
     """mean per outcome and difference (churned - retained)."""
     cols = [c for c in cols if c in df.columns]
     out = per_feature(df, cols, {
-        "churned_mean": lambda c: F.avg(F.when(_churn_is(1), F.col(c).cast("double"))),
-        "retained_mean": lambda c: F.avg(F.when(_churn_is(0), F.col(c).cast("double"))),
+        "churned_mean": lambda c: F.avg(F.when(_churn_is(1), numeric(df, c))),
+        "retained_mean": lambda c: F.avg(F.when(_churn_is(0), numeric(df, c))),
     })
     return out.withColumn("difference", F.col("churned_mean") - F.col("retained_mean"))
 
@@ -62,6 +69,18 @@ def missingness_by_outcome(df: DataFrame, cols: Sequence[str] | None = None) ->
     return out.withColumn("difference", F.col("churn_missing_rate") - F.col("retained_missing_rate"))
 
 
+def column_counts(df: DataFrame) -> DataFrame:
+    """feature, spark_type, present_count, missing_count of every column (one aggregate)."""
+    types = dict(df.dtypes)
+
+    def present(c):
+        ok = F.col(c).isNotNull()
+        return F.count_if(ok & ~F.isnan(c) if types[c] in ("double", "float") else ok)
+
+    return per_feature(df, df.columns, {"spark_type": lambda c: F.lit(types[c]), "present_count": present,
+                                        "missing_count": lambda c: F.count(F.lit(1)) - present(c)})
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ("churn",)) -> list[str]:
     """C4: numeric columns (the rest are categorical)."""
     num = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -75,10 +94,10 @@ def categorical_columns(df: DataFrame, exclude: Sequence[str] = ("churn",)) -> l
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """mean, median, std (n-1), population skewness, excess kurtosis, cv (NULL when mean is 0)."""
     mom = per_feature(df, cols, {
-        "mean": lambda c: F.avg(c),
-        "std": lambda c: F.stddev_samp(c),
-        "skewness": lambda c: F.skewness(c),
-        "kurtosis": lambda c: F.kurtosis(c),
+        "mean": lambda c: F.avg(numeric(df, c)),
+        "std": lambda c: F.stddev_samp(numeric(df, c)),
+        "skewness": lambda c: F.skewness(numeric(df, c)),
+        "kurtosis": lambda c: F.kurtosis(numeric(df, c)),
     })
     long_df = df.select(*cols).unpivot([], list(cols), "feature", "v")
     med = quantiles(long_df, ["feature"], "v", [0.5]).select("feature", F.col("q")[0].alias("median"))
@@ -91,8 +110,8 @@ def corr_profile(df: DataFrame, cols: Sequence[str], proxy: str = EXPOSURE_PROXY
     """Pearson correlation with the outcome and with the exposure proxy (pairwise complete)."""
     has_proxy = proxy in df.columns
     return per_feature(df, cols, {
-        "corr_churn": lambda c: pearson(F.col(c).cast("double"), F.col("churn").cast("double")),
-        "corr_exposure_proxy": lambda c: (pearson(F.col(c).cast("double"), F.col(proxy).cast("double"))
+        "corr_churn": lambda c: pearson(numeric(df, c), F.col("churn").cast("double")),
+        "corr_exposure_proxy": lambda c: (pearson(numeric(df, c), numeric(df, proxy))
                                           if has_proxy and c != proxy else F.lit(None).cast("double")),
     })
 
@@ -103,11 +122,11 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long_df = long_df.where(F.col("value").isNotNull())
     g = long_df.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"),
                                                 F.avg(F.col("churn").cast("double")).alias("churn_rate"))
-    # per-feature totals joined back (a window by feature would put every
-    # category of a feature in one task)
-    totals = long_df.groupBy("feature").agg(F.count(F.lit(1)).alias("_total"))
-    return g.join(totals, "feature").select("feature", "value", "count",
-                                            (F.col("count") / F.col("_total")).alias("proportion"), "churn_rate")
+    # totals of all features come from one aggregate row, read as a scalar: neither a window by feature nor a join
+    # on the feature, which would put every category of a feature in one task
+    total = df.agg(F.create_map(*[x for c in cols for x in (F.lit(c), F.count(c))])).scalar()
+    return g.select("feature", "value", "count", (F.col("count") / total[F.col("feature")]).alias("proportion"),
+                    "churn_rate")
 
 
 # ------------------------------------------------------------------ brackets
@@ -129,12 +148,14 @@ def winsorize(df: DataFrame, c: str, lo_q: float = 0.01, hi_q: float = 0.99) ->
 
 
 def numeric_brackets(df: DataFrame, strategy: dict[str, str], clip_two_sided: Sequence[str] = (
-        "avg_transaction_value",), on_degenerate: str = "null") -> DataFrame:
+        "avg_transaction_value",), on_degenerate: str = "error") -> DataFrame:
     """E5/E7 apply for every numeric feature: adds ``{feature}_bracket``.
 
     Quantile features use tercile edges (right-closed, lowest included), the
     rest three equal-width ranges; ``clip_two_sided`` features are winsorized
     at p1/p99 before cutting. Tercile edges come from one job for all features.
+    A feature whose edges coincide raises (``on_degenerate="null"`` gives it NULL
+    brackets instead).
     """
     basis = {c: (winsorize(df, c) if c in clip_two_sided else F.col(c)) for c in strategy}
     staged = df.withColumns({f"_b_{c}": v for c, v in basis.items()})
@@ -153,28 +174,25 @@ def numeric_brackets(df: DataFrame, strategy: dict[str, str], clip_two_sided: Se
     return staged.withColumns(exprs).drop(*[f"_b_{c}" for c in strategy])
 
 
-MAX_RANKED_CATEGORIES = 100_000
+def ranked_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Feature, value, count, churned, bracket: categories by churn rate (ties by name), in thirds.
 
-
-def rate_rank_brackets(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_RANKED_CATEGORIES) -> DataFrame:
-    """Categories ordered by churn rate (ties by name); first n//3 LOW, up to 2n//3 MEDIUM, rest HIGH.
-
-    The ranking window runs over one row per category of a feature, so the
-    number of categories is checked first (segment columns have a handful).
+    The first n//3 categories of a feature are LOW, up to 2n//3 MEDIUM, the rest HIGH. Ranks come from a range sort of
+    the category table and the number of categories in the partitions before (``functions.ranking``).
     """
-    counts = distinct_counts_capped(df, cols, cap=max_categories)
-    too_many = [c for c in cols if counts[c] is None]
-    if too_many:
-        raise ValueError(f"more than {max_categories} categories to rank in {too_many}")
     long_df = df.select("churn", *cols).unpivot(["churn"], list(cols), "feature", "value")
     rates = long_df.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.col("churn").cast("double")).alias("churned"),
         F.avg(F.col("churn").cast("double")).alias("rate"))
-    w = Window.partitionBy("feature").orderBy("rate", "value")
-    ranked = rates.select("feature", "value", (F.row_number().over(w) - 1).alias("i"),
-                          F.count(F.lit(1)).over(Window.partitionBy("feature")).alias("n"))
-    ranked = ranked.select("feature", "value", F.when(F.col("i") < F.floor(F.col("n") / 3), "LOW")
-                           .when(F.col("i") < F.floor(2 * F.col("n") / 3), "MEDIUM").otherwise("HIGH")
-                           .alias("bracket"))
+    ranked = group_rank(rates, "feature", ["rate", "value"], rank="i", size="n")
+    return ranked.select("feature", "value", "count", "churned",
+                         F.when(F.col("i") < F.floor(F.col("n") / 3), "LOW")
+                         .when(F.col("i") < F.floor(2 * F.col("n") / 3), "MEDIUM").otherwise("HIGH").alias("bracket"))
+
+
+def rate_rank_brackets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """E10 for every row: adds ``{feature}_bracket`` by one join per feature on its category."""
+    ranked = ranked_categories(df, cols)
     out = df
     for c in cols:
         m = ranked.where(F.col("feature") == c).select(F.col("value").alias(f"_k_{c}"),
@@ -183,6 +201,13 @@ def rate_rank_brackets(df: DataFrame, cols: Sequence[str], max_categories: int =
     return out
 
 
+def category_bracket_stats(ranked: DataFrame, total) -> DataFrame:
+    """F6 for E10 brackets, summed from the category table (``ranked_categories``); ``total``: number of all rows."""
+    g = ranked.groupBy("feature", "bracket").agg(F.sum("count").alias("count"), F.sum("churned").alias("churned"))
+    return g.select("feature", "bracket", "count", (F.col("count") / total).alias("proportion"),
+                    (F.col("churned") / F.col("count")).alias("churn_rate"))
+
+
 def bracket_stats(df: DataFrame, cols: Sequence[str], with_moments: bool = True) -> DataFrame:
     """per (feature, bracket): count, share of all rows, mean, variance (n-1), churn rate.
 
@@ -281,7 +306,6 @@ def mutual_information(df: DataFrame, lookup: dict[str, str] | None = None) -> D
 
 # ------------------------------------------------------------------ nested feature report
 
-FLAG_RULES = "HIGH_SKEW ACCUMULATIVE_PATTERN POST_OUTCOME_LEAKAGE_RISK STRONG_CHURN_SEPARATION WEAK_CHURN_SIGNAL"
 # Cross-feature engineering actions per role.
 ROLE_ACTIONS = {
     "STRUCTURAL": ["segmentation anchor"],

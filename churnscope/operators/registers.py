@@ -65,19 +65,17 @@ def rule_column(name: Column, rules, default: str) -> Column:
     return expr.otherwise(default) if expr is not None else F.lit(default)
 
 
-def schema_frame(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """One row per column: position, name, Spark type."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields) if f.name not in exclude]
-    return df.sparkSession.createDataFrame(rows, "position int, feature string, spark_type string")
+def leakage_register(measured: DataFrame) -> DataFrame:
+    """C1 + C2 + C3: observability type, leakage risk and epistemic class per measured column.
 
-
-def leakage_register(df: DataFrame) -> DataFrame:
-    """C1 + C2 + C3: observability type, leakage risk and epistemic class per column."""
-    s = schema_frame(df)
+    ``measured`` has one row per column of the analysed table (``feature``) with its measures, for example
+    ``profile.missingness_by_outcome`` or ``profile.exposure_mean_diff``; the measures stay.
+    """
     n = F.col("feature")
-    return s.select("feature", rule_column(n, FEATURE_TYPE_RULES, FEATURE_TYPE_DEFAULT).alias("feature_type"),
-                    rule_column(n, LEAKAGE_RULES, LEAKAGE_DEFAULT).alias("leakage_risk"),
-                    rule_column(n, EPISTEMIC_RULES, EPISTEMIC_DEFAULT).alias("epistemic_class"))
+    return measured.select("feature", rule_column(n, FEATURE_TYPE_RULES, FEATURE_TYPE_DEFAULT).alias("feature_type"),
+                           rule_column(n, LEAKAGE_RULES, LEAKAGE_DEFAULT).alias("leakage_risk"),
+                           rule_column(n, EPISTEMIC_RULES, EPISTEMIC_DEFAULT).alias("epistemic_class"),
+                           *[c for c in measured.columns if c != "feature"])
 
 
 def epistemic_lookup(df: DataFrame) -> dict[str, str]:
@@ -96,11 +94,15 @@ def epistemic_lookup(df: DataFrame) -> dict[str, str]:
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
-def profile_register(df: DataFrame, target: str = "churn") -> DataFrame:
-    """C4 + C5 + C6: Numerical/Categorical type, role and priority per column."""
-    s = schema_frame(df, exclude=(target,))
+def profile_register(measured: DataFrame, target: str = "churn") -> DataFrame:
+    """C4 + C5 + C6: Numerical/Categorical type, role and priority per measured column but the target.
+
+    ``measured`` has ``feature`` and ``spark_type`` (``profile.column_counts``); its other measures stay.
+    """
     n = F.col("feature")
     typ = F.when(F.col("spark_type").isin(list(NUMERIC_TYPES)) | F.col("spark_type").startswith("decimal"),
                  "Numerical").otherwise("Categorical")
-    return s.select("feature", typ.alias("type"), rule_column(n, ROLE_RULES, ROLE_DEFAULT).alias("role"),
-                    rule_column(n, PRIORITY_RULES, PRIORITY_DEFAULT).alias("priority"))
+    return measured.where(n != target).select(
+        "feature", typ.alias("type"), rule_column(n, ROLE_RULES, ROLE_DEFAULT).alias("role"),
+        rule_column(n, PRIORITY_RULES, PRIORITY_DEFAULT).alias("priority"),
+        *[c for c in measured.columns if c not in ("feature", "spark_type")])

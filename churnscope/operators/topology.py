@@ -139,3 +139,12 @@ def interaction_matrix(density: DataFrame, pair: str, domain_b: list[str] | None
     """H8/K3: state_a x state_b joint % for one pair (pivot over the label domain of b)."""
     d = density.where(F.col("feature_pair") == pair)
     return d.groupBy("state_a").pivot("state_b", domain_b).agg(F.first("joint_prevalence_percentage"))
+
+
+def interaction_matrices(density: DataFrame, labels: list[str]) -> DataFrame:
+    """H8/K3 for all pairs: one row per (feature_pair, state_a), one joint % column per label of state_b.
+
+    ``labels`` is the union of the label domains; labels outside a pair's domain are NULL there.
+    """
+    return density.groupBy("feature_pair", "state_a").pivot("state_b", labels).agg(
+        F.first("joint_prevalence_percentage"))

@@ -7,9 +7,14 @@ uses one aggregate of distinct counts for all numeric columns.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import to_numeric
+from ..functions.stats import nan_to_null
+
 from ..functions.stats import distinct_counts_capped
 
 # Keyword and name sets of the triage stage.
@@ -104,17 +109,19 @@ def pathway_lists(register: DataFrame) -> DataFrame:
 
 def tenure_validation(df: DataFrame, col: str = "tenure_days") -> DataFrame:
     """non-null, null, distinct, min, max and negative counts of tenure."""
-    x = F.col(col).cast("double")
+    x = to_numeric(col) if dict(df.dtypes)[col] == "string" else nan_to_null(F.col(col).cast("double"))
     return df.agg(F.lit(col).alias("feature"), F.count(x).alias("non_null_count"),
                   F.count_if(x.isNull()).alias("null_count"), F.count_distinct(x).alias("unique_values"),
                   F.min(x).alias("min_value"), F.max(x).alias("max_value"),
                   F.count_if(x < 0).alias("negative_count"))
 
 
-def predictive_ready(df: DataFrame, register: DataFrame, target: str = "churn") -> DataFrame:
-    """Approved features plus the target."""
+def predictive_ready(df: DataFrame, register: DataFrame, target: str = "churn",
+                     row_keys: Sequence[str] = ("customer_id",)) -> DataFrame:
+    """Approved features plus the target; row keys are no features."""
     approved = [r["feature"] for r in register.where(
         F.col("final_pathway_assignment") == "Approved Predictive Candidates").orderBy("position").collect()]
+    approved = [c for c in approved if c not in row_keys]
     return df.select(*[c for c in approved + [target] if c in df.columns])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import text_normalise
-from ..functions.materialize import materialize
+from ..functions.materialize import materialize, materialize_once
 from ..operators import archetype as arch
 from ..operators import binning
 from ..operators.features import inferential_features, rate_features
@@ -25,8 +25,19 @@ REFERENCE_PAIR = ("building", "household")
 MART_LOGIN_EDGES = (190.0, 250.0)
 
 
+MART_TABLES = ("customer", "nation", "region", "orders", "lineitem", "events")
+
+
 def mart(spark: SparkSession, sf_dir: str, how: str = "table") -> DataFrame:
-    return materialize(customer_mart(spark, sf_dir), how, "customer_mart")
+    """The customer mart; written at most once per session and state of the input tables (``how="table"``).
+
+    ``functions.materialize.drop_materialized`` removes it; ``how="none"`` gives the plan itself.
+    """
+    if how != "table":
+        return materialize(customer_mart(spark, sf_dir), how, "customer_mart")
+    base = sf_dir.rstrip("/")
+    return materialize_once(spark, f"mart:{base}", [f"{base}/{t}.parquet" for t in MART_TABLES],
+                            lambda: customer_mart(spark, sf_dir), "customer_mart")
 
 
 def cohort(df: DataFrame, members: Sequence[str] = REFERENCE_PAIR) -> DataFrame:
@@ -80,8 +91,9 @@ def inferential(spark: SparkSession, sf_dir: str, login_edges=MART_LOGIN_EDGES,
     df = df.withColumn("avg_frequency_login_days_state",
                        binning.fixed_edge_label("avg_frequency_login_days", login_edges))
     df = arch.instability_flags(df)
-    df = df.withColumn("population", F.concat_ws("_", F.col("membership_category"),
-                                                 F.when(F.col("churn") == "yes", "churned").otherwise("retained")))
+    # concat, not concat_ws: a customer without membership belongs to no population (NULL), and is left out below
+    df = df.withColumn("population", F.concat(F.col("membership_category"), F.lit("_"),
+                                              F.when(F.col("churn") == "yes", "churned").otherwise("retained")))
     return df
 
 

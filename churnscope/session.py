@@ -37,7 +37,11 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "c
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names; set a scratch one only if unset."""
+    """Return the checkpoint folder the cluster names.
+
+    Only a local master (one machine, as in tests) gets a scratch folder when none is set; on a cluster a folder of
+    the driver's machine would not be shared, so an unset ``spark.checkpoint.dir`` is an error there.
+    """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -46,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="churnscope-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

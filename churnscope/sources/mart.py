@@ -80,7 +80,8 @@ def customer_mart(spark: SparkSession, sf_dir: str, churn_gap_days: int = CHURN_
 
     per_event = events.groupBy("user_id").agg(F.avg("value").alias("event_value_avg"))
 
-    # one-column aggregates (to_date is monotonic, so the date of the max is the max date)
+    # latest dates overall: one-column aggregates (to_date is monotonic, so the date of the max is the max date);
+    # they count orders of unknown customers and lines of unknown orders too, which the joined tables do not hold
     latest_order = orders.select(F.to_date(F.max("o_orderdate"))).scalar()
     latest_ship = lineitem.select(F.to_date(F.max("l_shipdate"))).scalar()
 

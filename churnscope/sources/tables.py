@@ -5,26 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import to_numeric
+from ..functions.stats import nan_to_null
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
-_READ_CACHE: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """Read one driver table; selecting ``cols`` here lets the scan prune columns.
-
-    The lazy scan is reused within a session (the file listing and footer
-    schema read happen once); the data itself is read by every query.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _READ_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _READ_CACHE[key] = spark.read.parquet(path)
+    """Read one driver table; selecting ``cols`` here lets the scan prune columns."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*cols) if cols else df
 
 
@@ -37,20 +29,42 @@ NA_TOKENS = (
 
 
 def na_normalise(df: DataFrame, cols: list[str] | None = None, tokens=NA_TOKENS) -> DataFrame:
-    """A2: string cells equal to an NA token (after trimming blanks) become NULL."""
-    cols = cols or [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    """A2: string cells equal to an NA token (after trimming blanks) and NaN cells become NULL."""
+    types = dict(df.dtypes)
+    cols = cols or [c for c, t in df.dtypes if t in ("string", "double", "float")]
     token_list = list(tokens)
-    return df.withColumns(
-        {c: F.when(F.trim(F.col(c)).isin(token_list), F.lit(None)).otherwise(F.col(c)) for c in cols}
-    )
+    return df.withColumns({
+        c: (F.when(F.trim(F.col(c)).isin(token_list), F.lit(None)).otherwise(F.col(c)) if types[c] == "string"
+            else nan_to_null(c)) for c in cols})
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """A1: text columns whose every value is a number become long or double, as a typed CSV read gives.
+
+    One aggregate over all columns; a column without any value stays text.
+    """
+    text = [c for c, t in df.dtypes if t == "string"]
+    if not text:
+        return df
+    whole = r"^\s*[+-]?\d{1,18}\s*$"
+    row = df.agg(*[F.struct(F.count(c).alias("n"), F.count(to_numeric(c)).alias("num"),
+                            F.count_if(F.col(c).rlike(whole)).alias("int")).alias(c) for c in text]).first()
+    out = {}
+    for c in text:
+        s = row[c]
+        if s["n"] and s["int"] == s["n"]:
+            out[c] = F.trim(F.col(c)).cast("long")
+        elif s["n"] and s["num"] == s["n"]:
+            out[c] = to_numeric(c)
+    return df.withColumns(out)
 
 
 def read_customer_csv(spark: SparkSession, path: str, schema=None, drop_index: bool = True,
                       target_from: str | None = "churn_risk_score") -> DataFrame:
     """A1/A3/A4/A5: header CSV scan with stripped column names and NA tokens.
 
-    Pass an explicit ``schema`` in production; without it every column is read
-    as string and coerced by the cleaning operators (no ``inferSchema`` pass).
+    Without a ``schema`` the columns are read as text, NA tokens become NULL and numeric columns get their type
+    (``infer_types``: one aggregate); pass a schema to save that pass.
     """
     reader = spark.read.option("header", True)
     if schema is not None:
@@ -61,12 +75,15 @@ def read_customer_csv(spark: SparkSession, path: str, schema=None, drop_index: b
         df = df.drop(df.columns[0])
     if target_from and target_from in df.columns:
         df = df.withColumnRenamed(target_from, "churn")
-    return na_normalise(df)
+    df = na_normalise(df)
+    return df if schema is not None else infer_types(df)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """A6/A7/A8 sink: overwrite a table; nested report columns need parquet or JSON."""
     writer = df.write.mode("overwrite").format(fmt)
+    if fmt == "csv":
+        writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)

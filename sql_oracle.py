@@ -224,7 +224,7 @@ def _describe(sql: str) -> list[tuple[str, str]] | None:
 
 
 def finish_sql(sql: str) -> str:
-    """Keep 10 significant digits of DOUBLE columns, |x| < 1e-9 -> 0 (same arithmetic as the Spark side)."""
+    """Keep 10 significant digits of DOUBLE columns (same arithmetic as the Spark side)."""
     cols = _describe(sql)
     if not cols:
         return sql
@@ -233,7 +233,7 @@ def finish_sql(sql: str) -> str:
         q = '"' + name.replace('"', '""') + '"'
         if typ in ("DOUBLE", "FLOAT", "REAL"):
             sc = f"pow(10.0, 9.0 - floor(log10(abs({q}))))"
-            sel.append(f"CASE WHEN isnan({q}) OR isinf({q}) THEN {q} WHEN abs({q}) < 1e-9 THEN 0.0 "
+            sel.append(f"CASE WHEN isnan({q}) OR isinf({q}) THEN {q} WHEN {q} = 0 THEN 0.0 "
                        f"ELSE floor({q} * {sc} + 0.484375) / {sc} END AS {q}")
         elif typ.endswith("[]"):
             sel.append(f"array_to_string({q}, ',') AS {q}")
@@ -271,6 +271,7 @@ MISSINGNESS = _union([
     f"avg({_miss(c)}) FILTER (WHERE churn = 1) - avg({_miss(c)}) FILTER (WHERE churn = 0) AS difference FROM mart"
     for c in MART_COLS])
 
+# Classes of the leakage stage.
 _FT = {"region_category": "static", "membership_category": "structural", "avg_time_spent": "behavioral",
        "avg_transaction_value": "behavioral", "avg_frequency_login_days": "behavioral",
        "points_in_wallet": "behavioral", "days_since_last_login": "recency_based",
@@ -285,11 +286,12 @@ _EC = {"region_category": "pre_outcome_observable", "membership_category": "pre_
        "complaint_status": "lifecycle_terminal", "feedback": "lifecycle_terminal",
        "days_since_last_login": "retrospective_proxy", "churn": "target"}
 
-LEAKAGE_REGISTER = "SELECT * FROM (VALUES " + ", ".join(
+LEAKAGE_REGISTER = "SELECT t.*, churn_missing_rate, retained_missing_rate, difference FROM (VALUES " + ", ".join(
     f"('{c}', '{_FT.get(c, 'unknown')}', '{_LR.get(c, 'low_risk')}', '{_EC.get(c, 'administrative_or_unknown')}')"
-    for c in MART_COLS) + ") AS t(feature, feature_type, leakage_risk, epistemic_class) WHERE feature IN " \
-    "(SELECT column_name FROM (DESCRIBE SELECT * FROM mart))"
+    for c in MART_COLS) + ") AS t(feature, feature_type, leakage_risk, epistemic_class) JOIN (" + MISSINGNESS + \
+    ") m ON m.feature = t.feature"
 
+# Role and priority of the profile stage.
 _ROLE = {"region_category": "STRUCTURAL", "membership_category": "STRUCTURAL", "avg_time_spent": "EXPOSURE_SENSITIVE",
          "avg_transaction_value": "EXPOSURE_SENSITIVE", "avg_frequency_login_days": "EXPOSURE_SENSITIVE",
          "points_in_wallet": "EXPOSURE_SENSITIVE", "feedback": "EPISTEMIC", "complaint_status": "EPISTEMIC"}
@@ -300,9 +302,11 @@ PROFILE_COLS = [c for c in MART_COLS if c not in ("customer_id", "joining_date")
 _NUMERIC = ["points_in_wallet", "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days",
             "days_since_last_login", "event_value_avg"]
 _CATEG = ["region_category", "membership_category", "complaint_status", "feedback"]
-PROFILE_REGISTER = "SELECT * FROM (VALUES " + ", ".join(
-    f"('{c}', '{'Numerical' if c in _NUMERIC else 'Categorical'}', '{_ROLE.get(c, 'LOW_SIGNAL')}', "
-    f"'{_PRIO.get(c, 'LOW')}')" for c in PROFILE_COLS if c != "churn") + ") AS t(feature, type, role, priority)"
+PROFILE_REGISTER = _union([
+    f"SELECT '{c}' AS feature, '{'Numerical' if c in _NUMERIC else 'Categorical'}' AS type, "
+    f"'{_ROLE.get(c, 'LOW_SIGNAL')}' AS role, '{_PRIO.get(c, 'LOW')}' AS priority, "
+    f"count({c}) AS present_count, count(*) - count({c}) AS missing_count FROM mart"
+    for c in PROFILE_COLS if c != "churn"])
 
 _MI_NUM = ["customer_id", "points_in_wallet", "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days",
            "days_since_last_login", "event_value_avg"]
@@ -556,7 +560,7 @@ FROM (VALUES ('Approved Predictive Candidates'), ('Conditional Candidates'), ('D
              ('Leakage / Post-Outcome Risks'), ('Exclusion Candidates')) p(pathway)
 LEFT JOIN reg ON reg.final_pathway_assignment = p.pathway GROUP BY p.pathway"""
 
-_APPROVED = [c for c, t in ENG_COLS if c != "churn" and c not in _EXCL and c not in _DISCARD
+_APPROVED = [c for c, t in ENG_COLS if c not in ("churn", "customer_id") and c not in _EXCL and c not in _DISCARD
              and c not in _DIAG and c not in _AMBIG]
 PREDICTIVE_READY = f"SELECT {', '.join(_q(c) for c in _APPROVED)}, churn FROM eng"
 
@@ -870,3 +874,33 @@ FROM arc JOIN (SELECT behavioral_archetype, q1, median, q3, q1 - 1.5 * (q3 - q1)
                             quantile_cont(tenure_days, 0.5) AS median, quantile_cont(tenure_days, 0.75) AS q3
                      FROM arc GROUP BY 1)) USING (behavioral_archetype)
 GROUP BY behavioral_archetype, q1, median, q3"""
+
+
+_LABELS = ["consistent", "high", "inactive", "irregular", "low", "mid", "moderate"]
+INTERACTION_MATRIX = "SELECT feature_pair, state_a, " + ", ".join(
+    f"max(CASE WHEN state_b = '{x}' THEN joint_prevalence_percentage END) AS {x}" for x in _LABELS) + \
+    " FROM dens GROUP BY feature_pair, state_a"
+
+STATE_MAPPING = """
+SELECT feature, feature || '_state' AS state_column,
+       CASE feature WHEN 'avg_frequency_login_days' THEN 'inactive,irregular,consistent'
+                    WHEN 'value_density' THEN 'low,moderate,high' ELSE 'low,mid,high' END AS labels,
+       CAST(3 AS INTEGER) AS rules, low_threshold, high_threshold FROM thr"""
+
+_Z = [f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END"
+      for c in _VEC]
+SILHOUETTE = f"""
+SELECT avg(CASE WHEN n = 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END)
+         AS silhouette_score
+FROM (SELECT r.id, max(CASE WHEN k.population = r.population THEN k.n END) AS n,
+             max(CASE WHEN k.population = r.population THEN d * k.n / nullif(k.n - 1, 0) END) AS a,
+             min(CASE WHEN k.population <> r.population THEN d END) AS b
+      FROM (SELECT z.id, z.population AS rp, k2.population AS kp, avg({' + '.join(f'(z.z{i} - k2.z{i}) * (z.z{i} - k2.z{i})' for i in range(6))}) AS d
+            FROM z JOIN z k2 ON true GROUP BY 1, 2, 3) p
+      JOIN z r ON r.id = p.id
+      JOIN (SELECT population, count(*) AS n FROM z GROUP BY population) k ON k.population = p.kp
+      GROUP BY r.id)
+HAVING count(*) > 0 AND (SELECT count(DISTINCT population) FROM z) > 1"""
+SCALED = INF + f""",
+z AS (SELECT row_number() OVER () AS id, population, {', '.join(f'{e} AS z{i}' for i, e in enumerate(_Z))}
+      FROM clean WHERE population IN (SELECT population FROM inf GROUP BY population HAVING count(*) >= 5))"""

@@ -1,7 +1,6 @@
-"""Registered queries against their DuckDB oracle (the driver's correctness gate).
+"""Every registered library query against its DuckDB oracle (the driver's correctness gate).
 
-By default a representative subset runs at sf0.001; CHURNSCOPE_FULL_ORACLE=1
-runs every registered query (CHURNSCOPE_TEST_SF picks the scale).
+CHURNSCOPE_TEST_SF picks the scale (default sf0.001).
 """
 
 import os
@@ -12,20 +11,17 @@ import __spark_entry__ as E
 from tests.oracle_check import compare
 
 SF = os.environ.get("CHURNSCOPE_TEST_SF", "/root/testdata/sf0.001")
-SUBSET = ["archetype_summary", "engineered_features", "state_thresholds", "cooccurrence_density",
-          "mutual_information", "brackets_quantile", "baseline_rules", "signal_table", "lifecycle_positioning",
-          "population_profiles", "population_alignment", "histogram30"]
-KEYS = sorted(E.queries()) if os.environ.get("CHURNSCOPE_FULL_ORACLE") else SUBSET
+ROWS_ONLY = {"feature_report", "progression_topology", "population_mahalanobis", "topology_summary",
+             "comparison_summary", "final_synthesis"}
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    rows_only = {"feature_report", "progression_topology", "population_mahalanobis", "topology_summary",
-                 "silhouette", "final_synthesis", "state_mapping_logic"}
-    assert set(E.queries()) - set(E.oracle_sql()) == rows_only
-    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(E._QUERIES) - set(E._SQL) == ROWS_ONLY
+    assert set(E._SQL) <= set(E._QUERIES)
+    assert set(E._QUERIES) <= set(E.queries()) and set(E._SQL) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("key", KEYS)
+@pytest.mark.parametrize("key", sorted(E._SQL))
 def test_query_matches_oracle(spark, key):
     res = compare(spark, SF, [key])[key]
-    assert res.startswith("OK") or res.startswith("rows-only"), res
+    assert res.startswith("OK"), res
