@@ -143,6 +143,25 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.length("text").cast("long").alias("n_chars"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS k FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 QUERIES = {
     "op7_pii": op7_pii,
     "op8_html_extraction": op8_html_extraction,
@@ -159,6 +178,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": OP2_SQL,
     "op4_exact_topk": OP4_SQL,
+    "op9_minhash_near_dedup": OP9_SQL,
     "op1_benchmark_decontamination": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
 }
