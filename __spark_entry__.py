@@ -396,8 +396,13 @@ def q_feature_report(spark, sf_dir):
     cat_b = _category_brackets(df)
     brackets = materialize(num_b.unionByName(cat_b, allowMissingColumns=True), name="brackets")
     patterns = prof.bracket_pattern(brackets.select("feature", "bracket", "churn_rate"))
-    return prof.feature_report(reg.profile_register(prof.column_counts(df)), numeric, prof.corr_profile(df, nums),
-                               prof.categorical_profile(df, cats), brackets, patterns)
+    report = prof.feature_report(reg.profile_register(prof.column_counts(df)), numeric, prof.corr_profile(df, nums),
+                                 prof.categorical_profile(df, cats), brackets, patterns)
+    return report.select(  # the nested report, flat
+        "feature", "type", F.array_join("flags", ",").alias("flags"), "pattern", "numeric_diagnostics.*",
+        "categorical_diagnostics.*", *[F.col("brackets")[b].getField(c).alias(f"{b.lower()}_{c}")
+                                       for b in prof.BRACKETS for c in ("count", "churn_rate")],
+        F.array_join(F.col("feature_engineering")["CROSS"], ",").alias("actions"))
 
 
 def q_state_preview(spark, sf_dir):
@@ -528,6 +533,7 @@ _SQL = {
                                            "FROM arc"),
     "state_mapping_logic": (O.STATES, O.STATE_MAPPING),
     "silhouette": (O.SCALED, O.SILHOUETTE),
+    "feature_report": (O.PROFILE, O.FEATURE_REPORT),
     "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet, avg_transaction_value, "
                                 "avg_frequency_login_days, value_density, points_in_wallet_state, avg_transaction_value_state, "
                                 "avg_frequency_login_days_state, value_density_state FROM st "

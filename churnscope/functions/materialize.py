@@ -29,7 +29,9 @@ def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataF
         path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)
         _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
-        return spark.read.parquet(path)
+        out = spark.read.parquet(path)
+        out._materialized_at = path
+        return out
     if how == "checkpoint":
         ensure_checkpoint_dir(spark)
         kept = df.persist()
@@ -41,6 +43,20 @@ def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataF
     return df
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames of ``materialize`` that nothing will read any more."""
+    for df in frames:
+        path = getattr(df, "_materialized_at", None)
+        if path:
+            _WRITTEN.get(df.sparkSession.sparkContext.applicationId, set()).discard(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -71,8 +87,7 @@ def drop_materialized(spark: SparkSession) -> int:
     app = spark.sparkContext.applicationId
     paths = _WRITTEN.pop(app, set())
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, path)
     for key in [k for k in _SHARED if k[0] == app]:
         del _SHARED[key]
     return len(paths)

@@ -316,22 +316,24 @@ ROLE_ACTIONS = {
 
 
 def feature_report(register: DataFrame, numeric: DataFrame, corr: DataFrame, categorical: DataFrame,
-                   brackets: DataFrame, patterns: DataFrame) -> DataFrame:
+                   brackets: DataFrame, patterns: DataFrame, embed_categories: bool = False) -> DataFrame:
     """F8: one nested row per feature: type, flags, pattern, diagnostics, brackets and actions.
 
-    Inputs are the small per-feature tables of the profile stage, joined on
+    Inputs are the per-feature tables of the profile stage, joined on
     ``feature``; nested values are structs, arrays and maps (write as parquet
-    or JSON).
+    or JSON). The values of categorical columns are long rows in
+    ``categorical_profile``; the report holds their number and rows.
+    ``embed_categories=True`` also puts them into three maps per column, for
+    tables whose columns are known to hold few values.
     """
     diag_num = numeric.join(corr, "feature", "left").select(
         "feature", F.struct("mean", "median", "std", "skewness", "kurtosis", "cv", "corr_churn",
                             "corr_exposure_proxy").alias("numeric_diagnostics"), "skewness")
+    maps = {"counts": "count", "proportions": "proportion", "churn_rate": "churn_rate"} if embed_categories else {}
     diag_cat = categorical.groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias("counts"),
-        F.map_from_entries(F.collect_list(F.struct("value", "proportion"))).alias("proportions"),
-        F.map_from_entries(F.collect_list(F.struct("value", "churn_rate"))).alias("churn_rate"))
-    diag_cat = diag_cat.select("feature", F.struct("counts", "proportions", "churn_rate")
-                               .alias("categorical_diagnostics"))
+        F.struct(F.count(F.lit(1)).alias("n_values"), F.sum("count").alias("n_rows"),
+                 *[F.map_from_entries(F.collect_list(F.struct("value", c))).alias(k) for k, c in maps.items()])
+        .alias("categorical_diagnostics"))
     br = brackets.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(
         "bracket", F.struct(*[c for c in brackets.columns if c not in ("feature", "bracket")])))).alias("brackets"))
     t = (register.join(diag_num, "feature", "left").join(diag_cat, "feature", "left")

@@ -904,3 +904,28 @@ HAVING count(*) > 0 AND (SELECT count(DISTINCT population) FROM z) > 1"""
 SCALED = INF + f""",
 z AS (SELECT row_number() OVER () AS id, population, {', '.join(f'{e} AS z{i}' for i, e in enumerate(_Z))}
       FROM clean WHERE population IN (SELECT population FROM inf GROUP BY population HAVING count(*) >= 5))"""
+
+
+# Actions per role.
+_ACTIONS = {"STRUCTURAL": "segmentation anchor", "EXPOSURE_SENSITIVE": "rate conversion,log transform if skewed",
+            "EPISTEMIC": "isolate or restrict usage", "LOW_SIGNAL": "candidate for elimination"}
+FEATURE_REPORT = f"""
+SELECT r.feature, r.type,
+       concat_ws(',', CASE WHEN r.type = 'Numerical' AND abs(p.skewness) > 1 THEN 'HIGH_SKEW' END,
+                 CASE WHEN r.type = 'Numerical' AND r.role = 'EXPOSURE_SENSITIVE' THEN 'ACCUMULATIVE_PATTERN' END,
+                 CASE WHEN r.role = 'EPISTEMIC' THEN 'POST_OUTCOME_LEAKAGE_RISK' END,
+                 CASE r.priority WHEN 'HIGH' THEN 'STRONG_CHURN_SEPARATION' WHEN 'LOW' THEN 'WEAK_CHURN_SIGNAL' END)
+         AS flags,
+       coalesce(b.pattern, 'FLAT') AS pattern, p.mean, p.median, p.std, p.skewness, p.kurtosis,
+       CASE WHEN p.mean <> 0 THEN p.std / p.mean END AS cv, c.corr_churn, c.corr_exposure_proxy,
+       k.n_values, k.n_rows, {', '.join(f'br.{x.lower()}_{c}' for x in ('LOW', 'MEDIUM', 'HIGH') for c in ('count', 'churn_rate'))},
+       CASE r.role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _ACTIONS.items())} END AS actions
+FROM ({PROFILE_REGISTER}) r LEFT JOIN np p ON p.feature = r.feature
+LEFT JOIN ({CORR_PROFILE}) c ON c.feature = r.feature
+LEFT JOIN ({BRACKET_PATTERN}) b ON b.feature = r.feature
+LEFT JOIN (SELECT feature, count(DISTINCT value) AS n_values, count(*) AS n_rows FROM cl GROUP BY feature) k
+  ON k.feature = r.feature
+LEFT JOIN (SELECT feature, {', '.join(f"max({c}) FILTER (WHERE bracket = '{x}') AS {x.lower()}_{c}"
+                                      for x in ('LOW', 'MEDIUM', 'HIGH') for c in ('count', 'churn_rate'))}
+           FROM (SELECT feature, bracket, count, churn_rate FROM nbs UNION ALL
+                 SELECT feature, bracket, count, churn_rate FROM cbs) GROUP BY feature) br ON br.feature = r.feature"""

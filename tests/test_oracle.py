@@ -11,8 +11,8 @@ import __spark_entry__ as E
 from tests.oracle_check import compare
 
 SF = os.environ.get("CHURNSCOPE_TEST_SF", "/root/testdata/sf0.001")
-ROWS_ONLY = {"feature_report", "progression_topology", "population_mahalanobis", "topology_summary",
-             "comparison_summary", "final_synthesis"}
+ROWS_ONLY = {"progression_topology", "population_mahalanobis", "topology_summary", "comparison_summary",
+             "final_synthesis"}
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
