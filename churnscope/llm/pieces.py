@@ -26,6 +26,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,9 @@ from . import kernels as K
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-TEXT_BYTES = 12 << 20   # text whose distinct words are encoded together
-INDEX_CHARS = 1 << 20   # characters of one suffix array
+TEXT_BYTES = 8 << 20    # text whose distinct words are encoded together
+INDEX_CHARS = 1 << 19   # characters of one suffix array
+CHECK_BYTES = 1 << 20   # text decoded at once
 LONG_WORD = 96          # longer words are relaxed position by position
 PAIR_SLOTS = 1 << 20
 
@@ -166,23 +168,35 @@ class Vocabulary:
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes ordered by their first ``depth`` symbols (prefix doubling)."""
-    _, rank = np.unique(text, return_inverse=True)
+    """Starts of all suffixes ordered by their first ``depth`` symbols (prefix doubling).
+
+    The first round packs as many symbols into a 64-bit key as fit (a power of two of them).
+    """
+    n = len(text)
+    symbols, rank = np.unique(text, return_inverse=True)
     rank = rank.astype(np.int64) + 1
-    width, n = 1, len(text)
-    order = np.argsort(rank, kind="stable")
-    while width < depth and n:
+    bits = int(len(symbols) + 1).bit_length()
+    width = 1
+    while width < depth and 2 * width * bits <= 63:
         nxt = np.zeros(n, np.int64)
-        nxt[:-width] = rank[width:] if width < n else 0
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        step = np.zeros(n, np.int64)
-        sorted_key = key[order]
-        step[1:] = sorted_key[1:] != sorted_key[:-1]
+        nxt[:max(n - width, 0)] = rank[width:]
+        rank = (rank << (width * bits)) | nxt
+        width *= 2
+    while True:
+        order = np.argsort(rank)
+        if width >= depth or not n:
+            return order
+        ordered = rank[order]
+        step = np.ones(n, np.int64)
+        step[1:] = ordered[1:] != ordered[:-1]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step) + 1
+        rank[order] = np.cumsum(step)
+        if rank[order[-1]] == n:  # all suffixes differ already
+            return order
+        nxt = np.zeros(n, np.int64)
+        nxt[:max(n - width, 0)] = rank[width:]
+        rank = rank * (n + 2) + nxt
         width *= 2
-    return order
 
 
 def piece_ranges(text: np.ndarray, order: np.ndarray, chars: np.ndarray, length: np.ndarray):
@@ -306,44 +320,46 @@ class Encoder:
             ids[K.csr_indices(at_[lost], count[lost])] = v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         return ids.astype(np.int32), np.bincount(np.repeat(word, count), minlength=len(first) - 1)
 
-    def encode_words(self, words: list[str]):
-        """(ids, tokens per word) of distinct words, each beginning with a space mark."""
-        ids: list = [None] * len(words)
-        plain, chars = [], 0
-
-        def flush():
-            nonlocal plain, chars
-            if plain:
-                text = np.frombuffer("".join(words[i] for i in plain).encode("utf-32-le"), np.uint32).astype(np.int64)
-                first = np.concatenate([[0], np.cumsum([len(words[i]) for i in plain])])
-                flat, count = self.read_back(self.relax(text, first), text, first)
-                for i, part in zip(plain, np.split(flat, np.cumsum(count)[:-1]), strict=True):
-                    ids[i] = part
-            plain, chars = [], 0
-
-        for i, w in enumerate(words):
-            if w.startswith(SPACE * 2):
-                out = self.v.merge(w)
-                ids[i] = np.array([x for t in out for x in (
-                    [t] if t >= 0 else self.v.byte_ids[list(chr(-t).encode())].tolist())], np.int32)
-            elif len(w) > LONG_WORD:
-                text = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
-                first = np.array([0, len(text)])
-                ids[i] = self.read_back(self.relax_long(text), text, first)[0]
+    def encode_words(self, words: pa.Array):
+        """(ids, first id, tokens per word) of distinct words, each beginning with a space mark."""
+        size = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        spaced = pa.compute.starts_with(words, SPACE * 2).to_numpy(zero_copy_only=False)
+        first, count, flat, held = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), [], 0
+
+        def add(rows, ids, n):
+            nonlocal held
+            first[rows], count[rows] = held + np.cumsum(n) - n, n
+            flat.append(ids)
+            held += len(ids)
+
+        plain = np.flatnonzero(~spaced & (size <= LONG_WORD))
+        ends = np.cumsum(size[plain])
+        cuts = np.searchsorted(ends, np.arange(INDEX_CHARS, ends[-1], INDEX_CHARS)) if len(plain) else []
+        for rows in np.split(plain, cuts):
+            if len(rows):
+                text = np.frombuffer("".join(words.take(pa.array(rows)).to_pylist()).encode("utf-32-le"), np.uint32)
+                bounds = np.concatenate([[0], np.cumsum(size[rows])])
+                text = text.astype(np.int64)
+                add(rows, *self.read_back(self.relax(text, bounds), text, bounds))
+        for i in np.flatnonzero(spaced | (size > LONG_WORD)).tolist():
+            w = words[i].as_py()
+            if spaced[i]:
+                out = [x for t in self.v.merge(w) for x in (
+                    [t] if t >= 0 else self.v.byte_ids[list(chr(-t).encode())].tolist())]
+                add(np.array([i]), np.array(out, np.int32), np.array([len(out)]))
             else:
-                plain.append(i)
-                chars += len(w)
-                if chars >= INDEX_CHARS:
-                    flush()
-        flush()
-        count = np.array([len(x) for x in ids], np.int64)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), count
+                text = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
+                add(np.array([i]), *self.read_back(self.relax_long(text), text, np.array([0, len(text)])))
+        return (np.concatenate(flat) if flat else np.zeros(0, np.int32)), first, count
 
     def encode(self, column: pa.Array):
         """Per slice of rows: (lo, hi, flat ids, tokens per row, prepared bytes, row offsets)."""
         for lo, hi in K.row_slices(column, TEXT_BYTES):
-            texts = [" " + t.replace(SPACE, " ") if t else "" for t in column.slice(lo, hi - lo).to_pylist()]
-            buf, off = K.string_bytes(pa.array(texts, pa.large_string()))
+            plain = pa.compute.fill_null(column.slice(lo, hi - lo).cast(pa.large_string()), "")
+            plain = pa.compute.replace_substring(plain, SPACE, " ")
+            space = pa.compute.if_else(pa.compute.equal(plain, ""), "", " ").cast(pa.large_string())
+            buf, off = K.string_bytes(pa.compute.binary_join_element_wise(
+                space, plain, pa.scalar("", pa.large_string())))
             space = buf == 32
             begins = space.copy()
             begins[1:] &= ~space[:-1]
@@ -353,8 +369,7 @@ class Encoder:
             words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(buf.tobytes()))
             coded = words.dictionary_encode()
             code = coded.indices.to_numpy()
-            ids, count = self.encode_words([w.replace(" ", SPACE) for w in coded.dictionary.to_pylist()])
-            begin = np.cumsum(count) - count
+            ids, begin, count = self.encode_words(pa.compute.replace_substring(coded.dictionary, " ", SPACE))
             flat = ids[K.csr_indices(begin[code], count[code])]
             tokens = np.concatenate([[0], np.cumsum(count[code])])
             per_row = np.diff(tokens[np.searchsorted(start, off)])
@@ -369,6 +384,28 @@ def decode_bytes(v: Vocabulary, ids: np.ndarray, per_row: np.ndarray):
     return out, total[np.concatenate([[0], np.cumsum(per_row)])]
 
 
+def round_trips(v: Vocabulary, ids: np.ndarray, per_row: np.ndarray, buf: np.ndarray, off: np.ndarray):
+    """(the tokens decode to the row's prepared bytes, code points of the row), some rows at a time."""
+    n = len(per_row)
+    same, chars = np.zeros(n, bool), np.zeros(n, np.int64)
+    token = np.concatenate([[0], np.cumsum(per_row)])
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + CHECK_BYTES, side="right")) - 1))
+        out, back = decode_bytes(v, ids[token[lo]:token[hi]], per_row[lo:hi])
+        want, at = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+        if np.array_equal(back, at):
+            wrong = np.concatenate([[0], np.cumsum(out != want)])
+            same[lo:hi] = wrong[at[1:]] == wrong[at[:-1]]
+        else:
+            same[lo:hi] = [out[back[r]:back[r + 1]].tobytes() == want[at[r]:at[r + 1]].tobytes() for r in range(hi - lo)]
+        # a code point has one byte that is no continuation byte; the added space is not counted
+        points = np.concatenate([[0], np.cumsum((want & 0xC0) != 0x80)])
+        chars[lo:hi] = points[at[1:]] - points[at[:-1]] - (np.diff(at) > 0)
+        lo = hi
+    return same, chars
+
+
 def _vocabulary(spark: SparkSession, model_file: str):
     return spark.sparkContext.broadcast(vars(Vocabulary.read(model_file)))
 
@@ -381,17 +418,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
         enc = Encoder(K.rebuilt(Vocabulary, shared))
         for batch in batches:
             for lo, hi, flat, per_row, buf, off in enc.encode(batch.column(1)):
-                out, back = decode_bytes(enc.v, flat, per_row)
-                same = np.diff(back) == np.diff(off)
-                if same.all():
-                    wrong = np.concatenate([[0], np.cumsum(out != buf)])
-                    same = wrong[off[1:]] == wrong[off[:-1]]
-                else:
-                    same &= [out[back[r]:back[r + 1]].tobytes() == buf[off[r]:off[r + 1]].tobytes()
-                             for r in range(hi - lo)]
-                # a code point has one byte that is no continuation byte; the added space is not counted
-                chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-                n_chars = chars[off[1:]] - chars[off[:-1]] - (np.diff(off) > 0)
+                same, n_chars = round_trips(enc.v, flat, per_row, buf, off)
                 offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
