@@ -3,8 +3,9 @@
 A page is cut into blocks (text between block-level tags; inline tags do not break a block). Every block has a
 root-to-leaf tag path. Per path, text length and punctuation are added up and divided by the number of its blocks;
 both ratios are smoothed over neighbouring blocks, fused by their product, and blocks of paths whose smoothed ratio
-reaches ``SPREAD`` standard deviations are the core of the content. The content region is the article or main element
-that holds most of the core, otherwise the stretch of the page from the first to the last core block. All blocks of the
+reaches ``SPREAD`` standard deviations are the core of the content. The content region is the innermost article or main
+element that holds nearly all of the core, or else all of these elements together if they hold most of it, otherwise the
+stretch of the page from the first to the last core block. All blocks of the
 region are kept, short ones and headings included, except those inside excluded elements (navigation, header, footer,
 aside, form, script, style and the like, or elements whose class, id or role names an advert, a notice, reader comments
 and the like) and lists that consist of links.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 SPREAD = 0.5
 REGION_SHARE = 0.5
+WHOLE_SHARE = 0.8
 LINK_SHARE = 0.8
 
 # Fixed values of HTML: elements that break a block, raw-text elements, elements without content.
@@ -52,8 +54,20 @@ EXCLUDED_NAMES = frozenset(
     "navigation breadcrumb breadcrumbs sidebar aside footer header masthead comment comments commentlist disqus "
     "replies reply respond share sharing social related recommended widget toolbar pagination pager login search "
     "contentinfo complementary".split())
+#: longer names that begin or end like this count too (cookiebar, commentlist, sitefooter)
+EXCLUDED_STARTS = ("advert", "breadcrumb", "comment", "cookie", "disqus", "newsletter", "promo", "sidebar", "sponsor",
+                   "subscri")
+EXCLUDED_ENDS = ("banner", "comments", "footer", "header", "menu", "navbar", "navigation", "sidebar")
+UNNAMED_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())  # never excluded by their names
 REGION_TAGS = frozenset(("article", "main"))
 
+
+def names_no_content(value: str) -> bool:
+    """Whether a class, id or role names something that is no part of an article."""
+    return any(w in EXCLUDED_NAMES or w.startswith(EXCLUDED_STARTS) or w.endswith(EXCLUDED_ENDS)
+               for w in _WORD.findall(value.lower()))
+
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>"
                     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
@@ -82,9 +96,8 @@ class Page:
 
     def _open(self, element, tag, attributes):
         named = False
-        if attributes and tag not in ("html", "body", "main", "article"):
-            for value in _NAMES.findall(attributes):
-                named = named or not EXCLUDED_NAMES.isdisjoint(_WORD.findall(value.lower()))
+        if attributes and tag not in UNNAMED_TAGS:
+            named = any(names_no_content(value) for value in _NAMES.findall(attributes))
         if tag == "article" and attributes:  # a reader comment may be marked up as an article
             named = any("comment" in v.lower() for v in _NAMES.findall(attributes))
         self.parent.append(element)
@@ -223,14 +236,14 @@ def main_text(source: str | None) -> str:
     np.add.at(inside, element, weight)
     for e in range(len(page.parent) - 1, 0, -1):
         inside[page.parent[e]] += inside[e]
-    regions = [e for e in range(len(page.parent)) if page.tag[e] in REGION_TAGS and not page.excluded[e]
-               and inside[e] >= REGION_SHARE * weight.sum()]
-    if regions:
-        root = regions[-1]  # the innermost: elements are numbered in page order
-        held = np.zeros(len(page.parent), bool)
-        held[root] = True
-        for e in range(root + 1, len(page.parent)):
-            held[e] = held[page.parent[e]]
+    total = weight.sum()
+    regions = [e for e in range(len(page.parent)) if page.tag[e] in REGION_TAGS and not page.excluded[e] and inside[e] > 0]
+    whole = [e for e in regions if inside[e] >= WHOLE_SHARE * total]
+    held = np.zeros(len(page.parent), bool)
+    held[whole[-1:] or regions] = True  # the innermost region with nearly all of the core, or all regions together
+    for e in range(1, len(page.parent)):
+        held[e] = held[e] or held[page.parent[e]]
+    if weight[held[element]].sum() >= REGION_SHARE * total:
         kept = held[element]
     else:
         where = np.flatnonzero(core)

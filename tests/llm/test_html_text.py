@@ -28,6 +28,21 @@ def test_article_with_inner_noise():
     assert T.main_text(page) == "Head Text one, of two. x Text two."
 
 
+def test_several_articles():
+    one, two = "First text, of a page; long enough.", "Second text, of a page; long enough."
+    assert T.main_text(f"<body><article><p>{one}</article><p>x</p><article><p>{two}</article>") == f"{one} {two}"
+    assert T.main_text(f"<main><article><p>{one}</article><article><p>{two}</article><p>y</main>z") == f"{one} {two} y"
+
+
+def test_names_of_noise_without_article():
+    page = ("<body><div class='siteheader'><p>News, daily.</p></div><div class=cookiebar>We use cookies, please agree.</div>"
+            "<div class=content><h1 class='header'>Head line</h1><p>Body text, first part; it goes on, and on.</p>"
+            "<div class='advertisement'><p>Buy this, now!</p></div><p>Second, last part of the text, here.</p></div>"
+            "<ol class='commentlist'><li>I agree, fully, with all of it.</li></ol><div id='sitefooter'>End, 2020.</div>")
+    assert T.main_text(page) == ("Head line Body text, first part; it goes on, and on. "
+                                 "Second, last part of the text, here.")
+
+
 @pytest.mark.parametrize("source,want", [
     (None, ""), ("", ""), ("plain &lt;text&gt;\n only", "plain <text> only"), ("<script>x</script>", ""),
     ("<p>a<p>b", "a b"), ("<b>un<i>closed</b> x", "unclosed x"), ("<nav>all</nav>", ""), ("<", "<"), ("a < b", "a < b"),
