@@ -106,6 +106,7 @@ def _split(seg: np.ndarray, n: int) -> np.ndarray:
 def count_rows(docs: DataFrame, segments: int) -> DataFrame:
     """Per slice and segment: distinct unigram hashes with counts, bigram hashes (32 bits) with counts."""
     def task(batches):
+        K.tidy()
         for batch in batches:
             for lo, hi in K.row_slices(batch.column(0), SLICE_BYTES):
                 t = Tokens(batch.column(0).slice(lo, hi - lo))
@@ -307,6 +308,7 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
 def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
     """Kind 0: one row per block (slice) with its documents; kind 1: per segment the occurrences of light words."""
     def task(batches):
+        K.tidy()
         m = K.rebuilt(Model, shared)
         block = TaskContext.get().partitionId() << 32
         denominator = m.tokens + m.words + 1

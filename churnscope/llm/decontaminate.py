@@ -80,6 +80,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, shard_byt
         known = docs.sparkSession.sparkContext.broadcast((vocabulary, sieve))
 
     def task(batches):
+        K.tidy()
         for batch in batches:
             for lo, hi in K.row_slices(batch.column(1), shard_bytes):
                 w = K.Words(batch.column(1).slice(lo, hi - lo), K.ALNUM_WORD)

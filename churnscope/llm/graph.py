@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.materialize import materialize
+from ..functions.materialize import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
                  .select("x.u", "x.v").where("u <> v").distinct())
-        e = materialize(small, name="cc-edges")
+        before, e = e, materialize(small, name="cc-edges")
+        discard(before)
         new = _signature(e)
         if new == sig:
             break

@@ -8,6 +8,8 @@ probability about n^2 / 2^65.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +140,16 @@ def csr_indices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - shift, length)
 
 
+def tidy() -> None:
+    """Give back what earlier tasks of this (reused) worker left behind; called when a large task begins."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def rebuilt(cls, shared):
     """An object of ``cls`` from a broadcast of its attributes (executors need not know the class by name)."""
     out = cls.__new__(cls)

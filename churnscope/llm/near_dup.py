@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.materialize import materialize
+from ..functions.materialize import discard, materialize
 from . import kernels as K
 from .graph import components
 
@@ -69,6 +69,7 @@ def text_sets(column: pa.Array, shingle: int = SHINGLE_WORDS):
 def signatures(docs: DataFrame, k: int = SKETCH_SIZE, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, digest of the set and its ``k`` smallest hashes, one row per input row."""
     def task(batches):
+        K.tidy()
         for batch in batches:
             n, da, db = [], [], []
             flat, size = [], []
@@ -174,12 +175,12 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SKETCH_SIZE, shingle: int =
     """
     lists = inverted_lists(reps, percent).join(
         reps.select("rep", *[F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY_LONGS)]), "rep")
-    lists = materialize(lists, name="nd-lists")
+    every = lists = materialize(lists, name="nd-lists")
     own = [f"p{i}" for i in range(PARITY_LONGS)]
     theirs = [f"q{i}" for i in range(PARITY_LONGS)]
     first = lists.groupBy("v").agg(F.min("rep").alias("c"), F.count("*").alias("m")).where("m > 1").select("v", "c")
-    lists = lists.join(first, "v")
-    lists = materialize(lists, name="nd-lists")
+    lists = materialize(lists.join(first, "v"), name="nd-lists")
+    discard(every)
     full = full_sets(docs, lists.select("rep").distinct(), shingle)
     # |A xor B| <= (100 - percent) / (100 + percent) * (|A| + |B|) holds for every link
     possible = (least_difference(own, theirs) * (100 + percent)
@@ -211,10 +212,14 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SKETCH_SIZE, shingle: int =
         pairs = near.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs = materialize(estimated(pairs, reps, k, percent), name="nd-pairs")
         new = materialize(exact_links(pairs, full, percent), name="nd-links")
+        discard(pairs)
         found = new if found is None else found.union(new)
         tried = centre.select("v", "x") if tried is None else tried.union(centre.select("v", "x"))
-        comp = materialize(components(found.toDF("u", "v")), name="nd-components")
+        before, comp = comp, materialize(components(found.toDF("u", "v")), name="nd-components")
+        if before is not None:
+            discard(before)
         r += 1
+    discard(lists, full)
     return comp
 
 

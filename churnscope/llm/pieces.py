@@ -34,8 +34,8 @@ from . import kernels as K
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-TEXT_BYTES = 8 << 20    # text whose distinct words are encoded together
-INDEX_CHARS = 1 << 19   # characters of one suffix array
+TEXT_BYTES = 4 << 20    # text whose distinct words are encoded together
+INDEX_CHARS = 1 << 18   # characters of one suffix array
 CHECK_BYTES = 1 << 20   # text decoded at once
 LONG_WORD = 96          # longer words are relaxed position by position
 PAIR_SLOTS = 1 << 20
@@ -79,7 +79,7 @@ class Vocabulary:
                 usable.append(i)
         usable.sort(key=lambda i: (len(pieces[i]), i))
         self.usable = np.array(usable, np.int32)
-        self.length = np.ones(self.size + 1, np.int64)
+        self.length = np.ones(self.size + 1, np.int32)
         self.length[use] = [len(pieces[i]) for i in use]
         self.depth = int(self.length.max())
         self.chars = np.zeros((len(usable), self.depth), np.int64)
@@ -234,7 +234,7 @@ class Encoder:
         self.pair_ok = np.zeros(PAIR_SLOTS, bool)
 
     def apart(self, a, b):
-        key = a * (self.v.size + 1) + b
+        key = a.astype(np.int64) * (self.v.size + 1) + b
         slot = (K.mix64(key.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
         out = self.pair_ok[slot]
         miss = np.flatnonzero(self.pair[slot] != key)
@@ -251,25 +251,25 @@ class Encoder:
         order = suffix_array(text, v.depth)
         length = v.length[v.usable]
         lo, hi = piece_ranges(text, order, v.chars, length)
-        start = order[K.csr_indices(lo, hi - lo)]
-        piece = np.repeat(v.usable, hi - lo).astype(np.int64)
-        word = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        start = order[K.csr_indices(lo, hi - lo)].astype(np.int32)
+        piece = np.repeat(v.usable, hi - lo)
+        word = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
         end = start + v.length[piece]
         inside = (end <= len(text)) & (word[start] == word[np.minimum(end, len(text)) - 1])
-        strange = np.flatnonzero(~np.isin(text, v.known_chars))
+        strange = np.flatnonzero(~np.isin(text, v.known_chars)).astype(np.int32)
         start = np.concatenate([start[inside], strange])
-        piece = np.concatenate([piece[inside], np.full(len(strange), v.unknown)])
+        piece = np.concatenate([piece[inside], np.full(len(strange), v.unknown, np.int32)])
         return start, piece, word
 
     def relax(self, text: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Last piece of the encoding of every prefix, by end position (n + 1; all words at once)."""
         start, piece, word = self.edges(text, first)
         end = start + self.v.length[piece]
-        base = first[word[start]]
+        base = first.astype(np.int32)[word[start]]
         at = end - base
         order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 65536 else at, kind="stable")
         start, piece, end, at, base = start[order], piece[order], end[order], at[order], base[order]
-        last = np.full(len(text) + 1, -1, np.int64)  # by end position; ends of different words differ
+        last = np.full(len(text) + 1, -1, np.int32)  # by end position; ends of different words differ
         cut = np.flatnonzero(np.diff(at)) + 1
         for s, e in zip(np.r_[0, cut], np.r_[cut, len(at)], strict=True):
             st, pc = start[s:e], piece[s:e]
@@ -415,6 +415,7 @@ def encode(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     shared = _vocabulary(docs.sparkSession, model_file)
 
     def task(batches):
+        K.tidy()
         enc = Encoder(K.rebuilt(Vocabulary, shared))
         for batch in batches:
             for lo, hi, flat, per_row, buf, off in enc.encode(batch.column(1)):
