@@ -14,7 +14,8 @@ Character references are decoded, white space inside a block becomes one space,
 order by one space. Nothing else is dropped and no length is limited.
 
 Edge cases: null and empty html give an empty text; pages without tags are one block; open and unmatched tags are
-closed where their parent ends; repeated rows give equal rows; other columns pass through ``with_main_text``.
+closed where their parent ends; repeated rows give equal rows; other columns pass through ``with_main_text``
+(a column of the result's name is replaced).
 """
 
 from __future__ import annotations

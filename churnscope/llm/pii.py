@@ -13,7 +13,7 @@ and strings of other meaning put into the same contexts: numbers that fail the c
 
 Offsets are code points, ends exclusive. Edge cases: null text is empty; empty text has no spans; repeated rows give
 equal rows; without any base span in the sample nothing is added; texts of any length are processed whole; other columns
-pass through ``with_spans``.
+pass through ``with_spans``, a column named pii is replaced.
 """
 
 from __future__ import annotations

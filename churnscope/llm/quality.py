@@ -15,7 +15,7 @@ order of a hash of their id and about as many unlabelled rows; scoring reads eve
 Edge cases: null text is scored as empty text; empty text has zero features and a score; a document labelled both
 ways counts as 0; labels without a document, with a null quality or a null id are ignored; without any usable
 positive, or without documents, the scorer is constant (score 0.5, predicted 0); repeated rows get equal scores;
-a null doc_id is scored and not held out; extra columns are kept by ``with_scores``.
+a null doc_id is scored and not held out; ``with_scores`` keeps all columns but replaces score and predicted.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 SEED = 7
 
 # Character classes by byte; bytes beyond ASCII are split into lead and continuation bytes.
-CLASS = np.zeros(256, np.int64)
+CLASS = np.zeros(256, np.int32)
 for _number, _members in enumerate((
         "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".?", ",;:",
         "\"()[]{}", "#$%&*+=<>@^~\\/_`", "|", "-'", "!")):
@@ -51,10 +51,11 @@ def features(column: pa.Array) -> np.ndarray:
         w = K.Words(column.slice(lo, hi - lo), K.SPACE_WORD)
         n = hi - lo
         size = np.diff(w.off)
-        row = np.repeat(np.arange(n), size)
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
         c = CLASS[w.buf]
         same = row[1:] == row[:-1]
         pair = (row[:-1] * 256 + c[:-1] * 16 + c[1:])[same]
+        del row, c, same
         x = np.zeros((n, N_FEATURES), np.float64)
         x[:, :256] = np.sqrt(np.bincount(pair, minlength=n * 256).reshape(n, 256) / np.maximum(size - 1, 1)[:, None])
         h = w.hashes()
@@ -183,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
               .withColumn("u", F.rand(SEED) < share).where("u or y is not null").select("text", "y", "u"))
 
     def task(batches):
+        K.tidy()
         for batch in batches:
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays(
@@ -203,7 +205,9 @@ def with_scores(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> D
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(predict(shared.value, features(text)))
+        K.tidy()
+        parts = [predict(shared.value, features(text.slice(lo, hi - lo))) for lo, hi in K.row_slices(text)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
