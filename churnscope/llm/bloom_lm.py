@@ -7,9 +7,9 @@ with the distinct hashes and counts, so a frequent word is one entry per slice.
 exact unigram counts, and for bigrams seen at least ``MIN_COUNT`` times the quantised count
 ``1 + floor(log(c) / log(QUANT))``. The number of segments follows the size of the texts, so a segment stays small.
 
-Filter. An n-gram of level q is entered q times, as (n-gram, 1) .. (n-gram, q). Every segment fills its own region of
-the filter; the regions (``FILTER_BITS`` in all, the only part sent to the driver besides totals) are put together and
-broadcast. Its size is a parameter of the model, like a vocabulary size: when the n-grams need more than the filter
+Filter. An n-gram of level q is entered q times, as (n-gram, 1) .. (n-gram, q). A segment belongs to one region of the
+filter (many segments share one when there are more than the filter has regions); the regions (``FILTER_BITS`` in all,
+besides totals and heavy words the only part sent to the driver) are put together and broadcast. Its size is a parameter of the model, like a vocabulary size: when the n-grams need more than the filter
 holds at the wanted error rate, the lowest bigram levels are left out (``lowest_level``).
 
 Scoring. A count is read by probing levels 1, 2, ... until a probe fails. The probability of a token is the bigram
@@ -39,6 +39,7 @@ from ..functions.materialize import materialize
 from . import kernels as K
 
 FILTER_BITS = 1 << 28
+LEAST_REGION = 1 << 12
 PROBES = 4
 QUANT = 1.5
 MIN_COUNT = 2
@@ -183,11 +184,16 @@ def lowest_level(uni_levels: np.ndarray, bi_levels: np.ndarray, bits: int) -> in
     return int(fits[0]) if len(fits) else MAX_LEVEL + 1
 
 
-def filter_places(seg: np.ndarray, key: np.ndarray, level, region: int):
-    """The filter positions of (n-gram, level): PROBES arrays. ``key`` tells n-grams of a segment apart."""
+def region_count(segments: int, bits: int) -> int:
+    """Regions of the filter: one per segment, but none smaller than ``LEAST_REGION`` bits."""
+    return max(1, min(segments, bits // LEAST_REGION))
+
+
+def filter_places(at: np.ndarray, key: np.ndarray, level, region: int):
+    """The filter positions of (n-gram, level) in region ``at``: PROBES arrays. ``key`` tells the n-grams apart."""
     g = K.mix64(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
     step = (K.mix64(g + np.uint64(0x5851F42D)) | np.uint64(1)) >> np.uint64(20)
-    base = seg * region
+    base = at * region
     g = g >> np.uint64(20)
     for i in range(PROBES):
         yield base + ((g + step * np.uint64(i)) % np.uint64(region)).astype(np.int64)
@@ -197,44 +203,45 @@ def _uni_key(h):
     return h | np.uint64(1 << 63)
 
 
-def _bi_key(h):
-    return h & np.uint64(0xFFFFFFFF)
+def _bi_key(h, seg):
+    return (h & np.uint64(0xFFFFFFFF)) | (seg.astype(np.uint64) << np.uint64(32))
 
 
-def region_bits(segments: int, bits: int) -> int:
-    return max(64, bits // segments // 8 * 8)
+def region_bits(regions: int, bits: int) -> int:
+    return max(64, bits // regions // 8 * 8)
 
 
 def filter_regions(counted: DataFrame, segments: int, bits: int, least: int) -> DataFrame:
-    """(seg, bits): every segment's region of the filter."""
-    region = region_bits(segments, bits)
-
-    def task(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                on = np.zeros(region, bool)
-                uni = np.frombuffer(row["uni_hash"], np.uint64)
-                bi = np.frombuffer(row["bi_hash"], np.uint32).astype(np.uint64)
-                bi_level = np.frombuffer(row["bi_level"], np.uint8).astype(np.int64)
-                bi, bi_level = bi[bi_level >= least], bi_level[bi_level >= least]
-                uni_level = level_of(np.frombuffer(row["uni_count"], np.int64))
-                for key, level in ((_uni_key(uni), uni_level), (_bi_key(bi), bi_level)):
-                    for q in range(1, int(level.max(initial=0)) + 1):
-                        rows = level >= q
-                        for place in filter_places(np.zeros(1, np.int64), key[rows], q, region):
-                            on[place] = True
-                out.append(np.packbits(on, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["seg", "bits"])
-
-    return counted.select("seg", "uni_hash", "uni_count", "bi_hash", "bi_level").mapInArrow(task, "seg int, bits binary")
+    """(region, bits): every region of the filter, filled from its segments."""
+    regions = region_count(segments, bits)
+    size = region_bits(regions, bits)
+
+    def fill(table: pa.Table) -> pa.Table:
+        on = np.zeros(size, bool)
+        for row in table.to_pylist():
+            seg = np.array([row["seg"]])
+            uni = np.frombuffer(row["uni_hash"], np.uint64)
+            bi = np.frombuffer(row["bi_hash"], np.uint32).astype(np.uint64)
+            bi_level = np.frombuffer(row["bi_level"], np.uint8).astype(np.int64)
+            bi, bi_level = bi[bi_level >= least], bi_level[bi_level >= least]
+            uni_level = level_of(np.frombuffer(row["uni_count"], np.int64))
+            for key, level in ((_uni_key(uni), uni_level), (_bi_key(bi, seg), bi_level)):
+                for q in range(1, int(level.max(initial=0)) + 1):
+                    for place in filter_places(np.zeros(1, np.int64), key[level >= q], q, size):
+                        on[place] = True
+        return pa.table({"region": table["region"].slice(0, 1),
+                         "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    region = F.expr(f"cast(cast(seg as long) * {regions} div {segments} as int)").alias("region")
+    rows = counted.select(region, "seg", "uni_hash", "uni_count", "bi_hash", "bi_level")
+    return rows.groupBy("region").applyInArrow(fill, "region int, bits binary")
 
 
 class Model:
     """The broadcast part: filter, totals and the exact counts of the heavy words (all of bounded size)."""
 
-    def __init__(self, bits, segments, region, tokens, words, heavy_hash, heavy_count):
-        self.bits, self.segments, self.region = bits, segments, region
+    def __init__(self, bits, segments, regions, region, tokens, words, heavy_hash, heavy_count):
+        self.bits, self.segments, self.regions, self.region = bits, segments, regions, region
         self.tokens, self.words = tokens, words
         self.heavy_hash, self.heavy_count = heavy_hash, heavy_count
         self.counts = level_counts()
@@ -242,7 +249,8 @@ class Model:
     def levels(self, h: np.ndarray, bigram: bool) -> np.ndarray:
         """Quantised counts by repeated membership probes: the last level before a probe fails."""
         seg = segment_of(h, self.segments)
-        key = _bi_key(h) if bigram else _uni_key(h)
+        key = _bi_key(h, seg) if bigram else _uni_key(h)
+        seg = seg * self.regions // self.segments
         level = np.zeros(len(h), np.int64)
         live = np.arange(len(h))
         q = 1
@@ -282,10 +290,11 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
     tokens, words = int(total[0] or 0), int(total[1] or 0)
     levels = [np.array([x or 0 for x in total[k]], np.int64) for k in (2, 3)]
     least = lowest_level(*levels, bits)
-    region = region_bits(segments, bits)
-    joined = np.zeros(segments * region // 8, np.uint8)
-    for r in filter_regions(counted, segments, bits, least).toLocalIterator():
-        joined[r.seg * region // 8:(r.seg + 1) * region // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    regions = region_count(segments, bits)
+    region = region_bits(regions, bits)
+    joined = np.zeros(regions * region // 8, np.uint8)
+    for r in filter_regions(counted, segments, bits, least).collect():  # FILTER_BITS in all
+        joined[r.region * region // 8:(r.region + 1) * region // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     floor = max(1, -(-tokens // heavy_words))
 
     def heavy(batches):
@@ -300,7 +309,7 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
     h = np.frombuffer(b"".join(bytes(r.h) for r in rows), np.uint64)
     c = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.int64)
     order = np.argsort(h)
-    model = Model(joined, segments, region, tokens, words, h[order], c[order])
+    model = Model(joined, segments, regions, region, tokens, words, h[order], c[order])
     model.texts = int(size[0])
     return spark.sparkContext.broadcast(vars(model)), counted
 

@@ -69,6 +69,18 @@ def test_filter_counts(spark):
     assert (m.levels(unseen, True) > 0).mean() < 0.01
 
 
+def test_segments_share_regions_of_a_small_filter(spark):
+    import pyarrow as pa
+    docs = spark.createDataFrame([(" ".join(f"w{j}" for j in range(150) for _ in range(j % 5 + 1)),)], "text string")
+    shared, counted = B.train(docs, bits=1 << 14)
+    m = B.K.rebuilt(B.Model, shared)
+    assert (m.segments, m.regions, len(m.bits)) == (8, 4, 1 << 11)
+    t = B.Tokens(pa.array([" ".join(f"w{j}" for j in range(150))]))
+    want = np.append(B.level_of(np.array([j % 5 + 1 for j in range(150)])), 1)
+    assert (m.levels(t.h, False) >= want).all()
+    assert result(run(spark, corpus(60), bits=1 << 14)) == brute(corpus(60))
+
+
 def test_lowest_level_fits_the_filter():
     uni, bi = np.zeros(B.MAX_LEVEL + 1, int), np.zeros(B.MAX_LEVEL + 1, int)
     uni[1], bi[2], bi[3] = 100, 1000, 100
