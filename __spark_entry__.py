@@ -368,6 +368,24 @@ def q_final_synthesis(spark, sf_dir):
     return align.final_synthesis(_summary(spark, sf_dir))
 
 
+def q_integrity_scores(spark, sf_dir):
+    """Scores, ranks and classes from the distances that SQL can express (absent metrics count as 0)."""
+    _, prof_, _, al = _alignment(spark, sf_dir)
+    out = align.final_synthesis(align.comparison_summary(prof_.select("population", "instability_index"), al))
+    return out.select("population", "structural_integrity_score", "structural_rank", "final_archetype",
+                      *[f"{c}_norm" for c in align.SCORE_WEIGHTS])
+
+
+def q_scaled_vectors(spark, sf_dir):
+    rows = align.scaled_rows(stages.inferential(spark, sf_dir))
+    # six decimals: a value next to the mean has few correct digits, in either engine
+    return rows.select("population", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in align.VECTOR_COLUMNS])
+
+
+def q_reference_covariance(spark, sf_dir):
+    return align.covariance_pairs(stages.inferential(spark, sf_dir), stages.REFERENCE_PAIR)
+
+
 def q_histogram30(spark, sf_dir):
     return plotdata.histogram(stages.state_dataset(spark, sf_dir), binning.STATE_FEATURES)
 
@@ -431,6 +449,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recency_engagement_points": q_recency_engagement_points,
     "value_density_points": q_value_density_points,
     "comparison_summary": q_comparison_summary,
+    "integrity_scores": q_integrity_scores,
+    "scaled_vectors": q_scaled_vectors,
+    "reference_covariance": q_reference_covariance,
     "state_preview": q_state_preview,
     "histogram30": q_histogram30,
     "box_stats": q_box_stats,
@@ -533,6 +554,9 @@ _SQL = {
                                            "FROM arc"),
     "state_mapping_logic": (O.STATES, O.STATE_MAPPING),
     "silhouette": (O.SCALED, O.SILHOUETTE),
+    "scaled_vectors": (O.SCALED, O.SCALED_VECTORS),
+    "reference_covariance": (O.INF, O.REFERENCE_COVARIANCE),
+    "integrity_scores": (O.SCORED, O.INTEGRITY_SCORES),
     "feature_report": (O.PROFILE, O.FEATURE_REPORT),
     "state_preview": (O.STATES, "SELECT customer_id, points_in_wallet, avg_transaction_value, "
                                 "avg_frequency_login_days, value_density, points_in_wallet_state, avg_transaction_value_state, "

@@ -929,3 +929,38 @@ LEFT JOIN (SELECT feature, {', '.join(f"max({c}) FILTER (WHERE bracket = '{x}')
                                       for x in ('LOW', 'MEDIUM', 'HIGH') for c in ('count', 'churn_rate'))}
            FROM (SELECT feature, bracket, count, churn_rate FROM nbs UNION ALL
                  SELECT feature, bracket, count, churn_rate FROM cbs) GROUP BY feature) br ON br.feature = r.feature"""
+
+SCALED_VECTORS = f"SELECT population, {', '.join(f'round(z{i}, 6) AS {c}_z' for i, c in enumerate(_VEC))} FROM z"
+
+_REF = "population IN ('building_churned', 'household_churned')"
+REFERENCE_COVARIANCE = _union([
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, avg({a} * {b} - {a} * mb - ma * {b} + ma * mb) AS covariance "
+    f"FROM clean, (SELECT avg({a}) AS ma, avg({b}) AS mb FROM clean WHERE {_REF}) WHERE {_REF}"
+    for i, a in enumerate(_VEC) for b in _VEC[i:]])
+
+# Weights of the integrity score.
+_WEIGHTS = {"cosine_distance": 0.30, "euclidean_distance": 0.15, "mahalanobis_distance": 0.15,
+            "instability_index": 0.25, "jensen_shannon_divergence": 0.10, "wasserstein_distance": 0.05}
+INTEGRITY_SCORES = f"""
+SELECT population, structural_integrity_score,
+       (SELECT count(*) FROM sc o WHERE o.structural_integrity_score > sc.structural_integrity_score) + 1
+         + ((SELECT count(*) FROM sc o WHERE o.structural_integrity_score = sc.structural_integrity_score) - 1) / 2.0
+         AS structural_rank,
+       CASE WHEN structural_integrity_score > 0.75 THEN 'stable_retention_core'
+            WHEN cosine_distance < 0.10 AND instability_index > 0.08 THEN 'latent_churn_equivalent'
+            WHEN instability_index < 0.05 AND cosine_distance > 0.25 THEN 'behaviorally_inconsistent_retention'
+            WHEN cosine_distance > 0.20 AND instability_index > 0.08 THEN 'high_instability_low_divergence'
+            ELSE 'diagnostic_noise_group' END AS final_archetype, {', '.join(f'{c}_norm' for c in _WEIGHTS)}
+FROM sc"""
+_SUMMARY = f"""
+SELECT a.population, {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in _WEIGHTS if c != 'mahalanobis_distance')},
+       0.0::DOUBLE AS mahalanobis_distance
+FROM ({POPULATION_ALIGNMENT}) a LEFT JOIN
+     (SELECT population, instability_index FROM ({POPULATION_PROFILES_BODY})) p ON p.population = a.population"""
+_NORM = ", ".join(f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0 ELSE ({c} - min({c}) OVER ()) / "
+                  f"(max({c}) OVER () - min({c}) OVER ()) END AS {c}_norm" for c in _WEIGHTS)
+SCORED = INF + f""",
+sm AS ({_SUMMARY}),
+sn AS (SELECT *, {_NORM} FROM sm),
+sc AS (SELECT *, {' + '.join(f'{w} * (1 - {c}_norm)' for c, w in _WEIGHTS.items())} AS structural_integrity_score
+       FROM sn)"""
