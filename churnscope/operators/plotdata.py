@@ -1,8 +1,8 @@
 """Data behind the reference's charts (K1-K5), as tables; no drawing.
 
-Histogram bins come from one aggregate (min/max per feature) and one
-grouped count; empty bins are produced by exploding the bin sequence on the
-per-feature stats rows (one row per feature), so no cross join is needed.
+Histogram bins come from one aggregate (min/max per feature, fitted as
+literals) and one grouped count; empty bins are produced by exploding the bin
+sequence on one row per feature, so no cross join is needed.
 """
 
 from __future__ import annotations
@@ -21,17 +21,21 @@ WHISKER = 1.5
 def histogram(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
     """K1: equal-width bins over [min, max] per feature (last bin closed; a constant feature spans
     value -/+ 0.5). Returns feature, bin, bin_start, bin_end, count (empty bins have count 0)."""
-    long_df = df.select(*features).unpivot([], list(features), "feature", "x").where(
-        F.col("x").isNotNull() & ~F.isnan("x"))
-    rng = long_df.groupBy("feature").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    rng = rng.select("feature",
-                     F.when(F.col("mx") == F.col("mn"), F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                     F.when(F.col("mx") == F.col("mn"), F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi"))
-    # the ranges (one per chart) reach the rows as one scalar map: no join of all rows on a few feature names
-    of = rng.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi"))))).scalar()[F.col("feature")]
-    idx = F.least(F.floor((F.col("x") - of["lo"]) * bins / (of["hi"] - of["lo"])), F.lit(bins - 1))
-    counts = long_df.groupBy("feature", idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    grid = rng.select("feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    x = {c: nan_to_null(F.col(c).cast("double")) for c in features}
+    row = df.agg(*[F.struct(F.min(v), F.max(v)).alias(c) for c, v in x.items()]).first()
+    ranges = {c: tuple(row[c]) for c in features if row[c][0] is not None}
+    ranges = {c: (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi) for c, (lo, hi) in ranges.items()}
+    if not ranges:
+        return df.sparkSession.createDataFrame([], "feature string, bin int, bin_start double, bin_end double, count long")
+    # the fitted ranges are literals of each feature's expression: no join of the rows on a few feature names
+    cells = [F.struct(F.lit(c).alias("feature"), F.least(
+        F.floor((x[c] - F.lit(lo)) * bins / F.lit(hi - lo)), F.lit(bins - 1)).cast("int").alias("bin"))
+        for c, (lo, hi) in ranges.items()]
+    counts = (df.select(F.inline(F.array(*cells))).where(F.col("bin").isNotNull())
+              .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count")))
+    grid = df.sparkSession.createDataFrame(
+        [(c, lo, hi) for c, (lo, hi) in ranges.items()], "feature string, lo double, hi double").select(
+        "feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counts, ["feature", "bin"], "left").select(
         "feature", "bin", (F.col("lo") + F.col("bin") * w).alias("bin_start"),
