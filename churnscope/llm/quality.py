@@ -74,7 +74,7 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def _sigmoid(z):
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -80, 80)))
 
 
 class _Adam:
@@ -93,11 +93,12 @@ def non_negative_risk(xp, xu, prior, steps=700, rate=0.05, decay=1e-5):
     w = np.zeros(xp.shape[1])
     adam = _Adam(len(w), rate)
     for _ in range(steps):
-        sp, su = _sigmoid(xp @ w), _sigmoid(xu @ w)
+        v = w.astype(xp.dtype)
+        sp, su = _sigmoid(xp @ v), _sigmoid(xu @ v)
         plus = xp.T @ (sp - 1) / len(xp)  # gradient of the loss of positives as positives
         minus = xu.T @ su / len(xu) - prior * (xp.T @ sp / len(xp))
-        negative_part = np.mean(-np.log1p(-np.minimum(su, 1 - 1e-12))) - prior * np.mean(
-            -np.log1p(-np.minimum(sp, 1 - 1e-12)))
+        top = 1 - np.finfo(xp.dtype).eps
+        negative_part = np.mean(-np.log1p(-np.minimum(su, top))) - prior * np.mean(-np.log1p(-np.minimum(sp, top)))
         g = prior * plus + minus if negative_part >= 0 else -minus
         w -= adam.step(g + decay * w)
     return w
@@ -108,7 +109,8 @@ def against_unlabelled(xp, xu, steps=400, rate=0.05, decay=1e-4):
     w = np.zeros(xp.shape[1])
     adam = _Adam(len(w), rate)
     for _ in range(steps):
-        g = xp.T @ (_sigmoid(xp @ w) - 1) / len(xp) + xu.T @ _sigmoid(xu @ w) / len(xu)
+        v = w.astype(xp.dtype)
+        g = xp.T @ (_sigmoid(xp @ v) - 1) / len(xp) + xu.T @ _sigmoid(xu @ v) / len(xu)
         w -= adam.step(g / 2 + decay * w)
     return w
 
@@ -141,11 +143,14 @@ def fit_arrays(x_labelled, y, x_unlabelled, seed=SEED) -> dict:
     xp = x_labelled[y == 1]
     if len(xp) < 10 or len(x_unlabelled) < 10:
         return none
-    both = np.concatenate([xp, x_unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
+    n, total = len(xp) + len(x_unlabelled), xp.sum(axis=0, dtype=float) + x_unlabelled.sum(axis=0, dtype=float)
+    mean = total / n
+    scale = np.sqrt(sum(((x - mean) ** 2).sum(axis=0) for x in (xp, x_unlabelled)) / n) + 0.02
 
     def ready(x):
-        return np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
+        out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+        np.clip((x - mean.astype(x.dtype)) / scale.astype(x.dtype), -8, 8, out=out[:, :-1])
+        return out
 
     xp, xu = ready(xp), ready(x_unlabelled)
     order = np.random.Generator(np.random.PCG64(seed))
@@ -156,7 +161,7 @@ def fit_arrays(x_labelled, y, x_unlabelled, seed=SEED) -> dict:
     w = non_negative_risk(xp, xu, prior)
     slope, offset = 1.0, 0.0
     if (y == 0).any():
-        slope, offset = calibrate(np.clip(ready(x_labelled) @ w, -30, 30), y)
+        slope, offset = calibrate(np.clip(ready(x_labelled) @ w.astype(x_labelled.dtype), -30, 30).astype(float), y)
     return {"mean": mean, "scale": scale, "w": w, "prior": prior, "slope": slope, "offset": offset}
 
 
@@ -192,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 names=["y", "u", "x"])
 
     rows = marked.mapInArrow(task, "y int, u boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, N_FEATURES)
     y = rows["y"].fill_null(-1).to_numpy()
     u = rows["u"].to_numpy()
     known = np.flatnonzero(y >= 0)
