@@ -213,11 +213,12 @@ def links(reps: DataFrame, docs: DataFrame, k: int = SKETCH_SIZE, shingle: int =
         pairs = materialize(estimated(pairs, reps, k, percent), name="nd-pairs")
         new = materialize(exact_links(pairs, full, percent), name="nd-links")
         discard(pairs)
-        found = new if found is None else found.union(new)
         tried = centre.select("v", "x") if tried is None else tried.union(centre.select("v", "x"))
-        before, comp = comp, materialize(components(found.toDF("u", "v")), name="nd-components")
-        if before is not None:
-            discard(before)
+        if comp is None or not new.isEmpty():  # a round without links leaves the components as they are
+            found = new if found is None else found.union(new)
+            before, comp = comp, materialize(components(found.toDF("u", "v")), name="nd-components")
+            if before is not None:
+                discard(before)
         r += 1
     discard(lists, full)
     return comp
