@@ -5,7 +5,8 @@ runs of five words (its whole word sequence when it has fewer), kept as 64-bit h
 linked when ``100 * |A and B| >= 85 * |A or B|`` (``LINK_PERCENT``).
 
 Method
-1. One pass computes every set, its size, a 128-bit digest and the ``k`` smallest hashes (the sketch). Equal
+1. One pass computes every set, its size, a 128-bit digest and the ``k`` smallest hashes (the sketch). Sketch values
+   are stored with the top bit flipped, so that Spark's signed order is the unsigned order they were chosen by. Equal
    sets form a class, represented by its smallest doc_id; only representatives go on.
 2. Inverted lists of retained values: a linked pair shares at least ``o`` sketch values (5 standard deviations
    below the expected share, ``least_overlap``), so it must share one of the ``k - o + 1`` rarest values of
@@ -45,6 +46,7 @@ PARITY_LONGS = 16
 CENTRES = 64
 LINK_PERCENT = 85
 DEVIATIONS = 5.0
+TOP_BIT = np.uint64(1 << 63)
 
 SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>, parity array<long>"
 
@@ -80,7 +82,7 @@ def signatures(docs: DataFrame, k: int = SKETCH_SIZE, shingle: int = SHINGLE_WOR
                 mixed = K.mix64(s + np.uint64(0x51ED27))
                 da.append(int(np.add.reduce(mixed, dtype=np.uint64).view(np.int64)))
                 db.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(s) else 0)
-                flat.append(s[:k])
+                flat.append(s[:k] ^ TOP_BIT)  # signed order of the column = unsigned order of the hashes
                 size.append(min(k, len(s)))
                 maps[r] = np.bincount(((s >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
             off = np.zeros(len(size) + 1, np.int32)

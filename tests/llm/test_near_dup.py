@@ -81,3 +81,45 @@ def test_parity_maps_never_exceed_the_difference():
     for a in range(4):
         for b in range(4):
             assert (maps[a] != maps[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def subset_sketches(rng, n, m):
+    """Sketches of a random set of ``n`` hashes and of a subset of ``m``, stored as ``signatures`` stores them."""
+    import numpy as np
+    whole = rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True)
+    return [(np.sort(s)[:N.SKETCH_SIZE] ^ N.TOP_BIT).view(np.int64).tolist() for s in (whole, rng.permutation(whole)[:m])]
+
+
+def test_sketches_are_stored_in_the_order_they_are_chosen_by(spark):
+    import numpy as np
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(124)))], "doc_id long, text string")
+    row = N.signatures(docs).first()
+    assert row.n_shingles == 120 and row.sketch == sorted(row.sketch) and len(row.sketch) == N.SKETCH_SIZE
+    (_, full), = N.text_sets(docs.toArrow()["text"].combine_chunks())
+    assert row.sketch == (full[:N.SKETCH_SIZE] ^ N.TOP_BIT).view(np.int64).tolist()
+
+
+def test_estimate_keeps_linked_subset_pairs(spark):
+    """Texts of 80 to 150 shingles and cuts of them at a similarity of 0.85 to 0.88: no link may be estimated away."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    sets, pairs = [], []
+    for n, m in ((80, 68), (100, 85), (100, 88), (120, 102), (120, 105), (150, 128)):
+        for _ in range(500):
+            assert 100 * m >= N.LINK_PERCENT * n
+            a = len(sets)
+            sets += [(a + i, len_, s) for i, len_, s in zip((0, 1), (n, m), subset_sketches(rng, n, m))]
+            pairs.append((a, a + 1))
+    sketches = spark.createDataFrame(sets, "rep long, n_shingles long, sketch array<long>")
+    left = N.estimated(spark.createDataFrame(pairs, "a long, b long"), sketches, N.SKETCH_SIZE, N.LINK_PERCENT)
+    assert left.count() == len(pairs)
+
+
+def test_cut_texts_are_linked(spark):
+    rnd = random.Random(8)
+    docs = []
+    for i in range(400):
+        words = [f"{rnd.randrange(10**9):x}" for _ in range(124)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:106]))]  # sets of 120 and 102: similarity 0.85
+    got = {r.doc_id: r.component_id for r in run(spark, docs).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in docs}
