@@ -8,13 +8,14 @@ exact unigram counts, and for bigrams seen at least ``MIN_COUNT`` times the quan
 ``1 + floor(log(c) / log(QUANT))``. The number of segments follows the size of the texts, so a segment stays small.
 
 Filter. An n-gram of level q is entered q times, as (n-gram, 1) .. (n-gram, q). A segment belongs to one region of the
-filter (many segments share one when there are more than the filter has regions); the regions (``FILTER_BITS`` in all,
-besides totals and heavy words the only part sent to the driver) are put together and broadcast. Its size is a parameter of the model, like a vocabulary size: when the n-grams need more than the filter
-holds at the wanted error rate, the lowest bigram levels are left out (``lowest_level``).
+filter (many segments share one when there are more than the filter has regions). The filter has ``FILTER_BITS`` bits at
+least and grows with the counted entries (``filter_bits``), so at most half of its bits are set; no level is left out.
 
 Scoring. A count is read by probing levels 1, 2, ... until a probe fails. The probability of a token is the bigram
 estimate smoothed by the unigram estimate, ``(c(v w) + KAPPA * p(w)) / (c(v) + KAPPA)`` with
-``p(w) = (c(w) + 1) / (N + V + 1)``; the score is the sum of the log10 probabilities of a text.
+``p(w) = (c(w) + 1) / (N + V + 1)``; the score is the sum of the log10 probabilities of a text. A filter of up to
+``BROADCAST_BITS`` bits is broadcast. A larger one stays on the executors: every block asks each segment for the levels of
+its distinct n-grams, the answers are probed region by region and return to the block. Both ways give equal scores.
 
 Base score. ``sum log10((c + 1) / (N + V + 1))`` needs exact counts. Words with at least N / HEAVY_WORDS occurrences
 (no more than HEAVY_WORDS exist, whatever the corpus) are broadcast; occurrences of all other words meet their exact
@@ -39,6 +40,7 @@ from ..functions.materialize import materialize
 from . import kernels as K
 
 FILTER_BITS = 1 << 28
+BROADCAST_BITS = 1 << 28
 LEAST_REGION = 1 << 12
 PROBES = 4
 QUANT = 1.5
@@ -53,7 +55,7 @@ BEGIN = np.uint64(0xB0B0B0B0B0B0B0B1)  # context of the first token
 MAX_LEVEL = 100
 
 BLOCK_SCHEMA = ("kind int, block long, seg int, doc_id array<long>, held array<boolean>, n_tokens array<long>, "
-                "known array<long>, log_sum array<double>, score array<double>, hash binary, doc binary")
+                "known array<long>, log_sum array<double>, score array<double>, hash binary, doc binary, tokens binary")
 SEGMENT_SCHEMA = ("seg int, tokens long, words long, uni_hash binary, uni_count binary, bi_hash binary, "
                   "bi_level binary, uni_levels array<long>, bi_levels array<long>")
 
@@ -175,7 +177,10 @@ def segment_counts(docs: DataFrame, segments: int) -> DataFrame:
 
 
 def lowest_level(uni_levels: np.ndarray, bi_levels: np.ndarray, bits: int) -> int:
-    """Least bigram level whose entries, with all unigrams, fill no more than half of the filter's bits."""
+    """Least bigram level whose entries, with all unigrams, fill no more than half of the filter's bits.
+
+    Not used by ``train``, whose filter holds every level.
+    """
     room = bits * math.log(2) / PROBES
     q = np.arange(MAX_LEVEL + 1)
     need = float((uni_levels * q).sum())
@@ -184,6 +189,12 @@ def lowest_level(uni_levels: np.ndarray, bi_levels: np.ndarray, bits: int) -> in
     return int(fits[0]) if len(fits) else MAX_LEVEL + 1
 
 
+def filter_bits(uni_levels: np.ndarray, bi_levels: np.ndarray, bits: int) -> int:
+    """``bits``, or as many as all entries need to fill no more than half of them."""
+    entries = int(((uni_levels + bi_levels) * np.arange(MAX_LEVEL + 1)).sum())
+    return max(bits, math.ceil(entries * PROBES / math.log(2)) + 1)
+
+
 def region_count(segments: int, bits: int) -> int:
     """Regions of the filter: one per segment, but none smaller than ``LEAST_REGION`` bits."""
     return max(1, min(segments, bits // LEAST_REGION))
@@ -211,11 +222,12 @@ def region_bits(regions: int, bits: int) -> int:
     return max(64, bits // regions // 8 * 8)
 
 
-def filter_regions(counted: DataFrame, segments: int, bits: int, least: int) -> DataFrame:
-    """(region, bits): every region of the filter, filled from its segments."""
-    regions = region_count(segments, bits)
-    size = region_bits(regions, bits)
+def region_of(segments: int, regions: int):
+    return F.expr(f"cast(cast(seg as long) * {regions} div {segments} as int)").alias("region")
+
 
+def filter_regions(counted: DataFrame, segments: int, regions: int, size: int) -> DataFrame:
+    """(region, bits): every region of the filter, filled from its segments."""
     def fill(table: pa.Table) -> pa.Table:
         on = np.zeros(size, bool)
         for row in table.to_pylist():
@@ -223,7 +235,6 @@ def filter_regions(counted: DataFrame, segments: int, bits: int, least: int) ->
             uni = np.frombuffer(row["uni_hash"], np.uint64)
             bi = np.frombuffer(row["bi_hash"], np.uint32).astype(np.uint64)
             bi_level = np.frombuffer(row["bi_level"], np.uint8).astype(np.int64)
-            bi, bi_level = bi[bi_level >= least], bi_level[bi_level >= least]
             uni_level = level_of(np.frombuffer(row["uni_count"], np.int64))
             for key, level in ((_uni_key(uni), uni_level), (_bi_key(bi, seg), bi_level)):
                 for q in range(1, int(level.max(initial=0)) + 1):
@@ -232,13 +243,30 @@ def filter_regions(counted: DataFrame, segments: int, bits: int, least: int) ->
         return pa.table({"region": table["region"].slice(0, 1),
                          "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    region = F.expr(f"cast(cast(seg as long) * {regions} div {segments} as int)").alias("region")
-    rows = counted.select(region, "seg", "uni_hash", "uni_count", "bi_hash", "bi_level")
+    rows = counted.select(region_of(segments, regions), "seg", "uni_hash", "uni_count", "bi_hash", "bi_level")
     return rows.groupBy("region").applyInArrow(fill, "region int, bits binary")
 
 
+def probed_levels(bits: np.ndarray, at: np.ndarray, key: np.ndarray, region: int) -> np.ndarray:
+    """Level of every n-gram (region ``at``, ``key``): the last one before a probe of ``bits`` fails."""
+    level = np.zeros(len(key), np.int64)
+    live = np.arange(len(key))
+    q = 1
+    while len(live) and q <= MAX_LEVEL:
+        s, k = at[live], key[live]
+        alive = np.arange(len(live))
+        for place in filter_places(s, k, q, region):
+            place = place[alive] if len(alive) < len(live) else place
+            on = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+            alive = alive[on.astype(bool)]
+        live = live[alive]
+        level[live] = q
+        q += 1
+    return level
+
+
 class Model:
-    """The broadcast part: filter, totals and the exact counts of the heavy words (all of bounded size)."""
+    """The broadcast part: totals, the exact counts of the heavy words and the filter (None if it is too large)."""
 
     def __init__(self, bits, segments, regions, region, tokens, words, heavy_hash, heavy_count):
         self.bits, self.segments, self.regions, self.region = bits, segments, regions, region
@@ -251,36 +279,27 @@ class Model:
         seg = segment_of(h, self.segments)
         key = _bi_key(h, seg) if bigram else _uni_key(h)
         seg = seg * self.regions // self.segments
-        level = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
-        q = 1
-        while len(live) and q <= MAX_LEVEL:
-            s, k = seg[live], key[live]
-            alive = np.arange(len(live))
-            for place in filter_places(s, k, q, self.region):
-                place = place[alive] if len(alive) < len(live) else place
-                on = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                alive = alive[on.astype(bool)]
-            live = live[alive]
-            level[live] = q
-            q += 1
-        return level
+        return probed_levels(self.bits, seg, key, self.region)
 
     def token_log10(self, t: Tokens) -> np.ndarray:
-        """log10 probability of every token of a slice."""
+        """log10 probability of every token of a slice, by the broadcast filter."""
         words, at = np.unique(t.h, return_inverse=True)
-        count = self.counts[self.levels(words, False)]
-        unigram = ((count + 1) / (self.tokens + self.words + 1))[at]
-        before = np.empty(len(t.h))
-        before[1:] = count[at[:-1]]
-        starts = t.first[:-1]
+        pair = self.levels(pair_hash(t.before, t.h), True)
+        return self.log10_of(self.levels(words, False)[at], pair, t.first[:-1])
+
+    def log10_of(self, word: np.ndarray, pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of every token from the levels of its word and pair; texts begin at ``starts``."""
+        count, pair = self.counts[word], self.counts[pair]
+        unigram = (count + 1) / (self.tokens + self.words + 1)
+        before = np.empty(len(count))
+        before[1:] = count[:-1]
         before[starts] = self.texts
-        pair = self.counts[self.levels(pair_hash(t.before, t.h), True)]
         return np.log10((np.minimum(pair, before) + KAPPA * unigram) / (before + KAPPA))
 
 
-def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WORDS):
-    """(model, segment table) learned from the texts of ``docs``."""
+def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WORDS,
+          broadcast_bits: int = BROADCAST_BITS):
+    """(model, segment table) learned from the texts of ``docs``; the filter has ``bits`` bits at least."""
     spark = docs.sparkSession
     size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     segments = max(8, -(-int(size[1] or 0) // SEGMENT_BYTES))
@@ -289,12 +308,14 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
         F.array(*[F.sum(F.get(c, F.lit(q))) for q in range(MAX_LEVEL + 1)]) for c in ("uni_levels", "bi_levels")]).first()
     tokens, words = int(total[0] or 0), int(total[1] or 0)
     levels = [np.array([x or 0 for x in total[k]], np.int64) for k in (2, 3)]
-    least = lowest_level(*levels, bits)
+    bits = filter_bits(*levels, bits)
     regions = region_count(segments, bits)
     region = region_bits(regions, bits)
-    joined = np.zeros(regions * region // 8, np.uint8)
-    for r in filter_regions(counted, segments, bits, least).collect():  # FILTER_BITS in all
-        joined[r.region * region // 8:(r.region + 1) * region // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    joined = None
+    if bits <= broadcast_bits:
+        joined = np.zeros(regions * region // 8, np.uint8)
+        for r in filter_regions(counted, segments, regions, region).collect():  # broadcast_bits in all
+            joined[r.region * region // 8:(r.region + 1) * region // 8] = np.frombuffer(bytes(r.bits), np.uint8)
     floor = max(1, -(-tokens // heavy_words))
 
     def heavy(batches):
@@ -315,7 +336,8 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
 
 
 def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
-    """Kind 0: one row per block (slice) with its documents; kind 1: per segment the occurrences of light words."""
+    """Kind 0: one row per block (slice) with its documents; kind 1: per segment the occurrences of light words;
+    kind 2, without a broadcast filter: per segment the distinct n-grams, and kind 0 holds the token hashes."""
     def task(batches):
         K.tidy()
         m = K.rebuilt(Model, shared)
@@ -326,7 +348,8 @@ def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
                 t = Tokens(batch.column(1).slice(lo, hi - lo))
                 n = hi - lo
                 row = t.rows()
-                score = np.bincount(row, m.token_log10(t), minlength=n)
+                asked = m.bits is None
+                score = None if asked else np.bincount(row, m.token_log10(t), minlength=n)
                 at = np.minimum(np.searchsorted(m.heavy_hash, t.h), max(len(m.heavy_hash) - 1, 0))
                 hit = m.heavy_hash[at] == t.h if len(m.heavy_hash) else np.zeros(len(t.h), bool)
                 logs = np.log10((m.heavy_count + 1) / denominator)
@@ -337,16 +360,23 @@ def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
                 light, light_doc = light[order], light_doc[order]
                 cut = _split(segment_of(light, m.segments), m.segments)
                 segs = np.flatnonzero(np.diff(cut))
-                k = len(segs)
+                sent = [(1, s, light[cut[s]:cut[s + 1]], light_doc[cut[s]:cut[s + 1]]) for s in segs.tolist()]
+                if asked:
+                    uni, bi = np.unique(t.h), np.unique(pair_hash(t.before, t.h))
+                    u, b = (_split(segment_of(x, m.segments), m.segments) for x in (uni, bi))
+                    low = (bi & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    sent += [(2, s, uni[u[s]:u[s + 1]], low[b[s]:b[s + 1]])
+                             for s in np.flatnonzero(np.diff(u) + np.diff(b)).tolist()]
+                k = len(sent)
                 lists = [batch.column(0).slice(lo, n).to_pylist(), batch.column(2).slice(lo, n).to_pylist(),
                          np.diff(t.first), known, log_sum, score]
                 kinds = ["int64", "bool_", "int64", "int64", "float64", "float64"]
-                arrays = [pa.array([0] + [1] * k, pa.int32()), pa.array([block] * (k + 1), pa.int64()),
-                          pa.array([-1, *segs.tolist()], pa.int32())]
+                arrays = [pa.array([0, *(x[0] for x in sent)], pa.int32()), pa.array([block] * (k + 1), pa.int64()),
+                          pa.array([-1, *(x[1] for x in sent)], pa.int32())]
                 arrays += [pa.array([x, *[None] * k], pa.list_(getattr(pa, kind)()))
                            for x, kind in zip(lists, kinds, strict=True)]
-                arrays += [pa.array([None, *(x[cut[s]:cut[s + 1]].tobytes() for s in segs)], pa.binary())
-                           for x in (light, light_doc)]
+                arrays += [pa.array([None, *(x[i].tobytes() for x in sent)], pa.binary()) for i in (2, 3)]
+                arrays.append(pa.array([t.h.tobytes() if asked else None, *[None] * k], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
                 block += 1
 
@@ -385,22 +415,69 @@ def light_parts(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
     return met.select("block", "hash", "doc", "uni_hash", "uni_count").mapInArrow(task, PART_SCHEMA)
 
 
+def answers(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
+    """Per block and segment the levels of the n-grams asked for, probed in the region of the segment."""
+    m = shared.value
+    segments, regions, size = m["segments"], m["regions"], m["region"]
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(size // 8, np.uint8)
+        out = {"block": [], "seg": [], "uni": [], "bi": []}
+        for block, seg, uni, bi in zip(*(asked[c].to_pylist() for c in ("block", "seg", "hash", "doc")), strict=True):
+            uni, bi = np.frombuffer(uni, np.uint64), np.frombuffer(bi, np.uint32).astype(np.uint64)
+            out["block"].append(block)
+            out["seg"].append(seg)
+            for name, key in (("uni", _uni_key(uni)), ("bi", _bi_key(bi, np.array([seg])))):
+                level = probed_levels(bits, np.zeros(len(key), np.int64), key, size)
+                out[name].append(level.astype(np.uint8).tobytes())
+        return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["seg"], pa.int32()),
+                         pa.array(out["uni"], pa.binary()), pa.array(out["bi"], pa.binary())], names=list(out))
+
+    asked = blocks.where("kind = 2").select(region_of(segments, regions), "block", "seg", "hash", "doc")
+    held = filter_regions(counted, segments, regions, size)
+    return (asked.groupBy("region").cogroup(held.groupBy("region"))
+            .applyInArrow(probe, "block long, seg int, uni binary, bi binary"))
+
+
+def answered_scores(row: dict, m: Model) -> np.ndarray:
+    """Scores of a block's documents from its token hashes and the answers of all segments."""
+    h = np.frombuffer(row["tokens"], np.uint64)
+    starts = np.concatenate([[0], np.cumsum(row["n_tokens"])]).astype(np.int64)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[starts[:-1]] = BEGIN
+    level = []
+    parts = sorted(row["levels"], key=lambda p: p["seg"])  # segments are hash ranges: the order of np.unique
+    for name, grams in (("uni", h), ("bi", pair_hash(before, h))):
+        every = np.frombuffer(b"".join(p[name] for p in parts), np.uint8).astype(np.int64)
+        level.append(every[np.unique(grams, return_inverse=True)[1]])
+    n = len(row["n_tokens"])
+    return np.bincount(np.repeat(np.arange(n), row["n_tokens"]), m.log10_of(*level, starts[:-1]), minlength=n)
+
+
 RESULT_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                  "base_score double, score double")
 
 
-def score_texts(docs: DataFrame, held, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, held, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WORDS,
+                broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """Train on the rows where ``held`` (a Column) is not true and score every row; see RESULT_SCHEMA."""
     held = F.coalesce(held, F.lit(False))
-    shared, counted = train(docs.where(~held), bits, heavy_words)
-    tokens = shared.value["tokens"]
+    shared, counted = train(docs.where(~held), bits, heavy_words, broadcast_bits)
+    tokens, asked = shared.value["tokens"], shared.value["bits"] is None
     blocks = score_blocks(docs, shared, held)
     parts = light_parts(blocks, counted, shared).groupBy("block").agg(
         F.collect_list(F.struct("doc", "known", "log_sum")).alias("parts"))
-    whole = blocks.where("kind = 0").select("block", "doc_id", "held", "n_tokens", "known", "log_sum", "score")
-    met = whole.join(parts, "block", "left").drop("block")
+    whole = blocks.where("kind = 0").select("block", "doc_id", "held", "n_tokens", "known", "log_sum", "score",
+                                           *["tokens"] * asked)
+    met = whole.join(parts, "block", "left")
+    if asked:
+        met = met.join(answers(blocks, counted, shared).groupBy("block").agg(
+            F.collect_list(F.struct("seg", "uni", "bi")).alias("levels")), "block")
+    met = met.drop("block")
 
     def task(batches):
+        m = K.rebuilt(Model, shared)
         for batch in batches:
             for row in batch.to_pylist():
                 known, total = np.array(row["known"], np.int64), np.array(row["log_sum"], np.float64)
@@ -409,10 +486,11 @@ def score_texts(docs: DataFrame, held, bits: int = FILTER_BITS, heavy_words: int
                     known[doc] += np.frombuffer(p["known"], np.int64)
                     total[doc] += np.frombuffer(p["log_sum"], np.float64)
                 n = len(known)
+                score = answered_scores(row, m) if asked else row["score"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()),
                      pa.array(row["n_tokens"], pa.int64()), pa.array(known), pa.array(np.full(n, tokens)),
-                     pa.array(total), pa.array(row["score"], pa.float64())],
+                     pa.array(total), pa.array(score, pa.float64())],
                     names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
 
     return met.mapInArrow(task, RESULT_SCHEMA)

@@ -95,3 +95,25 @@ def test_empty_and_untrained(spark):
     only_held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     docs = [(i, "a b") for i in only_held]
     assert result(run(spark, docs)) == brute(docs)
+
+
+def test_filter_grows_with_the_entries_and_keeps_every_bigram(spark):
+    """A filter asked to be small takes the size its entries need: bigrams are read back, few unseen ones are."""
+    import pyarrow as pa
+    text = " ".join(f"w{j}" for j in range(6000))
+    shared, _ = B.train(spark.createDataFrame([(text,), (text,)], "text string"), bits=1 << 14)
+    m = B.K.rebuilt(B.Model, shared)
+    t = B.Tokens(pa.array([text]))
+    assert (m.levels(t.h, False) >= 2).all() and (m.levels(B.pair_hash(t.before, t.h), True) >= 2).all()
+    unseen = B.K.mix64(np.arange(10**5, dtype=np.uint64))
+    assert (m.levels(unseen, False) > 0).mean() < 0.08 and (m.levels(unseen, True) > 0).mean() < 0.08
+
+
+def test_scores_by_asking_equal_those_by_broadcast(spark):
+    docs = corpus()
+    for bits in (1 << 14, 1 << 20):
+        one, two = (sorted((*r[:-1], round(r.score, 6)) for r in run(spark, docs, bits=bits, broadcast_bits=b).collect())
+                    for b in (1 << 28, 0))
+        assert [(*r[:5], round(r[5], 6)) for r in two] == brute(docs)
+        assert [(*r[:5], round(r[5], 6), r[6]) for r in one] == [(*r[:5], round(r[5], 6), r[6]) for r in two]
+    assert run(spark, [], broadcast_bits=0).collect() == []
