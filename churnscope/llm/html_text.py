@@ -182,7 +182,8 @@ class Page:
         self._flush(0)
 
     def settle_names(self):
-        """Exclude named elements, unless one holds nearly all the text that is left or a region element."""
+        """Exclude named elements, unless one holds a region element, or nearly all the text that is left and no region
+        or paragraph lies outside it (a wrapper of the page, whose name tells of its layout)."""
         n = len(self.parent)
         size = [0] * n
         region = [t in REGION_TAGS and not b for t, b in zip(self.tag, self.by_name, strict=True)]
@@ -193,9 +194,22 @@ class Page:
             size[self.parent[e]] += size[e]
             if region[e] and not self.excluded[e]:
                 region[self.parent[e]] = True
+        near, in_region = [0] * n, [False] * n  # innermost named element (0: none); inside a region
+        named = [b and not (r and t not in REGION_TAGS) for b, r, t in zip(self.by_name, region, self.tag, strict=True)]
         for e in range(1, n):
-            if self.by_name[e] and not (region[e] and self.tag[e] not in REGION_TAGS) and size[e] <= 0.9 * size[0]:
-                self.excluded[e] = True
+            near[e] = e if named[e] else near[self.parent[e]]
+            in_region[e] = in_region[self.parent[e]] or (self.tag[e] in REGION_TAGS and not self.by_name[e])
+        own = [0] * n  # text of regions and paragraphs by innermost named element
+        for e, text, link in self.blocks:
+            if not self.excluded[e] and (in_region[e] or self.tag[e] == "p") and link <= LINK_SHARE * len(text):
+                own[near[e]] += len(text)
+        outside = own[0]
+        for e in range(1, n):
+            if named[e] and not self.excluded[self.parent[e]]:
+                if size[e] > 0.9 * size[0] and not outside:
+                    outside += own[e]  # stays: its own paragraphs lie outside the named elements in it
+                else:
+                    self.excluded[e] = True
             self.excluded[e] = self.excluded[e] or self.excluded[self.parent[e]]
 
 

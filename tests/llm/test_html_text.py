@@ -72,3 +72,24 @@ def test_rows_columns_and_long_pages(spark):
     assert [r[0] for r in out] == [1, 2, 3, 3] and out[0][1] == "" and out[2][1] == "deep, text."
     assert out[1][1] == " ".join(["Word, word."] * 30000) and {r[2] for r in out} == {"k"}
     assert T.with_main_text(df.limit(0)).collect() == []
+
+
+COMMENTS = "".join(f"<p>Reader {i} says: I agree, fully, with all of it; thanks.</p>" for i in range(60))
+
+
+@pytest.mark.parametrize("page", [
+    "<article><h1>Head</h1><p>A short article, of two parts; it ends here.</p><p>So it does, in fact.</p></article>{c}",
+    "<main><h1>Head</h1><p>A short article, of two parts; it ends here.</p><p>So it does, in fact.</p>{c}</main>",
+    "<div><h1>Head</h1><p>A short article, of two parts; it ends here.</p><p>So it does, in fact.</p></div>{c}",
+    "<div class='has-sidebar'><h1>Head</h1><p>A short article, of two parts; it ends here.</p><p>So it does, in fact.</p>"
+    "{c}</div>"])
+def test_comments_twenty_times_as_long_as_the_article(page):
+    comments = f"<section id='comments'>{COMMENTS}</section>"
+    assert len(COMMENTS) > 20 * len("Head A short article, of two parts; it ends here. So it does, in fact.")
+    assert T.main_text("<body>" + page.format(c=comments) + "</body>") == (
+        "Head A short article, of two parts; it ends here. So it does, in fact.")
+
+
+def test_named_wrapper_of_the_whole_page_stays():
+    page = "<body><div class='sidebar-layout'><h1>Head</h1><p>All the text, of the page.</p></div><div>x</div></body>"
+    assert T.main_text(page).startswith("Head All the text, of the page.")
