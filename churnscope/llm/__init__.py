@@ -1,4 +1,4 @@
-"""Training-data operators (dealt operators 1-10). Nothing else in the library imports this subpackage."""
+"""Training-data operators (dealt operators 1-13). Nothing else in the library imports this subpackage."""
 
 import sys
 

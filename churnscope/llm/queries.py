@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, chat, decontaminate, html_text, line_dedup, near_dup, pieces, pii, quality, topk
+from . import (bloom_lm, chat, curve_pack, decontaminate, hard_negatives, html_text, line_dedup, near_dup, pieces, pii,
+               quality, token_align, topk)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,7 +163,42 @@ FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same,
+             CAST(list_dot_product(a.e, d.e) AS BIGINT) AS score
+      FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+             s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS n
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+       AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.n <= 5)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE n <= 3
+"""
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_pack.piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_curve_packing": op12_curve_packing,
+    "op13_token_alignment": op13_token_alignment,
     "op7_pii": op7_pii,
     "op8_html_extraction": op8_html_extraction,
     "op2_chat_formatting": op2_chat_formatting,
@@ -176,6 +212,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": OP11_SQL,
     "op2_chat_formatting": OP2_SQL,
     "op4_exact_topk": OP4_SQL,
     "op9_minhash_near_dedup": OP9_SQL,

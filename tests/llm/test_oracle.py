@@ -14,4 +14,4 @@ def test_query_equals_sql(spark, key):
 def test_registered_names():
     names = sorted(Q.queries())
     assert [n for n in names if n == "pipeline" or n.startswith("op")] == names
-    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in names} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
