@@ -140,6 +140,36 @@ def csr_indices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - shift, length)
 
 
+class IdPool:
+    """Lists of token ids under running numbers, kept in one growing array."""
+
+    def __init__(self):
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = self.size = 0
+
+    def add(self, ids, count) -> None:
+        """Append one list per entry of ``count``; ``ids`` holds them all."""
+        n, at = self.size, self.used
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(count) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.ids[at:at + len(ids)] = ids
+        self.begin[n:n + len(count)] = at + np.cumsum(count) - count
+        self.count[n:n + len(count)] = count
+        self.used, self.size = at + len(ids), n + len(count)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of the lists with these numbers, length of each list)."""
+        count = self.count[numbers]
+        return self.ids[csr_indices(self.begin[numbers], count)].astype(np.int64), count
+
+
+def numbered(words: list[str], known: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
 def tidy() -> None:
     """Give back what earlier tasks of this (reused) worker left behind; called when a large task begins."""
     gc.collect()

@@ -46,7 +46,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RUN_BYTES = 1 << 20
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
+JOINED = 4096  # words encoded in one call
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 STRETCH_SCHEMA = ("batch long, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in FIGURES)
@@ -103,22 +104,29 @@ class Tokenizers:
         self.size_b = n
         self.pairs = len(spelled) * n
         self.digits = flat_bytes([str(i).encode() for i in range(max(len(spelled), n))])
-        self.known: dict[str, tuple[list, list]] = {}
+        self.forget()
 
-    def encode(self, words: list[str]):
-        """Per side (flat ids, begin, count) of distinct words, each with its leading space."""
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pools = K.IdPool(), K.IdPool()
+
+    def encode(self, words: list[str], code: np.ndarray):
+        """Per side (ids, tokens of each word) of the words numbered ``code`` in the distinct ``words``, each of which begins
+        with a space."""
         if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, b in zip(new, self.b.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
-            self.known[w] = (self.a.encode_ordinary(w), b)
-        coded = [self.known[w] for w in words]
-        out = []
-        for side in (0, 1):
-            count = np.fromiter((len(c[side]) for c in coded), np.int64, len(coded))
-            flat = np.fromiter(itertools.chain.from_iterable(c[side] for c in coded), np.int64, int(count.sum()))
-            out.append((flat, np.cumsum(count) - count, count))
-        return out
+            self.forget()
+        known = self.known
+        new = [w for w in words if w not in known]
+        for lo in range(0, len(new), JOINED):
+            part = new[lo:lo + JOINED]
+            known.update(zip(part, range(len(known), len(known) + len(part))))
+            plain = self.a.encode_ordinary
+            for pool, coded in zip(self.pools, ([plain(w) for w in part], self.b.encode([w[1:] for w in part], num_threads=1)),
+                                   strict=True):
+                pool.add(np.array(list(itertools.chain.from_iterable(coded)), np.int64),
+                         np.fromiter(map(len, coded), np.int64, len(part)))
+        at = K.numbered(words, known)[code]
+        return [pool.take(at) for pool in self.pools]
 
 
 def spaced_words(column: pa.Array):
@@ -210,8 +218,8 @@ class Stretch:
         code = coded.indices.to_numpy()
         sides = []
         wrong = np.zeros(len(doc), bool)
-        for table, (flat, begin, count) in zip((t.bytes_a, t.bytes_b), t.encode(coded.dictionary.to_pylist()), strict=True):
-            ids, n = flat[K.csr_indices(begin[code], count[code])], count[code]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        for table, (ids, n) in zip((t.bytes_a, t.bytes_b), t.encode(words, code), strict=True):
             wrong |= spelled_wrong(table, ids, n, buf, bounds)
             sides.append([ids, n, table[2]])
         if wrong.any():
