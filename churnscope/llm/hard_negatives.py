@@ -192,24 +192,29 @@ def grid(anchors: DataFrame, blocks: DataFrame, by_bucket: bool, cell_anchors: i
     """Rows of all cells, a cell's anchors before its blocks. A cell is (bucket, part of the anchors, part of the blocks);
     one of ``BUCKETS`` buckets of labels, or all in one."""
     spark = anchors.sparkSession
-    if not by_bucket:
-        anchors, blocks = anchors.withColumn("bucket", F.lit(0)), blocks.withColumn("bucket", F.lit(0))
-    sizes = {r["bucket"]: (r["a"], r["b"]) for r in
-             anchors.groupBy("bucket").agg(F.count("*").alias("a"))
-             .join(blocks.groupBy("bucket").agg(F.count("*").alias("b")), "bucket").collect()}
-    cells, layout = 0, []
-    for bucket, (a, b) in sorted(sizes.items()):
-        across, down = -(-a // cell_anchors), -(-b // cell_blocks)
-        layout.append((bucket, cells, across, down))
-        cells += across * down
-    plan = F.broadcast(spark.createDataFrame(layout, "bucket int, base long, across int, down int"))  # BUCKETS rows at most
+    across_down = lambda a, b: (-(-a // cell_anchors), -(-b // cell_blocks))
+    if by_bucket:
+        sizes = (anchors.groupBy("bucket").agg(F.count("*").alias("a"))
+                 .join(blocks.groupBy("bucket").agg(F.count("*").alias("b")), "bucket").collect())
+        cells, layout = 0, []
+        for r in sorted(sizes):
+            across, down = across_down(r["a"], r["b"])
+            layout.append((r["bucket"], cells, across, down))
+            cells += across * down
+        plan = F.broadcast(spark.createDataFrame(layout, "bucket int, base long, across int, down int"))  # BUCKETS rows at most
+        anchors, blocks = anchors.join(plan, "bucket"), blocks.join(plan, "bucket")
+    else:
+        across, down = across_down(anchors.count(), blocks.count())
+        cells = across * down
+        whole = {"base": F.lit(0).cast("long"), "across": F.lit(max(across, 1)), "down": F.lit(max(down, 1))}
+        anchors, blocks = anchors.withColumns(whole), blocks.withColumns(whole)
     i, j = F.col("i"), F.col("j")
     cell = (F.col("base") + i * F.col("down") + j).alias("cell")
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     empty = {c.split(" ", 1)[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in CELL_SCHEMA.split(", ")}
-    heads = (anchors.join(plan, "bucket").withColumn("i", part("uid", "across"))
+    heads = (anchors.withColumn("i", part("uid", "across"))
              .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("down") - 1))))
-    bodies = (blocks.join(plan, "bucket").withColumn("j", part("block", "down"))
+    bodies = (blocks.withColumn("j", part("block", "down"))
               .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("across") - 1))))
     names = list(empty)
     heads = heads.select(cell, *(c if c in anchors.columns else empty[c].alias(c) for c in names[1:]))
