@@ -29,7 +29,8 @@ from churnscope.operators import registers as reg  # noqa: E402
 from churnscope.operators import target as tgt  # noqa: E402
 from churnscope.operators import triage as tri  # noqa: E402
 from churnscope.operators import validation as val  # noqa: E402
-from churnscope.operators.features import log_parents  # noqa: E402
+from churnscope.operators import neighbours as near  # noqa: E402
+from churnscope.operators.features import log_parents, logged_rate_features  # noqa: E402
 from churnscope.operators import progression as prog  # noqa: E402
 from churnscope.operators import align  # noqa: E402
 from churnscope.operators import plotdata  # noqa: E402
@@ -444,7 +445,73 @@ def q_value_density_points(spark, sf_dir):
                                    "value_density", "behavioral_archetype")
 
 
+def _rounded(df):
+    # terms of size 7 cancel to a score near 0: nine decimals are what either engine gets right
+    return df.withColumn("mutual_info_score", F.round("mutual_info_score", 9))
+
+
+def q_mutual_information_neighbours(spark, sf_dir):
+    m = stages.mart(spark, sf_dir)
+    return _rounded(near.neighbour_information(m, near.encoded_columns(m, prof.low_cardinality_columns(m)), "customer_id"))
+
+
+def q_mutual_information_numeric(spark, sf_dir):
+    m = stages.mart(spark, sf_dir)
+    cols = prof.numeric_columns(stages.profile_frame(spark, sf_dir))
+    return _rounded(near.neighbour_information(m, {c: F.col(c) for c in cols}, "customer_id"))
+
+
+def _keyed_vectors(spark, sf_dir):
+    return align.scaled_rows(stages.inferential(spark, sf_dir), keep=["customer_id"])
+
+
+def q_silhouette_euclidean(spark, sf_dir):
+    return align.silhouette_euclidean(_keyed_vectors(spark, sf_dir))
+
+
+def q_silhouette_sample(spark, sf_dir):
+    return align.silhouette_sample(_keyed_vectors(spark, sf_dir), sample=50)
+
+
+def q_transformation_log(spark, sf_dir):
+    return logged_rate_features(stages.cohort(stages.mart(spark, sf_dir)))[1]
+
+
+def q_recency_engagement_sample(spark, sf_dir):
+    return plotdata.scatter_sample(stages.archetype_dataset(spark, sf_dir), "recency_score", "engagement_efficiency",
+                                   "behavioral_archetype")
+
+
+def q_value_density_sample(spark, sf_dir):
+    return plotdata.scatter_sample(stages.archetype_dataset(spark, sf_dir), "avg_transaction_value", "value_density",
+                                   "behavioral_archetype")
+
+
+def q_state_rules(spark, sf_dir):
+    return binning.state_rules(stages.state_model(spark, sf_dir)[1])
+
+
+def q_density_curve(spark, sf_dir):
+    return plotdata.density_curve(stages.state_dataset(spark, sf_dir), binning.STATE_FEATURES)
+
+
+def q_category_brackets(spark, sf_dir):
+    m = stages.mart(spark, sf_dir)
+    cols = prof.categorical_columns(stages.profile_frame(spark, sf_dir))
+    return prof.rate_rank_brackets(m, cols).select("customer_id", *[f"{c}_bracket" for c in cols])
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "mutual_information_neighbours": q_mutual_information_neighbours,
+    "mutual_information_numeric": q_mutual_information_numeric,
+    "silhouette_euclidean": q_silhouette_euclidean,
+    "silhouette_sample": q_silhouette_sample,
+    "transformation_log": q_transformation_log,
+    "recency_engagement_sample": q_recency_engagement_sample,
+    "value_density_sample": q_value_density_sample,
+    "state_rules": q_state_rules,
+    "density_curve": q_density_curve,
+    "category_brackets": q_category_brackets,
     "membership_segments": q_membership_segments,
     "recency_engagement_points": q_recency_engagement_points,
     "value_density_points": q_value_density_points,
@@ -546,6 +613,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "mutual_information_neighbours": (O.MI, O.MI_NEIGHBOURS),
+    "mutual_information_numeric": (O.MART, O.MI_NUMERIC),
+    "silhouette_euclidean": (O.KEYED, O.SILHOUETTE_EUCLIDEAN),
+    "silhouette_sample": (O.KEYED, O.SILHOUETTE_SAMPLE),
+    "transformation_log": (O.ENGINEERED, O.TRANSFORMATION_LOG),
+    "recency_engagement_sample": (O.ARCHETYPES, O.scatter_sample("recency_score", "engagement_efficiency")),
+    "value_density_sample": (O.ARCHETYPES, O.scatter_sample("avg_transaction_value", "value_density")),
+    "state_rules": (O.STATES, O.STATE_RULES),
+    "density_curve": (O.STATES, O.DENSITY_CURVE),
+    "category_brackets": (O.PROFILE, O.CATEGORY_BRACKETS),
     "membership_segments": (O.ENGINEERED, "SELECT DISTINCT membership_category FROM eng "
                                           "WHERE membership_category IS NOT NULL"),
     "recency_engagement_points": (O.ARCHETYPES, "SELECT behavioral_archetype, recency_score, engagement_efficiency "

@@ -26,3 +26,20 @@ def group_rank(df: DataFrame, group: str, order: Sequence[str], rank: str = "ran
                          F.sum("_n").over(Window.partitionBy(group)).alias(size))
     return (rows.join(parts, [group, "_part"])
             .select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(rank), size))
+
+
+def running_total(df: DataFrame, group: str, order: Sequence[str], weight: str, total: str = "total") -> DataFrame:
+    """``df`` with the sum of ``weight`` over the rows of the group that lie before each row (by ``order``).
+
+    As in ``group_rank``, the rows are range sorted and written once; a window sums inside a (group, partition) only, and
+    a table of one row per (group, partition) holds the sums of the partitions before.
+    """
+    number = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", number)
+    rows = materialize(rows.withColumn("_part", F.shiftright("_at", 33)), name="running")
+    parts = rows.groupBy(group, "_part").agg(F.sum(weight).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(parts, [group, "_part"])
+            .select(*df.columns, (F.col("_before") + F.col("_in")).alias(total)))

@@ -89,6 +89,13 @@ def state_mapping_logic(model: DataFrame) -> DataFrame:
                      F.concat(F.lit("> "), hi), F.col("l2")).alias("logic"))
 
 
+def state_rules(model: DataFrame) -> DataFrame:
+    """E4 as rows: feature, state_column, position, rule (its text), label."""
+    rules = state_mapping_logic(model).select("feature", "state_column", "labels", F.explode("logic").alias("rule", "label"))
+    return rules.select("feature", "state_column", F.array_position("labels", F.col("label")).cast("int").alias("position"),
+                        "rule", "label")
+
+
 # ---------------------------------------------------------------- terciles
 
 TERCILE_PROBS = (0.0, 1.0 / 3.0, 2.0 / 3.0, 1.0)

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import (clip_lower, clip_upper, coerce_numeric, dummy_names, log1p_safe,
-                                 safe_div, text_normalise, to_date_coerce)
-from ..functions.stats import quantiles
+                                 safe_div, text_normalise, to_date_coerce, to_numeric)
+from ..functions.materialize import materialize
+from ..functions.stats import nan_to_null, quantiles
 
 # Column names and constants of the rate formula set.
 RATE_NUMERIC = ["points_in_wallet", "avg_transaction_value", "avg_time_spent",
@@ -175,3 +176,60 @@ def transformation_log(spark) -> "DataFrame":
     """C17: the transformation log as a table."""
     return spark.createDataFrame(TRANSFORMATION_LOG, "original_feature string, engineered_feature string, "
                                                      "transformation string, trigger string")
+
+
+def coerce_numeric_value(df: DataFrame, c: str, fill: float = 0.0):
+    """The column as the rate formulas see it: a number, ``fill`` where it is missing."""
+    if c not in df.columns:
+        return F.lit(fill)
+    return F.coalesce(to_numeric(c) if dict(df.dtypes)[c] == "string" else nan_to_null(F.col(c).cast("double")), F.lit(fill))
+
+
+def logged_rate_features(df: DataFrame, eps: float = RATE_EPSILON, model: RateModel | None = None,
+                         name: str = "engineered") -> tuple[DataFrame, DataFrame]:
+    """The engineered table, written once, and its transformation log with what each step did to the rows (C17).
+
+    The counts are observed metrics of the very job that writes the table (``DataFrame.observe``), so they cost no pass of
+    their own and describe the written rows. Log columns: those of ``TRANSFORMATION_LOG``, then ``rows``, ``coerced`` (source
+    cells holding text that is no number), ``filled`` (missing source cells that got a default), ``clipped`` (values cut to a
+    fitted cap or bound) and ``undefined`` (engineered values left NULL). For a log row with two sources the counts of both
+    are added. Dropped columns follow with transformation ``dropped``; ``filled`` is NULL there and ``rows`` counts the
+    values that are lost.
+    """
+    model = model or fit_rate_features(df, eps)
+    types = dict(df.dtypes)
+
+    def count(c):
+        return F.coalesce(F.count_if(c), F.lit(0))
+
+    raw = {c: F.col(f"_raw_{c}") for c in RATE_NUMERIC if c in df.columns}
+    missing = {c: (to_numeric(v) if types[c] == "string" else nan_to_null(v.cast("double"))).isNull() for c, v in raw.items()}
+    coerced = {c: count(missing[c] & (v.isNotNull() if types[c] == "string" else F.lit(False))) for c, v in raw.items()}
+    filled = {c: count(missing[c]) for c in raw}
+    clips = {"log_avg_txn": F.col("_raw_avg_transaction_value_base") > F.lit(model.txn_cap),
+             "log_points": F.col("points_per_day") > F.lit(model.points_cap),
+             "recency_score": F.col("_raw_days_base") < 0}
+    staged = apply_rate_features(
+        df.withColumns({f"_raw_{c}": F.col(c) for c in raw} | {
+            "_raw_avg_transaction_value_base": coerce_numeric_value(df, "avg_transaction_value"),
+            "_raw_days_base": coerce_numeric_value(df, "days_since_last_login")}
+            | {f"_drop_{c}": F.col(c) for c in RATE_DROP if c in df.columns}), model, eps)
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    metrics += [m.alias(f"coerced_{c}") for c, m in coerced.items()] + [m.alias(f"filled_{c}") for c, m in filled.items()]
+    metrics += [count(F.coalesce(c, F.lit(False))).alias(f"clipped_{f}") for f, c in clips.items()]
+    metrics += [count(F.col(f).isNull()).alias(f"undefined_{f}") for _, f, _, _ in TRANSFORMATION_LOG]
+    metrics += [F.count(F.col(f"_drop_{c}")).alias(f"dropped_{c}") for c in RATE_DROP if c in df.columns]
+    watch = Observation("transformations")
+    helpers = [c for c in staged.columns if c.startswith(("_raw_", "_drop_"))]
+    out = materialize(staged.observe(watch, *metrics).drop(*helpers), name=name)
+    got = watch.get
+    rows = []
+    for original, engineered, transformation, trigger in TRANSFORMATION_LOG:
+        sources = [c for c in original.split(" + ") if c in raw]
+        rows.append((original, engineered, transformation, trigger, got["rows"],
+                     sum(got[f"coerced_{c}"] for c in sources), sum(got[f"filled_{c}"] for c in sources),
+                     got.get(f"clipped_{engineered}", 0), got[f"undefined_{engineered}"]))
+    rows += [(c, None, "dropped", None, got[f"dropped_{c}"], 0, None, 0, None) for c in RATE_DROP if c in df.columns]
+    return out, df.sparkSession.createDataFrame(
+        rows, "original_feature string, engineered_feature string, transformation string, trigger string, rows long, "
+              "coerced long, filled long, clipped long, undefined long")

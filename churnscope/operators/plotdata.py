@@ -7,15 +7,19 @@ sequence on one row per feature, so no cross join is needed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sampling import bottom_k
 from ..functions.stats import nan_to_null, quantiles
 
 BINS = 30
 WHISKER = 1.5
+GRID = 200      # points of a density curve
+SAMPLE = 100    # points of a group in a scatter sample
 
 
 def histogram(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
@@ -69,3 +73,48 @@ def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
 def scatter_points(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
     """K4: the points of a scatter chart (all rows, two metrics and the colour column)."""
     return df.select(hue, x, y)
+
+
+def scatter_sample(df: DataFrame, x: str, y: str, hue: str, key: str = "customer_id", k: int = SAMPLE) -> DataFrame:
+    """K4 bounded: at most ``k`` points of each colour group, those with the smallest hash of ``key`` (``bottom_k``), however
+    many rows there are. The same rows are chosen on every run and layout."""
+    return bottom_k(df.select(key, hue, x, y), hue, key, k)
+
+
+def density_curve(df: DataFrame, features: Sequence[str], grid: int = GRID) -> DataFrame:
+    """K1's smooth curve: feature, point, x, density, count_scale at ``grid`` points over [min, max] of each feature.
+
+    A Gaussian kernel density with Scott's bandwidth (sample deviation times n^(-1/5)). Every value is split between its two
+    grid points (linear binning) by one grouped sum, then the kernel is applied to the grid counts; the work on the grid does
+    not grow with the rows. ``count_scale`` is the density times rows times the width of one of ``BINS`` histogram bins, the
+    height that lies over the histogram. Missing values are left out; a constant feature or one with fewer than two values
+    has no curve.
+    """
+    x = {c: nan_to_null(F.col(c).cast("double")) for c in features}
+    row = df.agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("n"), F.stddev_samp(v).alias("sd"))
+                   .alias(c) for c, v in x.items()]).first()
+    fits = {c: row[c] for c in features if row[c]["n"] > 1 and row[c]["sd"] and row[c]["hi"] > row[c]["lo"]}
+    schema = "feature string, lo double, hi double, n long, bw double"
+    if not fits:
+        return df.sparkSession.createDataFrame([], "feature string, point int, x double, density double, count_scale double")
+    last = grid - 1
+    cells = []
+    for c, f in fits.items():
+        at = (x[c] - F.lit(f["lo"])) / F.lit((f["hi"] - f["lo"]) / last)
+        low = F.least(F.floor(at), F.lit(last - 1)).cast("int")
+        for side in (0, 1):
+            cells.append(F.struct(F.lit(c).alias("feature"), (low + side).alias("g"),
+                                  (at - low if side else 1 - (at - low)).alias("w")))
+    weights = (df.select(F.inline(F.array(*cells))).where(F.col("g").isNotNull()).groupBy("feature", "g")
+               .agg(F.sum("w").alias("w")).groupBy("feature").agg(F.collect_list(F.struct("g", "w")).alias("bins")))
+    fitted = df.sparkSession.createDataFrame(
+        [(c, f["lo"], f["hi"], f["n"], f["sd"] * f["n"] ** -0.2) for c, f in fits.items()], schema)
+    step = (F.col("hi") - F.col("lo")) / last
+    z = lambda b: (F.col("point") - b["g"]) * step / F.col("bw")
+    kernel = F.aggregate("bins", F.lit(0.0), lambda s, b: s + b["w"] * F.exp(-z(b) * z(b) / 2))
+    density = kernel / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
+    return (fitted.join(weights, "feature").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(last))))
+            .select("feature", "point", (F.col("lo") + F.col("point") * step).alias("x"), density.alias("density"),
+                    "n", "lo", "hi")
+            .select("feature", "point", "x", "density",
+                    (F.col("density") * F.col("n") * (F.col("hi") - F.col("lo")) / BINS).alias("count_scale")))

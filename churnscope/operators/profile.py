@@ -191,7 +191,22 @@ def ranked_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def rate_rank_brackets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """E10 for every row: adds ``{feature}_bracket`` by one join per feature on its category."""
+    """E10 for every row: adds ``{feature}_bracket``; NULL categories have none.
+
+    The brackets of all features reach the rows as one scalar map (feature -> value -> bracket), so the table is not
+    joined at all. The map must fit a row: use it for columns known to hold few values (C15). ``joined_rate_rank_brackets``
+    has no such bound.
+    """
+    ranked = ranked_categories(df, cols)
+    per_feature = ranked.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("value", "bracket"))).alias("m"))
+    brackets = per_feature.agg(F.map_from_entries(F.collect_list(F.struct("feature", "m")))).scalar()
+    staged = df.withColumn("_brackets", brackets)
+    return staged.withColumns({f"{c}_bracket": F.when(F.col(c).isNotNull(), F.col("_brackets")[c][F.col(c)])
+                               for c in cols}).drop("_brackets")
+
+
+def joined_rate_rank_brackets(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``rate_rank_brackets`` for features with any number of categories: one join per feature on its category."""
     ranked = ranked_categories(df, cols)
     out = df
     for c in cols:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_numeric
+from ..functions.materialize import materialize
 from ..functions.stats import nan_to_null
 
 TABLES = (
@@ -69,14 +70,45 @@ def read_customer_csv(spark: SparkSession, path: str, schema=None, drop_index: b
     reader = spark.read.option("header", True)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(path)
+    return clean_customers(reader.csv(path), schema is not None, drop_index, target_from)
+
+
+def clean_customers(df: DataFrame, typed: bool, drop_index: bool = True,
+                    target_from: str | None = "churn_risk_score") -> DataFrame:
+    """A3/A4/A5 and A2 on parsed rows; without types (``typed`` false) also ``infer_types``."""
     df = df.toDF(*[c.strip() for c in df.columns])
     if drop_index and df.columns and df.columns[0] in ("", "_c0", "Unnamed: 0"):
         df = df.drop(df.columns[0])
     if target_from and target_from in df.columns:
         df = df.withColumnRenamed(target_from, "churn")
     df = na_normalise(df)
-    return df if schema is not None else infer_types(df)
+    return df if typed else infer_types(df)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_quarantined(spark: SparkSession, path: str, quarantine: str, schema=None, **options) -> tuple[DataFrame, dict]:
+    """``read_customer_csv`` for files with broken rows: (well-formed rows, counts).
+
+    A row that does not fit the header (too few or too many cells, a quote that never closes) or, with a ``schema``, holds
+    a cell of the wrong type goes whole into the parquet table ``quarantine`` (source_file, record), which the call
+    overwrites. No row is lost: ``read`` = ``kept`` + ``quarantined``. The files are parsed once; both parts are read back
+    from the parsed table. The header of the first file names the columns; a broken row must not be its first line.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    fields = [f"`{c}` string" for c in names] if schema is None else None
+    typed = spark.createDataFrame([], ", ".join(fields) if fields else schema).schema
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .schema(typed.add(CORRUPT, "string")))
+    parsed = materialize(reader.csv(path).withColumn("_source_file", F.col("_metadata.file_path")), name="parsed_csv")
+    broken = parsed.where(F.col(CORRUPT).isNotNull()).select(F.col("_source_file").alias("source_file"),
+                                                             F.col(CORRUPT).alias("record"))
+    write_table(broken, quarantine)
+    row = parsed.agg(F.count(F.lit(1)).alias("read"), F.count(CORRUPT).alias("quarantined")).first()
+    kept = parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_source_file")
+    counts = {"read": row["read"], "kept": row["read"] - row["quarantined"], "quarantined": row["quarantined"]}
+    return clean_customers(kept, typed=schema is not None, **options), counts
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:

@@ -964,3 +964,160 @@ sm AS ({_SUMMARY}),
 sn AS (SELECT *, {_NORM} FROM sm),
 sc AS (SELECT *, {' + '.join(f'{w} * (1 - {c}_norm)' for c, w in _WEIGHTS.items())} AS structural_integrity_score
        FROM sn)"""
+
+
+# ------------------------------------------------------------------ neighbours, samples, curves, logs
+
+def _nested(body: str) -> str:
+    """A statement with its own common table expressions as one that can follow others."""
+    return f"SELECT * FROM ({body}\n)"
+
+
+def _hash52(*parts: str) -> str:
+    """52 bits of the MD5 digest of the parts joined by '|'."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13) AS BIGINT)"
+
+
+def _digamma(n: str) -> str:
+    z = f"({n} + 8.0)"
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * power({z}, 2)) + 1 / (120 * power({z}, 4)) - 1 / (252 * power({z}, 6))"
+            f" + 1 / (240 * power({z}, 8)) - 1 / (132 * power({z}, 10)) - "
+            + " - ".join(f"1 / ({n} + {j}.0)" for j in range(8)) + ")")
+
+
+def _neighbour_information(enc: str, k: int = 3) -> str:
+    """Nearest-neighbour mutual information of a relation (customer_id, y, feature, x), windows and a counting join."""
+    cand = ", ".join(
+        f"CASE WHEN {fn}(x, {j}) OVER w IS NOT NULL THEN {{'d': {sign} * ({fn}(x, {j}) OVER w - x), "
+        f"'e': {sign} * ({fn}(u, {j}) OVER w - u), 'side': {sign}, 'nx': {fn}(x, {j}) OVER w, 'nu': {fn}(u, {j}) OVER w}} END"
+        for j in range(1, k + 1) for fn, sign in (("lag", -1), ("lead", 1)))
+    return f"""
+WITH e AS (SELECT customer_id, y, feature, coalesce(x, 0.0) AS x, {_hash52('feature', 'CAST(customer_id AS VARCHAR)')} AS u
+           FROM ({enc})),
+p0 AS (SELECT e.*, count(*) OVER (PARTITION BY feature, y) AS size FROM e),
+p AS (SELECT * FROM p0 WHERE size > 1),
+c AS (SELECT *, least({k}, size - 1) AS kk, list_sort(list_filter([{cand}], lambda s: s IS NOT NULL)) AS near
+      FROM p WINDOW w AS (PARTITION BY feature, y ORDER BY x, u)),
+b AS (SELECT *, near[kk].side AS side, near[kk].nx AS nx, near[kk].nu AS nu FROM c),
+r AS (SELECT *, CASE WHEN side > 0 THEN 2 * x - nx ELSE nx END AS lx, CASE WHEN side > 0 THEN 2 * u - nu ELSE nu END AS lu,
+             CASE WHEN side > 0 THEN nx ELSE 2 * x - nx END AS rx, CASE WHEN side > 0 THEN nu ELSE 2 * u - nu END AS ru FROM b),
+m AS (SELECT r.feature, r.customer_id, any_value(r.kk) AS kk, any_value(r.size) AS size, count(*) AS m
+      FROM r JOIN p q ON q.feature = r.feature AND (q.x > lx OR (q.x = lx AND q.u > lu))
+                     AND (q.x < rx OR (q.x = rx AND q.u < ru)) GROUP BY r.feature, r.customer_id)
+SELECT feature, round(greatest({_digamma('count(*)')} + avg({_digamma('kk')}) - avg({_digamma('size')})
+                               - avg({_digamma('m')}), 0.0), 9) AS mutual_info_score
+FROM m GROUP BY feature"""
+
+
+MI_NEIGHBOURS = _nested(_neighbour_information(f"""
+  SELECT customer_id, churn AS y, v.feature || '_' || v.value AS feature, CASE WHEN t.value = v.value THEN 1.0 ELSE 0.0 END AS x
+  FROM (UNPIVOT (SELECT customer_id, churn, {', '.join(f'coalesce(CAST({c} AS VARCHAR), chr(0)) AS {c}' for c in _MI_STR)} FROM mart)
+        ON {', '.join(_MI_STR)} INTO NAME feature VALUE value) t
+  JOIN (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn
+        FROM (SELECT DISTINCT feature, value FROM l WHERE feature IN (SELECT feature FROM card))) v
+    ON t.feature = v.feature AND v.rn > 1
+  UNION ALL
+  SELECT customer_id, churn, feature, x
+  FROM (UNPIVOT (SELECT customer_id, churn, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}' for c in _MI_NUM[1:])} FROM mart)
+        ON {', '.join(_MI_NUM[1:])} INTO NAME feature VALUE x) WHERE feature IN (SELECT feature FROM card)"""))
+
+MI_NUMERIC = _nested(_neighbour_information(f"""
+  SELECT customer_id, churn AS y, feature, x
+  FROM (UNPIVOT (SELECT customer_id, churn, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}' for c in _NUMERIC)} FROM mart)
+        ON {', '.join(_NUMERIC)} INTO NAME feature VALUE x)"""))
+
+KEYED = INF + f""",
+zk AS (SELECT customer_id, population, {', '.join(f'{e} AS z{i}' for i, e in enumerate(_Z))}
+       FROM clean WHERE population IN (SELECT population FROM inf GROUP BY population HAVING count(*) >= 5)),
+zs AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY {_hash52('CAST(customer_id AS VARCHAR)')}, customer_id) AS rn
+       FROM zk)"""
+
+
+def _silhouettes(chosen: str) -> str:
+    """customer_id, population, s of the chosen rows, distances to all rows."""
+    square = " + ".join(f"power(q.z{i} - r.z{i}, 2)" for i in range(6))
+    return f"""
+SELECT customer_id, population, CASE WHEN n = 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s
+FROM (SELECT customer_id, own AS population, max(CASE WHEN own = pop THEN n END) AS n,
+             max(CASE WHEN own = pop THEN d / nullif(n - 1, 0) END) AS a, min(CASE WHEN own <> pop THEN d / n END) AS b
+      FROM (SELECT q.customer_id, q.population AS own, r.population AS pop, count(*) AS n, sum(sqrt({square})) AS d
+            FROM ({chosen}) q JOIN zk r ON true GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE b IS NOT NULL"""
+
+
+SILHOUETTE_EUCLIDEAN = f"SELECT avg(s) AS silhouette_score FROM ({_silhouettes('SELECT * FROM zk')}) HAVING count(*) > 0"
+SILHOUETTE_SAMPLE = _nested(f"""
+WITH s AS ({_silhouettes('SELECT * FROM zs WHERE rn <= 50')}),
+g AS (SELECT s.population, any_value(k.n) AS n, count(*) AS m, avg(s) AS score,
+             coalesce(var_samp(s), 0.0) / count(*) * (1 - count(*) / any_value(k.n)) AS e
+      FROM s JOIN (SELECT population, count(*) AS n FROM zk GROUP BY population) k USING (population) GROUP BY s.population)
+SELECT population, n AS rows, m AS sampled, score AS silhouette_score, 1.96 * sqrt(e) AS error_bound FROM g
+UNION ALL
+SELECT NULL, CAST(sum(n) AS BIGINT), CAST(sum(m) AS BIGINT), sum(n / t * score), 1.96 * sqrt(sum(n / t * n / t * e))
+FROM g, (SELECT CAST(sum(n) AS DOUBLE) AS t FROM g) HAVING count(*) > 0""")
+
+
+def scatter_sample(x: str, y: str, k: int = 100) -> str:
+    return f"""
+SELECT customer_id, behavioral_archetype, {x}, {y} FROM (
+  SELECT *, row_number() OVER (PARTITION BY behavioral_archetype
+                               ORDER BY {_hash52('CAST(customer_id AS VARCHAR)')}, customer_id) AS rn FROM arc)
+WHERE rn <= {k}"""
+
+
+STATE_RULES = "\nUNION ALL\n".join(f"""
+SELECT feature, feature || '_state' AS state_column, CAST({n} AS INTEGER) AS position, {rule} AS rule,
+       CASE feature WHEN 'avg_frequency_login_days' THEN '{login}' WHEN 'value_density' THEN '{density}' ELSE '{other}' END AS label
+FROM thr""" for n, rule, login, density, other in (
+    (1, "'<= ' || CAST(low_threshold AS VARCHAR)", "inactive", "low", "low"),
+    (2, "'> ' || CAST(low_threshold AS VARCHAR) || ' and <= ' || CAST(high_threshold AS VARCHAR)", "irregular", "moderate", "mid"),
+    (3, "'> ' || CAST(high_threshold AS VARCHAR)", "consistent", "high", "high")))
+
+DENSITY_CURVE = _nested(f"""
+WITH v AS (SELECT * FROM (UNPIVOT (SELECT {', '.join(_SF)} FROM st) ON {', '.join(_SF)} INTO NAME feature VALUE x)
+           WHERE NOT isnan(x)),
+f AS (SELECT feature, min(x) AS lo, max(x) AS hi, count(*) AS n, stddev_samp(x) * power(count(*), -0.2) AS bw FROM v
+      GROUP BY feature HAVING count(*) > 1 AND max(x) > min(x)),
+a AS (SELECT v.feature, (x - lo) / ((hi - lo) / 199) AS pos FROM v JOIN f USING (feature)),
+w AS (SELECT feature, g, sum(w) AS w FROM (
+        SELECT feature, least(floor(pos), 198) AS g, 1 - (pos - least(floor(pos), 198)) AS w FROM a
+        UNION ALL SELECT feature, least(floor(pos), 198) + 1, pos - least(floor(pos), 198) FROM a) GROUP BY feature, g),
+d AS (SELECT f.feature, p.point, any_value(lo) AS lo, any_value(hi) AS hi, any_value(n) AS n,
+             sum(w * exp(-power((p.point - g) * ((hi - lo) / 199) / bw, 2) / 2)) / (any_value(n) * any_value(bw) * sqrt(2 * pi()))
+               AS density
+      FROM f JOIN w USING (feature) JOIN (SELECT unnest(range(0, 200)) AS point) p ON true GROUP BY f.feature, p.point)
+SELECT feature, CAST(point AS INTEGER) AS point, lo + point * ((hi - lo) / 199) AS x, density,
+       density * n * (hi - lo) / 30 AS count_scale FROM d""")
+
+CATEGORY_BRACKETS = "SELECT mart.customer_id, " + ", ".join(
+    f"(SELECT bracket FROM rb WHERE rb.feature = '{c}' AND rb.value = mart.{c}) AS {c}_bracket" for c in _CATEG) + " FROM mart"
+
+
+def _log_row(original, engineered, transformation, trigger, filled="0", clipped="0"):
+    return f"""
+SELECT '{original}' AS original_feature, '{engineered}' AS engineered_feature, '{transformation}' AS transformation,
+       '{trigger}' AS trigger, (SELECT count(*) FROM cohort) AS rows, CAST(0 AS BIGINT) AS coerced,
+       CAST((SELECT {filled} FROM cohort) AS BIGINT) AS filled, CAST(({clipped}) AS BIGINT) AS clipped,
+       (SELECT count(*) FROM eng WHERE {engineered} IS NULL) AS undefined"""
+
+
+def _missing(*cols):
+    return " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in cols)
+
+
+_TXN, _TIME, _POINTS, _LOGIN, _LAST = ("avg_transaction_value", "avg_time_spent", "points_in_wallet",
+                                       "avg_frequency_login_days", "days_since_last_login")
+TRANSFORMATION_LOG = "\nUNION ALL".join([
+    _log_row(_POINTS, "points_per_day", "rate_conversion", "TENURE_CORRELATED", _missing(_POINTS)),
+    _log_row(f"{_TXN} + {_TIME}", "value_density", "ratio_metric", "Behavioral Intensity", _missing(_TXN, _TIME)),
+    _log_row(f"{_POINTS} + {_TIME}", "engagement_efficiency", "ratio_metric", "Behavioral Efficiency", _missing(_POINTS, _TIME)),
+    _log_row(_TXN, "log_avg_txn", "clip + log1p", "HIGH_SKEW", _missing(_TXN),
+             "SELECT count(*) FROM fe1, caps WHERE avg_transaction_value > txn_cap"),
+    _log_row("points_per_day", "log_points", "clip + log1p", "HIGH_SKEW", "0 * count(*)",
+             "SELECT count(*) FROM fe1, caps WHERE points_per_day > points_cap"),
+    _log_row(_LAST, "recency_score", "inverse_decay", "Recency Signal", _missing(_LAST), "SELECT count(*) FROM fe0 WHERE d0 < 0"),
+    _log_row(_LOGIN, "logins_per_day", "inverse_frequency", "Activity Rate", _missing(_LOGIN)),
+    _log_row(_TIME, "time_per_day", "rate_conversion", "TENURE_CORRELATED", _missing(_TIME)),
+    _log_row("points_per_day + time_per_day", "points_time_interaction", "interaction", "Signal Amplification", "0 * count(*)"),
+    *[f"""
+SELECT '{c}', NULL, 'dropped', NULL, (SELECT count({c}) FROM cohort), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
+       CAST(NULL AS BIGINT)""" for c in ("complaint_status", "region_category", "feedback")]])

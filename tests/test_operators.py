@@ -32,7 +32,7 @@ def test_quantiles_grouped_matches_numpy_with_ties(spark):
     vals = np.where(rng.random(3000) < 0.4, 0.0, rng.integers(0, 50, 3000)).astype(float)
     groups = rng.integers(0, 3, 3000)
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(groups, vals)], "g int, x double")
-    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], "x", [0.1, 0.5, 0.9], accuracy=100).collect()}
+    got = {r["g"]: r["q"] for r in quantiles(df, ["g"], "x", [0.1, 0.5, 0.9], digits=100).collect()}
     for g in range(3):
         assert got[g] == pytest.approx(list(np.quantile(vals[groups == g], [0.1, 0.5, 0.9])))
 

@@ -101,14 +101,14 @@ def test_target_and_interaction_names(spark):
     assert validation.interaction_parents("points_x_value", ["points", "value_density", "time"]) == ["points", "value_density"]
 
 
-def test_quantiles_narrow_brackets_at_the_default_accuracy(spark):
-    """More rows than the sketch tells apart: the bracket holds several values and the rank is still exact."""
+def test_quantiles_narrow_ranges_in_several_passes(spark):
+    """More rows in a leading range than are counted by value, so that it is narrowed again."""
     n = 400_000
     df = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"))
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
     got = quantiles(df, [], "v", probs).first()["q"]
     assert got == pytest.approx(np.quantile(np.arange(n, dtype=float), probs).tolist(), abs=1e-6)
-    coarse = quantiles(df, [], "v", probs, accuracy=200).first()["q"]
+    coarse = quantiles(df, [], "v", probs, digits=200).first()["q"]
     assert coarse == pytest.approx(got, abs=1e-6)
 
 
