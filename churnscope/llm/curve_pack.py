@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -43,18 +44,23 @@ DIMS = 4
 BITS = 15
 SLICE_BYTES = 4 << 20
 PART_TOKENS = 1 << 20
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 JOINED = 512  # distinct words encoded in one call
 
-TOKEN_SCHEMA = "row long, doc_id long, curve_key long, doc_tokens long, start long, ids binary"
+TOKEN_SCHEMA = "row long, doc_id long, curve_key long, doc_tokens long, start long, width int, ids binary"
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[32, *range(9, 14)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_MARK = np.zeros(256, bool)
-_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'|<>"]] = True
+#: kind of a byte: 0 white space, 1 ASCII letter, 2 ASCII punctuation a word is cut at, 3 anything else
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'|<>"]] = 2
+_BEGINS = np.zeros(16, bool)  # (kind before, kind here) where a word begins
+_BEGINS[[1, 2, 3, 4 * 1 + 2, 4 * 2 + 1]] = True
+
+
+#: words of A-Z, a-z and the letters from U+00C0 to U+00FF, whose lower case and composition no context changes
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -103,40 +109,65 @@ class Projection:
 
 
 class WordCoder:
-    """Token ids of texts by way of their distinct words."""
+    """Token ids of texts by way of their distinct words. The ids of remembered words lie in one growing array."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_str(spec)
-        special = [t for t in json.loads(spec)["added_tokens"] if t["special"]]
+        parsed = json.loads(spec)
+        special = [t for t in parsed["added_tokens"] if t["special"]]
         self.special = [t["content"] for t in special]
         self.border = special[0] if special else None
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, np.ndarray] = {}
+        # lower-cased words of Latin-1 letters are whole words to the model: no pattern and no normalizer is needed, and
+        # their last token carries the suffix that ends a word
+        suffix = parsed["model"].get("end_of_word_suffix")
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix)
+                              for i in range(self.size)])
+        self.letters = None
+        if suffix:
+            self.letters = Tokenizer(Tokenizer.from_str(spec).model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool = K.IdPool()
+
+    def remember(self, words: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.known.update(zip(words, range(self.pool.size, self.pool.size + len(words))))
+        self.pool.add(ids, count)
 
     def learn(self, words: list[str]) -> None:
-        plain, apart = [], []
+        letters, rest = [], []
+        plain = _PLAIN.fullmatch
         for w in words:
-            (apart if self.border is None or any(s in w for s in self.special) else plain).append(w)
-        for lo in range(0, len(apart), JOINED):
-            part = apart[lo:lo + JOINED]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.int64)
-        for lo in range(0, len(plain), JOINED):
-            part = plain[lo:lo + JOINED]
-            joined = self.border["content"].join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            (letters if self.letters and plain(w) else rest).append(w)
+        for lo in range(0, len(letters), JOINED):
+            part = letters[lo:lo + JOINED]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, np.int64)
+            self.remember(part, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        for lo in range(0, len(rest), JOINED):
+            part = rest[lo:lo + JOINED]
+            text = "" if self.border is None else self.border["content"].join(part)
+            if self.border is None or sum(text.count(s) for s in self.special) > len(part) - 1:
+                coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                self.remember(part, np.array(list(itertools.chain.from_iterable(coded)), np.int64),
+                              np.fromiter(map(len, coded), np.int64, len(part)))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(ids == self.border["id"])
-            for w, x, y in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                self.known[w] = ids[x:y]
+            self.remember(part, np.delete(ids, cut), np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
 
     def encode(self, column: pa.Array):
         """(flat ids, tokens per row) of a slice of rows."""
         buf, off = K.string_bytes(column)
         n = len(buf)
-        word = ~_WHITE[buf]
+        kind = _KIND[buf]
+        word = kind > 0
         begins = np.zeros(n, bool)
-        begins[1:] = word[1:] & (~word[:-1] | (_LETTER[buf[1:]] & _MARK[buf[:-1]]) | (_MARK[buf[1:]] & _LETTER[buf[:-1]]))
+        begins[1:] = _BEGINS[kind[:-1] * 4 + kind[1:]]
         first = off[:-1][np.diff(off) > 0]
         begins[first] = word[first]
         start = np.flatnonzero(begins)
@@ -145,20 +176,19 @@ class WordCoder:
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int64)),
                                                  pa.py_buffer(buf[word].tobytes()))
         coded = words.dictionary_encode()
-        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if len(self.known) + len(distinct) > CACHE_WORDS:
-            self.known.clear()
-        self.learn([w for w in distinct if w not in self.known])
-        found = [self.known[w] for w in distinct]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        ids = flat[K.csr_indices((np.cumsum(count) - count)[code], count[code])]
-        tokens = np.concatenate([[0], np.cumsum(count[code])])
+            self.forget()
+        known = self.known
+        self.learn([w for w in distinct if w not in known])
+        ids, count = self.pool.take(K.numbered(distinct, self.known)[code])
+        tokens = np.concatenate([[0], np.cumsum(count)])
         return ids, np.diff(tokens[np.searchsorted(start, off)])
 
 
 def encoded(docs: DataFrame, tokenizer_file: str = TOKENIZER_FILE, end_id: int = END_ID) -> DataFrame:
-    """Token rows (``TOKEN_SCHEMA``) of all documents, written to the checkpoint folder; ``ids`` are 32-bit."""
+    """Token rows (``TOKEN_SCHEMA``) of all documents, written to the checkpoint folder; ``ids`` are little-endian numbers
+    of ``width`` bytes, 2 where the vocabulary allows it."""
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -166,6 +196,7 @@ def encoded(docs: DataFrame, tokenizer_file: str = TOKENIZER_FILE, end_id: int =
         K.tidy()
         coder = WordCoder(shared.value)
         project = Projection(max(coder.size, end_id + 1))
+        kind = np.dtype("<u2" if max(coder.size, end_id + 1) <= 1 << 16 else "<u4")
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi in K.row_slices(batch.column(1), SLICE_BYTES):
@@ -173,19 +204,18 @@ def encoded(docs: DataFrame, tokenizer_file: str = TOKENIZER_FILE, end_id: int =
                 keys = project.keys(ids, per_row)
                 total = per_row + 1
                 ends = np.cumsum(total)
-                full = np.full(int(ends[-1]), end_id, np.uint32)
+                full = np.full(int(ends[-1]), end_id, kind)
                 mask = np.ones(len(full), bool)
                 mask[ends - 1] = False
                 full[mask] = ids
                 parts = -(-total // PART_TOKENS)
                 which = np.repeat(np.arange(hi - lo), parts)
                 start = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * PART_TOKENS
-                length = np.minimum(total[which] - start, PART_TOKENS)
-                offsets = 4 * np.append((ends - total)[which] + start, ends[-1])
-                assert (np.diff(offsets) == 4 * length).all()
+                offsets = kind.itemsize * np.append((ends - total)[which] + start, ends[-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row + which), batch.column(0).slice(lo, hi - lo).take(pa.array(which)),
                      pa.array(keys[which]), pa.array(total[which]), pa.array(start),
+                     pa.array(np.full(len(which), kind.itemsize, np.int32)),
                      pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [
                          None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(full)]).cast(pa.binary())],
                     names=[f.split()[0] for f in TOKEN_SCHEMA.split(", ")])
@@ -270,30 +300,34 @@ def piece_digests(docs: DataFrame, size: int = SEQUENCE) -> DataFrame:
 
 def cut_pieces(tokens: DataFrame, where: DataFrame, total: int, size: int) -> DataFrame:
     """Token rows cut at the sequence borders (``PIECE_SCHEMA``)."""
-    joined = tokens.join(where.hint("shuffle_hash"), "row").select("doc_id", "doc_tokens", "start", "ids", "position")
+    joined = (tokens.join(where.hint("shuffle_hash"), "row")
+              .select("doc_id", "doc_tokens", "start", "ids", "position", "width"))
 
     def task(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             start, position = (batch.column(k).to_numpy() for k in (2, 4))
-            ids = batch.column(3).cast(pa.large_binary())
-            at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
-            which, begin, length, sequence, offset = cut(position + start, np.diff(at) // 4, total, size)
-            bounds = np.append(at[which] + 4 * begin, at[-1])
+            width = batch.column(5)[0].as_py()
+            packed = batch.column(3).cast(pa.large_binary())
+            at = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1] // width
+            ids = np.frombuffer(packed.buffers()[2], f"<u{width}")
+            which, begin, length, sequence, offset = cut(position + start, np.diff(at), total, size)
+            bounds = np.append(at[which] + begin, at[-1])
             for lo, hi in _chunks(bounds):
                 w = pa.array(which[lo:hi])
+                wide = ids[bounds[lo]:bounds[hi]].astype("<u4")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(w), pa.array(start[which[lo:hi]] + begin[lo:hi]), pa.array(length[lo:hi]),
                      batch.column(1).take(w), pa.array(sequence[lo:hi]), pa.array(offset[lo:hi]),
                      pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [
-                         None, pa.py_buffer(bounds[lo:hi + 1].copy()), ids.buffers()[2]]).cast(pa.binary())],
+                         None, pa.py_buffer(4 * (bounds[lo:hi + 1] - bounds[lo])), pa.py_buffer(wide)]).cast(pa.binary())],
                     names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
 
     return joined.mapInArrow(task, PIECE_SCHEMA)
 
 
-def _chunks(bounds: np.ndarray, limit: int = 4 * SLICE_BYTES):
+def _chunks(bounds: np.ndarray, limit: int = SLICE_BYTES):
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, side="right")) - 1))
