@@ -21,7 +21,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import sql_oracle as O  # noqa: E402
 from churnscope.operators import archetype as arch  # noqa: E402
 from churnscope.operators import topology as topo  # noqa: E402
-from churnscope.functions.materialize import materialize  # noqa: E402
+from churnscope.functions.materialize import materialize, shared_path  # noqa: E402
+from churnscope.sources import tables  # noqa: E402
 from churnscope.plans import stages  # noqa: E402
 from churnscope.operators import binning  # noqa: E402
 from churnscope.operators import profile as prof  # noqa: E402
@@ -501,7 +502,51 @@ def q_category_brackets(spark, sf_dir):
     return prof.rate_rank_brackets(m, cols).select("customer_id", *[f"{c}_bracket" for c in cols])
 
 
+def q_csv_customers(spark, sf_dir):
+    """The mart as a raw customer file (index column, padded names, NA tokens, score as target) read back typed."""
+    m = stages.mart(spark, sf_dir)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias("churn_risk_score" if c == "churn" else f" {c} ")
+             for c in m.columns]
+    path = shared_path(spark, "customers-csv")
+    tables.write_table(m.select(F.monotonically_increasing_id().alias("Unnamed: 0"), *cells), path, "csv")
+    return tables.read_customer_csv(spark, path)
+
+
+def q_json_thresholds(spark, sf_dir):
+    """Fitted thresholds written as JSON and read back."""
+    path = shared_path(spark, "thresholds-json")
+    model = stages.state_model(spark, sf_dir)[1].select("feature", "low_threshold", "high_threshold")
+    tables.write_table(model, path, "json")
+    return spark.read.schema(model.schema).json(path)
+
+
+def q_column_guard(spark, sf_dir):
+    return prog.column_guard(stages.archetype_dataset(spark, sf_dir), ["tenure_days", "recency_score", "event_value_avg",
+                                                                       "days_since_last_complaint"])
+
+
+def q_variation_table(spark, sf_dir):
+    eng, d = _validation(spark, sf_dir)
+    return val.variation_table(eng, d["numeric"])
+
+
+def q_progression_table(spark, sf_dir):
+    return prog.progression_table(stages.archetype_dataset(spark, sf_dir))
+
+
+def q_comparison_table(spark, sf_dir):
+    _, prof_, _, al = _alignment(spark, sf_dir)
+    cls = align.structural_classes(prof_, al).select("population", "structural_classification")
+    return align.comparison_summary(prof_.select("population", "population_size", "instability_index"), al, cls)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "csv_customers": q_csv_customers,
+    "json_thresholds": q_json_thresholds,
+    "column_guard": q_column_guard,
+    "variation_table": q_variation_table,
+    "progression_table": q_progression_table,
+    "comparison_table": q_comparison_table,
     "mutual_information_neighbours": q_mutual_information_neighbours,
     "mutual_information_numeric": q_mutual_information_numeric,
     "silhouette_euclidean": q_silhouette_euclidean,
@@ -613,6 +658,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # ------------------------------------------------------------------ oracle SQL
 
 _SQL = {
+    "csv_customers": (O.MART, "SELECT * REPLACE (CAST(joining_date AS VARCHAR) AS joining_date, CAST(churn AS BIGINT) AS churn) "
+                              "FROM mart"),
+    "json_thresholds": (O.STATES, "SELECT feature, low_threshold, high_threshold FROM thr"),
+    "column_guard": (O.ARCHETYPES, O.COLUMN_GUARD),
+    "variation_table": (O.ENGINEERED, O.VARIATION_TABLE),
+    "progression_table": (O.PROGRESSION, O.PROGRESSION_TABLE),
+    "comparison_table": (O.INF, O.COMPARISON_TABLE),
     "mutual_information_neighbours": (O.MI, O.MI_NEIGHBOURS),
     "mutual_information_numeric": (O.MART, O.MI_NUMERIC),
     "silhouette_euclidean": (O.KEYED, O.SILHOUETTE_EUCLIDEAN),

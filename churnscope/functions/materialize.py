@@ -43,6 +43,13 @@ def materialize(df: DataFrame, how: str = "table", name: str = "stage") -> DataF
     return df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table written by the caller; ``drop_materialized`` removes it too."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove the tables behind frames of ``materialize`` that nothing will read any more."""
     for df in frames:

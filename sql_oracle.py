@@ -1121,3 +1121,29 @@ TRANSFORMATION_LOG = "\nUNION ALL".join([
     *[f"""
 SELECT '{c}', NULL, 'dropped', NULL, (SELECT count({c}) FROM cohort), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT),
        CAST(NULL AS BIGINT)""" for c in ("complaint_status", "region_category", "feedback")]])
+
+
+COLUMN_GUARD = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, {'true' if there else 'false'} AS present, {f'count({c})' if there else 'CAST(0 * count(*) AS BIGINT)'}"
+    f" AS value_count FROM arc" for c, there in (
+        ("tenure_days", True), ("recency_score", True), ("event_value_avg", True), ("days_since_last_complaint", False)))
+
+_ENG_NUMERIC = ["points_in_wallet", "avg_transaction_value", "avg_time_spent", "avg_frequency_login_days",
+                "days_since_last_login", "event_value_avg", "tenure_days", "points_per_day", "value_density",
+                "engagement_efficiency", "log_avg_txn", "log_points", "recency_score", "logins_per_day", "time_per_day",
+                *[_dummy(r) for r in REGIONS], "points_time_interaction", *[f"{_dummy(r)}_x_value" for r in REGIONS]]
+VARIATION_TABLE = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, avg({c}) AS mean, CASE WHEN avg({c}) <> 0 THEN stddev_samp({c}) / avg({c}) END "
+    f"AS coefficient_variation FROM eng" for c in _ENG_NUMERIC)
+
+PROGRESSION_TABLE = f"""
+SELECT l.* EXCLUDE (median_engagement_efficiency), l.median_engagement_efficiency AS median_engagement_efficiency_lifecycle,
+       d.* EXCLUDE (behavioral_archetype, median_engagement_efficiency),
+       d.median_engagement_efficiency AS median_engagement_efficiency_decay, i.overall_instability_score
+FROM ({LIFECYCLE_POSITIONING}) l LEFT JOIN decay d USING (behavioral_archetype)
+LEFT JOIN ({INSTABILITY_PROFILES}) i USING (behavioral_archetype)"""
+
+COMPARISON_TABLE = f"""
+SELECT p.population, p.population_size, p.instability_index, a.* EXCLUDE (population), c.structural_classification
+FROM ({POPULATION_PROFILES_BODY}) p LEFT JOIN ({POPULATION_ALIGNMENT}) a USING (population)
+LEFT JOIN ({STRUCTURAL_CLASSES}) c USING (population)"""
