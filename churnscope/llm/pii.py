@@ -1,15 +1,19 @@
 """Personal data: base patterns and boosted trees over overlapping candidate spans.
 
 Base spans (leftmost, non-overlapping per kind; matches that fail their check are dropped) always stay. High-recall
-generators propose further, overlapping spans: obfuscated addresses, dotted quads with brackets or spaces, digit groups
-with any separators, with or without a plus sign. Gradient-boosted trees (logistic loss, one model per kind) score a
+generators propose further, overlapping spans: obfuscated addresses, dotted quads with brackets or spaces, and every
+sequence of neighbouring digit groups with a fitting number of digits, with any separators, with or without a plus sign. Gradient-boosted trees (logistic loss, one model per kind) score a
 candidate by its format (digits, groups, separators, checks) and its context (neighbouring characters and words);
 the scores are calibrated on held-out candidates and a kind's threshold is the lowest score that keeps the wanted
 precision there. Selected candidates that do not overlap a base span or a better candidate are added.
 
 There are no labels for personal data: positives are base spans in the texts and rewritten forms of them (other
 separators, no plus sign, spelled-out at and dot) put back into their context; negatives are the remaining candidates
-and strings of other meaning put into the same contexts: numbers that fail the checks, dates, versions, order numbers. The fit uses ``FIT_TEXTS`` sampled texts at most.
+(parts of a positive among them) and strings of other meaning put into the same contexts: numbers that fail the checks,
+dates, versions, order numbers. The fit uses ``FIT_TEXTS`` sampled texts of ``FIT_CHARS`` characters at most; the sample is
+drawn by a hash of the text, so it does not depend on files or partitions.
+
+All patterns take time in proportion to the text, also for long runs of digits, letters or signs.
 
 Offsets are code points, ends exclusive. Edge cases: null text is empty; empty text has no spans; repeated rows give
 equal rows; without any base span in the sample nothing is added; texts of any length are processed whole; other columns
@@ -36,17 +40,21 @@ SEED = 11
 
 # The base patterns of the contract.
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# possessive and only at the begin of a run of digits: no other place inside a run can begin a leftmost match
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Generators of candidates.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:\(at\)|\[at\]|\{at\}|\s@|@\s|\sat\s)\s?"
-                     r"[A-Za-z0-9-]+(?:\s?(?:\(dot\)|\[dot\]|\sdot\s|\.)\s?[A-Za-z0-9-]+)+", re.I)
+SPELLED = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|\s@|@\s|\sat\s)\s?"
+                     r"[A-Za-z0-9-]++(?:\s?(?:\(dot\)|\[dot\]|\sdot\s|\.)\s?[A-Za-z0-9-]++)+", re.I)  # behind the local part
 QUAD = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|\sdot\s)\s?[0-9]{1,3}){3}(?![0-9])")
 GROUPS = re.compile(r"[+(]?[0-9](?:[\x20().\-/_‐-― ]{0,3}[0-9]){6,}")
+DIGITS = re.compile(r"[0-9]+")
+MOST_GROUPS = 8  # groups of digits in one candidate
 WORDS_NEAR = 24  # characters of context on either side
+FIT_CHARS = 1 << 14  # longer texts are not sampled for the fit
 
 # Words that often stand next to personal data.
 CUES = {"phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp", "sms"),
@@ -98,27 +106,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """High-recall spans; one stretch of digits may be proposed as several kinds and lengths."""
+    """High-recall spans. Every sequence of up to ``MOST_GROUPS`` neighbouring groups of digits with a fitting number of
+    digits is proposed, so the spans overlap; one sequence may be proposed as several kinds."""
     out = set()
     low = text.lower() if ("@" in text or "at" in text) else ""
     if "@" in low or "(at)" in low or "[at]" in low or "{at}" in low or (" at " in low and "dot" in low):
-        out.update(("email", m.start(), m.end()) for m in SPELLED.finditer(text))
+        end = 0
+        for m in SPELLED.finditer(text):
+            start = m.start()
+            while start > end and text[start - 1] in LOCAL:
+                start -= 1
+            if start < m.start():
+                out.add(("email", start, m.end()))
+            end = m.end()
     for m in QUAD.finditer(text):
         out.add(("ip", m.start(), m.end()))
     for m in GROUPS.finditer(text):
-        n = len(_digits(m[0]))
+        groups = [(g.start(), g.end()) for g in DIGITS.finditer(text, m.start(), m.end())]
+        last = len(groups)
+        for i in range(last):
+            start, n = groups[i][0], 0
+            if start > m.start() and text[start - 1] in "+(":
+                start -= 2 if start > 1 and text[start - 2:start] == "+(" else 1
+            for a, b in groups[i:i + MOST_GROUPS]:
+                n += b - a
+                if n > 19:
+                    break
+                if 7 <= n <= 15:
+                    out.add(("phone", start, b))
+                if 12 <= n:
+                    out.add(("card", start, b))
+        n = sum(b - a for a, b in groups) if MOST_GROUPS < last <= 19 else 0  # one number cut very small
         if 7 <= n <= 15:
             out.add(("phone", m.start(), m.end()))
         if 12 <= n <= 19:
             out.add(("card", m.start(), m.end()))
-        if n > 19:  # several numbers in one run: its pieces between spaces
-            for part in re.finditer(r"[+(]?[0-9](?:[().\-/_]{0,2}[0-9])*", m[0]):
-                k = len(_digits(part[0]))
-                a, b = m.start() + part.start(), m.start() + part.end()
-                if 7 <= k <= 15:
-                    out.add(("phone", a, b))
-                if 12 <= k <= 19:
-                    out.add(("card", a, b))
     return sorted(out)
 
 
@@ -156,7 +178,13 @@ def rewritten(kind: str, s: str, rng) -> str:
     sep = str(rng.choice([" ", "-", ".", ""]))
     if kind == "email":
         at, dot = (str(rng.choice(x)) for x in ((" at ", " (at) ", "[at]", " @ "), (" dot ", "[dot]", ".", " . ")))
-        return s.replace("@", at).replace(".", dot)
+        local, domain = s.rsplit("@", 1)
+        if rng.random() < 0.5:  # other names, of any length: what counts is the form
+            name = lambda n: "".join(map(str, rng.choice(list("aeiorstnlmkbdgp"), n)))
+            local = name(rng.integers(2, 10)) + str(rng.choice(["", ".", "_"])) + str(rng.choice(["", "7", "42", "1985"]))
+            local = local.rstrip("._")
+            domain = name(rng.integers(3, 10)) + "." + domain.rsplit(".", 1)[1]
+        return local + at + domain.replace(".", dot)
     if kind == "ip":
         return s.replace(".", str(rng.choice(["[.]", " . ", " dot ", "."])))
     if kind == "card":
@@ -246,9 +274,7 @@ def training_rows(texts: list[str], seed: int = SEED) -> dict:
         for kind, a, b in candidates(text):
             if only and not (a < only[1] and only[0] < b):
                 continue
-            hit = any(k == kind and min(b, e) - max(a, s) >= 0.8 * max(e - s, b - a) for k, s, e in positive)
-            if not hit and any(min(b, e) > max(a, s) and k == kind for k, s, e in positive):
-                continue  # partly right: no clear label
+            hit = any(k == kind and min(b, e) - max(a, s) >= 0.9 * max(e - s, b - a) for k, s, e in positive)
             rows[kind][0].append(span_features(text, kind, a, b))
             rows[kind][1].append(float(hit))
 
@@ -351,19 +377,27 @@ def _may_hold(column: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, texts: int = FIT_TEXTS) -> dict:
-    """Fit on a bounded random sample of the texts that hold a base span or a candidate."""
+    """Fit on at most ``texts`` different texts of up to ``FIT_CHARS`` characters that hold a base span or a candidate."""
     def task(batches):
+        seen = set()  # a task sends a text once, so copies do not crowd the sample
         for batch in batches:
             column = batch.column(0)
             may = np.flatnonzero(_may_hold(column))
-            keep = [i for i in may.tolist() if (t := column[i].as_py()) and (base_spans(t) or candidates(t))]
+            keep = []
+            for i in may.tolist():
+                t = column[i].as_py()
+                if t and (t_hash := hash(t)) not in seen and (base_spans(t) or candidates(t)):
+                    seen.add(t_hash)
+                    keep.append(i)
             yield pa.RecordBatch.from_arrays([column.take(pa.array(keep, pa.int64()))], names=["text"])
 
     total = docs.count()
     share = min(1.0, 12 * texts / max(1, total))  # personal data is rare: look at more rows than are kept
-    sample = docs.select("text").where("text is not null").sample(share, SEED).mapInArrow(task, "text string")
-    rows = sample.withColumn("cut", F.xxhash64("text")).orderBy("cut").limit(texts)
-    return fit_texts([r.text for r in rows.collect()])
+    # chosen and ordered by a hash of the text: the same corpus gives the same sample in any files and partitions
+    place = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30))
+    some = docs.select("text").where(F.length("text") <= FIT_CHARS).where(place < int(share * (1 << 30)))
+    rows = some.mapInArrow(task, "text string").withColumn("cut", F.xxhash64("text")).orderBy("cut", "text").limit(texts)
+    return fit_texts(list(dict.fromkeys(r.text for r in rows.collect())))
 
 
 RESULT_TYPE = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
