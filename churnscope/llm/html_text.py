@@ -69,14 +69,48 @@ def names_no_content(value: str) -> bool:
                for w in _WORD.findall(value.lower()))
 
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>"
-                    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[^\w\s]")
 
 
+def next_token(source: str, at: int, last: int):
+    """(start, end, end tag, name, attributes, self-closed) of the next markup from ``at`` on, None without one; the name is
+    empty for comments, CDATA and declarations, which run to the end of the page if nothing closes them.
+
+    A tag ends at the first ``>`` outside quotes; with a quote that never closes, at the first ``>``. ``last`` is the place
+    of the last ``>`` of the page: no tag begins behind it, so no search for one runs over the rest again and again.
+    """
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            return None
+        for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+            if source.startswith(opening, start):
+                end = source.find(closing, start + len(opening))
+                return start, len(source) if end < 0 else end + len(closing), "", "", "", False
+        m = _TAG.match(source, start) if start < last else None
+        if m is None:
+            at = start + 1
+            continue
+        place = m.end()
+        if place > last:
+            at = start + 1
+            continue
+        while (stop := _STOP.search(source, place)) is not None:
+            if stop[0] == ">":
+                inside = source[m.end():stop.start()]
+                closed = inside.endswith("/")
+                return start, stop.end(), m[1], m[2], inside[:-1] if closed else inside, closed
+            place = source.find(stop[0], stop.end()) + 1
+            if not place:
+                break
+        end = source.find(">", m.end())
+        return start, end + 1, m[1], m[2], source[m.end():end], False
+
+
 class Page:
     """Elements (parent, tag, path, excluded) and blocks (element, text, length of link text) of one page."""
 
@@ -112,7 +146,7 @@ class Page:
     def _read(self, source):
         stack = [0]   # open elements; blocks belong to the innermost block-level one
         home = [0]
-        at = 0
+        at, last = 0, source.rfind(">")
 
         def close_to(depth):
             nonlocal stack
@@ -133,17 +167,17 @@ class Page:
                     self._link += len(text)
 
         while True:
-            m = _TOKEN.search(source, at)
-            if m is None:
+            token = next_token(source, at, last)
+            if token is None:
                 add(source[at:])
                 break
-            add(source[at:m.start()])
-            at = m.end()
-            name = m[2] or m[6]
+            start, end, closing, name, attributes, closed = token
+            add(source[at:start])
+            at = end
             if not name:
                 continue
             name = name.lower()
-            if m[1] or m[5]:  # end tag
+            if closing:
                 for depth in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[depth]] == name:
                         close_to(depth)
@@ -166,13 +200,13 @@ class Page:
                     elif tag in SCOPES and tag not in ENDS.get(name, ()):
                         break
                 self._flush(home[-1])
-            if name in VOID_TAGS or (m[4] and name == "a" and not m[3].endswith("=")):
+            if name in VOID_TAGS or (closed and name == "a" and not attributes.endswith("=")):
                 continue
             if name in RAW_TAGS:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at, max(at, last + 1))
                 at = end.end() if end else len(source)
                 continue
-            element = self._open(stack[-1], name, m[3] if m[2] else m[7])
+            element = self._open(stack[-1], name, attributes)
             stack.append(element)
             if name in BLOCK_TAGS:
                 home.append(element)

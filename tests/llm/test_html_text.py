@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -93,3 +95,33 @@ def test_comments_twenty_times_as_long_as_the_article(page):
 def test_named_wrapper_of_the_whole_page_stays():
     page = "<body><div class='sidebar-layout'><h1>Head</h1><p>All the text, of the page.</p></div><div>x</div></body>"
     assert T.main_text(page).startswith("Head All the text, of the page.")
+
+
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                   r"|<(/?)([A-Za-z][^\s/>\"']*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>"
+                   r"|<(/?)([A-Za-z][^\s/>\"']*)([^>]*)>", re.S)
+
+
+def test_markup_against_one_pattern():
+    rnd = random.Random(6)
+    for _ in range(20000):
+        s = "".join(rnd.choice(["<", ">", "a", "/", " ", '"', "'", "!", "-", "--", "<a ", "</b>", "<!--", "-->", "=", "<br/>",
+                                "<![CDATA[", "]]>"]) for _ in range(rnd.randint(0, 14)))
+        s = re.sub("(</?[a-z][^\\s/>\"']*)[\"']", r"\1 ", s)  # a quote inside a tag name is read as part of the name
+        at = 0
+        while True:
+            m, got = TOKEN.search(s, at), T.next_token(s, at, s.rfind(">"))
+            assert (m is None) == (got is None), s
+            if m is None:
+                break
+            want = (m.start(), m.end(), m[1] or m[5] or "", m[2] or m[6] or "", (m[3] if m[2] else m[7]) or "", bool(m[4]))
+            assert got == want, s
+            at = m.end()
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a \"" * 250_000, "<!-- " * 200_000, "<script>" + "</script " * 120_000,
+                                  "</" * 500_000, "<p>" + "x <b " * 200_000 + ">"])
+def test_a_megabyte_of_odd_markup_takes_no_longer_than_text(page):
+    begin = time.perf_counter()
+    T.main_text(page)
+    assert time.perf_counter() - begin < 2
