@@ -12,12 +12,13 @@ columns of documents (doc_id, text, lang, source, n_chars); ``n_chars`` follows
 5. tokens: token ids of every remaining text.
 
 Rows whose doc_id is null pass stages 1, 2 and 4 by their own text; stage 3 keeps them, as they are linked with nothing.
-Rows of one doc_id are judged together in stages 3 and 4: they go if any of them is to go.
+Rows of one doc_id are judged together in stage 3: they go if any of them is to go; of rows repeated in full (doc_id and
+text) one stays there. Stage 4 judges every row by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnscope.functions.materialize import materialize
@@ -36,15 +37,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 
+def row_key() -> Column:
+    """Tells rows apart by doc_id (null is a value of its own) and text; rows repeated in full share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(dropped, "doc_id", "left_anti")
+    kept = docs.select(*DOCUMENT_COLUMNS).join(dropped, "doc_id", "left_anti")
+    # rows repeated in full: only the texts of these rows are shuffled, and only where there are any
+    repeated = (docs.where("doc_id is not null").groupBy(row_key().alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+                .select("k"))
+    repeated = materialize(repeated, name="pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    keyed = kept.withColumn("k", row_key())
+    once = keyed.join(repeated, "k", "left_semi").dropDuplicates(["k", "doc_id"])
+    return keyed.join(repeated, "k", "left_anti").unionByName(once).select(*DOCUMENT_COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    dropped = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*DOCUMENT_COLUMNS).join(dropped, "doc_id", "left_anti")
+    # the row key stands for the doc_id, so that a row is judged by its own text whatever its doc_id
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    dropped = found.where("contaminated").select(F.col("doc_id").alias("k")).distinct()
+    return docs.withColumn("k", row_key()).join(dropped, "k", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
