@@ -644,7 +644,12 @@ def _training_data():
     import importlib.util
     if importlib.util.find_spec("churnscope.llm") is None or importlib.util.find_spec("corpus_pipeline") is None:
         return None
-    from churnscope.llm import queries as llm_queries
+    try:
+        from churnscope.llm import queries as llm_queries
+    except ImportError as e:  # a library of that part is not installed here: the other queries still work
+        import warnings
+        warnings.warn(f"the training-data queries are left out: {e}", stacklevel=2)
+        return None
     return llm_queries
 
 
