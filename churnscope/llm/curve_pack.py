@@ -13,7 +13,7 @@ sequences of falling powers of two, which need no padding. Equal keys (copies) a
 so a range never has to hold a whole group of copies.
 
 Texts are encoded by their distinct words, cut at ASCII white space and between ASCII letters and ASCII punctuation (but
-quotes, bars and angle brackets), where the tokenizer's pattern always cuts; a task remembers at most ``CACHE_WORDS``
+quotes, bars and angle brackets), where the tokenizer's pattern always cuts; a worker remembers at most ``CACHE_WORDS``
 words. A file whose pre-tokenizer keeps white space or joins letters and punctuation cannot be used.
 
 Edge cases: a null or empty text is a document of the end id alone; null ids sort first and are documents of their own, so
@@ -23,6 +23,7 @@ text become special ids, as the library does. A document of any length lies in a
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import re
@@ -171,8 +172,8 @@ class WordCoder:
         first = off[:-1][np.diff(off) > 0]
         begins[first] = word[first]
         start = np.flatnonzero(begins)
-        kept = np.concatenate([[0], np.cumsum(word)])
-        bounds = np.append(kept[start], kept[-1])
+        kept = np.cumsum(word, dtype=np.int32 if n < 1 << 31 else np.int64)
+        bounds = np.append(kept[start] - 1, kept[-1] if n else 0)  # a word begins at a byte that is kept itself
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds.astype(np.int64)),
                                                  pa.py_buffer(buf[word].tobytes()))
         coded = words.dictionary_encode()
@@ -194,7 +195,9 @@ def encoded(docs: DataFrame, tokenizer_file: str = TOKENIZER_FILE, end_id: int =
 
     def task(batches):
         K.tidy()
-        coder = WordCoder(shared.value)
+        spec = shared.value
+        # the words learned in earlier tasks of this worker are still known
+        coder = K.kept_by_worker(f"curve-pack {hashlib.sha256(spec.encode()).hexdigest()}", lambda: WordCoder(spec))
         project = Projection(max(coder.size, end_id + 1))
         kind = np.dtype("<u2" if max(coder.size, end_id + 1) <= 1 << 16 else "<u4")
         row = TaskContext.get().partitionId() << 33

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,13 +164,21 @@ class IdPool:
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of the lists with these numbers, length of each list)."""
         count = self.count[numbers]
-        return self.ids[csr_indices(self.begin[numbers], count)].astype(np.int64), count
+        return self.ids[csr_indices(self.begin[numbers], count)], count
 
 
 def numbered(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+def kept_by_worker(name: str, make):
+    """An object that this Python worker keeps between tasks (a bounded cache): made by the first task that asks for it."""
+    store = sys.__dict__.setdefault("_churnscope_kept", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def tidy() -> None:
     """Give back what earlier tasks of this (reused) worker left behind; called when a large task begins."""
     gc.collect()

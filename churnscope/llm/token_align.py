@@ -126,7 +126,7 @@ class Tokenizers:
                 pool.add(np.array(list(itertools.chain.from_iterable(coded)), np.int64),
                          np.fromiter(map(len, coded), np.int64, len(part)))
         at = K.numbered(words, known)[code]
-        return [pool.take(at) for pool in self.pools]
+        return [(ids.astype(np.int64), n) for ids, n in (pool.take(at) for pool in self.pools)]
 
 
 def spaced_words(column: pa.Array):
