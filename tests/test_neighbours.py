@@ -114,6 +114,16 @@ def test_euclidean_silhouette_and_its_sample(spark):
     assert align.silhouette_sample(df.where("population = 'p'")).collect() == []
 
 
+def test_distances_are_spread_over_tasks_whatever_the_shuffle_weighs(spark):
+    """The vectors of all rows are a few megabytes: their shuffle must not be coalesced into one task for all distances."""
+    df, rows = _vectors(spark)
+    vectors = align._vectors(df, "customer_id")
+    sums = align._distance_sums(vectors, vectors, "customer_id", 50)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert sums.count() == len(rows) * len({r[1] for r in rows})
+
+
 def test_error_bound_holds_for_most_samples(spark):
     """The 95 percent bound, measured over 12 different samples (keys shifted)."""
     df, rows = _vectors(spark, 160, 8)
