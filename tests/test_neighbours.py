@@ -124,6 +124,34 @@ def test_distances_are_spread_over_tasks_whatever_the_shuffle_weighs(spark):
     assert sums.count() == len(rows) * len({r[1] for r in rows})
 
 
+def test_sample_is_scored_in_as_many_tasks_as_its_rows_allow():
+    """A sample has few rows: the rows it meets are what must be cut, in proportion to their number up to ``tasks`` parts."""
+    assert align._cells(500, 900_000, 10, 192, align.CELL_ROWS) == (1, 192)
+    assert align._cells(500, 90_000, 10, 192, align.CELL_ROWS) == (1, 88)
+    across, down = align._cells(900_000, 900_000, 10, 192, align.CELL_ROWS)
+    assert across * down >= 192 and max(900_000 / across, 900_000 / down) <= align.CELL_ROWS
+    across, down = align._cells(10**6, 10**6, 10**5, 192, align.CELL_ROWS)
+    assert 10**6 / across * 10**5 <= 2 * align.SUM_ROWS
+
+
+def test_sample_with_repeated_keys_and_missing_components(spark):
+    """As in SQL: a row of a missing component is counted, its distances are not known; equal keys are one group."""
+    cols = [f"{c}_z" for c in align.VECTOR_COLUMNS]
+    rows = [(1, "p", *[0.0] * 6), (1, "p", *[1.0] * 6), (2, "p", None, *[0.0] * 5), (None, "q", *[3.0] * 6),
+            (4, "q", *[5.0] * 6), (5, None, *[2.0] * 6)]
+    df = spark.createDataFrame(rows, "customer_id long, population string, " + ", ".join(f"{c} double" for c in cols))
+    vectors = align._vectors(df, "customer_id")
+    got = {(r.customer_id, r.own, r.population): (r.n, r.d) for r in
+           align._distance_sums(vectors, vectors, "customer_id", 2).collect()}
+    root = 6 ** 0.5
+    want = {(1, "p", "p"): (6, 2 * root), (1, "p", "q"): (4, (3 + 5 + 2 + 4) * root), (2, "p", "p"): (3, None),
+            (2, "p", "q"): (2, None), (None, "q", "p"): (3, 5 * root), (None, "q", "q"): (2, 2 * root),
+            (4, "q", "p"): (3, 9 * root), (4, "q", "q"): (2, 2 * root)}
+    assert got.keys() == want.keys()
+    for k, (n, d) in want.items():
+        assert got[k] == (n, pytest.approx(d) if d is not None else None)
+
+
 def test_error_bound_holds_for_most_samples(spark):
     """The 95 percent bound, measured over 12 different samples (keys shifted)."""
     df, rows = _vectors(spark, 160, 8)
