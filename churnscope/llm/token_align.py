@@ -9,7 +9,8 @@ A link's id pair is weighed over the whole corpus: how many links hold it, and w
 id. Plan: (1) ``aligned`` encodes and aligns in one pass and writes a row per stretch of ``BATCH_BYTES`` of text, with
 per-document figures, the distinct id pairs of the stretch with their numbers, and for each document which of them it holds
 how often; (2) the numbers are summed per pair by a partially aggregated shuffle, the highest per B id over the vocabulary;
-(3) every stretch gets the sums of its own pairs by a join on the pair and turns them into document sums. What is shuffled
+(3) every stretch gets the sums of its own pairs by a join on the pair and turns them into document sums, one stretch at a
+time (a cogroup by stretch), so that a task's memory does not depend on how many stretches a partition holds. What is shuffled
 are distinct pairs per stretch and the compact rows of (1), never links; no key holds more rows than there are stretches.
 
 Texts are cut into words at single spaces next to a visible character, where neither tokenizer has a token that crosses;
@@ -319,27 +320,26 @@ def alignment(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> Da
     stretches = aligned(docs, a_file, b_file)
     weights = pair_weights(stretches, sentencepiece.SentencePieceProcessor(model_file=b_file).get_piece_size())
     wanted = stretches.select("batch", F.explode("pair").alias("pair")).join(weights, "pair")
-    per_batch = wanted.groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("pair", "total", "best"))).alias("w"))
-    both = (stretches.drop("pair", "links").join(per_batch, "batch", "left")
-            .select("doc_id", *FIGURES, "groups_sha256", "first", "which", "times",
-                    F.col("w.total").alias("total"), F.col("w.best").alias("best")))
-
-    def task(batches):
-        for rows in batches:
-            for r in range(rows.num_rows):
-                value = {name: rows.column(k)[r] for k, name in enumerate(rows.schema.names)}
-                first, which, times = (np.frombuffer(value[c].as_py(), kind) for c, kind in (
-                    ("first", np.int64), ("which", np.uint32), ("times", np.uint32)))
-                total, best = (value[c].values.to_numpy(zero_copy_only=False).astype(np.int64) if value[c].is_valid
-                               else np.zeros(0, np.int64) for c in ("total", "best"))
-                n = times.astype(np.int64)
-                sums = [np.concatenate([[0], np.cumsum(n * x[which])]) for x in (best, total)]
-                yield pa.RecordBatch.from_arrays(
-                    [value["doc_id"].values, *(value[c].values for c in FIGURES),
-                     *(pa.array(s[first[1:]] - s[first[:-1]]) for s in sums), value["groups_sha256"].values],
-                    names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
-
-    out = materialize(both.mapInArrow(task, RESULT_SCHEMA), name="token-align-result")
+    held = stretches.drop("pair", "links").withColumnRenamed("batch", "stretch")
+
+    def task(stretch: pa.Table, pairs: pa.Table) -> pa.Table:
+        row = stretch.combine_chunks().to_batches()[0]
+        value = {name: row.column(k)[0] for k, name in enumerate(row.schema.names)}
+        first, which, times = (np.frombuffer(value[c].as_buffer(), kind) for c, kind in (
+            ("first", np.int64), ("which", np.uint32), ("times", np.uint32)))
+        order = np.argsort(pairs["pair"].to_numpy())  # each pair of the stretch once: the order of its numbers
+        sums = []
+        for c in ("best", "total"):
+            added = pairs[c].to_numpy().astype(np.int64)[order][which]
+            added *= times
+            np.cumsum(added, out=added)
+            added = np.concatenate([[0], added])
+            sums.append(added[first[1:]] - added[first[:-1]])
+        return pa.table([value["doc_id"].values, *(value[c].values for c in FIGURES), *sums, value["groups_sha256"].values],
+                        names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
+
+    # one stretch at a time reaches Python: an Arrow batch of joined rows would hold many, of tens of megabytes each
+    both = held.groupBy("stretch").cogroup(wanted.groupBy("batch")).applyInArrow(task, RESULT_SCHEMA)
+    out = materialize(both, name="token-align-result")
     discard(stretches)
     return out

@@ -89,6 +89,17 @@ def test_mismatch_late_in_a_long_text(spark, monkeypatch):
     assert run(spark, rows)[0][1:] == (0, 0, 0, 0, 0, 0, "")
 
 
+def test_one_stretch_at_a_time_meets_its_corpus_numbers(spark, monkeypatch):
+    """Joined rows in one Arrow batch would hold all stretches of a partition: they must reach Python by group."""
+    plans, write = [], X.materialize
+    monkeypatch.setattr(X, "BATCH_BYTES", 100)
+    monkeypatch.setattr(X, "materialize", lambda df, name: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name=name))
+    rows = [(i, f"some words {i} and more of them " * 5) for i in range(12)]
+    assert run(spark, rows, 1) == key(brute(rows))
+    assert "FlatMapCoGroupsInArrow" in plans[-1] and "MapInArrow task" not in plans[-1]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
