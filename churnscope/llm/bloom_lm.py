@@ -384,75 +384,81 @@ def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
     return materialize(rows, name="lm-blocks")
 
 
-PART_SCHEMA = "block long, doc binary, known binary, log_sum binary"
+PART_SCHEMA = "block long, seg int, kind int, a binary, b binary, c binary"
+
+
+def _replies(rows: dict, kind: int) -> pa.Table:
+    return pa.table([pa.array(rows["block"], pa.int64()), pa.array(rows["seg"], pa.int32()),
+                     pa.array([kind] * len(rows["block"]), pa.int32()), *(pa.array(rows[k], pa.binary()) for k in "abc")],
+                    names=[f.split()[0] for f in PART_SCHEMA.split(", ")])
 
 
 def light_parts(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
-    """Partial sums of the light words per block and segment, from the exact counts of the segment."""
-    def task(batches):
+    """Kind 1: partial sums of the light words per block and segment (documents, known words, log sums), from the exact
+    counts of the segment, which meet all its occurrences in one group and are copied to none."""
+    def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         m = K.rebuilt(Model, shared)
         denominator = m.tokens + m.words + 1
-        for batch in batches:
-            out = {"block": [], "doc": [], "known": [], "log_sum": []}
-            for row in batch.to_pylist():
-                h, doc = np.frombuffer(row["hash"], np.uint64), np.frombuffer(row["doc"], np.uint32)
-                words = np.frombuffer(row["uni_hash"] or b"", np.uint64)
-                counts = np.frombuffer(row["uni_count"] or b"", np.int64)
-                c = np.zeros(len(h), np.int64)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    c = np.where(words[at] == h, counts[at], 0)
-                docs, which = np.unique(doc, return_inverse=True)
-                out["block"].append(row["block"])
-                out["doc"].append(docs.tobytes())
-                out["known"].append(np.bincount(which, c > 0, len(docs)).astype(np.int64).tobytes())
-                out["log_sum"].append(np.bincount(which, np.log10((c + 1) / denominator), len(docs)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64())] + [
-                pa.array(out[k], pa.binary()) for k in ("doc", "known", "log_sum")], names=list(out))
+        words, counts = (np.frombuffer(held[c][0].as_buffer() if held.num_rows else b"", kind)
+                         for c, kind in (("uni_hash", np.uint64), ("uni_count", np.int64)))
+        out = {k: [] for k in ("block", "seg", "a", "b", "c")}
+        for r in range(asked.num_rows):
+            h, doc = np.frombuffer(asked["hash"][r].as_buffer(), np.uint64), np.frombuffer(asked["doc"][r].as_buffer(), np.uint32)
+            c = np.zeros(len(h), np.int64)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                c = np.where(words[at] == h, counts[at], 0)
+            docs, which = np.unique(doc, return_inverse=True)
+            out["block"].append(asked["block"][r].as_py())
+            out["seg"].append(asked["seg"][r].as_py())
+            out["a"].append(docs.tobytes())
+            out["b"].append(np.bincount(which, c > 0, len(docs)).astype(np.int64).tobytes())
+            out["c"].append(np.bincount(which, np.log10((c + 1) / denominator), len(docs)).tobytes())
+        return _replies(out, 1)
 
     light = blocks.where("kind = 1").select("block", "seg", "hash", "doc")
-    met = light.join(counted.select("seg", "uni_hash", "uni_count"), "seg", "left")
-    return met.select("block", "hash", "doc", "uni_hash", "uni_count").mapInArrow(task, PART_SCHEMA)
+    held = counted.select(F.col("seg").alias("segment"), "uni_hash", "uni_count")
+    return light.groupBy("seg").cogroup(held.groupBy("segment")).applyInArrow(look_up, PART_SCHEMA)
 
 
 def answers(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
-    """Per block and segment the levels of the n-grams asked for, probed in the region of the segment."""
+    """Kind 2: per block and segment the levels of the n-grams asked for (words, bigrams), probed in the segment's region."""
     m = shared.value
     segments, regions, size = m["segments"], m["regions"], m["region"]
 
     def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
         bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(size // 8, np.uint8)
-        out = {"block": [], "seg": [], "uni": [], "bi": []}
-        for block, seg, uni, bi in zip(*(asked[c].to_pylist() for c in ("block", "seg", "hash", "doc")), strict=True):
-            uni, bi = np.frombuffer(uni, np.uint64), np.frombuffer(bi, np.uint32).astype(np.uint64)
-            out["block"].append(block)
+        out = {k: [] for k in ("block", "seg", "a", "b", "c")}
+        for r in range(asked.num_rows):
+            seg = asked["seg"][r].as_py()
+            uni = np.frombuffer(asked["hash"][r].as_buffer(), np.uint64)
+            bi = np.frombuffer(asked["doc"][r].as_buffer(), np.uint32).astype(np.uint64)
+            out["block"].append(asked["block"][r].as_py())
             out["seg"].append(seg)
-            for name, key in (("uni", _uni_key(uni)), ("bi", _bi_key(bi, np.array([seg])))):
+            for name, key in (("a", _uni_key(uni)), ("b", _bi_key(bi, np.array([seg])))):
                 level = probed_levels(bits, np.zeros(len(key), np.int64), key, size)
                 out[name].append(level.astype(np.uint8).tobytes())
-        return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["seg"], pa.int32()),
-                         pa.array(out["uni"], pa.binary()), pa.array(out["bi"], pa.binary())], names=list(out))
+            out["c"].append(None)
+        return _replies(out, 2)
 
     asked = blocks.where("kind = 2").select(region_of(segments, regions), "block", "seg", "hash", "doc")
     held = filter_regions(counted, segments, regions, size)
-    return (asked.groupBy("region").cogroup(held.groupBy("region"))
-            .applyInArrow(probe, "block long, seg int, uni binary, bi binary"))
+    return asked.groupBy("region").cogroup(held.groupBy("region")).applyInArrow(probe, PART_SCHEMA)
 
 
-def answered_scores(row: dict, m: Model) -> np.ndarray:
-    """Scores of a block's documents from its token hashes and the answers of all segments."""
-    h = np.frombuffer(row["tokens"], np.uint64)
-    starts = np.concatenate([[0], np.cumsum(row["n_tokens"])]).astype(np.int64)
+def answered_scores(h: np.ndarray, n_tokens: np.ndarray, levels: list, m: Model) -> np.ndarray:
+    """Scores of a block's documents from its token hashes ``h`` and the answers (segment, words, bigrams) of all segments."""
+    starts = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int64)
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[starts[:-1]] = BEGIN
     level = []
-    parts = sorted(row["levels"], key=lambda p: p["seg"])  # segments are hash ranges: the order of np.unique
-    for name, grams in (("uni", h), ("bi", pair_hash(before, h))):
-        every = np.frombuffer(b"".join(p[name] for p in parts), np.uint8).astype(np.int64)
+    parts = sorted(levels, key=lambda p: p[0])  # segments are hash ranges: the order of np.unique
+    for k, grams in ((1, h), (2, pair_hash(before, h))):
+        every = np.frombuffer(b"".join(p[k] for p in parts), np.uint8).astype(np.int64)
         level.append(every[np.unique(grams, return_inverse=True)[1]])
-    n = len(row["n_tokens"])
-    return np.bincount(np.repeat(np.arange(n), row["n_tokens"]), m.log10_of(*level, starts[:-1]), minlength=n)
+    n = len(n_tokens)
+    return np.bincount(np.repeat(np.arange(n), n_tokens), m.log10_of(*level, starts[:-1]), minlength=n)
 
 
 RESULT_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -466,31 +472,31 @@ def score_texts(docs: DataFrame, held, bits: int = FILTER_BITS, heavy_words: int
     shared, counted = train(docs.where(~held), bits, heavy_words, broadcast_bits)
     tokens, asked = shared.value["tokens"], shared.value["bits"] is None
     blocks = score_blocks(docs, shared, held)
-    parts = light_parts(blocks, counted, shared).groupBy("block").agg(
-        F.collect_list(F.struct("doc", "known", "log_sum")).alias("parts"))
-    whole = blocks.where("kind = 0").select("block", "doc_id", "held", "n_tokens", "known", "log_sum", "score",
-                                           *["tokens"] * asked)
-    met = whole.join(parts, "block", "left")
+    replies = light_parts(blocks, counted, shared)
     if asked:
-        met = met.join(answers(blocks, counted, shared).groupBy("block").agg(
-            F.collect_list(F.struct("seg", "uni", "bi")).alias("levels")), "block")
-    met = met.drop("block")
+        replies = replies.unionByName(answers(blocks, counted, shared))
+    whole = blocks.where("kind = 0").select(F.col("block").alias("id"), "doc_id", "held", "n_tokens", "known", "log_sum",
+                                           "score", "tokens")
 
-    def task(batches):
+    def task(block: pa.Table, given: pa.Table) -> pa.Table:
         m = K.rebuilt(Model, shared)
-        for batch in batches:
-            for row in batch.to_pylist():
-                known, total = np.array(row["known"], np.int64), np.array(row["log_sum"], np.float64)
-                for p in row["parts"] or ():
-                    doc = np.frombuffer(p["doc"], np.uint32)
-                    known[doc] += np.frombuffer(p["known"], np.int64)
-                    total[doc] += np.frombuffer(p["log_sum"], np.float64)
-                n = len(known)
-                score = answered_scores(row, m) if asked else row["score"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()),
-                     pa.array(row["n_tokens"], pa.int64()), pa.array(known), pa.array(np.full(n, tokens)),
-                     pa.array(total), pa.array(score, pa.float64())],
-                    names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
-
-    return met.mapInArrow(task, RESULT_SCHEMA)
+        row = {name: block[name].combine_chunks() for name in block.column_names}
+        doc_id, held_out, n_tokens = (row[c][0].values for c in ("doc_id", "held", "n_tokens"))
+        known, total = (row[c][0].values.to_numpy().copy() for c in ("known", "log_sum"))
+        levels = []
+        for r in np.argsort(given["seg"].to_numpy(), kind="stable").tolist():
+            a, b, c = (given[k][r].as_buffer() for k in "abc")
+            if given["kind"][r].as_py() == 2:
+                levels.append((given["seg"][r].as_py(), a, b))
+            else:
+                doc = np.frombuffer(a, np.uint32)
+                known[doc] += np.frombuffer(b, np.int64)
+                total[doc] += np.frombuffer(c, np.float64)
+        score = answered_scores(np.frombuffer(row["tokens"][0].as_buffer(), np.uint64), n_tokens.to_numpy(), levels,
+                                m) if asked else row["score"][0].values
+        return pa.table([doc_id, held_out, n_tokens, pa.array(known), pa.array(np.full(len(known), tokens)),
+                         pa.array(total), pa.array(score, pa.float64())],
+                        names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
+
+    # one block at a time reaches Python: an Arrow batch of joined rows would hold many, of megabytes each
+    return whole.groupBy("id").cogroup(replies.groupBy("block")).applyInArrow(task, RESULT_SCHEMA)

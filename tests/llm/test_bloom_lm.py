@@ -117,3 +117,10 @@ def test_scores_by_asking_equal_those_by_broadcast(spark):
         assert [(*r[:5], round(r[5], 6)) for r in two] == brute(docs)
         assert [(*r[:5], round(r[5], 6), r[6]) for r in one] == [(*r[:5], round(r[5], 6), r[6]) for r in two]
     assert run(spark, [], broadcast_bits=0).collect() == []
+
+
+def test_blocks_and_segments_meet_their_replies_in_groups(spark):
+    """Joined rows would carry a segment's counts once per block, and an Arrow batch many of them: no join before Python."""
+    for limit, groups in ((1 << 28, 2), (0, 3)):
+        plan = run(spark, corpus(20), bits=1 << 14, broadcast_bits=limit)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapCoGroupsInArrow") == groups and "Join" not in plan
