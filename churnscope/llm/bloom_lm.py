@@ -14,12 +14,17 @@ least and grows with the counted entries (``filter_bits``), so at most half of i
 Scoring. A count is read by probing levels 1, 2, ... until a probe fails. The probability of a token is the bigram
 estimate smoothed by the unigram estimate, ``(c(v w) + KAPPA * p(w)) / (c(v) + KAPPA)`` with
 ``p(w) = (c(w) + 1) / (N + V + 1)``; the score is the sum of the log10 probabilities of a text. A filter of up to
-``BROADCAST_BITS`` bits is broadcast. A larger one stays on the executors: every block asks each segment for the levels of
-its distinct n-grams, the answers are probed region by region and return to the block. Both ways give equal scores.
+``BROADCAST_BITS`` bits is broadcast. A larger one stays on the executors: the texts are written once in compressed blocks,
+every block asks for the levels of its distinct words and pairs, and each group of ``GROUP_REGIONS`` regions fills its part
+of the filter, probes all that is asked of it at once and answers the blocks. Both ways give equal scores.
 
-Base score. ``sum log10((c + 1) / (N + V + 1))`` needs exact counts. Words with at least N / HEAVY_WORDS occurrences
-(no more than HEAVY_WORDS exist, whatever the corpus) are broadcast; occurrences of all other words meet their exact
-counts in their segment, and the partial sums return to the block of their document.
+Base score. ``sum log10((c + 1) / (N + V + 1))`` needs exact counts. With a broadcast filter, words with at least
+N / HEAVY_WORDS occurrences (no more than HEAVY_WORDS exist, whatever the corpus) are broadcast; occurrences of all other
+words meet their exact counts in their segment, and the partial sums return to the block of their document. Without, the
+answer for a word holds its exact count.
+
+Growth. Rows between blocks (or slices) and segments number their product, which grows with the square of the input. All of
+a task's rows are therefore built, probed and added up in whole arrays: a row costs its transport, not a Python call.
 
 Edge cases: null and empty text are one end token; repeated rows are scored (and counted) as often as they occur; a
 null doc_id belongs to the training part; an empty table gives an empty result; with no training document N = V = 0 and
@@ -29,9 +34,11 @@ all counts are 0; texts of any length are processed whole; other columns are ign
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +56,18 @@ KAPPA = 1000.0
 HEAVY_WORDS = 1 << 18
 SLICE_BYTES = 4 << 20
 SEGMENT_BYTES = 4 << 20
+GROUP_REGIONS = 4       # regions whose n-grams are asked for together, if that leaves LEAST_GROUPS groups
+LEAST_GROUPS = 64
+PROBE_KEYS = 1 << 20    # n-grams probed at a time
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 END = np.uint64(0xE5D0E5D0E5D0E5D1)    # hash of the end token
 BEGIN = np.uint64(0xB0B0B0B0B0B0B0B1)  # context of the first token
 MAX_LEVEL = 100
 
 BLOCK_SCHEMA = ("kind int, block long, seg int, doc_id array<long>, held array<boolean>, n_tokens array<long>, "
-                "known array<long>, log_sum array<double>, score array<double>, hash binary, doc binary, tokens binary")
+                "known array<long>, log_sum array<double>, score array<double>, hash binary, doc binary")
+TEXT_SCHEMA = "block long, doc_id array<long>, held array<boolean>, length array<long>, text binary"
 SEGMENT_SCHEMA = ("seg int, tokens long, words long, uni_hash binary, uni_count binary, bi_hash binary, "
                   "bi_level binary, uni_levels array<long>, bi_levels array<long>")
 
@@ -106,6 +118,40 @@ def _split(seg: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(seg, np.arange(n + 1))
 
 
+def _distinct(h: np.ndarray, counted: bool = False):
+    """Sorted distinct hashes (and how often each occurs): by sorting, several times as fast as ``np.unique`` alone."""
+    h = np.sort(h)
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return (h[start], np.diff(start, append=len(h))) if counted else h[start]
+
+
+def _parts(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` cut at the places ``cut``: one binary cell from each place to the next."""
+    at = (np.asarray(cut, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _joined(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binary cells of a column in one array, and the places where a cell begins, the end included."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    cells = column.cast(pa.large_binary()).combine_chunks()
+    at = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset:cells.offset + len(cells) + 1]
+    values = np.frombuffer(cells.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+    return values, (at - at[0]) // np.dtype(kind).itemsize
+
+
+@contextmanager
+def shuffles_removed(spark):
+    """Shuffle files of the queries that run inside go when their query ends, not when the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def count_rows(docs: DataFrame, segments: int) -> DataFrame:
     """Per slice and segment: distinct unigram hashes with counts, bigram hashes (32 bits) with counts."""
     def task(batches):
@@ -113,34 +159,20 @@ def count_rows(docs: DataFrame, segments: int) -> DataFrame:
         for batch in batches:
             for lo, hi in K.row_slices(batch.column(0), SLICE_BYTES):
                 t = Tokens(batch.column(0).slice(lo, hi - lo))
-                uni, n_uni = np.unique(t.h, return_counts=True)
-                bi, n_bi = np.unique(pair_hash(t.before, t.h), return_counts=True)
+                uni, n_uni = _distinct(t.h, True)
+                bi, n_bi = _distinct(pair_hash(t.before, t.h), True)
                 u, b = _split(segment_of(uni, segments), segments), _split(segment_of(bi, segments), segments)
-                big = np.flatnonzero(n_bi > 255)  # counts are bytes: larger ones are entered in parts
-                small = np.minimum(n_bi, 255).astype(np.uint8)
                 low = (bi & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                extra = {}
-                for i in big.tolist():
-                    parts, rest = divmod(int(n_bi[i]) - 255, 255)
-                    extra.setdefault(int(np.searchsorted(b, i, side="right")) - 1, []).append(
-                        (low[i], [255] * parts + ([rest] if rest else [])))
-                cols = {k: [] for k in ("seg", "uni_hash", "uni_count", "bi_hash", "bi_count")}
-                for s in range(segments):
-                    x, y = b[s], b[s + 1]
-                    h32, c8 = low[x:y], small[x:y]
-                    for value, more in extra.get(s, ()):
-                        h32 = np.concatenate([h32, np.full(len(more), value, np.uint32)])
-                        c8 = np.concatenate([c8, np.array(more, np.uint8)])
-                    if u[s] == u[s + 1] and not len(h32):
-                        continue
-                    cols["seg"].append(s)
-                    cols["uni_hash"].append(uni[u[s]:u[s + 1]].tobytes())
-                    cols["uni_count"].append(n_uni[u[s]:u[s + 1]].astype(np.int32).tobytes())
-                    cols["bi_hash"].append(h32.tobytes())
-                    cols["bi_count"].append(c8.tobytes())
+                times = -(-n_bi // 255)  # counts are bytes: larger ones are entered in parts
+                end = np.concatenate([[0], np.cumsum(times)])
+                small = np.full(end[-1], 255, np.uint8)
+                small[end[1:] - 1] = n_bi - 255 * (times - 1)
+                low, b = np.repeat(low, times), end[b]
+                seg = np.flatnonzero(np.diff(u) + np.diff(b))
+                u, b = np.append(u[seg], u[-1]), np.append(b[seg], b[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols["seg"], pa.int32())] + [pa.array(cols[k], pa.binary()) for k in list(cols)[1:]],
-                    names=list(cols))
+                    [pa.array(seg, pa.int32()), _parts(uni, u), _parts(n_uni.astype(np.int32), u), _parts(low, b),
+                     _parts(small, b)], names=["seg", "uni_hash", "uni_count", "bi_hash", "bi_count"])
     return docs.select("text").mapInArrow(
         task, "seg int, uni_hash binary, uni_count binary, bi_hash binary, bi_count binary")
 
@@ -148,7 +180,7 @@ def count_rows(docs: DataFrame, segments: int) -> DataFrame:
 def _summed(hashes: list, counts: list, htype, ctype):
     h = np.frombuffer(b"".join(hashes), htype)
     c = np.frombuffer(b"".join(counts), ctype).astype(np.int64)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, c = h[order], c[order]
     start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     return h[start], np.add.reduceat(c, start) if len(h) else c
@@ -173,7 +205,8 @@ def segment_counts(docs: DataFrame, segments: int) -> DataFrame:
             "bi_level": pa.array([level.astype(np.uint8).tobytes()], pa.binary()),
             "uni_levels": [_level_histogram(level_of(n_uni))], "bi_levels": [_level_histogram(level)]})
     rows = count_rows(docs, segments).groupBy("seg").applyInArrow(merge, SEGMENT_SCHEMA)
-    return materialize(rows, name="lm-segments")
+    with shuffles_removed(docs.sparkSession):  # more than the input
+        return materialize(rows, name="lm-segments")
 
 
 def lowest_level(uni_levels: np.ndarray, bi_levels: np.ndarray, bits: int) -> int:
@@ -200,10 +233,18 @@ def region_count(segments: int, bits: int) -> int:
     return max(1, min(segments, bits // LEAST_REGION))
 
 
+def _mixed(key: np.ndarray, level) -> np.ndarray:
+    return K.mix64(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
+
+
+def _steps(g: np.ndarray) -> np.ndarray:
+    return (K.mix64(g + np.uint64(0x5851F42D)) | np.uint64(1)) >> np.uint64(20)
+
+
 def filter_places(at: np.ndarray, key: np.ndarray, level, region: int):
     """The filter positions of (n-gram, level) in region ``at``: PROBES arrays. ``key`` tells the n-grams apart."""
-    g = K.mix64(key + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
-    step = (K.mix64(g + np.uint64(0x5851F42D)) | np.uint64(1)) >> np.uint64(20)
+    g = _mixed(key, level)
+    step = _steps(g)
     base = at * region
     g = g >> np.uint64(20)
     for i in range(PROBES):
@@ -226,22 +267,28 @@ def region_of(segments: int, regions: int):
     return F.expr(f"cast(cast(seg as long) * {regions} div {segments} as int)").alias("region")
 
 
+def filled(rows: list, segments: int, regions: int, size: int, first: int, n: int) -> np.ndarray:
+    """The bits of ``n`` regions from region ``first`` on, filled from their segments (``rows``)."""
+    on = np.zeros(n * size, bool)
+    for row in rows:
+        seg = np.array([row["seg"]])
+        at = seg * regions // segments - first
+        uni = np.frombuffer(row["uni_hash"], np.uint64)
+        bi = np.frombuffer(row["bi_hash"], np.uint32).astype(np.uint64)
+        bi_level = np.frombuffer(row["bi_level"], np.uint8).astype(np.int64)
+        uni_level = level_of(np.frombuffer(row["uni_count"], np.int64))
+        for key, level in ((_uni_key(uni), uni_level), (_bi_key(bi, seg), bi_level)):
+            for q in range(1, int(level.max(initial=0)) + 1):
+                for place in filter_places(at, key[level >= q], q, size):
+                    on[place] = True
+    return np.packbits(on, bitorder="little")
+
+
 def filter_regions(counted: DataFrame, segments: int, regions: int, size: int) -> DataFrame:
     """(region, bits): every region of the filter, filled from its segments."""
     def fill(table: pa.Table) -> pa.Table:
-        on = np.zeros(size, bool)
-        for row in table.to_pylist():
-            seg = np.array([row["seg"]])
-            uni = np.frombuffer(row["uni_hash"], np.uint64)
-            bi = np.frombuffer(row["bi_hash"], np.uint32).astype(np.uint64)
-            bi_level = np.frombuffer(row["bi_level"], np.uint8).astype(np.int64)
-            uni_level = level_of(np.frombuffer(row["uni_count"], np.int64))
-            for key, level in ((_uni_key(uni), uni_level), (_bi_key(bi, seg), bi_level)):
-                for q in range(1, int(level.max(initial=0)) + 1):
-                    for place in filter_places(np.zeros(1, np.int64), key[level >= q], q, size):
-                        on[place] = True
-        return pa.table({"region": table["region"].slice(0, 1),
-                         "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+        bits = filled(table.to_pylist(), segments, regions, size, table["region"][0].as_py(), 1)
+        return pa.table({"region": table["region"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     rows = counted.select(region_of(segments, regions), "seg", "uni_hash", "uni_count", "bi_hash", "bi_level")
     return rows.groupBy("region").applyInArrow(fill, "region int, bits binary")
@@ -253,13 +300,13 @@ def probed_levels(bits: np.ndarray, at: np.ndarray, key: np.ndarray, region: int
     live = np.arange(len(key))
     q = 1
     while len(live) and q <= MAX_LEVEL:
-        s, k = at[live], key[live]
-        alive = np.arange(len(live))
-        for place in filter_places(s, k, q, region):
-            place = place[alive] if len(alive) < len(live) else place
-            on = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            alive = alive[on.astype(bool)]
-        live = live[alive]
+        g = _mixed(key[live], q)
+        base, start, step = at[live] * region, g >> np.uint64(20), None
+        for i in range(PROBES):  # of ``filter_places``, only for n-grams that no probe has failed yet
+            place = base + ((start + step * np.uint64(i) if i else start) % np.uint64(region)).astype(np.int64)
+            on = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+            live, base, start = live[on], base[on], start[on]
+            step = step[on] if i else _steps(g[on])
         level[live] = q
         q += 1
     return level
@@ -284,8 +331,8 @@ class Model:
     def token_log10(self, t: Tokens) -> np.ndarray:
         """log10 probability of every token of a slice, by the broadcast filter."""
         words, at = np.unique(t.h, return_inverse=True)
-        pair = self.levels(pair_hash(t.before, t.h), True)
-        return self.log10_of(self.levels(words, False)[at], pair, t.first[:-1])
+        pairs, pair = np.unique(pair_hash(t.before, t.h), return_inverse=True)  # in the order of the filter's regions
+        return self.log10_of(self.levels(words, False)[at], self.levels(pairs, True)[pair], t.first[:-1])
 
     def log10_of(self, word: np.ndarray, pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of every token from the levels of its word and pair; texts begin at ``starts``."""
@@ -336,23 +383,20 @@ def train(docs: DataFrame, bits: int = FILTER_BITS, heavy_words: int = HEAVY_WOR
 
 
 def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
-    """Kind 0: one row per block (slice) with its documents; kind 1: per segment the occurrences of light words;
-    kind 2, without a broadcast filter: per segment the distinct n-grams, and kind 0 holds the token hashes."""
+    """Kind 0: one row per block (slice) with its documents; kind 1: per segment the occurrences of light words."""
     def task(batches):
         K.tidy()
         m = K.rebuilt(Model, shared)
         block = TaskContext.get().partitionId() << 32
-        denominator = m.tokens + m.words + 1
+        logs = np.log10((m.heavy_count + 1) / (m.tokens + m.words + 1))
         for batch in batches:
             for lo, hi in K.row_slices(batch.column(1), SLICE_BYTES):
                 t = Tokens(batch.column(1).slice(lo, hi - lo))
                 n = hi - lo
                 row = t.rows()
-                asked = m.bits is None
-                score = None if asked else np.bincount(row, m.token_log10(t), minlength=n)
+                score = np.bincount(row, m.token_log10(t), minlength=n)
                 at = np.minimum(np.searchsorted(m.heavy_hash, t.h), max(len(m.heavy_hash) - 1, 0))
                 hit = m.heavy_hash[at] == t.h if len(m.heavy_hash) else np.zeros(len(t.h), bool)
-                logs = np.log10((m.heavy_count + 1) / denominator)
                 log_sum = np.bincount(row[hit], logs[at[hit]] if hit.any() else None, minlength=n).astype(np.float64)
                 known = np.bincount(row[hit], minlength=n)
                 light, light_doc = t.h[~hit], row[~hit].astype(np.uint32)
@@ -360,23 +404,16 @@ def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
                 light, light_doc = light[order], light_doc[order]
                 cut = _split(segment_of(light, m.segments), m.segments)
                 segs = np.flatnonzero(np.diff(cut))
-                sent = [(1, s, light[cut[s]:cut[s + 1]], light_doc[cut[s]:cut[s + 1]]) for s in segs.tolist()]
-                if asked:
-                    uni, bi = np.unique(t.h), np.unique(pair_hash(t.before, t.h))
-                    u, b = (_split(segment_of(x, m.segments), m.segments) for x in (uni, bi))
-                    low = (bi & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                    sent += [(2, s, uni[u[s]:u[s + 1]], low[b[s]:b[s + 1]])
-                             for s in np.flatnonzero(np.diff(u) + np.diff(b)).tolist()]
-                k = len(sent)
+                cut = np.append([0], np.append(cut[segs], cut[-1]))  # the first cell, of kind 0, is empty
+                k = len(segs)
                 lists = [batch.column(0).slice(lo, n).to_pylist(), batch.column(2).slice(lo, n).to_pylist(),
                          np.diff(t.first), known, log_sum, score]
                 kinds = ["int64", "bool_", "int64", "int64", "float64", "float64"]
-                arrays = [pa.array([0, *(x[0] for x in sent)], pa.int32()), pa.array([block] * (k + 1), pa.int64()),
-                          pa.array([-1, *(x[1] for x in sent)], pa.int32())]
+                arrays = [pa.array(np.arange(k + 1) > 0).cast(pa.int32()), pa.array(np.full(k + 1, block)),
+                          pa.array(np.append([-1], segs), pa.int32())]
                 arrays += [pa.array([x, *[None] * k], pa.list_(getattr(pa, kind)()))
                            for x, kind in zip(lists, kinds, strict=True)]
-                arrays += [pa.array([None, *(x[i].tobytes() for x in sent)], pa.binary()) for i in (2, 3)]
-                arrays.append(pa.array([t.h.tobytes() if asked else None, *[None] * k], pa.binary()))
+                arrays += [_parts(light, cut), _parts(light_doc, cut)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in BLOCK_SCHEMA.split(", ")])
                 block += 1
 
@@ -384,81 +421,156 @@ def score_blocks(docs: DataFrame, shared, held) -> DataFrame:
     return materialize(rows, name="lm-blocks")
 
 
-PART_SCHEMA = "block long, seg int, kind int, a binary, b binary, c binary"
-
-
-def _replies(rows: dict, kind: int) -> pa.Table:
-    return pa.table([pa.array(rows["block"], pa.int64()), pa.array(rows["seg"], pa.int32()),
-                     pa.array([kind] * len(rows["block"]), pa.int32()), *(pa.array(rows[k], pa.binary()) for k in "abc")],
-                    names=[f.split()[0] for f in PART_SCHEMA.split(", ")])
+PART_SCHEMA = "block long, seg int, a binary, b binary, c binary"
 
 
 def light_parts(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
-    """Kind 1: partial sums of the light words per block and segment (documents, known words, log sums), from the exact
-    counts of the segment, which meet all its occurrences in one group and are copied to none."""
+    """Partial sums of the light words per block and segment (documents, known words, log sums), from the exact counts of the
+    segment, which meet all its occurrences in one group and are copied to none."""
     def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         m = K.rebuilt(Model, shared)
-        denominator = m.tokens + m.words + 1
-        words, counts = (np.frombuffer(held[c][0].as_buffer() if held.num_rows else b"", kind)
-                         for c, kind in (("uni_hash", np.uint64), ("uni_count", np.int64)))
-        out = {k: [] for k in ("block", "seg", "a", "b", "c")}
-        for r in range(asked.num_rows):
-            h, doc = np.frombuffer(asked["hash"][r].as_buffer(), np.uint64), np.frombuffer(asked["doc"][r].as_buffer(), np.uint32)
-            c = np.zeros(len(h), np.int64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                c = np.where(words[at] == h, counts[at], 0)
-            docs, which = np.unique(doc, return_inverse=True)
-            out["block"].append(asked["block"][r].as_py())
-            out["seg"].append(asked["seg"][r].as_py())
-            out["a"].append(docs.tobytes())
-            out["b"].append(np.bincount(which, c > 0, len(docs)).astype(np.int64).tobytes())
-            out["c"].append(np.bincount(which, np.log10((c + 1) / denominator), len(docs)).tobytes())
-        return _replies(out, 1)
+        h, cut = _joined(asked["hash"], np.uint64)
+        doc, _ = _joined(asked["doc"], np.uint32)
+        c = exact_counts(h, *(_joined(held[name], kind)[0] for name, kind in (("uni_hash", np.uint64), ("uni_count", np.int64))))
+        row = np.repeat(np.arange(len(cut) - 1, dtype=np.uint64), np.diff(cut))
+        pairs, which = np.unique(row << np.uint64(32) | doc, return_inverse=True)
+        end = np.searchsorted(pairs, np.arange(len(cut), dtype=np.uint64) << np.uint64(32))
+        known = np.bincount(which, c > 0, len(pairs)).astype(np.int64)
+        logs = np.bincount(which, np.log10((c + 1) / (m.tokens + m.words + 1)), len(pairs))
+        return pa.table([asked["block"], asked["seg"], _parts((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), end),
+                         _parts(known, end), _parts(logs, end)], names=[f.split()[0] for f in PART_SCHEMA.split(", ")])
 
     light = blocks.where("kind = 1").select("block", "seg", "hash", "doc")
     held = counted.select(F.col("seg").alias("segment"), "uni_hash", "uni_count")
     return light.groupBy("seg").cogroup(held.groupBy("segment")).applyInArrow(look_up, PART_SCHEMA)
 
 
-def answers(blocks: DataFrame, counted: DataFrame, shared) -> DataFrame:
-    """Kind 2: per block and segment the levels of the n-grams asked for (words, bigrams), probed in the segment's region."""
+def exact_counts(h: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of the words ``h`` from the sorted ``words``: 0 where there is none."""
+    if not len(words):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where(words[at] == h, counts[at], 0)
+
+
+def text_blocks(docs: DataFrame, held) -> DataFrame:
+    """One row per block (slice): its documents, the lengths of their texts and the texts, compressed."""
+    def task(batches):
+        K.tidy()
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo, hi in K.row_slices(batch.column(1), SLICE_BYTES):
+                n = hi - lo
+                text, at = K.string_bytes(batch.column(1).slice(lo, n))
+                lists = [batch.column(0).slice(lo, n).to_pylist(), batch.column(2).slice(lo, n).to_pylist(), np.diff(at)]
+                arrays = [pa.array([x], pa.list_(getattr(pa, kind)()))
+                          for x, kind in zip(lists, ["int64", "bool_", "int64"], strict=True)]
+                packed = pa.compress(np.ascontiguousarray(text), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *arrays, pa.array([packed], pa.binary())],
+                                                 names=[f.split()[0] for f in TEXT_SCHEMA.split(", ")])
+                block += 1
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(task, TEXT_SCHEMA)
+    return materialize(rows, name="lm-blocks")
+
+
+def block_tokens(length: pa.Scalar, text: pa.Scalar) -> Tokens:
+    """The tokens of a block of ``text_blocks``."""
+    at = np.concatenate([[0], np.cumsum(length.values.to_numpy())]).astype(np.int64)
+    data = pa.decompress(text.as_buffer(), int(at[-1]), "zstd") if at[-1] else pa.py_buffer(b"")
+    return Tokens(pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), data]))
+
+
+def group_starts(segments: int, regions: int) -> tuple[int, np.ndarray]:
+    """Regions of a group, and the first segment of every group with ``segments`` at the end. A group is of whole regions."""
+    together = max(1, min(GROUP_REGIONS, regions // LEAST_GROUPS))
+    return together, np.append(-(-np.arange(0, regions, together) * segments // regions), segments)
+
+
+ANSWER_SCHEMA = "block long, part int, pairs boolean, level binary, count binary"
+
+
+def answers(blocks: DataFrame, counted: DataFrame, shared, pairs: bool) -> DataFrame:
+    """Per block and group of regions the levels of its distinct n-grams (``pairs`` or else words) in the order of their
+    hashes, and for words the exact counts. The group's part of the filter is filled from its segments, and all that the
+    blocks ask of it is probed at once."""
     m = shared.value
     segments, regions, size = m["segments"], m["regions"], m["region"]
+    together, starts = group_starts(segments, regions)
+
+    def ask(batches):
+        K.tidy()
+        for batch in batches:
+            for block, length, text in zip(*batch.columns, strict=True):
+                t = block_tokens(length, text)
+                h = _distinct(pair_hash(t.before, t.h) if pairs else t.h)
+                cut = _split(segment_of(h, segments), segments)
+                sent = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32) if pairs else h  # the segment holds the upper bits
+                rows = pa.RecordBatch.from_arrays(
+                    [pa.array([block.as_py()] * (len(starts) - 1), pa.int64()), pa.array(np.arange(len(starts) - 1), pa.int32()),
+                     _parts(sent, cut[starts]), _parts(np.diff(cut).astype(np.uint32), starts)],
+                    names=["block", "part", "hash", "sizes"])
+                yield rows.filter(pa.array(np.diff(cut[starts]) > 0))
 
     def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = np.frombuffer(held["bits"][0].as_py(), np.uint8) if held.num_rows else np.zeros(size // 8, np.uint8)
-        out = {k: [] for k in ("block", "seg", "a", "b", "c")}
-        for r in range(asked.num_rows):
-            seg = asked["seg"][r].as_py()
-            uni = np.frombuffer(asked["hash"][r].as_buffer(), np.uint64)
-            bi = np.frombuffer(asked["doc"][r].as_buffer(), np.uint32).astype(np.uint64)
-            out["block"].append(asked["block"][r].as_py())
-            out["seg"].append(seg)
-            for name, key in (("a", _uni_key(uni)), ("b", _bi_key(bi, np.array([seg])))):
-                level = probed_levels(bits, np.zeros(len(key), np.int64), key, size)
-                out[name].append(level.astype(np.uint8).tobytes())
-            out["c"].append(None)
-        return _replies(out, 2)
-
-    asked = blocks.where("kind = 2").select(region_of(segments, regions), "block", "seg", "hash", "doc")
-    held = filter_regions(counted, segments, regions, size)
-    return asked.groupBy("region").cogroup(held.groupBy("region")).applyInArrow(probe, PART_SCHEMA)
-
-
-def answered_scores(h: np.ndarray, n_tokens: np.ndarray, levels: list, m: Model) -> np.ndarray:
-    """Scores of a block's documents from its token hashes ``h`` and the answers (segment, words, bigrams) of all segments."""
-    starts = np.concatenate([[0], np.cumsum(n_tokens)]).astype(np.int64)
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[starts[:-1]] = BEGIN
-    level = []
-    parts = sorted(levels, key=lambda p: p[0])  # segments are hash ranges: the order of np.unique
-    for k, grams in ((1, h), (2, pair_hash(before, h))):
-        every = np.frombuffer(b"".join(p[k] for p in parts), np.uint8).astype(np.int64)
-        level.append(every[np.unique(grams, return_inverse=True)[1]])
-    n = len(n_tokens)
-    return np.bincount(np.repeat(np.arange(n), n_tokens), m.log10_of(*level, starts[:-1]), minlength=n)
+        h, cut = _joined(asked["hash"], np.uint32 if pairs else np.uint64)
+        level, count = np.zeros(0, np.uint8), None if pairs else np.zeros(0, np.int64)
+        if len(h):
+            part = asked["part"][0].as_py()
+            first, last = (int(s) * regions // segments for s in (starts[part], starts[part + 1] - 1))
+            rows = sorted(held.to_pylist(), key=lambda row: row["seg"])
+            bits = filled(rows, segments, regions, size, first, last - first + 1)
+            if pairs:
+                sizes, _ = _joined(asked["sizes"], np.uint32)
+                seg = np.tile(np.arange(starts[part], starts[part + 1], dtype=np.uint64), asked.num_rows)
+                h = _bi_key(h.astype(np.uint64), np.repeat(seg, sizes))
+            h, which = np.unique(h, return_inverse=True)  # many blocks ask for the same
+            level = np.zeros(len(h), np.uint8)
+            for lo in range(0, len(h), PROBE_KEYS):
+                some = h[lo:lo + PROBE_KEYS]
+                seg = (some >> np.uint64(32)).astype(np.int64) if pairs else segment_of(some, segments)
+                level[lo:lo + PROBE_KEYS] = probed_levels(bits, seg * regions // segments - first,
+                                                          some if pairs else _uni_key(some), size)
+            level = level[which]
+            if not pairs:
+                words, counts = (np.frombuffer(b"".join(row[c] for row in rows), kind)
+                                 for c, kind in (("uni_hash", np.uint64), ("uni_count", np.int64)))
+                count = exact_counts(h, words, counts)[which]
+        return pa.table([asked["block"], asked["part"], pa.array(np.full(asked.num_rows, pairs)), _parts(level, cut),
+                         pa.nulls(asked.num_rows, pa.binary()) if pairs else _parts(count, cut)],
+                        names=[f.split()[0] for f in ANSWER_SCHEMA.split(", ")])
+
+    asked = blocks.select("block", "length", "text").mapInArrow(ask, "block long, part int, hash binary, sizes binary")
+    held = counted.select(F.expr(f"cast(cast(seg as long) * {regions} div {segments} div {together} as int)").alias("of"),
+                          "seg", "uni_hash", "uni_count", "bi_hash", "bi_level")
+    return asked.groupBy("part").cogroup(held.groupBy("of")).applyInArrow(probe, ANSWER_SCHEMA)
+
+
+def answered_scores(docs: DataFrame, held, shared, counted: DataFrame) -> DataFrame:
+    """The result without a broadcast filter: every block meets the answers to its words and pairs."""
+    tokens = shared.value["tokens"]
+    blocks = text_blocks(docs, held)
+    given = answers(blocks, counted, shared, False).unionByName(answers(blocks, counted, shared, True))
+
+    def task(block: pa.Table, given: pa.Table) -> pa.Table:
+        m = K.rebuilt(Model, shared)
+        doc_id, held_out, length, text = (block[c][0] for c in ("doc_id", "held", "length", "text"))
+        t = block_tokens(length, text)
+        n, row = len(length), t.rows()
+        word, pair = (np.unique(h, return_inverse=True)[1] for h in (t.h, pair_hash(t.before, t.h)))
+        given = given.sort_by("part")  # groups are hash ranges: the order of np.unique
+        of_words, of_pairs = (given.filter(pc.equal(given["pairs"], kind)) for kind in (False, True))
+        levels = [_joined(x["level"], np.uint8)[0] for x in (of_words, of_pairs)]
+        count, _ = _joined(of_words["count"], np.int64)
+        known = np.bincount(row, (count > 0)[word], n).astype(np.int64)
+        total = np.bincount(row, np.log10((count + 1) / (m.tokens + m.words + 1))[word], n)
+        score = np.bincount(row, m.log10_of(levels[0][word], levels[1][pair], t.first[:-1]), n)
+        return pa.table([doc_id.values, held_out.values, pa.array(np.diff(t.first)), pa.array(known),
+                         pa.array(np.full(n, tokens)), pa.array(total), pa.array(score)],
+                        names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
+
+    whole = blocks.withColumnRenamed("block", "id")
+    return whole.groupBy("id").cogroup(given.groupBy("block")).applyInArrow(task, RESULT_SCHEMA)
 
 
 RESULT_SCHEMA = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -470,33 +582,25 @@ def score_texts(docs: DataFrame, held, bits: int = FILTER_BITS, heavy_words: int
     """Train on the rows where ``held`` (a Column) is not true and score every row; see RESULT_SCHEMA."""
     held = F.coalesce(held, F.lit(False))
     shared, counted = train(docs.where(~held), bits, heavy_words, broadcast_bits)
-    tokens, asked = shared.value["tokens"], shared.value["bits"] is None
+    if shared.value["bits"] is None:
+        return answered_scores(docs, held, shared, counted)
+    tokens = shared.value["tokens"]
     blocks = score_blocks(docs, shared, held)
     replies = light_parts(blocks, counted, shared)
-    if asked:
-        replies = replies.unionByName(answers(blocks, counted, shared))
     whole = blocks.where("kind = 0").select(F.col("block").alias("id"), "doc_id", "held", "n_tokens", "known", "log_sum",
-                                           "score", "tokens")
+                                           "score")
 
     def task(block: pa.Table, given: pa.Table) -> pa.Table:
-        m = K.rebuilt(Model, shared)
         row = {name: block[name].combine_chunks() for name in block.column_names}
-        doc_id, held_out, n_tokens = (row[c][0].values for c in ("doc_id", "held", "n_tokens"))
-        known, total = (row[c][0].values.to_numpy().copy() for c in ("known", "log_sum"))
-        levels = []
-        for r in np.argsort(given["seg"].to_numpy(), kind="stable").tolist():
-            a, b, c = (given[k][r].as_buffer() for k in "abc")
-            if given["kind"][r].as_py() == 2:
-                levels.append((given["seg"][r].as_py(), a, b))
-            else:
-                doc = np.frombuffer(a, np.uint32)
-                known[doc] += np.frombuffer(b, np.int64)
-                total[doc] += np.frombuffer(c, np.float64)
-        score = answered_scores(np.frombuffer(row["tokens"][0].as_buffer(), np.uint64), n_tokens.to_numpy(), levels,
-                                m) if asked else row["score"][0].values
+        doc_id, held_out, n_tokens, score = (row[c][0].values for c in ("doc_id", "held", "n_tokens", "score"))
+        known, total = (row[c][0].values.to_numpy() for c in ("known", "log_sum"))
+        given = given.sort_by("seg")
+        kinds = {"a": np.uint32, "b": np.int64, "c": np.float64}
+        doc, known_light, log_light = (_joined(given[c], kind)[0] for c, kind in kinds.items())
+        known = known + np.bincount(doc, known_light, len(known)).astype(np.int64)
+        total = total + np.bincount(doc, log_light, len(total))
         return pa.table([doc_id, held_out, n_tokens, pa.array(known), pa.array(np.full(len(known), tokens)),
-                         pa.array(total), pa.array(score, pa.float64())],
-                        names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
+                         pa.array(total), score], names=[f.split()[0] for f in RESULT_SCHEMA.split(", ")])
 
     # one block at a time reaches Python: an Arrow batch of joined rows would hold many, of megabytes each
     return whole.groupBy("id").cogroup(replies.groupBy("block")).applyInArrow(task, RESULT_SCHEMA)

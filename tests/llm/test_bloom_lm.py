@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import zlib
 
@@ -124,3 +125,49 @@ def test_blocks_and_segments_meet_their_replies_in_groups(spark):
     for limit, groups in ((1 << 28, 2), (0, 3)):
         plan = run(spark, corpus(20), bits=1 << 14, broadcast_bits=limit)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("FlatMapCoGroupsInArrow") == groups and "Join" not in plan
+
+
+def test_a_group_probes_once_for_all_blocks(spark, monkeypatch):
+    """Blocks and segments meet in rows whose number grows with the square of the input: none may cost calls of its own."""
+    calls, probed = spark.sparkContext.accumulator(0), B.probed_levels
+
+    def counting(*args):
+        calls.add(1)
+        return probed(*args)
+
+    monkeypatch.setattr(B, "SLICE_BYTES", 1 << 9)
+    monkeypatch.setattr(B, "probed_levels", counting)
+    docs = corpus(300)
+    assert len(run(spark, docs, bits=1 << 15, broadcast_bits=0).collect()) == len(docs)
+    assert 0 < calls.value <= 2 * 8  # words and pairs of eight segments; some hundred blocks
+
+
+def test_groups_of_several_regions_give_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(B, "SLICE_BYTES", 1 << 10)
+    monkeypatch.setattr(B, "SEGMENT_BYTES", 1 << 11)
+    monkeypatch.setattr(B, "LEAST_GROUPS", 2)
+    monkeypatch.setattr(B, "PROBE_KEYS", 50)
+    docs = corpus()
+    for bits in (1 << 16, 1 << 22):  # segments share regions; a region each
+        one, two = (sorted((*r[:5], round(r[5], 6), round(r[6], 6))
+                           for r in run(spark, docs, bits=bits, broadcast_bits=b).collect()) for b in (1 << 28, 0))
+        assert one == two and [r[:6] for r in two] == brute(docs)
+    for segments, regions in ((100, 100), (100, 16), (7, 7), (100, 33)):
+        together, starts = B.group_starts(segments, regions)
+        group = np.arange(segments) * regions // segments // together
+        assert (group == np.searchsorted(starts, np.arange(segments), side="right") - 1).all() and starts[-1] == segments
+
+
+def test_blocks_that_ask_are_smaller_than_their_texts(spark):
+    """Without a broadcast filter the blocks wait on disk for their answers: texts, compressed, not the hash of every token."""
+    docs = corpus(600)
+    kept = [f.removeprefix("file:") for f in run(spark, docs, broadcast_bits=0).inputFiles() if "lm-blocks" in f]
+    assert kept and sum(os.path.getsize(f) for f in kept) < sum(len(t or "") for _, t in docs) / 2
+
+
+def test_a_pair_seen_more_often_than_a_byte_counts(spark):
+    docs = spark.createDataFrame([(" ".join(["a b"] * k),) for k in (255, 256, 700, 1)], "text string")
+    rows = B.segment_counts(docs, 3).collect()
+    assert sum(r.tokens for r in rows) == 2 * 1212 + 4
+    got = sorted(v for r in rows for v in np.frombuffer(r.bi_level, np.uint8).tolist())
+    assert got == sorted(B.level_of(np.array([1212, 1208, 4, 4])).tolist())  # a b, b a, begin a, b end
