@@ -193,3 +193,51 @@ def test_density_curve_against_exact_kernel(spark):
     assert np.abs(np.array([r[2] for r in got]) - want).max() < 2e-4 * want.max() * 10
     assert got[7][3] == pytest.approx(got[7][2] * len(x) * (x.max() - x.min()) / plotdata.BINS)
     assert plotdata.density_curve(df.where("v < -1e9"), ["v"]).collect() == []
+
+
+def test_sums_of_a_row_and_population_are_one_row_for_any_number_of_parts(spark):
+    """Rows sent to Spark: one a row and population, however many parts the rows are dealt into (their product before)."""
+    df, rows = _vectors(spark)
+    vectors = align._vectors(df, "customer_id")
+    for cell in (20, 1 << 15):
+        sums = align._pair_sums(vectors, "customer_id", cell)
+        plan = sums._jdf.queryExecution().analyzed()
+        while not plan.nodeName().startswith("FlatMapGroups"):  # what the chunks return, before it is grouped by key
+            plan = plan.children().head()
+        assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan).count() == len(rows) * 4
+        got = {(r.customer_id, r.population): (r.own, r.n, r.d) for r in sums.collect()}
+        assert len(got) == len(rows) * 4
+        for key, own, *x in rows[::40] + rows[-1:]:
+            for p in "p", "q", "r", "alone":
+                every = [math.dist(x, r[2:]) for r in rows if r[1] == p]
+                assert got[key, p] == (own, len(every), pytest.approx(sum(every), abs=1e-12))
+    assert align._pair_parts(5_400_000, 10, 96, align.CELL_ROWS) == 42
+    assert align._pair_parts(15_000, 10, 96, align.CELL_ROWS) == 14
+
+
+def test_exact_sums_of_repeated_keys_and_missing_components(spark):
+    cols = [f"{c}_z" for c in align.VECTOR_COLUMNS]
+    rows = [(1, "p", *[0.0] * 6), (1, "p", *[1.0] * 6), (2, "p", None, *[0.0] * 5), (None, "q", *[3.0] * 6),
+            (4, "q", *[5.0] * 6), (5, None, *[2.0] * 6), (6, "m", None, *[1.0] * 5)]
+    df = spark.createDataFrame(rows, "customer_id long, population string, " + ", ".join(f"{c} double" for c in cols))
+    vectors = align._vectors(df, "customer_id")
+    for cell in (1, 2, 100):
+        one, two = ({(r.customer_id, r.own, r.population): (r.n, r.d and round(r.d, 9)) for r in sums.collect()} for sums in
+                    (align._pair_sums(vectors, "customer_id", cell), align._distance_sums(vectors, vectors, "customer_id", cell)))
+        assert one == two and one[1, "p", "p"] == (6, round(2 * 6 ** 0.5, 9)) and one[1, "p", "m"] == (2, None)
+
+
+def test_distances_of_close_and_equal_points_are_not_cancelled():
+    """Squares from a matrix product lose small distances between long vectors: those come from the differences."""
+    rng = np.random.default_rng(5)
+    far = rng.normal(size=(6, 1)) * 1e3
+    q = np.hstack([far + rng.normal(size=(6, 150)) * 10.0 ** -rng.integers(0, 9, 150), rng.normal(size=(6, 150)) * 50])
+    q = np.hstack([q, q[:, ::3]])
+    of = np.sort(rng.integers(0, 4, q.shape[1]))
+    for points in (q, q[:, 150:], q[:, :150]):  # few close pairs in a tile, many
+        codes, d = of[:points.shape[1]], np.sqrt(((points[:, :, None] - points[:, None, :]) ** 2).sum(axis=0))
+        left, right = align._tile_sums(points, codes, points, codes, 4, 4)
+        every = np.array([d[:, codes == p].sum(axis=1) for p in range(4)]).T
+        assert np.allclose(left, every, rtol=1e-10, atol=1e-12) and np.allclose(right, left.T, rtol=1e-12, atol=1e-12)
+    left, _ = align._tile_sums(np.full((6, 1), np.inf), None, np.zeros((6, 1)), np.zeros(1, int), 0, 1)
+    assert left[0, 0] == np.inf
